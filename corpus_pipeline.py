@@ -1,27 +1,53 @@
-"""The corpus pipeline: language, near duplicates, benchmark passages, secrets, tokens."""
+"""The corpus pipeline: language, near duplicates, benchmark passages, secrets, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept, and returns a DataFrame that is written as
+Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, secrets
+from ledgerloom.llm import bpe, decontamination, language, neardup, secrets
+from ledgerloom.llm.common import written
 from ledgerloom.sources.tables import table
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; judged by text, so copies go together."""
-    judged = decontamination.occurrences(docs, table(spark, sf_dir, "benchmark"))
-    return decontamination.without_contaminated(docs, judged)
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no language (null, or without a letter) go; a null language is filled in by the prediction."""
+    return language.with_language(docs).filter(F.col("__lang_pred") != language.UNKNOWN).withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return neardup.one_of_each_group(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark contaminates go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in it become their kind in brackets, and ``n_chars`` follows."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with their digests."""
+    import public_tokenizers
 
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is replaced by its kind in brackets; all documents stay."""
-    return secrets.redact(docs)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
-STAGES: list = []
+STAGES = [("language", known_language), ("near_duplicates", one_of_each_group), ("decontamination", without_benchmark), ("secrets", without_secrets), ("tokens", tokens)]
+#: No stage but the last two comes near to SQL; brute force checks them instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

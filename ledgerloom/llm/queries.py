@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from ledgerloom.sources.tables import table
 
-from . import decontamination, quality, secrets, sharding, urls
+from . import bpe, decontamination, language, neardup, quality, secrets, sharding, urls
+
+
+def op1_language_id(spark, sf_dir):
+    return language.language_of_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark, sf_dir):
@@ -27,7 +35,13 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_secret_scans, op7_url_filters, op8_decontamination, op9_sharding)}
+def op10_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_simhash, op5_quality_rules, op6_secret_scans, op7_url_filters, op8_decontamination, op9_sharding, op10_byte_bpe)}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
