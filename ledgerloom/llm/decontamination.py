@@ -1,9 +1,9 @@
 """Benchmark decontamination by a positional inverted index.
 
-Postings (term, document, position) of every benchmark term are stored once. Each 13-word window of an item is looked up by
-the term of it that is rarest in the corpus; its postings, shifted by the term's place in the item, are alignments of item
-and document. The postings of the other terms are intersected at the same shift, and runs of consecutive places at least a
-window long are exact occurrences.
+Postings (term, document, position) of every benchmark term are stored once, each with a one-byte signature of the word that
+follows. Each 13-word window of an item is looked up by the term of it that is rarest in the corpus; its postings with the
+right follower, shifted by the term's place in the item, are alignments of item and document. The postings of the other terms
+are intersected at the same shift, and runs of consecutive places at least a window long are exact occurrences.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from .common import ascii_lower, text_of_id, text_or_empty, written
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORDS_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: A side of a join is broadcast up to this many rows of a few dozen bytes, counted first; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -40,30 +39,48 @@ def test_terms(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     return items.select("item_key", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("place", "term"))
 
 
+def _signature(word):
+    return (F.pmod(F.xxhash64(word), F.lit(256)) - 128).cast("byte")
+
+
+#: Stands behind the last word of every document; no word holds a space.
+END, END_ID = " ", 0
+
+
 def build_postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: (term_id, k1, k2, pos) of every occurrence of a term of ``terms`` (term, term_id)."""
+    """The stored index: (term_id, k1, k2, pos, follower) of every occurrence of a term of ``terms`` (term, term_id), and of
+    the mark ``END_ID`` at each document's end, whose position is the count of its words."""
     k1, k2 = document_key(id_col, text_col)
-    tokens = docs.select(k1, k2, F.posexplode(words_of(text_col)).alias("pos", "term"))
-    return written(tokens.join(_small(terms), "term").select("term_id", "k1", "k2", "pos"))
+    marked = docs.select(k1, k2, F.concat(words_of(text_col), F.array(F.lit(END))).alias("w"))
+    pairs = F.arrays_zip(F.col("w").alias("term"), F.slice("w", 2, F.size("w")).alias("next"))
+    tokens = marked.select("k1", "k2", F.posexplode(pairs).alias("pos", "x")).select("k1", "k2", "pos", "x.term", "x.next")
+    terms = terms.select("term", "term_id").unionByName(terms.sparkSession.createDataFrame([(END, END_ID)], "term string, term_id long"))
+    return written(tokens.join(_small(terms), "term").select("term_id", "k1", "k2", "pos", _signature("next").alias("follower")))
 
 
 def leads(tests: DataFrame, frequency: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_key, place, term_id): the rarest term of each window of each item; windows with a term the corpus lacks go."""
+    """(item_key, place, term_id, follower): of each window of each item the term that is rarest among those with a follower
+    in the window (or of all, null follower, in an item of one word); windows with a term the corpus lacks go."""
     counted = tests.join(frequency, "term_id", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ahead = Window.partitionBy("item_key").orderBy("place").rowsBetween(0, window - 1)
-    best = counted.withColumn("lead", F.min(F.struct("df", "place", "term_id")).over(ahead)).filter(F.col("place") <= F.greatest(F.col("n") - window, F.lit(0)))
-    return best.filter("lead.df > 0").select("item_key", "lead.place", "lead.term_id").distinct()
-
-
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    ahead = Window.partitionBy("item_key").orderBy("place")
+    span = F.least(F.lit(window), F.col("n"))
+    best = (
+        counted.withColumn("follower", F.lead("signature").over(ahead))
+        .withColumn("least", F.min("df").over(ahead.rowsBetween(0, window - 1)))
+        .withColumn("lead", F.min(F.struct("df", "place", "term_id", "follower")).over(ahead.rowsBetween(0, max(0, window - 2))))
+        .filter((F.col("place") <= F.col("n") - span) & (F.col("least") > 0))
+    )
+    return best.select("item_key", "lead.place", "lead.term_id", "lead.follower").distinct()
+
+
+def occurrences(postings: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every maximal exact match of at least one window: (k1, k2, item_id, start, end), word positions, ends exclusive."""
-    tests = test_terms(benchmark, item_col, "text")
-    terms = written(tests.select("term").distinct().withColumn("term_id", F.xxhash64("term")))
-    tests = written(tests.join(terms, "term").select("item_key", "item_id", "n", "place", "term_id"))
-    postings = build_postings(docs, terms, id_col, text_col)
-    lead = leads(tests, postings.groupBy("term_id").agg(F.count("*").alias("df")), window)
-    aligned = written(postings.join(_small(written(lead)), "term_id").select("k1", "k2", "item_key", (F.col("pos") - F.col("place")).alias("shift")).distinct())
-    near = postings.join(_small(aligned.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi")
+    frequency = postings.groupBy("term_id").agg(F.count("*").alias("df"))
+    lead = _small(written(leads(tests, frequency, window)))
+    follows = lead["follower"].isNull() | (lead["follower"] == postings["follower"])
+    aligned = postings.join(lead, (postings["term_id"] == lead["term_id"]) & follows).select("k1", "k2", "item_key", (F.col("pos") - F.col("place")).alias("shift")).distinct()
+    aligned = written(aligned)
+    near = postings.join(_small(aligned.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi").drop("follower")
     wanted = aligned.join(_small(tests), "item_key").select("k1", "k2", "item_key", "item_id", "shift", "n", "place", "term_id", (F.col("shift") + F.col("place")).alias("pos"))
     met = wanted.join(near, ["k1", "k2", "pos", "term_id"]).groupBy("k1", "k2", "item_key", "shift").agg(F.array_sort(F.collect_set("place")).alias("places"), F.max("n").alias("n"), F.max("item_id").alias("item_id"))
     runs = met.select("k1", "k2", "item_key", "shift", "item_id", "n", F.explode(F.transform("places", lambda p, i: F.struct((p - i).alias("run"), p.alias("place")))).alias("x"))
@@ -82,6 +99,22 @@ def near_occurrences(postings: DataFrame, first: int, second: int, distance: int
     return a.join(b, ["k1", "k2", "block"]).filter((F.col("a") != F.col("b")) & (F.abs(F.col("a") - F.col("b")) <= distance)).select("k1", "k2", "a", "b")
 
 
+def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """One row per distinct (id, text) of ``docs``: k1, k2, n_words, n_hit, items, contaminated."""
+    tests = test_terms(benchmark, item_col, "text")
+    terms = written(tests.select("term").distinct().withColumn("term_id", F.xxhash64("term")))
+    tests = written(tests.join(terms, "term").select("item_key", "item_id", "n", "place", "term_id", _signature("term").alias("signature")))
+    postings = build_postings(docs, terms, id_col, text_col)
+    found = written(occurrences(postings, tests, window))
+    before = Window.partitionBy("k1", "k2").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("reach", F.lit(0))))
+    hits = found.select("k1", "k2", "start", "end").distinct().withColumn("reach", F.max("end").over(before)).groupBy("k1", "k2").agg(F.sum(new).cast("long").alias("n_hit"))
+    items = found.select("k1", "k2", F.coalesce("item_id", F.lit("")).alias("i")).distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    ends = postings.filter(F.col("term_id") == END_ID).groupBy("k1", "k2").agg(F.max("pos").cast("long").alias("n_words"))
+    rows = ends.join(hits.join(items, ["k1", "k2"]), ["k1", "k2"], "left").select("k1", "k2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return written(rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Judge every document against the benchmark: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
 
@@ -89,17 +122,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     of fewer words than a window is one window, one of none has none; items of a null id count as one named ''. Repeated
     rows are judged alike; an empty table on either side gives no rows, or rows without hits.
     """
-    found = occurrences(docs, benchmark, window, id_col, text_col, item_col)
-    found = written(found)
-    before = Window.partitionBy("k1", "k2").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("reach", F.lit(0))))
-    hits = found.select("k1", "k2", "start", "end").distinct().withColumn("reach", F.max("end").over(before)).groupBy("k1", "k2").agg(F.sum(new).cast("long").alias("n_hit"))
-    items = found.select("k1", "k2", F.coalesce("item_id", F.lit("")).alias("i")).distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list("i")).alias("items"))
     k1, k2 = document_key(id_col, text_col)
-    rows = docs.select(F.col(id_col), k1, k2, F.regexp_count(text_or_empty(text_col), F.lit(WORDS_ANY_CASE)).cast("long").alias("n_words"))
-    per_doc = written(hits.join(items, ["k1", "k2"]))
-    out = rows.join(per_doc, ["k1", "k2"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("__items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select(
-        id_col, "n_words", "n_hit", F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    rows = docs.select(F.col(id_col), k1, k2).join(judge(docs, benchmark, window, id_col, text_col, item_col), ["k1", "k2"])
+    return rows.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``docs`` without its contaminated rows."""
+    k1, k2 = document_key(id_col, text_col)
+    bad = written(judge(docs, benchmark, window, id_col, text_col, item_col).filter("contaminated").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
+    return docs.withColumns({"__k1": k1, "__k2": k2}).join(bad, ["__k1", "__k2"], "left_anti").select(*docs.columns)
