@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from ledgerloom.sources.tables import table
 
-from . import bpe, decontamination, language, neardup, quality, secrets, sharding, suffixes, urls
+from . import bpe, decontamination, katz, language, neardup, quality, secrets, sharding, suffixes, urls
 
 
 def op1_language_id(spark, sf_dir):
     return language.language_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_katz_backoff(spark, sf_dir):
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_suffix_dedup, op4_simhash, op5_quality_rules, op6_secret_scans, op7_url_filters, op8_decontamination, op9_sharding, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_suffix_dedup, op4_simhash, op5_quality_rules, op6_secret_scans, op7_url_filters, op8_decontamination, op9_sharding, op10_byte_bpe)}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
