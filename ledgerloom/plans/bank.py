@@ -1 +1,157 @@
-"""Queries."""
+"""Queries over the bank and the till's payments."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ledgerloom.operators import bank
+from ledgerloom.sources import views
+from ledgerloom.sources.tables import table
+
+from .registry import query
+
+D = "double"
+
+#: Typed balances: at the first operation of each quarter, what the ledger says, some of them off by a hundred.
+POINTS = """
+daily AS (SELECT account, day, sum(amount) AS moved FROM bank_lines GROUP BY 1, 2),
+ran AS (SELECT *, sum(moved) OVER (PARTITION BY account ORDER BY day) AS s FROM daily),
+firsts AS (SELECT account, min(day) AS day FROM daily GROUP BY account, date_trunc('quarter', day)),
+points AS (SELECT account, day, s + CASE WHEN month(day) = 4 THEN 100 ELSE 0 END AS balance FROM ran JOIN firsts USING (account, day)),
+lined AS (SELECT account, day, moved, s, balance FROM ran LEFT JOIN points USING (account, day))
+"""
+
+
+def _points(lines):
+    daily = bank.running(lines, "account", "day", "amount", "s")
+    firsts = daily.groupBy("account", F.date_trunc("quarter", "day").alias("q")).agg(F.min("day").alias("day")).select("account", "day")
+    off = F.when(F.month("day") == 4, F.lit(100)).otherwise(0)
+    return daily.join(firsts, ["account", "day"]).select("account", "day", (F.col("s") + off).cast("decimal(24,2)").alias("balance"))
+
+
+@query(f"""
+WITH {POINTS},
+r AS (SELECT *, last_value(balance IGNORE NULLS) OVER w AS b, last_value(CASE WHEN balance IS NOT NULL THEN s END IGNORE NULLS) OVER w AS bs FROM lined WINDOW w AS (PARTITION BY account ORDER BY day))
+SELECT account, day, CAST(b + s - bs AS DOUBLE) AS balance, CAST(moved AS DOUBLE) AS moved FROM r
+""")
+def treasury_curve(spark, sf_dir):
+    lines = views.bank_lines(spark, sf_dir)
+    out = bank.balances(lines, _points(lines))
+    return out.select("account", "day", F.col("balance").cast(D).alias("balance"), F.col("moved").cast(D).alias("moved"))
+
+
+@query(f"""
+WITH {POINTS}, t AS (SELECT * FROM lined WHERE balance IS NOT NULL),
+g AS (SELECT account, day, balance, balance - lag(balance) OVER w - (s - lag(s) OVER w) AS missing FROM t WINDOW w AS (PARTITION BY account ORDER BY day))
+SELECT account, day, CAST(balance AS DOUBLE) AS balance, CAST(missing AS DOUBLE) AS missing, coalesce(missing <> 0 AND missing + lead(missing) OVER (PARTITION BY account ORDER BY day) = 0, false) AS suspect FROM g
+""")
+def treasury_gaps(spark, sf_dir):
+    lines = views.bank_lines(spark, sf_dir)
+    out = bank.gaps(lines, _points(lines))
+    return out.select("account", "day", F.col("balance").cast(D).alias("balance"), F.col("missing").cast(D).alias("missing"), "suspect")
+
+
+@query("""
+WITH per AS (SELECT account, CAST(date_trunc('month', day) AS DATE) AS month, sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS credits, sum(CASE WHEN amount < 0 THEN amount ELSE 0 END) AS debits, count(*) AS n FROM bank_lines GROUP BY 1, 2),
+spine AS (SELECT account, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM per GROUP BY account),
+m AS (SELECT account, month, coalesce(credits, 0) AS credits, coalesce(debits, 0) AS debits, coalesce(n, 0) AS n_lines FROM spine LEFT JOIN per USING (account, month))
+SELECT account, month, CAST(credits AS DOUBLE) AS credits, CAST(debits AS DOUBLE) AS debits, n_lines, CAST(credits + debits AS DOUBLE) AS net, CAST(sum(credits + debits) OVER (PARTITION BY account ORDER BY month) AS DOUBLE) AS closing FROM m
+""")
+def treasury_months(spark, sf_dir):
+    out = bank.months(views.bank_lines(spark, sf_dir))
+    return out.select("account", "month", *(F.col(c).cast(D).alias(c) for c in ("credits", "debits")), "n_lines", *(F.col(c).cast(D).alias(c) for c in ("net", "closing")))
+
+
+#: Payouts: every fourth day of a method pays the three card days before it, less 1 on every fifth.
+PAYOUTS = """
+sold AS (SELECT method AS key, day, amount FROM till_payments), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day) AS i, sum(amount) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS three FROM sold),
+payouts AS (SELECT key, day, three - CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END AS gross FROM n WHERE i % 4 = 0)
+"""
+
+
+def _payouts(spark, sf_dir):
+    sold = views.till_payments(spark, sf_dir).select(F.col("method").alias("key"), "day", F.col("amount").cast("decimal(22,2)").alias("amount"))
+    w = Window.partitionBy("key").orderBy("day")
+    n = sold.withColumn("i", F.row_number().over(w)).withColumn("three", F.sum("amount").over(w.rowsBetween(-3, -1)))
+    return sold, n.filter("i % 4 = 0").select("key", "day", (F.col("three") - F.when(F.col("i") % 5 == 0, 1).otherwise(0)).cast("decimal(22,2)").alias("gross"))
+
+
+@query(f"""
+WITH {PAYOUTS},
+st AS (SELECT key, min(day) AS f FROM sold GROUP BY 1), paid AS (SELECT p.*, f FROM payouts p JOIN st USING (key) WHERE p.day > f), t AS (SELECT key, min(day) AS t1, arg_min(gross, day) AS g1, any_value(f) AS f FROM paid GROUP BY 1),
+c AS (SELECT key, t1, g1, CAST(unnest(generate_series(greatest(f, t1 - 7), t1 - 1, INTERVAL 1 DAY)) AS DATE) AS anchor FROM t),
+o AS (SELECT c.key, anchor, abs(coalesce((SELECT sum(amount) FROM sold s WHERE s.key = c.key AND s.day >= anchor AND s.day < t1), 0) - g1) AS off FROM c),
+a AS (SELECT key, anchor FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY off, anchor DESC) AS r FROM o) WHERE r = 1)
+SELECT p.key, p.day, CAST(p.gross AS DOUBLE) AS gross, CAST(coalesce((SELECT sum(amount) FROM sold s WHERE s.key = p.key AND s.day >= a.anchor AND s.day < p.day), 0) - sum(p.gross) OVER (PARTITION BY p.key ORDER BY p.day) AS DOUBLE) AS unpaid FROM paid p JOIN a USING (key)
+""")
+def payout_running_balance(spark, sf_dir):
+    out = bank.unpaid_after_payouts(*_payouts(spark, sf_dir))
+    return out.select("key", "day", F.col("gross").cast(D).alias("gross"), F.col("unpaid").cast(D).alias("unpaid"))
+
+
+@query()
+def payout_exact_runs(spark, sf_dir):
+    return bank.exact_runs(*_payouts(spark, sf_dir))
+
+
+@query("""
+WITH b AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, 'bank' AS source, sum(amount) AS amount, count(DISTINCT day) AS n_days FROM bank_lines WHERE amount > 0 GROUP BY 1),
+t AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, method AS source, sum(amount) AS amount, count(DISTINCT day) AS n_days FROM till_payments GROUP BY 1, 2), u AS (SELECT * FROM b UNION ALL SELECT * FROM t)
+SELECT month, source, CAST(amount AS DOUBLE) AS amount, n_days, CAST(amount AS DOUBLE) / CAST(sum(amount) OVER (PARTITION BY month) AS DOUBLE) AS share FROM u
+""")
+def income_by_month(spark, sf_dir):
+    month = F.trunc("day", "MM").alias("month")
+    b = views.bank_lines(spark, sf_dir).filter("amount > 0").groupBy(month).agg(F.sum("amount").alias("amount"), F.count_distinct("day").alias("n_days")).withColumn("source", F.lit("bank"))
+    t = views.till_payments(spark, sf_dir).groupBy(month, F.col("method").alias("source")).agg(F.sum("amount").alias("amount"), F.count_distinct("day").alias("n_days"))
+    u = b.select("month", "source", F.col("amount").cast("decimal(38,2)").alias("amount"), "n_days").unionByName(t.select("month", "source", F.col("amount").cast("decimal(38,2)").alias("amount"), "n_days"))
+    share = F.col("amount").cast(D) / F.sum("amount").over(Window.partitionBy("month")).cast(D)
+    return u.select("month", "source", F.col("amount").cast(D).alias("amount"), "n_days", share.alias("share"))
+
+
+@query("""
+WITH debits AS (SELECT line_id, payee_id, -amount AS due FROM bank_lines WHERE amount < 0),
+parts AS (SELECT invoice_id, category, sum(ht) AS part FROM lines JOIN products USING (product_id) GROUP BY 1, 2), met AS (SELECT line_id, due, category, part, sum(part) OVER (PARTITION BY line_id) AS total FROM debits JOIN parts ON line_id = invoice_id),
+scaled AS (SELECT line_id, category, CASE WHEN total > due THEN CAST(round(CAST(part AS DOUBLE) * CAST(due AS DOUBLE) / CAST(total AS DOUBLE), 2) AS DECIMAL(14,2)) ELSE part END AS amount FROM met),
+sums AS (SELECT line_id, sum(amount) AS given FROM scaled GROUP BY 1), rest AS (SELECT line_id, CASE WHEN given IS NULL THEN 'segment ' || c_mktsegment ELSE 'uncategorised' END AS category, due - coalesce(given, 0) AS amount FROM debits LEFT JOIN sums USING (line_id) JOIN customer ON c_custkey = payee_id),
+u AS (SELECT category, amount FROM scaled UNION ALL SELECT category, amount FROM rest WHERE amount <> 0)
+SELECT category, round(CAST(sum(amount) AS DOUBLE), 2) AS amount, count(*) AS n_parts FROM u GROUP BY 1
+""")
+def spending_by_category(spark, sf_dir):
+    """Debits by the categories of their invoices, scaled down where these ask for more; the rest has the payee's segment, or
+    no category where there are invoices."""
+    debits = views.bank_lines(spark, sf_dir).filter("amount < 0").select("line_id", "payee_id", (-F.col("amount")).alias("due"))
+    parts = views.lines(spark, sf_dir).join(views.products(spark, sf_dir), "product_id").groupBy(F.col("invoice_id").alias("line_id"), "category").agg(F.sum("ht").alias("part"))
+    met = debits.join(parts, "line_id").withColumn("total", F.sum("part").over(Window.partitionBy("line_id")))
+    scaled = F.round(F.col("part").cast(D) * F.col("due").cast(D) / F.col("total").cast(D), 2).cast("decimal(14,2)")
+    given = met.select("line_id", "category", F.when(F.col("total") > F.col("due"), scaled).otherwise(F.col("part")).cast("decimal(24,2)").alias("amount"))
+    sums = given.groupBy("line_id").agg(F.sum("amount").alias("given"))
+    segment = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("payee_id"), "c_mktsegment")
+    rest = debits.join(sums, "line_id", "left").join(segment, "payee_id").select(F.when(F.col("given").isNull(), F.concat(F.lit("segment "), "c_mktsegment")).otherwise(F.lit("uncategorised")).alias("category"), (F.col("due") - F.coalesce("given", F.lit(0))).cast("decimal(24,2)").alias("amount"))
+    u = given.select("category", "amount").unionByName(rest.filter("amount != 0"))
+    return u.groupBy("category").agg(F.round(F.sum("amount").cast(D), 2).alias("amount"), F.count("*").alias("n_parts"))
+
+
+@query("""
+WITH c AS (SELECT payee_id AS key, line_id AS id, amount, sum(amount) OVER w AS hi FROM bank_lines WHERE amount > 0 WINDOW w AS (PARTITION BY payee_id ORDER BY day, line_id)),
+d AS (SELECT payee_id AS key, line_id AS id, -amount AS due, sum(-amount) OVER w AS hi FROM bank_lines WHERE amount < 0 WINDOW w AS (PARTITION BY payee_id ORDER BY day, line_id))
+SELECT c.key, c.id AS credit_id, d.id AS doc_id, CAST(least(c.hi, d.hi) - greatest(c.hi - amount, d.hi - due) AS DOUBLE) AS share FROM c JOIN d USING (key) WHERE c.hi - amount < d.hi AND d.hi - due < c.hi
+""")
+def credit_waterfall(spark, sf_dir):
+    """Credits of each payee over what it was asked for, in order."""
+    rows = views.bank_lines(spark, sf_dir).withColumnsRenamed({"payee_id": "key", "line_id": "id"})
+    out = bank.waterfall(rows.filter("amount > 0"), rows.filter("amount < 0").withColumn("due", -F.col("amount")))
+    return out.withColumn("share", F.col("share").cast(D))
+
+
+@query("""
+WITH t AS (SELECT payee_id, day, sum(sum(amount)) OVER (PARTITION BY payee_id ORDER BY day) AS balance FROM bank_lines GROUP BY payee_id, day)
+SELECT e.event_id, t.day AS known_on, CAST(t.balance AS DOUBLE) AS balance FROM (SELECT event_id, user_id, CAST(CAST(ts AS DATE) - 9000 AS DATE) AS d FROM events) e ASOF LEFT JOIN t ON e.user_id = t.payee_id AND e.d >= t.day
+""")
+def asof_balance(spark, sf_dir):
+    """The last known balance of each event's user: both sides in one sorted pass, no range join."""
+    known = bank.running(views.bank_lines(spark, sf_dir), "payee_id", "day", "amount", "balance").select(F.col("payee_id").alias("user_id"), F.col("day").alias("d"), F.lit(0).alias("side"), F.struct("day", "balance").alias("known"), F.lit(None).cast("long").alias("event_id"))
+    asked = table(spark, sf_dir, "events").select("user_id", F.date_sub(F.to_date("ts"), 9000).alias("d"), F.lit(1).alias("side"), F.lit(None).cast(known.schema["known"].dataType).alias("known"), "event_id")
+    w = Window.partitionBy("user_id").orderBy("d", "side").rowsBetween(Window.unboundedPreceding, 0)
+    out = known.unionByName(asked).withColumn("ref", F.last("known", ignorenulls=True).over(w)).filter("side = 1")
+    return out.select("event_id", F.col("ref.day").alias("known_on"), F.col("ref.balance").cast(D).alias("balance"))

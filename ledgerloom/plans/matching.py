@@ -1 +1,98 @@
-"""Queries."""
+"""Queries that match payments with invoices, and merge intervals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import graph, matching
+from ledgerloom.sources import views
+
+from .registry import query
+
+D = "double"
+
+#: Payments: the debits of the bank, in hundreds; invoices: the credits' other side of the same customers, in hundreds too,
+#: so that amounts meet.
+BOTH = """
+payments AS (SELECT line_id AS payment_id, payee_id AS key, day, CAST(ceil(-amount / 25000) * 25 AS DECIMAL(12,2)) AS due FROM bank_lines WHERE amount < 0),
+invoices AS (SELECT line_id AS invoice_id, payee_id AS key, day AS invoice_day, CAST(ceil(amount / 25000) * 25 AS DECIMAL(12,2)) AS total FROM bank_lines WHERE amount > 0),
+cand AS (SELECT p.payment_id, p.key, p.day, p.due, i.invoice_id, i.invoice_day, i.total FROM payments p JOIN invoices i ON p.key = i.key AND i.invoice_day >= p.day - 180 AND i.invoice_day <= p.day)
+"""
+
+
+def _payments(spark, sf_dir):
+    rows = views.bank_lines(spark, sf_dir).filter("amount < 0")
+    return rows.select(F.col("line_id").alias("payment_id"), F.col("payee_id").alias("key"), "day", (F.ceil(-F.col("amount") / 25000) * 25).cast("decimal(12,2)").alias("due"))
+
+
+def _invoices(spark, sf_dir):
+    rows = views.bank_lines(spark, sf_dir).filter("amount > 0")
+    return rows.select(F.col("line_id").alias("invoice_id"), F.col("payee_id").alias("key"), F.col("day").alias("invoice_day"), (F.ceil(F.col("amount") / 25000) * 25).cast("decimal(12,2)").alias("total"))
+
+
+@query(f"WITH {BOTH} SELECT payment_id, invoice_id, CAST(due AS DOUBLE) AS due, CAST(total AS DOUBLE) AS total, CAST(day - invoice_day AS INTEGER) AS age, total = due AS exact, abs(total - due) <= due * 0.10 AS near FROM cand")
+def payment_candidates(spark, sf_dir):
+    near = matching.in_window(_payments(spark, sf_dir), _invoices(spark, sf_dir))
+    due, total = F.col("due"), F.col("total")
+    return near.select("payment_id", "invoice_id", due.cast(D).alias("due"), total.cast(D).alias("total"), F.datediff("day", "invoice_day").alias("age"), (total == due).alias("exact"), (F.abs(total - due) <= due * F.lit("0.10").cast("decimal(3,2)")).alias("near"))
+
+
+@query(f"""
+WITH {BOTH}, x AS (SELECT payment_id, invoice_id, CAST(day - invoice_day AS INTEGER) AS age FROM cand WHERE total = due),
+r AS (SELECT *, count(*) OVER (PARTITION BY payment_id) AS n, lead(age) OVER w AS next, row_number() OVER w AS r FROM x WINDOW w AS (PARTITION BY payment_id ORDER BY age, invoice_id))
+SELECT payment_id, invoice_id, age, n AS n_candidates, CASE WHEN n = 1 THEN 'sure' WHEN age <= 35 AND next - age >= 20 THEN 'near_sure' ELSE 'to_confirm' END AS tier FROM r WHERE r = 1
+""")
+def payment_tiers(spark, sf_dir):
+    return matching.tiers(matching.exact(_payments(spark, sf_dir), _invoices(spark, sf_dir)))
+
+
+@query(f"""
+WITH {BOTH}, r AS (SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY invoice_day DESC, invoice_id DESC) AS r FROM cand), c AS (SELECT * FROM r WHERE r <= 12),
+two AS (SELECT a.payment_id, a.due, a.r AS ra, b.r AS rb, a.total + b.total AS s FROM c a JOIN c b ON a.payment_id = b.payment_id AND a.r < b.r),
+three AS (SELECT t.payment_id, t.due, d.r AS rb, t.s + d.total AS s FROM two t JOIN c d ON t.payment_id = d.payment_id AND t.rb < d.r), four AS (SELECT t.payment_id, t.due, t.s + d.total AS s FROM three t JOIN c d ON t.payment_id = d.payment_id AND t.rb < d.r),
+u AS (SELECT payment_id, 2 AS n FROM two WHERE s = due UNION ALL SELECT payment_id, 3 FROM three WHERE s = due UNION ALL SELECT payment_id, 4 FROM four WHERE s = due)
+SELECT payment_id, count(*) AS n_sums, CAST(min(n) AS BIGINT) AS smallest FROM u GROUP BY 1
+""")
+def payment_subset_sums(spark, sf_dir):
+    return matching.subset_sums(_payments(spark, sf_dir), _invoices(spark, sf_dir))
+
+
+@query()
+def reconcile_greedy(spark, sf_dir):
+    return matching.greedy(matching.exact(_payments(spark, sf_dir), _invoices(spark, sf_dir)))
+
+
+@query("""
+WITH w AS (SELECT payee_id, day - 7 AS a, day + 45 AS b FROM bank_lines WHERE amount > 0), o AS (SELECT *, max(b) OVER (PARTITION BY payee_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY payee_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM o)
+SELECT payee_id, min(a) AS first_day, max(b) AS last_day, count(*) AS n FROM i GROUP BY payee_id, i
+""")
+def interval_merge(spark, sf_dir):
+    rows = views.bank_lines(spark, sf_dir).filter("amount > 0").select("payee_id", F.date_sub("day", 7).alias("first_day"), F.date_add("day", 45).alias("last_day"))
+    return matching.merged_intervals(rows, "payee_id", "first_day", "last_day")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT invoice_id * 2 AS a, (product_id * 7 + supplier_id) * 2 + 1 AS b FROM lines WHERE flag = 'R' AND vat = 0.08 AND discount = 0.10), s AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+c(node, other) AS (SELECT x, x FROM s UNION SELECT c.node, s.y FROM c JOIN s ON s.x = c.other), m AS (SELECT node, min(other) AS root FROM c GROUP BY node)
+SELECT root, count(*) AS n_nodes, count(*) FILTER (WHERE node % 2 = 0) AS n_slips FROM m GROUP BY root
+""")
+def slip_components(spark, sf_dir):
+    """Slips and the references printed on them: what hangs together is compared together."""
+    rows = views.lines(spark, sf_dir).filter("flag = 'R' and vat = 0.08 and discount = 0.10").select((F.col("invoice_id") * 2).alias("a"), ((F.col("product_id") * 7 + F.col("supplier_id")) * 2 + 1).alias("b")).distinct()
+    found = graph.components(rows)
+    nodes = rows.select(F.col("a").alias("node")).unionByName(rows.select(F.col("b").alias("node"))).distinct()
+    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.groupBy("root").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node") % 2 == 0).alias("n_slips"))
+
+
+@query("""
+SELECT b.line_id AS final_id, a.line_id AS deposit_id, CAST(b.amount AS DOUBLE) AS final_amount, CAST(a.amount AS DOUBLE) AS deposit_amount FROM bank_lines a JOIN bank_lines b ON a.payee_id = b.payee_id AND a.day < b.day AND abs(a.amount - b.amount) <= 500 WHERE a.amount > 0 AND b.amount > 0
+""")
+def deposits_counted_twice(spark, sf_dir):
+    """An earlier credit of the same payee of nearly the same amount: a band join cut in equal bands."""
+    rows = views.bank_lines(spark, sf_dir).filter("amount > 0")
+    a = rows.select("payee_id", F.col("line_id").alias("deposit_id"), F.col("day").alias("d"), F.col("amount").alias("deposit_amount"), F.explode(F.array(*(F.floor(F.col("amount") / 500) + i for i in (-1, 0, 1)))).alias("band"))
+    b = rows.select("payee_id", F.col("line_id").alias("final_id"), "day", F.col("amount").alias("final_amount"), F.floor(F.col("amount") / 500).alias("band"))
+    met = a.join(b, ["payee_id", "band"]).filter((F.col("d") < F.col("day")) & (F.abs(F.col("deposit_amount") - F.col("final_amount")) <= 500))
+    return met.select("final_id", "deposit_id", F.col("final_amount").cast(D).alias("final_amount"), F.col("deposit_amount").cast(D).alias("deposit_amount"))
