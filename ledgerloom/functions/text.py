@@ -34,7 +34,7 @@ def numeric_signature(text: Column) -> Column:
 def luhn_candidates(text: Column, digits: int = 9) -> Column:
     """Runs of exactly ``digits`` digits that pass the Luhn check."""
     runs = F.regexp_extract_all(text, F.lit(rf"(?<!\d)\d{{{digits}}}(?!\d)"), F.lit(0))
-    return F.array_distinct(F.filter(runs, lambda x: F.luhn_check(x)))
+    return F.array_distinct(F.filter(runs, lambda x: F.call_function("luhn_check", x)))
 
 
 def vat_key(siren: Column) -> Column:
