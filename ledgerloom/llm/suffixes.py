@@ -31,20 +31,28 @@ FIXED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _rank_by_doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array of a reduced string most of whose names are already unique: the end of the recursion."""
+    """Suffix array of a reduced string most of whose names are already unique: the end of the recursion. A rank is the first
+    place of its group; each round sorts only the members of groups of several."""
     n, h = len(s), 1
-    order = np.argsort(s, kind="stable")
+    order = np.argsort(s)
+    sorted_ = s[order]
     rank = np.empty(n, np.int64)
-    while True:
-        x = s[order] if h == 1 else key[order]
-        rank[order] = np.cumsum(np.concatenate(([0], x[1:] != x[:-1])))
-        if rank[order[-1]] == n - 1:
-            return order
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+    first = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    alone = first & np.append(first[1:], True)
+    at = np.flatnonzero(~alone)
+    while len(at):
+        members = order[at]
+        after = np.where(members + h < n, rank[np.minimum(members + h, n - 1)] + 1, 0)
+        key = rank[members] * (n + 1) + after
+        o = np.argsort(key)
+        members, key = members[o], key[o]
+        order[at] = members
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[members] = np.maximum.accumulate(np.where(first, at, 0))
+        at = at[~(first & np.append(first[1:], True))]
         h *= 2
+    return order
 
 
 def _induce(s: np.ndarray, small: np.ndarray, size: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -55,7 +63,7 @@ def _induce(s: np.ndarray, small: np.ndarray, size: np.ndarray, lms: np.ndarray)
     head = end - size
     sa = np.full(n, -1, np.int64)
     order = np.argsort(s[lms], kind="stable")
-    first = s[lms][order]
+    first = s[lms][order].astype(np.int64)
     count = np.bincount(first, minlength=k)
     tail = end - count
     sa[tail[first] + np.arange(len(first)) - (np.cumsum(count) - count)[first]] = lms[order]
@@ -63,7 +71,7 @@ def _induce(s: np.ndarray, small: np.ndarray, size: np.ndarray, lms: np.ndarray)
     def put(found: np.ndarray, at: np.ndarray, step: int) -> None:
         chars = s[found]
         o = np.argsort(chars, kind="stable")
-        c = chars[o]
+        c = chars[o].astype(np.int64)
         m = np.bincount(c, minlength=k)
         place = np.arange(len(c)) - (np.cumsum(m) - m)[c]
         sa[at[c] + place if step > 0 else at[c] - 1 - place] = found[o]
@@ -98,8 +106,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
-    diff = np.diff(s)
-    kind = np.append(np.sign(diff), 1)
+    # Narrow characters sort by counting.
+    s = s.astype(np.uint16) if int(s.max()) < 1 << 16 else s.astype(np.int64)
+    kind = np.append((s[1:] > s[:-1]).astype(np.int8) - (s[1:] < s[:-1]), np.int8(1))
     # An equal neighbour has the type of the next suffix that differs.
     where = np.where(kind != 0, np.arange(n), n - 1)
     small = kind[np.minimum.accumulate(where[::-1])[::-1]] > 0
@@ -127,7 +136,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     reduced = name[lms]
     names = int(reduced.max()) + 1
     if names == len(lms):
-        order = np.argsort(reduced, kind="stable")
+        order = np.argsort(reduced)
     elif names < len(lms) // 64:
         order = suffix_array(reduced)
     else:
@@ -278,7 +287,7 @@ def _shard(table: pa.Table) -> pa.Table:
         sizes = np.fromiter(map(len, pieces), np.int64)
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        sa = suffix_array(np.append(data.astype(np.int64) + 1, 0))[1:]
+        sa = suffix_array(np.append(data.astype(np.uint16) + np.uint16(1), np.uint16(0)))[1:]
         together = repeated_in(sa, data)
         group = np.cumsum(np.concatenate(([0], ~together)))
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -291,11 +300,14 @@ def _shard(table: pa.Table) -> pa.Table:
         # Runs of repeated windows; a run never goes on into the next stretch, whose last 199 places are no window starts.
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         first = np.searchsorted(owner[a], np.arange(len(sizes) + 1))
-        has = np.array([x is not None for x in table["u"].to_pylist()])
-        u, v, start = (table[c].to_pylist() for c in ("u", "v", "start"))
-        rows = [(u[r], v[r], start[r] + int(a[j] - starts[i]), int(b[j] - a[j])) for r, i in enumerate(of) if has[r] for j in range(first[i], first[i + 1])]
-        if rows:
-            out.append([np.array(c) for c in zip(*rows, strict=True)])
+        # Every run of a piece, for each row of the table that has a place.
+        row = np.flatnonzero(table["u"].is_valid().to_numpy(zero_copy_only=False))
+        piece = np.array(of)[row]
+        times = first[piece + 1] - first[piece]
+        row, piece = np.repeat(row, times), np.repeat(piece, times)
+        run = first[piece] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        u, v, start = (table[c].fill_null(0).to_numpy()[row] for c in ("u", "v", "start"))
+        out.append([u, v, start + a[run] - starts[piece], b[run] - a[run]])
     cols = [np.concatenate(c) for c in zip(*out, strict=True)]
     return pa.table({"u": pa.array(cols[0].astype(np.int64)), "v": pa.array(cols[1].astype(np.int32)), "start": pa.array(cols[2].astype(np.int64)), "count": pa.array(cols[3].astype(np.int32))})
 
@@ -333,13 +345,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"),
         F.xxhash64(text_of_id(id_col), text_or_empty(text_col)).alias("u"), F.hash(text_or_empty(text_col)).alias("v"),
     )
-    rows = texts.select("u", "v", "text").filter(F.octet_length("text") >= WINDOW).mapInArrow(_anchor_rows, "f long, u long, v int, at long")
-    twice = rows.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = written(texts.select("u", "v", "text").filter(F.octet_length("text") >= WINDOW).mapInArrow(_anchor_rows, "f long, u long, v int, at long"))
+    # Written apart, so that AQE can split the join at an anchor that many texts share.
+    twice = written(rows.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1"))
     wanted = rows.join(twice, "f").select("u", "v", F.struct("f", "at", (F.col("n") > hot).alias("hot")).alias("x"))
     wanted = written(wanted.groupBy("u", "v").agg(F.collect_set("x").alias("wanted")))
     size = wanted.agg(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda a, x: a + x["at"].bitwiseAND(255) + WINDOW - 1))).first()[0] or 0
     shards = max(1, math.ceil(size / shard))
-    cut = texts.join(wanted, ["u", "v"]).select("u", "v", "text", "wanted").mapInArrow(_stretches, STRETCH)
+    # Both joins take the same columns of the texts, so that these are shuffled once for both.
+    cut = texts.join(wanted, ["u", "v"]).select("__id", "u", "v", "text", "wanted").mapInArrow(_stretches, STRETCH)
     found = cut.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).select("shard", *_NAMES).groupBy("shard").applyInArrow(_shard, "u long, v int, start long, count int")
     runs = found.groupBy("u", "v").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
-    return texts.join(runs, ["u", "v"], "left").select("__id", "text", "runs").mapInArrow(_removed, f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("__id", id_col)
+    return texts.join(runs, ["u", "v"], "left").select("__id", "u", "v", "text", "runs").mapInArrow(_removed, f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("__id", id_col)
