@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from ledgerloom.sources.scratch import shared_dir, written  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="ledgerloom-")
-        shared_dir.own = found
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.graph import components
+
 from .common import text_of_id, text_or_empty, written
 
 RADIUS = 3
@@ -127,22 +129,6 @@ def links(fps: DataFrame, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     return rows.groupBy("part").applyInArrow(_links, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's component, by large-star and small-star rounds until nothing moves."""
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        edges = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        edges = written(edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
-
-
 def classes(rows: DataFrame) -> DataFrame:
     """(fp, component_id) of ``rows`` (__id, fp): the smallest id of the component of each fingerprint."""
     firsts = written(rows.groupBy("fp").agg(F.min("__id").alias("first")))
