@@ -36,4 +36,4 @@ def query(oracle: str | None = None):
     return of
 
 
-from . import bank, forecast, matching, misc, stock, till  # noqa: E402, F401
+from . import bank, documents, forecast, matching, misc, stock, till  # noqa: E402, F401
