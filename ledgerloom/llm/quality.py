@@ -70,7 +70,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measure and judge every row: counts, ``base_failed``, ``kept`` and the names of failed rules (``failed``).
+    """Measure and judge every row: counts, ``base_failed``, ``kept`` and the names of failed rules, comma-joined (``failed``).
 
     A null or empty text has no words, so it fails; repeated rows are judged alike; an empty table gives no rows. One
     projection after the scan: no shuffle, nothing leaves the JVM.
@@ -91,4 +91,4 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
         broken.append(F.when(out, F.lit(rule.metric)))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", base).withColumn("failed", F.array_compact(F.array(*broken)))
-    return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")
+    return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), F.array_join("failed", ",").alias("failed"))
