@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.sources.ship import ship
+
 
 def running(daily: DataFrame, key: str, day: str, amount: str, out: str) -> DataFrame:
     """Running sum by day; days are summed first, so a window holds one row a day and key."""
@@ -106,6 +108,7 @@ def exact_runs(sold: DataFrame, payouts: DataFrame, back: int = 8) -> DataFrame:
                 out.append((p.key, p.day, p.cents / 100, days[found[0]], days[found[1]]))
         return pd.DataFrame(out, columns=["key", "day", "gross", "first_day", "last_day"])
 
+    ship(sold.sparkSession)
     as_cents = lambda df, c: df.select(F.col("key").alias("key"), F.col("day").alias("day"), (F.col(c) * 100).cast("long").alias("cents"))
     return as_cents(sold, "amount").groupBy("key").cogroup(as_cents(payouts, "gross").groupBy("key")).applyInPandas(one, "key string, day date, gross double, first_day date, last_day date")
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.sources.ship import ship
+
 #: Days before and after a payment in which its invoice may lie.
 CARD, OTHER = (3, 1), (180, 0)
 BUCKET = 32
@@ -62,6 +64,7 @@ def subset_sums(payments: DataFrame, invoices: DataFrame, latest: int = 12) -> D
                     out.append((p, len(found), min(found)))
             yield pd.DataFrame(out, columns=["payment_id", "n_sums", "smallest"])
 
+    ship(payments.sparkSession)
     return lists.mapInPandas(search, "payment_id long, n_sums long, smallest long")
 
 
@@ -79,6 +82,7 @@ def greedy(candidates: DataFrame) -> DataFrame:
                 out.append((p, free[0]))
         return pd.DataFrame(out, columns=["payment_id", "invoice_id"])
 
+    ship(candidates.sparkSession)
     return candidates.select("key", "payment_id", "day", "invoice_id", "invoice_day").groupBy("key").applyInPandas(one, "payment_id long, invoice_id long")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import ocr_fold
+from ledgerloom.sources.ship import ship
 
 #: Letters and digits that a reader takes for one another.
 LOOK_ALIKE = ("O0QD", "I1L", "S5", "B8", "Z2", "G6")
@@ -73,6 +74,7 @@ def misread_match(read: DataFrame, known: DataFrame) -> DataFrame:
         for x in batches:
             yield x.assign(cost=[misread_cost(p, q, budget(p)) for p, q in zip(x.a, x.b, strict=True)])[["read_id", "known_id", "cost"]]
 
+    ship(read.sparkSession)
     priced = pairs.mapInPandas(price, "read_id long, known_id long, cost double").filter("cost < double('infinity')")
     w = Window.partitionBy("read_id").orderBy("cost", "known_id")
     best = priced.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("cost").over(w)).filter("r = 1")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import loss_allowance, percent
 
+from ledgerloom.sources.ship import ship
+
 from .graph import components
 
 
@@ -97,5 +99,6 @@ def attribute_choices(demands: DataFrame) -> DataFrame:
                 due[r.recipe_id, r.grp] = 0
         return rows.assign(servings=served)[["pool", "recipe_id", "grp", "product_id", "servings"]]
 
+    ship(demands.sparkSession)
     flat = demands.select("pool", "recipe_id", "grp", "product_id", *(F.col(c).cast("double").alias(c) for c in ("amount", "sold", "available", "loss", "cost")))
     return flat.groupBy("pool").applyInPandas(one, "pool long, recipe_id long, grp int, product_id long, servings long")
