@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import ship, text_or_empty, written
 
 #: Code points of a chunk and of its overlap with each neighbour.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -136,6 +136,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     A null text is the empty one, of no tokens; repeated rows keep theirs; an empty table gives no rows. Texts of at most a
     chunk are encoded where they are read; only longer ones are shuffled, each distinct one once.
     """
+    ship(docs.sparkSession)
     if chunk <= 2 * overlap:
         raise ValueError("a chunk must be longer than its two overlaps")
     with open(path, "rb") as f:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import text_of_id
+from .common import ship, text_of_id
 
 ORDER = 4
 #: Bytes of labelled text that training looks at, per language, about: rows are drawn by hash at the rate that gives it.
@@ -121,6 +121,7 @@ def _tables(languages: tuple[str, ...], rows, order: int) -> Model:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, max_contexts: int = MAX_CONTEXTS) -> Model | None:
     """Frozen statistics of the languages of ``labelled``, from about ``sample_bytes`` of each; None without any."""
+    ship(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text != ''")
     totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(totals) > MAX_LANGUAGES:
@@ -190,6 +191,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     """
     if model is None:
         return docs.withColumns({"__lang_pred": F.lit(UNKNOWN), "__score": F.lit(0.0)})
+    ship(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.withColumns({"__walk": text, "__known": F.coalesce(text.rlike(r"\p{L}"), F.lit(False))})
     shared = docs.sparkSession.sparkContext.broadcast(model)

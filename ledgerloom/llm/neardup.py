@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.graph import components
 
-from .common import text_of_id, text_or_empty, written
+from .common import ship, text_of_id, text_or_empty, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -58,6 +58,7 @@ def _fingerprints(batches):
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__id, fp): a fingerprint for every row, as a signed long; 0 where there is no word."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, f"__id {kind}, fp long")
 
@@ -115,6 +116,7 @@ def _links(table: pa.Table) -> pa.Table:
 
 def links(fps: DataFrame, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fps`` (fp) that connect exactly what lies within 3 bits, step by step."""
+    ship(fps.sparkSession)
     n = fps.count()
     depth = min(10, max(1, math.ceil(math.log(max(n / leaf, 1.001), 10))))
     rows = leaves(fps, depth)
@@ -151,6 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: the first by id (nulls first), then by a digest of id and text."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     digest = F.unhex(F.sha2(F.concat_ws("\0", text_of_id(id_col), text_or_empty(text_col)), 256))
     rows = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("__id"), F.col(text_col).cast("string").alias("text"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of_id, text_or_empty, written
+from .common import ship, text_of_id, text_or_empty, written
 
 WINDOW, GRAM = 200, 32
 #: Bytes of stretches in a shard, about.
@@ -340,6 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Repeats are judged on the input, in UTF-8 bytes, over all rows: a repeated row repeats all of a text of 200 bytes or
     more. A null text is empty; shorter texts are kept whole; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(
         F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"),
