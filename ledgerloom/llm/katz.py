@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of_id, written
+from .common import ship, text_of_id, written
 
 #: Tokens of a block, about, and distinct entries of a bucket, at most about.
-BLOCK, BUCKET = 3_000_000, 1_500_000
+BLOCK, BUCKET = 2_000_000, 1_500_000
 #: Counts above this are not discounted.
 LARGE = 5
 END = b""
@@ -279,13 +279,21 @@ def _alphas(table: pa.Table) -> pa.Table:
     blocks, texts, sums, start = [], [], [], 0
     for block, part, mixed, often in zip(table["block"].to_pylist(), h, table["texts"].to_pylist(), table["which"].to_pylist(), strict=True):
         mixed, often = _unpack_sorted(mixed), _unpack(often)
-        of = (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        at, i = np.unique(of, return_inverse=True)
-        sums.append(np.bincount(i, weights=logs[start + (mixed >> np.uint64(32)).astype(np.int64)] * often, minlength=len(at)).astype(np.float64))
-        blocks.append(np.full(len(at), block, np.int64))
-        texts.append(at.astype(np.int32))
+        at, i = np.unique((mixed & np.uint64(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
+        blocks.append(block)
+        texts.append(_pack_sorted(at))
+        sums.append(_pack(np.bincount(i, weights=logs[start + (mixed >> np.uint64(32)).astype(np.int64)] * often, minlength=len(at)).astype(np.float64)))
         start += len(part)
-    return pa.table({"block": np.concatenate(blocks), "at": np.concatenate(texts), "part": np.concatenate(sums)})
+    return pa.table({"block": pa.array(blocks, pa.int64()), "texts": pa.array(texts, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+
+def _summed(texts: pa.Table, alphas: pa.Table) -> pa.Table:
+    """A block's texts with what its buckets say of their alphas added."""
+    texts = texts.combine_chunks()
+    more = np.zeros(int(texts["at"].to_numpy().max()) + 1 if len(texts) else 0)
+    for at, part in zip(alphas["texts"].to_pylist(), alphas["sums"].to_pylist(), strict=True):
+        more[_unpack_sorted(at).astype(np.int64)] += _unpack(part, np.float64)
+    return texts.drop_columns(["block", "at", "part"]).append_column("score", pa.array(texts["part"].to_numpy() + more[texts["at"].to_numpy()]))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
@@ -296,6 +304,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone. Repeated rows are learned and scored each; without training texts every token has probability 1 as the one unseen
     event; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held"))
     blocks = written(rows.mapInArrow(_blocks(block), f"block long, ids array<{kind}>, sizes binary, held binary, keys binary, stream binary, n long"))
@@ -311,9 +320,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = (1 + float(((1 - d1[1:]) * r * of_counts[0][:LARGE]).sum())) / (total + 1)
     schema = SCORES.format(id=kind)
     scored = written(blocks.select("block", "ids", "sizes", "held", "keys", "stream").groupBy("block").cogroup(back.filter("block >= 0").groupBy("block")).applyInArrow(_scored(d1, d2, total, words, left), schema))
-    alphas = scored.filter("kind = 1").groupBy("bucket").applyInArrow(_alphas, "block long, at int, part double")
+    alphas = scored.filter("kind = 1").groupBy("bucket").applyInArrow(_alphas, "block long, texts binary, sums binary")
     texts = scored.filter("kind = 0").select("block", "at", "id", "held_out", "n_tokens", "n_known", "base_score", "part")
-    sums = alphas.groupBy("block", "at").agg(F.sum("part").alias("more"))
-    return texts.join(sums, ["block", "at"], "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score")
-    )
+    out = texts.groupBy("block").cogroup(alphas.groupBy("block")).applyInArrow(_summed, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
