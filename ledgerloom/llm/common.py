@@ -23,3 +23,9 @@ def ascii_lower(column: Column) -> Column:
 def text_of_id(name: str = "doc_id") -> Column:
     """The id as text; a null id counts as the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, even where the optimizer moves expressions into filters: inside ``f`` it is a
+    lambda's variable and not a copy of its expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

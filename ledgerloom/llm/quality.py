@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import let, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -40,47 +40,27 @@ RULES = (
 )
 
 
-def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Counts of each whole text. Windows of eight words are compared by hash, within one text."""
-    text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col), text.alias("__text"), F.array_remove(F.split(text, SPACE), "").alias("__words"))
-    rows = rows.withColumn("__n", F.size("__words"))
-    hashes = F.when(F.col("__n") >= WINDOW, F.transform(F.sequence(F.lit(1), F.col("__n") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("__hashes", hashes)
-    # Only a text with a repeated window pays for the sort: equal neighbours in (hash, place) order are the repeats.
-    placed = F.array_sort(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-    def repeats(sorted_: Column) -> Column:
-        here = lambda x, k: (k >= 0) & (k < F.size(sorted_)) & (F.get(sorted_, k)["h"] == x["h"])
-        return F.array_sort(F.transform(F.filter(sorted_, lambda x, k: F.coalesce(here(x, k - 1), F.lit(False)) | F.coalesce(here(x, k + 1), F.lit(False))), lambda x: x["i"]))
-
-    rows = rows.withColumn("__sorted", F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), placed))
-    rows = rows.withColumn("__at", F.when(F.col("__sorted").isNotNull(), repeats(F.col("__sorted"))))
-    covered = F.aggregate("__at", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return rows.select(
-        id_col,
-        F.col("__n").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        lines.alias("__lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("__words", lambda w: F.lower(w).isin(*STOP_WORDS))).alias("__stops"),
-    )
+def _repeated_words(w: Column) -> Column:
+    """Words in windows of eight that occur twice or more. Windows are compared by hash, within one text; only a text with a
+    repeated window pays for a sort, after which equal neighbours in (hash, place) order are the repeats."""
 
+    def among(s: Column) -> Column:
+        same = lambda x, k: F.coalesce((k >= 0) & (F.get(s, k)["h"] == x["h"]), F.lit(False))
+        at = F.array_sort(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
+        start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
+        return F.aggregate(at, start, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measure and judge every row: counts, ``base_failed``, ``kept`` and the names of failed rules, comma-joined (``failed``).
+    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    placed = lambda h: F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(F.size(w) >= WINDOW, let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(placed(h), among)).otherwise(0))).otherwise(0)
 
-    A null or empty text has no words, so it fails; repeated rows are judged alike; an empty table gives no rows. One
-    projection after the scan: no shuffle, nothing leaves the JVM.
-    """
-    rows = _measured(docs, id_col, text_col)
-    rows = rows.withColumn("__n_lines", F.size("__lines")).withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-    per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+
+def _verdict(m: Column, rules: tuple[Rule, ...]) -> Column:
+    """The struct of a text's counts and what the threshold table says of them."""
+    per = lambda a, b: F.coalesce(F.try_divide(m[a].cast("double"), m[b].cast("double")), F.lit(0.0))
     metrics = {
-        "n_words": F.col("n_words"), "repeat_ratio": per("n_repeat_words", "n_words"), "mean_word_chars": per("word_chars", "n_words"),
-        "symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "__n_lines"), "stop_ratio": per("__stops", "n_words"),
+        "n_words": m["n_words"], "repeat_ratio": per("n_repeat_words", "n_words"), "mean_word_chars": per("word_chars", "n_words"),
+        "symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "stop_ratio": per("n_stops", "n_words"),
     }
     broken = []
     for rule in rules:
@@ -89,6 +69,31 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
         out = out | (x < rule.low) if rule.low is not None else out
         out = out | (x > rule.high) if rule.high is not None else out
         broken.append(F.when(out, F.lit(rule.metric)))
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", base).withColumn("failed", F.array_compact(F.array(*broken)))
-    return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), F.array_join("failed", ",").alias("failed"))
+    base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+    counts = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return let(F.array_compact(F.array(*broken)), lambda failed: F.struct(*counts, base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), F.array_join(failed, ",").alias("failed")))
+
+
+def report(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Everything about one text as one struct: one expression, in which each part is worked out once."""
+
+    def counts(w: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            F.size(lines).alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), _repeated_words(w).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).alias("n_stops"),
+        )
+
+    words = F.array_remove(F.split(text, SPACE), "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(words, lambda w: let(lines, lambda x: let(counts(w, x), lambda m: _verdict(m, rules))))
+
+
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Measure and judge every row: counts, ``base_failed``, ``kept`` and the names of failed rules, comma-joined (``failed``).
+
+    A null or empty text has no words, so it fails; repeated rows are judged alike; an empty table gives no rows. One
+    projection after the scan: no shuffle, nothing leaves the JVM.
+    """
+    rows = docs.select(F.col(id_col), report(text_or_empty(text_col), rules).alias("__report"))
+    return rows.select(id_col, "__report.*")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of_id, text_or_empty
+from .common import let, text_of_id, text_or_empty
 
 #: Slots are numbered within (shard, chunk) and offset by the chunks before: no task sorts a whole shard.
 CHUNKS = 256
@@ -46,12 +46,12 @@ def _array(values) -> Column:
 def _draw(path: Column, weights: Column) -> Column:
     """Index of the child with the smallest draw; children of weight 0 never win, ties go to the first."""
 
-    def cost(weight: Column, child: Column) -> Column:
+    def cost(path: Column, weight: Column, child: Column) -> Column:
         bits = F.shiftrightunsigned(F.xxhash64(F.concat_ws("/", path, child.cast("string"))), 11)
         unit = (bits + 1).cast("double") / F.lit(float(1 << 53))
         return F.struct(F.when(weight > 0, -F.ln(unit) / weight).otherwise(F.lit(float("inf"))).alias("cost"), child.alias("child"))
 
-    return F.array_min(F.transform(weights, cost))["child"]
+    return let(path, lambda p: F.array_min(F.transform(weights, lambda w, i: cost(p, w, i))))["child"]
 
 
 def with_shard(docs: DataFrame, tree: Tree, name: str, id_text: str) -> DataFrame:
