@@ -42,10 +42,10 @@ def between(movements: DataFrame, products: DataFrame, start: date, end: date) -
 
 
 def price_points(rows: DataFrame, *by: str) -> DataFrame:
-    """Price by key: the mean weighted by absolute quantity, the plain mean where quantities cancel out to nothing."""
-    q, p = F.abs(F.col("quantity").cast("double")), F.col("price").cast("double")
-    weighted = F.try_divide(F.sum(q * p), F.sum(q))
-    return rows.groupBy(*by).agg(F.coalesce(weighted, F.avg(p)).alias("price"), F.count("*").alias("n_lines"))
+    """Price by key: value over quantity, both absolute (the mean weighted by absolute quantity), so that sums are exact; the
+    plain mean of ``price`` where all quantities are 0."""
+    weighted = F.try_divide(F.sum(F.abs("value")).cast("double"), F.sum(F.abs("quantity")).cast("double"))
+    return rows.groupBy(*by).agg(F.coalesce(weighted, F.avg(F.col("price").cast("double"))).alias("price"), F.count("*").alias("n_lines"))
 
 
 def usual_container(rows: DataFrame, key: str, size: str) -> DataFrame:
@@ -67,14 +67,19 @@ def fifo_layers(ladder: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     return used.withColumn("taken", F.least("quantity", F.col("counted") - F.col("before"))).withColumn("is_last", F.col("upto") >= F.col("counted"))
 
 
+def _worth(units: Column) -> Column:
+    """``units`` at the row's cost, in hundredths of a thousandth, cut: whole numbers, so that sums are exact in any order."""
+    whole = lambda x, by: (x * by).cast("decimal(38,0)")
+    top = (whole(F.col("cost"), 100) * whole(units, 1000)).cast("decimal(38,0)") * F.lit(1000)
+    return F.call_function("div", top.cast("decimal(38,0)"), whole(F.col("quantity"), 1000))
+
+
 def fifo_valuation(ladder: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """Value of what was counted at its newest purchases' cost; what they do not cover is priced at the oldest of them."""
-    layers = fifo_layers(ladder, counts, key)
-    unit = F.col("cost").cast("double") / F.col("quantity").cast("double")
-    per = layers.groupBy(key).agg(F.sum(unit * F.col("taken").cast("double")).alias("covered"), F.sum("taken").alias("taken"), F.min_by(unit, F.struct(-F.col("before"))).alias("oldest"), F.count("*").alias("n_layers"))
+    layers = fifo_layers(ladder, counts, key).withColumn("missing", F.greatest(F.col("counted") - F.col("upto"), F.lit(0)))
+    oldest = F.min_by(_worth(F.col("missing")), -F.col("before"))
+    per = layers.groupBy(key).agg(F.sum(_worth(F.col("taken"))).alias("covered"), F.sum("taken").alias("taken"), oldest.alias("rest"), F.count("*").alias("n_layers"))
     out = counts.join(per, key, "left")
     short = (F.col("counted") - F.coalesce("taken", F.lit(0))).cast("double")
-    return out.select(
-        key, F.col("counted").cast("double").alias("counted"), (F.coalesce("covered", F.lit(0.0)) + short * F.coalesce("oldest", F.lit(0.0))).alias("value_ht"), short.alias("shortfall"),
-        F.coalesce("n_layers", F.lit(0)).cast("long").alias("n_layers"),
-    )
+    value = (F.coalesce("covered", F.lit(0)) + F.coalesce("rest", F.lit(0))).cast("double") / 100000
+    return out.select(key, F.col("counted").cast("double").alias("counted"), value.alias("value_ht"), short.alias("shortfall"), F.coalesce("n_layers", F.lit(0)).cast("long").alias("n_layers"))

@@ -52,13 +52,13 @@ def purchases_between_counts(spark, sf_dir):
 
 
 @query("""
-SELECT article, day, round(coalesce(sum(abs(CAST(quantity AS DOUBLE)) * CAST(ht / quantity AS DOUBLE)) / nullif(sum(abs(CAST(quantity AS DOUBLE))), 0), avg(CAST(ht / quantity AS DOUBLE))), 6) AS price, count(*) AS n_lines
+SELECT article, day, CAST(sum(abs(ht)) AS DOUBLE) / CAST(sum(abs(quantity)) AS DOUBLE) AS price, count(*) AS n_lines
 FROM movements JOIN products USING (product_id) WHERE kind = 'PURCHASE' GROUP BY article, day
 """)
 def article_price_history(spark, sf_dir):
     price = F.col("ht").cast(D) / F.col("quantity").cast(D)
-    rows = views.movements(spark, sf_dir).filter("kind = 'PURCHASE'").join(views.products(spark, sf_dir).select("product_id", "article"), "product_id").withColumn("price", price)
-    return stock.price_points(rows, "article", "day").withColumn("price", F.round("price", 6))
+    rows = views.movements(spark, sf_dir).filter("kind = 'PURCHASE'").join(views.products(spark, sf_dir).select("product_id", "article"), "product_id").withColumn("price", price).withColumn("value", F.col("ht"))
+    return stock.price_points(rows, "article", "day")
 
 
 @query("""
@@ -108,22 +108,22 @@ layers AS (SELECT *, upto - quantity AS before, least(quantity, counted - (upto
 
 @query(f"""
 WITH {LAYERS},
-per AS (SELECT product_id, sum(CAST(ht AS DOUBLE) / CAST(quantity AS DOUBLE) * CAST(taken AS DOUBLE)) AS covered, sum(taken) AS taken, arg_max(CAST(ht AS DOUBLE) / CAST(quantity AS DOUBLE), before) AS oldest, count(*) AS n FROM layers GROUP BY product_id)
-SELECT product_id, CAST(counted AS DOUBLE) AS counted, round(coalesce(covered, 0) + CAST(counted - coalesce(taken, 0) AS DOUBLE) * coalesce(oldest, 0), 4) AS value_ht,
+worth AS (SELECT *, CAST(ht * 100 AS HUGEINT) * CAST(taken * 1000 AS HUGEINT) * 1000 // CAST(quantity * 1000 AS HUGEINT) AS w, CAST(ht * 100 AS HUGEINT) * CAST(greatest(counted - upto, 0) * 1000 AS HUGEINT) * 1000 // CAST(quantity * 1000 AS HUGEINT) AS r FROM layers),
+per AS (SELECT product_id, sum(w) AS covered, sum(taken) AS taken, arg_max(r, before) AS rest, count(*) AS n FROM worth GROUP BY product_id)
+SELECT product_id, CAST(counted AS DOUBLE) AS counted, CAST(coalesce(covered, 0) + coalesce(rest, 0) AS DOUBLE) / 100000 AS value_ht,
   CAST(counted - coalesce(taken, 0) AS DOUBLE) AS shortfall, coalesce(n, 0) AS n_layers FROM counts LEFT JOIN per USING (product_id)
 """)
 def fifo_valuation(spark, sf_dir):
-    out = stock.fifo_valuation(_ladder(spark, sf_dir), _counts(spark, sf_dir), "product_id")
-    return out.withColumn("value_ht", F.round("value_ht", 4))
+    return stock.fifo_valuation(_ladder(spark, sf_dir), _counts(spark, sf_dir), "product_id")
 
 
 @query(f"""
 WITH {LAYERS}
-SELECT product_id, invoice_id, line, day, CAST(taken AS DOUBLE) AS taken, round(CAST(ht AS DOUBLE) / CAST(quantity AS DOUBLE), 6) AS unit_cost FROM layers
+SELECT product_id, invoice_id, line, day, CAST(taken AS DOUBLE) AS taken, CAST(ht AS DOUBLE) / CAST(quantity AS DOUBLE) AS unit_cost FROM layers
 """)
 def fifo_sources(spark, sf_dir):
     out = stock.fifo_layers(_ladder(spark, sf_dir), _counts(spark, sf_dir), "product_id")
-    return out.select("product_id", "tie.invoice_id", "tie.line", "day", F.col("taken").cast(D).alias("taken"), F.round(F.col("cost").cast(D) / F.col("quantity").cast(D), 6).alias("unit_cost"))
+    return out.select("product_id", "tie.invoice_id", "tie.line", "day", F.col("taken").cast(D).alias("taken"), (F.col("cost").cast(D) / F.col("quantity").cast(D)).alias("unit_cost"))
 
 
 @query("""

@@ -40,7 +40,7 @@ def till_slices(spark, sf_dir):
 
 @query(f"""
 WITH {SALES}
-SELECT category, 100.0 * CAST(count(*) FILTER (WHERE costed) AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0) AS unit_coverage,
+SELECT category, CAST(count(*) FILTER (WHERE costed) AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0) * 100 AS unit_coverage,
   CAST(sum(CASE WHEN read AND costed THEN value ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(CASE WHEN read THEN value ELSE 0 END) AS DOUBLE), 0) * 100 AS revenue_coverage FROM sales GROUP BY category
 """)
 def till_coverage(spark, sf_dir):
