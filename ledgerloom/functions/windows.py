@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column
@@ -58,3 +59,11 @@ def holidays(year: Column) -> Column:
     """The eleven public holidays of a year, in order."""
     fixed = [F.make_date(year, F.lit(m), F.lit(d)) for m, d in FIXED_HOLIDAYS]
     return F.array_sort(F.array(*fixed, *(F.date_add(easter(year), n) for n in AFTER_EASTER)))
+
+
+def instants(first: Column, last: Column, weekdays: Sequence[int], times: Sequence[str], zone: str = "Europe/Paris") -> Column:
+    """The moments (UTC) of a weekly rule, Monday 0, at local ``times``, on the days from ``first`` to ``last``. A time that
+    the clock skips is the moment it would have been; of one that comes twice the first counts."""
+    days = F.filter(F.sequence(first, last), lambda d: F.weekday(d).isin(*weekdays))
+    of = lambda d: F.array(*(F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", d.cast("string"), F.lit(t))), zone) for t in times))
+    return F.array_sort(F.flatten(F.transform(days, of)))

@@ -43,6 +43,15 @@ def gaps(lines: DataFrame, points: DataFrame) -> DataFrame:
     return typed.withColumn("suspect", F.coalesce((F.col("missing") != 0) & (F.col("missing") + after == 0), F.lit(False))).select("account", "day", "balance", "missing", "suspect")
 
 
+def complete_through(lines: DataFrame) -> DataFrame:
+    """(account, complete_through): the last day of each account that no later import can still add to. ``lines`` has
+    account, day and imported_on. The last day counts if one of its lines came in on a later day, else the day before; never
+    beyond the day before the newest import."""
+    ends = lines.groupBy("account").agg(F.max("day").alias("last"), F.max("imported_on").alias("newest"), F.max_by("imported_on", F.struct("day", "imported_on")).alias("of_last"))
+    whole = F.when(F.col("of_last") > F.col("last"), F.col("last")).otherwise(F.date_sub("last", 1))
+    return ends.select("account", F.least(whole, F.date_sub("newest", 1)).alias("complete_through"))
+
+
 def months(lines: DataFrame) -> DataFrame:
     """Credits, debits, net and closing of each month between an account's first and last, empty months too."""
     month = F.trunc("day", "MM").alias("month")

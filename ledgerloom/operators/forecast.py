@@ -61,6 +61,21 @@ def habit(purchase_days: DataFrame, visits: DataFrame, today: Column) -> DataFra
     return bought.join(since, ["store", "article"]).select("store", "article", "n_days", share.alias("habit"))
 
 
+def calendar_need(last_day: Column, last_quantity: Column, rate: Column, today: Column, horizon: int) -> Column:
+    """How used up the last purchase is by the calendar: days since it, and to come, over the days that it lasts."""
+    return F.try_divide((F.datediff(today, last_day) + horizon).cast("double"), F.try_divide(last_quantity, rate))
+
+
+#: Bounds of the ratio between what was bought and what the till poured.
+RATIO_LOW, RATIO_HIGH = 0.25, 5.0
+
+
+def till_need(sold_since: Column, sold_rate: Column, bought: Column, poured: Column, last_quantity: Column, horizon: int) -> Column:
+    """The same by the till: what it sold since, and will, at the ratio of purchases to sales over the time that both cover."""
+    ratio = F.least(F.greatest(F.coalesce(F.try_divide(bought, poured), F.lit(1.0)), F.lit(RATIO_LOW)), F.lit(RATIO_HIGH))
+    return F.try_divide(ratio * (sold_since + sold_rate * horizon), last_quantity)
+
+
 def chance(share: Column, need: Column, few: Column) -> Column:
     """sigmoid(logit(habit) + bias + slope ln(need) - penalty for few purchases), all within clamps."""
     p = F.least(F.greatest(share, F.lit(CLAMP)), F.lit(1 - CLAMP))

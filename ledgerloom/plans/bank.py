@@ -63,6 +63,16 @@ def treasury_months(spark, sf_dir):
     return out.select("account", "month", *(F.col(c).cast(D).alias(c) for c in ("credits", "debits")), "n_lines", *(F.col(c).cast(D).alias(c) for c in ("net", "closing")))
 
 
+@query("""
+WITH i AS (SELECT account, day, day + CAST(line_id % 4 AS INTEGER) AS imported_on FROM bank_lines), e AS (SELECT account, max(day) AS last, max(imported_on) AS newest FROM i GROUP BY 1), l AS (SELECT e.account, last, newest, max(imported_on) AS of_last FROM e JOIN i ON i.account = e.account AND i.day = e.last GROUP BY 1, 2, 3)
+SELECT account, CAST(least(CASE WHEN of_last > last THEN last ELSE last - 1 END, newest - 1) AS DATE) AS complete_through FROM l
+""")
+def treasury_complete(spark, sf_dir):
+    """How far each account's lines are complete."""
+    lines = views.bank_lines(spark, sf_dir)
+    return bank.complete_through(lines.withColumn("imported_on", F.date_add("day", (F.col("line_id") % 4).cast("int"))))
+
+
 #: Payouts: every fourth day of a method pays the three card days before it, less 1 on every fifth.
 PAYOUTS = """
 sold AS (SELECT method AS key, day, amount FROM till_payments), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day) AS i, sum(amount) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS three FROM sold),

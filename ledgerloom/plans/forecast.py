@@ -69,7 +69,8 @@ def _chances(spark, sf_dir):
     per_day = days.groupBy("article", "day").agg(F.sum("q").cast("double").alias("q"))
     ever = per_day.groupBy("article").agg(F.max("day").alias("last_day"), (F.sum("q") / (F.datediff(_today(), F.min("day")) + 1)).alias("rate"), F.max_by("q", "day").alias("last_q"))
     rows = forecast.habit(days, bought, _today()).join(ever, "article")
-    need = F.least(F.greatest((F.datediff(_today(), F.col("last_day")) + 7) / (F.col("last_q") / F.col("rate")), F.lit(forecast.NEED_LOW)), F.lit(forecast.NEED_HIGH))
+    need = forecast.calendar_need(F.col("last_day"), F.col("last_q"), F.col("rate"), _today(), 7)
+    need = F.least(F.greatest(need, F.lit(forecast.NEED_LOW)), F.lit(forecast.NEED_HIGH))
     rows = rows.withColumn("need", need)
     return rows.withColumn("chance", forecast.chance(F.col("habit"), F.col("need"), F.col("n_days") < forecast.FEW))
 

@@ -45,6 +45,12 @@ def test_windows(spark):
     assert windows.last_twelve_months(date(2025, 3, 1)) == (date(2024, 3, 1), date(2025, 3, 1))
 
 
+def test_instants(spark):
+    df = spark.createDataFrame([(date(2024, 3, 29), date(2024, 4, 2))], "a date, b date")
+    got = df.select(windows.instants(F.col("a"), F.col("b"), [4, 0], ["09:00", "22:30"]).alias("x")).select(F.transform("x", lambda t: t.cast("string")).alias("x")).first().x
+    assert got == ["2024-03-29 08:00:00", "2024-03-29 21:30:00", "2024-04-01 07:00:00", "2024-04-01 20:30:00"]
+
+
 def test_text(spark):
     assert one(spark, text.search_key(F.col("a")), a="Été ÇA") == "ete ca"
     assert one(spark, text.ocr_fold(F.col("a")), a="Réf. 12-b") == "REF12B"
