@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.sources.scratch import written
 from ledgerloom.sources.ship import ship
 
 #: Days before and after a payment in which its invoice may lie.
@@ -68,22 +70,28 @@ def subset_sums(payments: DataFrame, invoices: DataFrame, latest: int = 12) -> D
     return lists.mapInPandas(search, "payment_id long, n_sums long, smallest long")
 
 
+#: Candidates of one group of keys, about.
+GREEDY_ROWS = 50_000
+
+
 def greedy(candidates: DataFrame) -> DataFrame:
     """(payment_id, invoice_id): payments of a key in order of day and id, each taking its nearest invoice that no earlier one
-    took. Keys share nothing, so each is a group of its own."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        rows = rows.assign(age=(pd.to_datetime(rows.day) - pd.to_datetime(rows.invoice_day)).dt.days).sort_values(["day", "payment_id", "age", "invoice_id"])
-        for p, mine in rows.groupby("payment_id", sort=False):
-            free = [i for i in mine.invoice_id if i not in taken]
-            if free:
-                taken.add(free[0])
-                out.append((p, free[0]))
+    took. Keys share nothing, so many small ones go through one task together, and each stays whole."""
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "day", "payment_id", "age", "invoice_id"])
+        taken, paid, out = set(), set(), []
+        for p, i in zip(rows.payment_id.tolist(), rows.invoice_id.tolist(), strict=True):
+            if p not in paid and i not in taken:
+                paid.add(p)
+                taken.add(i)
+                out.append((p, i))
         return pd.DataFrame(out, columns=["payment_id", "invoice_id"])
 
     ship(candidates.sparkSession)
-    return candidates.select("key", "payment_id", "day", "invoice_id", "invoice_day").groupBy("key").applyInPandas(one, "payment_id long, invoice_id long")
+    rows = written(candidates.select("key", "payment_id", "day", "invoice_id", F.datediff("day", "invoice_day").alias("age")))
+    groups = max(1, math.ceil(rows.count() / GREEDY_ROWS))
+    return rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("part").applyInPandas(take, "payment_id long, invoice_id long")
 
 
 def merged_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:

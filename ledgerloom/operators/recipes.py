@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import loss_allowance, percent
 
+from ledgerloom.sources.scratch import written
 from ledgerloom.sources.ship import ship
 
 from .graph import components
@@ -65,40 +66,47 @@ def variance(stock: DataFrame, use: DataFrame, pool_of: DataFrame) -> DataFrame:
     return out.withColumn("shortfall", F.when(F.col("impossible"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("unexplained_min") - F.col("allowance"))))
 
 
+#: Rows of one group of pools, about.
+POOL_ROWS = 50_000
+
+
 def attribute_choices(demands: DataFrame) -> DataFrame:
     """Which option of each choice was poured: rows (pool, recipe_id, grp, product_id, amount, sold, available, loss, cost) in,
     the same keys and ``servings`` out.
 
     In each pool the choices go in order of recipe and group, over their options dearest first: whole servings up to what is
-    left after the normal loss, then up to what is left at all, and the rest to the dearest. Pools share no product, so each
-    is its own group; a pool is as large as one set of interchangeable products.
+    left after the normal loss, then up to what is left at all, and the rest to the dearest. Pools share no product, so many
+    small ones go through one task together, and each stays whole.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(price=rows.cost * rows.amount).sort_values(["recipe_id", "grp", "price", "product_id"], ascending=[True, True, False, True]).reset_index(drop=True)
+    def serve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(price=rows.cost * rows.amount).sort_values(["pool", "recipe_id", "grp", "price", "product_id"], ascending=[True, True, True, False, True])
+        choice = list(zip(rows.recipe_id, rows.grp, strict=True))
+        product, amount, available, loss = (rows[c].tolist() for c in ("product_id", "amount", "available", "loss"))
+        due = {c: int(n) for c, n in zip(reversed(choice), reversed(rows.sold.tolist()), strict=True)}
         used: dict[int, float] = {}
         served = [0] * len(rows)
-        due = {k: int(g.sold.iloc[0]) for k, g in rows.groupby(["recipe_id", "grp"], sort=False)}
         for within_loss in (True, False):
-            for i, r in enumerate(rows.itertuples()):
-                if r.amount <= 0 or due[r.recipe_id, r.grp] <= 0:
+            for i, c in enumerate(choice):
+                if amount[i] <= 0 or due[c] <= 0:
                     continue
-                taken = used.get(r.product_id, 0.0)
-                room = r.available - taken
-                fit = math.floor(room / r.amount + 1e-9) if room > 0 else 0
+                taken = used.get(product[i], 0.0)
+                room = available[i] - taken
+                fit = math.floor(room / amount[i] + 1e-9) if room > 0 else 0
                 if within_loss:
-                    after = r.available * (1 - r.loss) - taken
-                    fit = min(fit, math.ceil(after / r.amount - 1e-9)) if after > 0 else 0
-                n = min(fit, due[r.recipe_id, r.grp])
+                    after = available[i] * (1 - loss[i]) - taken
+                    fit = min(fit, math.ceil(after / amount[i] - 1e-9)) if after > 0 else 0
+                n = min(fit, due[c])
                 served[i] += n
-                due[r.recipe_id, r.grp] -= n
-                used[r.product_id] = taken + n * r.amount
-        for i, r in enumerate(rows.itertuples()):
-            if due[r.recipe_id, r.grp] > 0:
-                served[i] += due[r.recipe_id, r.grp]
-                due[r.recipe_id, r.grp] = 0
+                due[c] -= n
+                used[product[i]] = taken + n * amount[i]
+        for i, c in enumerate(choice):
+            served[i] += due[c]
+            due[c] = 0
         return rows.assign(servings=served)[["pool", "recipe_id", "grp", "product_id", "servings"]]
 
     ship(demands.sparkSession)
-    flat = demands.select("pool", "recipe_id", "grp", "product_id", *(F.col(c).cast("double").alias(c) for c in ("amount", "sold", "available", "loss", "cost")))
-    return flat.groupBy("pool").applyInPandas(one, "pool long, recipe_id long, grp int, product_id long, servings long")
+    flat = written(demands.select("pool", "recipe_id", "grp", "product_id", *(F.col(c).cast("double").alias(c) for c in ("amount", "sold", "available", "loss", "cost"))))
+    groups = max(1, math.ceil(flat.count() / POOL_ROWS))
+    part = F.pmod(F.xxhash64("pool"), F.lit(groups))
+    return flat.withColumn("part", part).groupBy("part").applyInPandas(serve, "pool long, recipe_id long, grp int, product_id long, servings long")
