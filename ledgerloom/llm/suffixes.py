@@ -241,29 +241,32 @@ STRETCH = "route long, bytes binary, copies int, u long, v int, start long, coun
 _NAMES = [x.split()[0] for x in STRETCH.split(", ")]
 
 
+def _route(piece: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
+
+
 def _stretches(batches):
     """Stretches for the shards: of equal ones in a batch only one, without a place, for they are known to be repeated;
-    their places are told at once, as rows without bytes."""
+    their places are told at once, as rows without bytes. Those of a hot anchor are cut in windows after that."""
     for b in batches:
-        seen: dict[tuple[int, bytes], list] = {}
+        seen: dict[tuple[int, bool, bytes], list] = {}
         for u, v, text, wanted in zip(b["u"].to_pylist(), b["v"].to_pylist(), b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True):
             data = text.encode()
             for x in wanted:
                 start, count = x["at"] >> 8, x["at"] & 255
-                if x["hot"]:
-                    for i in range(start, start + count):
-                        piece = data[i : i + WINDOW]
-                        route = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                        seen.setdefault((route, piece), []).append((u, v, i, 1))
-                else:
-                    seen.setdefault((x["f"], data[start : start + count + WINDOW - 1]), []).append((u, v, start, count))
+                seen.setdefault((x["f"], x["hot"], data[start : start + count + WINDOW - 1]), []).append((u, v, start, count))
         rows = []
-        for (route, piece), places in seen.items():
-            if len(places) == 1:
-                rows.append((route, piece, 1, *places[0]))
-            else:
-                rows.append((route, piece, 2, None, None, None, None))
+        for (route, hot, piece), places in seen.items():
+            alone = len(places) == 1
+            if not alone:
                 rows += [(p[0], None, 0, *p) for p in places]
+            u, v, start, count = places[0]
+            if not hot:
+                rows.append((route, piece, 1, u, v, start, count) if alone else (route, piece, 2, None, None, None, None))
+                continue
+            for i in range(count):
+                window = piece[i : i + WINDOW]
+                rows.append((_route(window), window, 1, u, v, start + i, 1) if alone else (_route(window), window, 2, None, None, None, None))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
