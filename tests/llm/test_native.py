@@ -187,3 +187,20 @@ def test_sharding(spark, awkward, empty):
     many = sharding.shard_documents(spark.range(20000).selectExpr("id doc_id", "'' text"))
     n = Counter(r.shard for r in many.collect())
     assert len(n) == 40 and max(n.values()) < 1.25 * 500
+
+
+def test_whole_private_keys(spark):
+    body = "\nProc-Type: 4,ENCRYPTED\n\n" + "MIIEow+/IBAAKCAQEA\n" * 40
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    long = head + "\n" + "Ab-9" * 500_000 + "\n" + foot
+    texts = {
+        1: (f"é {head}{body}{foot} after", "é [private_key] after"),
+        2: (f"{head} no end, a-b", "[private_key] no end, a-b"),
+        3: (f"{head} cut {head}{body}{foot}|{head}{body}{foot}", "[private_key] cut [private_key]|[private_key]"),
+        4: (f"{head} text\n-----BEGIN CERTIFICATE-----\nx\n{foot}", f"[private_key] text\n-----BEGIN CERTIFICATE-----\nx\n{foot}"),
+        5: (long + ".", "[private_key]."),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {i: w for i, (_, w) in texts.items()}
+    spans = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    assert spans[1] == f"private_key:2:{2 + len(head + body + foot)}" and spans[5] == f"private_key:0:{len(long)}"
