@@ -2,8 +2,8 @@
 
 For every language a tree of byte contexts up to ``ORDER`` long holds symbol counts. A symbol is coded by the longest known
 context; one not seen there escapes to the next shorter context, with the symbols seen so far excluded, and at last to a
-uniform code. Counts are frozen after training, so the code length of a symbol depends on the context alone: the trees
-become one table of bits by (context, byte, language) and one of next contexts, and a text is scored by walking them.
+uniform code. Counts are frozen after training, so the code length of a symbol depends on the context alone: each tree
+becomes one table of bits by (context, byte) and one of next contexts, and a text is scored by walking them.
 """
 
 from __future__ import annotations
@@ -12,16 +12,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import ship, text_of_id
 
 ORDER = 4
-#: Bytes of labelled text that training looks at, per language, about: rows are drawn by hash at the rate that gives it.
+#: Bytes of labelled text that training looks at, per language: as many at least, or all there are, and a few hundredths more.
 SAMPLE_BYTES = 400_000
-#: Contexts kept over all languages, the most frequent first: bounds the tables that tasks get.
+#: Texts are drawn in pieces of this many bytes, so that no long text is a language's whole sample.
+DRAWN = 1024
+#: Steps of the drawing bound for each halving of the sample.
+STEPS = 32
+#: Contexts kept over all languages, the most frequent first; besides them each language keeps a quarter as many of its own
+#: most frequent ones, whatever the others hold. Bounds the tables that tasks get.
 MAX_CONTEXTS = 4096
 MAX_LANGUAGES = 256
 #: A text is walked in pieces of this many bytes, all pieces of a batch abreast; a piece warms up on the bytes before it.
@@ -30,13 +36,18 @@ UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
-class Model:
-    """``bits[context, symbol, language]``, ``after[context, symbol]``; context 0 is the empty one."""
+class Tree:
+    """``bits[context, symbol]``, ``after[context, symbol]``: where the next context's row starts; context 0 is the empty one."""
 
-    languages: tuple[str, ...]
     symbol: np.ndarray
     bits: np.ndarray
     after: np.ndarray
+
+
+@dataclass(frozen=True)
+class Model:
+    languages: tuple[str, ...]
+    trees: tuple[Tree, ...]
     order: int
 
 
@@ -45,9 +56,9 @@ def held_out(id_col: str):
 
 
 def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of an Arrow string column and the offsets of its texts; a null has none."""
+    """All bytes of an Arrow string or binary column and the offsets of its texts; a null has none."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     return (np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)), offsets
@@ -74,9 +85,9 @@ def _grams(order: int):
     return of
 
 
-def _tables(languages: tuple[str, ...], rows, order: int) -> Model:
-    """``rows``: columns lang, size, context, symbol, n of the kept contexts, as arrays."""
-    lang, size, context, sym, n = rows
+def _tree(rows, order: int) -> Tree:
+    """``rows``: columns size, context, symbol, n of a language's kept contexts, as arrays."""
+    size, context, sym, n = rows
     names = sorted({(int(s), int(c)) for s, c in zip(size, context, strict=True)})
     if not names or names[0] != (0, 0):
         names.insert(0, (0, 0))
@@ -84,59 +95,86 @@ def _tables(languages: tuple[str, ...], rows, order: int) -> Model:
     seen = np.unique(sym)
     symbol = np.full(256, len(seen), dtype=np.int32)
     symbol[seen] = np.arange(len(seen))
-    states, symbols, tongues = len(names), len(seen) + 1, len(languages)
-    counts = np.zeros((tongues, states, len(seen)))
+    states, width = len(names), len(seen) + 1
+    counts = np.zeros((states, len(seen)))
     at = np.array([place[int(s), int(c)] for s, c in zip(size, context, strict=True)], dtype=np.int64)
-    number = {x: i for i, x in enumerate(languages)}
-    np.add.at(counts, ([number[x] for x in lang], at, symbol[sym]), n)
+    np.add.at(counts, (at, symbol[sym]), n)
     shorter = np.array([place[s - 1, c & ((1 << 8 * (s - 1)) - 1)] if s else 0 for s, c in names])
     sizes = np.array([s for s, _ in names])
-    bits = np.zeros((states, symbols, tongues), dtype=np.float32)
-    for k in range(tongues):
-        for d in range(order + 1):
-            own = np.flatnonzero(sizes == d)
-            now, done, escape, p = own, np.zeros((len(own), len(seen)), bool), np.ones(len(own)), np.zeros((len(own), len(seen)))
-            for _ in range(d + 1):
-                c = np.where(done, 0, counts[k][now])
-                total, kinds = c.sum(1), (c > 0).sum(1)
-                p += np.where(c > 0, (escape / np.maximum(total + kinds, 1))[:, None] * c, 0)
-                escape = np.where(total > 0, escape * kinds / np.maximum(total + kinds, 1), escape)
-                done |= c > 0
-                now = shorter[now]
-            left = 256 - done.sum(1)
-            scale = np.where(left == 0, 1 - escape, 1.0)
-            rest = escape / np.maximum(left, 1)
-            p = np.where(done, p / scale[:, None], rest[:, None])
-            bits[own, : len(seen), k] = -np.log2(p)
-            bits[own, len(seen), k] = -np.log2(np.maximum(rest, 1e-300))
-    after = np.zeros((states, symbols), dtype=np.int32)
-    for i, (s, c) in enumerate(names):
-        for a, b in enumerate(seen):
-            t, x = (s + 1, (c << 8) | int(b)) if s < order else (order, ((c << 8) | int(b)) & ((1 << 8 * order) - 1))
-            while (t, x) not in place:
-                t, x = t - 1, x & ((1 << 8 * (t - 1)) - 1)
-            after[i, a] = place[t, x]
-    return Model(languages, symbol, bits, after, order)
+    bits = np.zeros((states, width), dtype=np.float32)
+    after = np.zeros((states, width), dtype=np.int32)
+    for d in range(order + 1):
+        own = np.flatnonzero(sizes == d)
+        now, done, escape, p = own, np.zeros((len(own), len(seen)), bool), np.ones(len(own)), np.zeros((len(own), len(seen)))
+        for _ in range(d + 1):
+            c = np.where(done, 0, counts[now])
+            total, kinds = c.sum(1), (c > 0).sum(1)
+            p += np.where(c > 0, (escape / np.maximum(total + kinds, 1))[:, None] * c, 0)
+            escape = np.where(total > 0, escape * kinds / np.maximum(total + kinds, 1), escape)
+            done |= c > 0
+            now = shorter[now]
+        left = 256 - done.sum(1)
+        scale = np.where(left == 0, 1 - escape, 1.0)
+        rest = escape / np.maximum(left, 1)
+        p = np.where(done, p / scale[:, None], rest[:, None])
+        bits[own, : len(seen)] = -np.log2(p)
+        bits[own, len(seen)] = -np.log2(np.maximum(rest, 1e-300))
+        # A context one byte longer where it is kept, else where the next shorter context goes.
+        if d:
+            after[own] = after[shorter[own]]
+        for i in np.flatnonzero(sizes == d + 1):
+            before = place.get((d, names[i][1] >> 8))
+            if before is not None:
+                after[before, symbol[names[i][1] & 255]] = i * width
+    return Tree(symbol, bits, after)
+
+
+def _step(h: Column, i: Column) -> Column:
+    """The step at which a piece is drawn: n or more for a share of 2^(-n / STEPS) of all."""
+    return F.floor(F.log2((F.shiftrightunsigned(F.xxhash64(h, i), 11) + 1) / F.lit(float(1 << 53))) * -STEPS).cast("int")
+
+
+def _drawn(rows: DataFrame, sample_bytes: int) -> tuple[tuple[str, ...], DataFrame | None]:
+    """The languages of ``rows`` (id, lang, text), and pieces (lang, text) of each: the bytes at every step are counted first,
+    so that the steps taken hold ``sample_bytes`` or all there is. Rows that repeat whole count once."""
+    rows = rows.select("lang", F.xxhash64(text_of_id("id"), "text").alias("h"), F.octet_length("text").alias("n"), F.col("text").cast("binary").alias("text"))
+    pieces = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DRAWN).cast("int"))
+    every = rows.select("lang", "h", "n").distinct().select("lang", "h", "n", F.explode(pieces).alias("i"))
+    steps = every.groupBy("lang", _step(F.col("h"), F.col("i")).alias("step")).agg(F.sum(F.least(F.lit(DRAWN), F.col("n") - F.col("i") * DRAWN)).alias("n"))
+    totals = steps.groupBy("lang").agg(F.collect_list(F.struct("step", "n")).alias("steps")).limit(MAX_LANGUAGES + 1).collect()
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not totals:
+        return (), None
+    least = {}
+    for r in totals:
+        have = 0
+        for step, n in sorted(r["steps"], reverse=True):
+            if have < sample_bytes:
+                have, least[r["lang"]] = have + n, step
+    bound = F.element_at(F.map_from_arrays(F.array(*map(F.lit, least)), F.array(*map(F.lit, least.values()))), F.col("lang"))
+    taken = rows.select("lang", "h", "text", F.explode(F.filter(pieces, lambda i: _step(F.col("h"), i) >= bound)).alias("i"))
+    return tuple(sorted(least)), taken.select("lang", "h", "i", F.substring("text", F.col("i") * DRAWN + 1, F.lit(DRAWN)).alias("text")).dropDuplicates(["lang", "h", "i"]).select("lang", "text")
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, max_contexts: int = MAX_CONTEXTS) -> Model | None:
     """Frozen statistics of the languages of ``labelled``, from about ``sample_bytes`` of each; None without any."""
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text != ''")
-    totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not totals:
+    languages, sample = _drawn(rows, sample_bytes)
+    if sample is None:
         return None
-    languages = tuple(sorted(r["lang"] for r in totals))
-    draw = F.shiftrightunsigned(F.xxhash64(text_of_id("id"), "text"), 11) / F.lit(float(1 << 53))
-    rate = F.element_at(F.map_from_arrays(F.array(*(F.lit(r["lang"]) for r in totals)), F.array(*(F.lit(min(1.0, sample_bytes / r["n"])) for r in totals))), F.col("lang"))
-    grams = rows.filter(draw < rate).select("lang", "text").mapInArrow(_grams(order), "lang string, size int, gram long, n long")
+    grams = sample.mapInArrow(_grams(order), "lang string, size int, gram long, n long")
     grams = grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).select("lang", "size", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("symbol"), "n").cache()
-    kept = grams.groupBy("size", "context").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "size", "context").limit(max_contexts)
-    out = grams.join(F.broadcast(kept.select("size", "context")), ["size", "context"]).select("lang", "size", "context", "symbol", "n").toPandas()
+    sums = grams.groupBy("lang", "size", "context").agg(F.sum("n").alias("own"))
+    kept = sums.groupBy("size", "context").agg(F.sum("own").alias("all")).orderBy(F.desc("all"), "size", "context").limit(max_contexts)
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("own"), "size", "context"))
+    own = sums.withColumn("best", best).filter(F.col("best") <= max_contexts // 4).select("lang", "size", "context")
+    names = sums.join(F.broadcast(kept.select("size", "context")), ["size", "context"]).select("lang", "size", "context").unionByName(own).distinct()
+    out = grams.join(names, ["lang", "size", "context"]).select("lang", "size", "context", "symbol", "n").toPandas()
     grams.unpersist()
-    return _tables(languages, [out[c].to_numpy() for c in ("lang", "size", "context", "symbol", "n")], order)
+    trees = dict(tuple(out.groupby("lang")))
+    return Model(languages, tuple(_tree([trees[x][c].to_numpy() for c in ("size", "context", "symbol", "n")], order) for x in languages), order)
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -149,22 +187,23 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     length = np.minimum(PIECE, sizes[owner] - inner * PIECE)
     order = np.argsort(-length, kind="stable")
     owner, inner, start, length = owner[order], inner[order], start[order], length[order]
-    width = model.bits.shape[1]
-    after, bits = model.after.ravel(), model.bits.reshape(-1, model.bits.shape[2])
-    symbols = model.symbol[data]
-    state = np.zeros(len(owner), dtype=np.int64)
     warm = np.flatnonzero(inner > 0)
-    for t in range(model.order):
-        state[warm] = after[state[warm] * width + symbols[start[warm] - model.order + t]]
-    total = np.zeros((len(owner), bits.shape[1]))
     ends = np.searchsorted(-length, -np.arange(1, PIECE + 1), side="right")
-    for t, k in enumerate(ends):
-        if not k:
-            break
-        at = state[:k] * width + symbols[start[:k] + t]
-        total[:k] += bits[at]
-        state[:k] = after[at]
-    return np.stack([np.bincount(owner, weights=total[:, j], minlength=len(sizes)) for j in range(bits.shape[1])], axis=1)
+    out = np.zeros((len(sizes), len(model.trees)))
+    for j, tree in enumerate(model.trees):
+        after, bits, symbols = tree.after.ravel(), tree.bits.ravel(), tree.symbol[data]
+        state = np.zeros(len(owner), dtype=np.int32)
+        for t in range(model.order):
+            state[warm] = after[state[warm] + symbols[start[warm] - model.order + t]]
+        total = np.zeros(len(owner))
+        for t, k in enumerate(ends):
+            if not k:
+                break
+            at = state[:k] + symbols[start[:k] + t]
+            total[:k] += bits[at]
+            state[:k] = after[at]
+        out[:, j] = np.bincount(owner, weights=total, minlength=len(sizes))
+    return out
 
 
 def _predict(shared):

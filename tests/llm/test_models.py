@@ -72,6 +72,26 @@ def test_language_of_documents(spark, awkward, empty, data_dir):
     assert language.with_language(awkward).columns == [*awkward.columns, "__lang_pred", "__score"]
 
 
+def test_language_sample_fills_its_bytes(spark):
+    long = lambda i: "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(100_000))
+    rows = [(i, long(i), "few") for i in range(4)] + [(100 + i, f"text number {i}", "many") for i in range(3000)] + [(9000, "petit", "one")]
+    df = spark.createDataFrame([*rows, *rows[:2]], "id long, text string, lang string").repartition(4)
+    languages, sample = language._drawn(df, 20_000)
+    got = {r.lang: (r.n, r.most) for r in sample.groupBy("lang").agg(language.F.sum(language.F.octet_length("text")).alias("n"), language.F.max(language.F.octet_length("text")).alias("most")).collect()}
+    assert languages == ("few", "many", "one") and got["one"][0] == 5
+    assert all(20_000 <= got[x][0] <= 20_000 * 1.2 for x in ("few", "many")) and got["few"][1] <= language.DRAWN
+
+
+def test_small_language_keeps_its_contexts(spark):
+    big = [(i, " ".join(f"{(i * 31 + j) * 7919 % 9973}" for j in range(400)), f"l{i % 3}") for i in range(60)]
+    df = spark.createDataFrame([*big, (1000, "quux " * 4, "small")], "doc_id long, text string, lang string")
+    model = language.train(df, max_contexts=200)
+    text = b"quux quux quux "
+    bits = language.code_lengths(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    small = model.languages.index("small")
+    assert len(model.trees[small].bits) >= 20 and bits.argmin() == small and bits[small] < 25
+
+
 def brute_fingerprint(text):
     w = [x for x in (text or "").encode().lower().split()]
     s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
