@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph, recipes as ops
+from ledgerloom.operators.upkeep import shares_below
 from ledgerloom.sources import recipes as src
 from ledgerloom.sources import views
 from ledgerloom.sources.tables import table
@@ -140,11 +141,14 @@ def variance_by_pool(spark, sf_dir):
 
 @query()
 def sold_attribution(spark, sf_dir):
-    """Servings of each option of each choice: greedy inside a pool, pools apart."""
-    ingredients = src.ingredients(spark, sf_dir)
+    """Servings of each option of each choice: greedy inside a pool, pools apart, after what groups without a choice took, in
+    sub-recipes too."""
+    ingredients, sold = src.ingredients(spark, sf_dir), _sold(spark, sf_dir)
+    below = shares_below(src.recipes(spark, sf_dir).filter("sub_recipe is not null").select(F.col("recipe_id").alias("a"), F.col("sub_recipe").alias("b")), 0.5)
+    inside = below.join(sold.withColumnRenamed("recipe_id", "a"), "a").groupBy(F.col("b").alias("recipe_id")).agg(F.sum(F.col("share") * F.col("sold")).alias("sold"))
     stock = _stock(spark, sf_dir).withColumn("available", F.col("opening") + F.col("purchases") - F.col("closing") - F.col("losses")).withColumn("loss", F.col("loss_percent") / 100)
-    rows = ingredients.join(ops.pools(ingredients), "product_id").join(_sold(spark, sf_dir), "recipe_id").join(stock.select("product_id", "available", "loss"), "product_id", "left").join(_unit_costs(spark, sf_dir), "product_id", "left")
-    return ops.attribute_choices(rows.select("pool", "recipe_id", "grp", "product_id", "amount", "sold", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("loss", F.lit(0)).alias("loss"), F.coalesce("unit_cost", F.lit(0.0)).alias("cost")))
+    rows = ingredients.join(ops.pools(ingredients), "product_id").join(sold, "recipe_id").join(stock.select("product_id", "available", "loss"), "product_id", "left").join(_unit_costs(spark, sf_dir), "product_id", "left").join(ops.fixed_use(ingredients, inside), "product_id", "left")
+    return ops.attribute_choices(rows.select("pool", "recipe_id", "grp", "product_id", "amount", "sold", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("loss", F.lit(0)).alias("loss"), F.coalesce("unit_cost", F.lit(0.0)).alias("cost"), F.coalesce("used", F.lit(0.0)).alias("used")))
 
 
 @query(f"""

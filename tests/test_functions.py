@@ -105,6 +105,30 @@ def test_attribution_is_dearest_first(spark):
     assert got == {100: 7, 101: 3}
 
 
+def test_attribution_takes_certain_use_first(spark):
+    # Recipe 11 takes 4 of product 100 for certain and 2 went elsewhere: of 10, 4 servings of the choice are left.
+    rows = [(1, 10, 1, 100, 1.0, 6.0, 10.0, 0.0, 5.0, 2.0), (1, 10, 1, 101, 1.0, 6.0, 9.0, 0.0, 2.0, 0.0), (1, 11, 1, 100, 1.0, 4.0, 10.0, 0.0, 5.0, 2.0)]
+    df = spark.createDataFrame(rows, "pool long, recipe_id long, grp int, product_id long, amount double, sold double, available double, loss double, cost double, used double")
+    assert {(r.recipe_id, r.product_id): r.servings for r in recipes.attribute_choices(df).collect()} == {(10, 100): 4, (10, 101): 2, (11, 100): 4}
+
+
+def test_sub_recipes(spark):
+    from ledgerloom.operators.upkeep import shares_below
+
+    below = shares_below(spark.createDataFrame([(30, 20), (20, 10)], "a long, b long"), 0.5)
+    items = [(10, 1, 1, 2.0), (10, 1, 2, 4.0), (10, 2, 9, 4.0), (20, 1, 3, 1.0), (30, 1, 4, 8.0), (30, 1, 5, 0.0)]
+    ingredients = spark.createDataFrame(items, "recipe_id long, grp int, product_id long, amount double")
+    costs = spark.createDataFrame([(i, 1.0) for i in (1, 2, 3, 4, 5, 9)], "product_id long, unit_cost double")
+    got = {r.recipe_id: (r.low, r.high, r.low_positive, int(r.n_variations)) for r in recipes.cost_bounds(ingredients, costs, below).collect()}
+    assert got == {10: (6.0, 8.0, 6.0, 2), 20: (4.0, 5.0, 4.0, 2), 30: (2.0, 10.5, 2.0, 4)}
+    pool_of = recipes.pools(ingredients, below)
+    assert {r.product_id: r.pool for r in pool_of.collect()} == {1: 1, 2: 1, 9: 1, 3: 1, 4: 4, 5: 4}
+    sold = recipes.made(spark.createDataFrame([(30, 4), (10, 1)], "recipe_id long, sold long"), below)
+    assert {r.recipe_id: r.sold for r in sold.collect()} == {30: 4.0, 20: 2.0, 10: 2.0}
+    assert {r.pool: (r.expected_min, r.expected_max) for r in recipes.expected_use(ingredients, sold, pool_of).collect()} == {1: (14.0, 18.0), 4: (0.0, 32.0)}
+    assert {r.product_id: r.used for r in recipes.fixed_use(ingredients, sold).collect()} == {9: 8.0, 3: 2.0}
+
+
 def test_merged_intervals(spark):
     rows = spark.createDataFrame([("k", 1, 5), ("k", 3, 4), ("k", 5, 9), ("k", 11, 12)], "k string, a int, b int")
     assert sorted((r.a, r.b, r.n) for r in matching.merged_intervals(rows, "k", "a", "b").collect()) == [(1, 9, 3), (11, 12, 1)]
