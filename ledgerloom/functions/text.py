@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with accents and what they fold to, one for one.
-ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accented() -> tuple[str, str]:
+    """Every Latin letter with marks that Unicode composes in one character, and the letter without them."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+ACCENTED, PLAIN = _accented()
 
 
 def search_key(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents, whether they are part of a letter or stand behind it."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[\u0300-\u036F]", "")
 
 
 def ocr_fold(text: Column) -> Column:

@@ -31,12 +31,15 @@ def payment_state(due: Column, paid: Column) -> Column:
     return F.when(paid <= 0, "unpaid").when(paid < due, "partly").when(paid == due, "paid").otherwise("over")
 
 
-def variation_at(groups: DataFrame, most: int = 64) -> DataFrame:
-    """(recipe_id, n, products): every variation of recipes that have at most ``most``, by mixed-radix number: the first group
-    turns fastest. ``groups``: recipe_id, grp, options (sorted array)."""
+def variation_at(groups: DataFrame) -> DataFrame:
+    """(recipe_id, n, products): every variation of every recipe, by mixed-radix number: the first group turns fastest.
+    ``groups``: recipe_id, grp, options (sorted array). Numbers are made in blocks of up to a million, so that a recipe with very
+    many ways is spread over rows before they are listed."""
     per = groups.groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("grp", "options"))).alias("groups"))
     ways = F.aggregate("groups", F.lit(1).cast("long"), lambda a, g: a * F.size(g["options"]))
-    rows = per.withColumn("ways", ways).filter(F.col("ways") <= most).withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
+    block = F.lit(1_000_000).cast("long")
+    rows = per.withColumn("ways", ways).filter("ways > 0").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1, block)))
+    rows = rows.withColumn("n", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + block, F.col("ways")) - 1)))
     start = F.struct(F.col("n").alias("rest"), F.array().cast("array<bigint>").alias("picked"))
     pick = F.aggregate("groups", start, lambda a, g: F.struct(F.floor(a["rest"] / F.size(g["options"])).alias("rest"), F.concat(a["picked"], F.array(F.element_at(g["options"], (a["rest"] % F.size(g["options"]) + 1).cast("int")))).alias("picked")), lambda a: a["picked"])
     return rows.select("recipe_id", "n", pick.alias("products"))
@@ -64,13 +67,22 @@ def valid_at(asked: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
 def final_versions(rows: DataFrame) -> DataFrame:
     """(id, final_id): where a chain of replacements (id, replaced_by) ends, by pointer doubling: rounds grow with the
-    logarithm of the longest chain."""
-    now = written(rows.select("id", F.coalesce("replaced_by", "id").alias("final_id")))
-    while True:
-        step = written(now.alias("a").join(now.alias("b"), F.col("a.final_id") == F.col("b.id"), "left").select(F.col("a.id"), F.coalesce("b.final_id", "a.final_id").alias("final_id"), (F.coalesce("b.final_id", "a.final_id") != F.col("a.final_id")).alias("moved")))
-        if not step.filter("moved").limit(1).count():
-            return step.select("id", "final_id")
-        now = step.select("id", "final_id")
+    logarithm of the longest chain. A ring ends nowhere: all on it, and all that lead into it, get its smallest id.
+
+    Each pointer carries whether its chain has ended and the smallest id that it jumps over. What has not ended when jumps are
+    longer than the table points into a ring, and its target's pointer has been all the way round."""
+    to = F.coalesce("replaced_by", "id")
+    now = written(rows.select("id", to.alias("final_id"), to.alias("least"), (to == F.col("id")).alias("ended")))
+    n, jump = now.count(), 1
+    while jump <= 2 * n:
+        met = now.alias("a").join(now.alias("b"), F.col("a.final_id") == F.col("b.id"), "left")
+        # An id that has no row of its own is where its chain ends.
+        now = written(met.select("a.id", F.coalesce("b.final_id", "a.final_id").alias("final_id"), F.least("a.least", "b.least").alias("least"), F.coalesce("b.ended", F.lit(True)).alias("ended")))
+        jump *= 2
+        if now.filter("not ended").isEmpty():
+            return now.select("id", "final_id")
+    ring = now.filter("not ended").select(F.col("id").alias("final_id"), F.col("least").alias("ring"))
+    return now.join(ring, "final_id", "left").select("id", F.when(F.col("ended"), F.col("final_id")).otherwise(F.col("ring")).alias("final_id"))
 
 
 def broken_links(rows: DataFrame, key: str, order: str) -> DataFrame:

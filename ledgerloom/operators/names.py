@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,45 +33,77 @@ def longest_prefix(rows: DataFrame, claims: DataFrame, longest: int) -> DataFram
 
 
 def misread_cost(a: str, b: str, most: float) -> float:
-    """Weighted edit distance: look-alikes 0.3, any other edit 1, an edit of a digit impossible; inf beyond ``most``."""
-    inf = float("inf")
-    group = {c: i for i, g in enumerate(LOOK_ALIKE) for c in g}
-    gap = lambda c: inf if c.isdigit() else 1.0
-    row = [0.0]
-    for c in b:
-        row.append(row[-1] + gap(c))
-    for x in a:
-        new = [row[0] + gap(x)]
-        for j, y in enumerate(b):
-            if x == y:
-                swap = 0.0
-            elif x in group and group.get(y) == group[x]:
-                swap = LOOK_COST
-            else:
-                swap = inf if x.isdigit() or y.isdigit() else 1.0
-            new.append(min(row[j] + swap, row[j + 1] + gap(x), new[-1] + gap(y)))
-        row = new
-        if min(row) > most:
-            return inf
-    return row[-1] if row[-1] <= most else inf
+    """Weighted edit distance: look-alikes 0.3, any other edit 1, an edit of a digit impossible; inf beyond ``most``.
+
+    Cheapest-first search over pairs of prefixes: with a small ``most`` it visits little more than the diagonal.
+    """
+    group = {c: g for g in LOOK_ALIKE for c in g}
+    edit = lambda *chars: math.inf if any(c.isdigit() for c in chars) else 1.0
+    done: set[tuple[int, int]] = set()
+    open_ = [(0.0, 0, 0)]
+    while open_:
+        cost, i, j = heapq.heappop(open_)
+        if (i, j) == (len(a), len(b)):
+            return cost
+        if (i, j) in done:
+            continue
+        done.add((i, j))
+        steps = []
+        if i < len(a) and j < len(b):
+            alike = 0.0 if a[i] == b[j] else LOOK_COST if b[j] in group.get(a[i], "") else edit(a[i], b[j])
+            steps.append((cost + alike, i + 1, j + 1))
+        if i < len(a):
+            steps.append((cost + edit(a[i]), i + 1, j))
+        if j < len(b):
+            steps.append((cost + edit(b[j]), i, j + 1))
+        for step in steps:
+            if step[0] <= most:
+                heapq.heappush(open_, step)
+    return math.inf
+
+
+#: What a name may cost, by the length of its fold: under six letters look-alikes alone, else one edit and one
+#: more for every fifteen letters.
+SHORT, SHORT_BUDGET, LETTERS_AN_EDIT = 6, 0.9, 15
 
 
 def budget(folded: str) -> float:
-    return 0.9 if len(folded) < 6 else 1 + len(folded) // 15
+    return SHORT_BUDGET if len(folded) < SHORT else 1 + len(folded) // LETTERS_AN_EDIT
+
+
+def _edits(length: Column) -> Column:
+    """Whole edits that a fold of this length may cost."""
+    return F.when(length < SHORT, 0).otherwise(1 + F.floor(length / LETTERS_AN_EDIT)).cast("int")
+
+
+def _pieces(length: Column, edits: Column, f) -> Column:
+    """``f(i, start, size)`` of each of the ``edits`` + 1 pieces, as even as can be, of a string of ``length``."""
+    at = lambda i: F.floor(length * i / (edits + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: f(i, at(i), at(i + 1) - at(i)))
 
 
 def misread_match(read: DataFrame, known: DataFrame) -> DataFrame:
     """(read_id, known_id, cost): the one known name of the same supplier that a misread name can be, cheaper than the next by
     at least half an edit.
 
-    Candidates meet on the supplier and on one of the strings left by taking one character's group out of the fold: names
-    that are at most one edit apart after look-alikes are made equal share one.
+    With look-alikes made equal, a known name within k edits, cut in k + 1 pieces, has a piece that the name read holds whole,
+    at most k places off. So pairs meet on supplier, k, length, number and text of a piece: an equi-join that finds every pair
+    within the budget. Edit distance without weights (at most k) thins them out before they are priced.
     """
+    s, n = F.col("s"), F.length("s")
     same = F.translate(ocr_fold(F.col("name")), "0QD1L5826", "OOOIISBZG")
-    keys = lambda df: df.withColumn("fold", ocr_fold(F.col("name"))).withColumn("__s", same).withColumn("key", F.explode(F.array_distinct(F.concat(F.array("__s"), F.transform(F.sequence(F.lit(1), F.greatest(F.length("__s"), F.lit(1))), lambda i: F.concat(F.substring(F.col("__s"), F.lit(1), i - 1), F.substring(F.col("__s"), i + 1, F.length("__s"))))))))
-    a = keys(read).select("supplier_id", "key", F.col("id").alias("read_id"), F.col("fold").alias("a"))
-    b = keys(known).select("supplier_id", "key", F.col("id").alias("known_id"), F.col("fold").alias("b"))
-    pairs = a.join(b, ["supplier_id", "key"]).select("read_id", "known_id", "a", "b").distinct()
+    row = lambda df, id_, fold: df.select("supplier_id", F.col("id").alias(id_), ocr_fold(F.col("name")).alias(fold), same.alias("s"))
+    # A known name can be asked for by names somewhat longer or shorter, whose budget is another.
+    around = F.sequence(F.greatest(_edits(n) - 1 - F.floor(_edits(n) / LETTERS_AN_EDIT).cast("int"), F.lit(0)), _edits(n) + 1 + F.floor(_edits(n) / LETTERS_AN_EDIT).cast("int"))
+    key = lambda k, size, i, text: F.struct(k.cast("int").alias("k"), size.cast("int").alias("n"), i.cast("int").alias("i"), text.alias("piece"))
+    keys_known = F.flatten(F.transform(around, lambda k: _pieces(n, k, lambda i, at, size: key(k, n, i, F.substring(s, at + 1, size)))))
+    k = _edits(n)
+    moved = lambda m, i, at, size: F.transform(F.sequence(F.greatest(-k, -at), k), lambda d: key(k, m, i, F.substring(s, at + d + 1, size)))
+    keys_read = F.flatten(F.transform(F.sequence(F.greatest(n - k, F.lit(0)), n + k), lambda m: F.flatten(_pieces(m, k, lambda i, at, size: moved(m, i, at, size)))))
+    a = row(read, "read_id", "a").withColumn("key", F.explode(F.array_distinct(keys_read))).withColumnRenamed("s", "sa")
+    b = row(known, "known_id", "b").withColumn("key", F.explode(F.array_distinct(keys_known))).withColumnRenamed("s", "sb")
+    near = a.join(b, ["supplier_id", "key"]).filter(F.levenshtein("sa", "sb") <= F.col("key.k"))
+    pairs = near.select("read_id", "known_id", "a", "b").distinct()
 
     def price(batches):
         for x in batches:

@@ -59,15 +59,21 @@ def usage_terms(ingredients: DataFrame, recipes: DataFrame, below: DataFrame) ->
 
 
 def shares_below(edges: DataFrame, share: float, most: int = 64) -> DataFrame:
-    """(a, b, share) of every b below a in a forest of edges (a, b): a level down multiplies the share."""
+    """(a, b, share) of every b below a along edges (a, b): a level down multiplies the share, paths to one b add up.
+
+    A path carries the nodes it has been through and ends before it comes to one again: what lies in a circle counts once,
+    and the circle itself nothing. Paths longer than ``most`` raise.
+    """
     step = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    frontier = found = written(edges.select("a", "b", F.lit(share).alias("share")))
+    frontier = written(edges.filter("a != b").select("a", "b", F.lit(share).alias("share"), F.array("a", "b").alias("path")))
+    found = frontier.select("a", "b", "share")
     for _ in range(most):
-        frontier = written(frontier.join(step, "b").select("a", F.col("c").alias("b"), (F.col("share") * share).alias("share")))
+        on = frontier.join(step, "b").filter(~F.array_contains("path", F.col("c")))
+        frontier = written(on.select("a", F.col("c").alias("b"), (F.col("share") * share).alias("share"), F.concat("path", F.array("c")).alias("path")))
         if frontier.isEmpty():
-            return found
-        found = found.unionByName(frontier)
-    raise ValueError(f"recipes nested deeper than {most}, or in a circle")
+            return found.groupBy("a", "b").agg(F.sum("share").alias("share"))
+        found = found.unionByName(frontier.select("a", "b", "share"))
+    raise ValueError(f"recipes nested deeper than {most}")
 
 
 def spread_over_days(totals: DataFrame, weights: DataFrame, key: str) -> DataFrame:

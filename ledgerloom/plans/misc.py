@@ -14,7 +14,7 @@ from ledgerloom.streaming import till as stream
 from .registry import query
 
 D = "double"
-FOLD = "translate(lower({0}), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+FOLD = "strip_accents(lower({0}))"
 
 
 @query("""
@@ -149,7 +149,7 @@ def business_day_rollup(spark, sf_dir):
 @query(DAYS)
 def stream_business_day(spark, sf_dir):
     """The same by a stream run to its end."""
-    out = stream.drained(stream.business_days(stream.event_stream(spark, sf_dir)), "complete")
+    out = stream.drained(stream.business_days(stream.event_stream(spark, sf_dir)), ["day", "event_type"])
     return out.withColumn("total", F.col("total").cast(D))
 
 

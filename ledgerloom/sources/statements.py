@@ -90,7 +90,7 @@ def read_camt(spark: SparkSession, path: str) -> DataFrame:
 def read_ofx(spark: SparkSession, path: str) -> DataFrame:
     """Transactions of OFX files, with or without closing tags: file, day, label, amount, fitid."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    parts = text.select("file", F.explode(F.slice(F.split("value", r"(?i)<STMTTRN>"), 2, 1_000_000)).alias("x"))
+    parts = text.select("file", F.explode(F.filter(F.split("value", r"(?i)<STMTTRN>"), lambda x, i: i > 0)).alias("x"))
     tag = lambda name: F.trim(F.regexp_extract("x", rf"(?i)<{name}>([^<\r\n]*)", 1))
     return parts.select("file", F.try_to_date(F.substring(tag("DTPOSTED"), 1, 8), "yyyyMMdd").alias("day"), F.coalesce(F.nullif(tag("NAME"), F.lit("")), tag("MEMO")).alias("label"), F.translate(tag("TRNAMT"), ",", ".").try_cast("decimal(12,2)").alias("amount"), tag("FITID").alias("fitid"))
 
