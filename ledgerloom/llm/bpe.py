@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import ship, text_or_empty, written
 
@@ -149,3 +150,41 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     texts = written(large.select("blob", "text").dropDuplicates(["blob"]))
     coded = _long(texts, ranks, pattern, chunk, overlap)
     return short.select(F.col("__id").alias(id_col), *out).unionByName(large.select("__id", "blob").join(coded, "blob").select(F.col("__id").alias(id_col), *out))
+
+
+def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """``tokens`` with ``raw``: the bytes of the ids in ``ids_col`` (little-endian unsigned 32-bit integers), concatenated.
+
+    Null ids stay null, no ids are no bytes; an id without a rank raises. Each task looks tokens up in one table of bytes and
+    offsets, all ids of a batch at once; nothing is shuffled.
+    """
+    ship(tokens.sparkSession)
+    with open(path, "rb") as f:
+        shared = tokens.sparkSession.sparkContext.broadcast(f.read())
+    rows = tokens.select(F.struct(*(F.col(f"`{c}`") for c in tokens.columns)).alias("row"), F.col(ids_col).alias("ids"))
+
+    def of(batches):
+        data, starts, sizes = _token_bytes(shared.value)
+        for b in batches:
+            raw = []
+            for packed in b["ids"].to_pylist():
+                ids = np.frombuffer(packed or b"", "<u4").astype(np.int64)
+                if len(ids) and (ids.max() >= len(sizes) or sizes[ids].min() == 0):
+                    raise ValueError("an id that no token has")
+                n = sizes[ids]
+                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                raw.append(None if packed is None else data[np.repeat(starts[ids], n) + inner].tobytes())
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(raw, pa.binary())], ["row", "raw"])
+
+    out = rows.mapInArrow(of, StructType([rows.schema["row"], StructField("raw", BinaryType())]))
+    return out.select("row.*", "raw")
+
+
+@lru_cache(maxsize=4)
+def _token_bytes(ranks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes end to end, and where each id's start and how many they are (0: no such id)."""
+    table = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, ranks.splitlines())}
+    sizes = np.zeros(max(table, default=-1) + 1, np.int64)
+    for i, token in table.items():
+        sizes[i] = len(token)
+    return np.frombuffer(b"".join(table[i] for i in sorted(table)), np.uint8), np.cumsum(sizes) - sizes, sizes

@@ -60,7 +60,8 @@ def build_postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", te
 
 def leads(tests: DataFrame, frequency: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_key, place, term_id, follower): of each window of each item the term that is rarest among those with a follower
-    in the window (or of all, null follower, in an item of one word); windows with a term the corpus lacks go."""
+    in the window (or of all, null follower, in an item of one word); windows with a term the corpus lacks go. Of equal windows
+    of an item one is looked up: it is found wherever the others are, so a word repeated a thousand times is one window."""
     counted = tests.join(frequency, "term_id", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ahead = Window.partitionBy("item_key").orderBy("place")
     span = F.least(F.lit(window), F.col("n"))
@@ -68,8 +69,10 @@ def leads(tests: DataFrame, frequency: DataFrame, window: int = WINDOW) -> DataF
         counted.withColumn("follower", F.lead("signature").over(ahead))
         .withColumn("least", F.min("df").over(ahead.rowsBetween(0, window - 1)))
         .withColumn("lead", F.min(F.struct("df", "place", "term_id", "follower")).over(ahead.rowsBetween(0, max(0, window - 2))))
+        .withColumn("words", F.xxhash64(F.collect_list("term_id").over(ahead.rowsBetween(0, window - 1))))
         .filter((F.col("place") <= F.col("n") - span) & (F.col("least") > 0))
     )
+    best = best.groupBy("item_key", "words").agg(F.min_by("lead", "place").alias("lead"))
     return best.select("item_key", "lead.place", "lead.term_id", "lead.follower").distinct()
 
 
@@ -123,12 +126,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     rows are judged alike; an empty table on either side gives no rows, or rows without hits.
     """
     k1, k2 = document_key(id_col, text_col)
-    rows = docs.select(F.col(id_col), k1, k2).join(judge(docs, benchmark, window, id_col, text_col, item_col), ["k1", "k2"])
-    return rows.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    rows = docs.select(F.col(id_col).alias("id"), k1, k2).join(judge(docs, benchmark, window, id_col, text_col, item_col), ["k1", "k2"])
+    return rows.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``docs`` without its contaminated rows."""
+    """``docs`` without its contaminated rows; judged as in ``decontaminate``: null and empty texts stay, repeated rows stay or go
+    together, an empty benchmark takes nothing and an empty table gives no rows. The user's columns travel in one struct, so none
+    of their names can clash."""
     k1, k2 = document_key(id_col, text_col)
-    bad = written(judge(docs, benchmark, window, id_col, text_col, item_col).filter("contaminated").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
-    return docs.withColumns({"__k1": k1, "__k2": k2}).join(bad, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    bad = written(judge(docs, benchmark, window, id_col, text_col, item_col).filter("contaminated").select("k1", "k2"))
+    rows = docs.select(k1, k2, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(bad, ["k1", "k2"], "left_anti").select("row.*")

@@ -29,7 +29,10 @@ STEPS = 32
 #: Contexts kept over all languages, the most frequent first; besides them each language keeps a quarter as many of its own
 #: most frequent ones, whatever the others hold. Bounds the tables that tasks get.
 MAX_CONTEXTS = 4096
+#: Languages learned, those with the most labelled bytes first; labels beyond them are not learned.
 MAX_LANGUAGES = 256
+#: Bytes of all tables that tasks get: beyond some twenty languages fewer contexts are kept of each.
+MODEL_BYTES = 256_000_000
 #: A text is walked in pieces of this many bytes, all pieces of a batch abreast; a piece warms up on the bytes before it.
 PIECE = 256
 UNKNOWN = "und"
@@ -50,6 +53,10 @@ class Model:
     trees: tuple[Tree, ...]
     order: int
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for t in self.trees for x in (t.symbol, t.bits, t.after))
+
 
 def held_out(id_col: str):
     return (F.crc32(F.encode(text_of_id(id_col), "UTF-8")) % 4) == 2
@@ -136,14 +143,13 @@ def _step(h: Column, i: Column) -> Column:
 
 def _drawn(rows: DataFrame, sample_bytes: int) -> tuple[tuple[str, ...], DataFrame | None]:
     """The languages of ``rows`` (id, lang, text), and pieces (lang, text) of each: the bytes at every step are counted first,
-    so that the steps taken hold ``sample_bytes`` or all there is. Rows that repeat whole count once."""
+    so that the steps taken hold ``sample_bytes`` or all there is. Rows that repeat whole count once. Of more than
+    ``MAX_LANGUAGES`` languages those with the most bytes are taken, of equals the first by name."""
     rows = rows.select("lang", F.xxhash64(text_of_id("id"), "text").alias("h"), F.octet_length("text").alias("n"), F.col("text").cast("binary").alias("text"))
     pieces = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DRAWN).cast("int"))
     every = rows.select("lang", "h", "n").distinct().select("lang", "h", "n", F.explode(pieces).alias("i"))
     steps = every.groupBy("lang", _step(F.col("h"), F.col("i")).alias("step")).agg(F.sum(F.least(F.lit(DRAWN), F.col("n") - F.col("i") * DRAWN)).alias("n"))
-    totals = steps.groupBy("lang").agg(F.collect_list(F.struct("step", "n")).alias("steps")).limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    totals = steps.groupBy("lang").agg(F.collect_list(F.struct("step", "n")).alias("steps"), F.sum("n").alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(MAX_LANGUAGES).collect()
     if not totals:
         return (), None
     least = {}
@@ -153,17 +159,22 @@ def _drawn(rows: DataFrame, sample_bytes: int) -> tuple[tuple[str, ...], DataFra
             if have < sample_bytes:
                 have, least[r["lang"]] = have + n, step
     bound = F.element_at(F.map_from_arrays(F.array(*map(F.lit, least)), F.array(*map(F.lit, least.values()))), F.col("lang"))
-    taken = rows.select("lang", "h", "text", F.explode(F.filter(pieces, lambda i: _step(F.col("h"), i) >= bound)).alias("i"))
+    taken = rows.filter(F.col("lang").isin(*least)).select("lang", "h", "text", F.explode(F.filter(pieces, lambda i: _step(F.col("h"), i) >= bound)).alias("i"))
     return tuple(sorted(least)), taken.select("lang", "h", "i", F.substring("text", F.col("i") * DRAWN + 1, F.lit(DRAWN)).alias("text")).dropDuplicates(["lang", "h", "i"]).select("lang", "text")
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, max_contexts: int = MAX_CONTEXTS) -> Model | None:
-    """Frozen statistics of the languages of ``labelled``, from about ``sample_bytes`` of each; None without any."""
+    """Frozen statistics of the languages of ``labelled``, from about ``sample_bytes`` of each; None without any.
+
+    Rows with a null label, or a null or empty text, teach nothing; repeated rows teach once. Of equally frequent contexts the
+    shorter, then the first by bytes is kept. The model is at most ``MODEL_BYTES``, whatever the number of languages."""
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text != ''")
     languages, sample = _drawn(rows, sample_bytes)
     if sample is None:
         return None
+    # A language's table has a row of up to 257 symbols, of 8 bytes each, a context; it keeps 5/4 of the contexts at most.
+    max_contexts = min(max_contexts, MODEL_BYTES // (8 * 257 * len(languages)) * 4 // 5)
     grams = sample.mapInArrow(_grams(order), "lang string, size int, gram long, n long")
     grams = grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).select("lang", "size", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("symbol"), "n").cache()
     sums = grams.groupBy("lang", "size", "context").agg(F.sum("n").alias("own"))
@@ -211,50 +222,52 @@ def _predict(shared):
         model: Model = shared.value
         names = np.array(model.languages, dtype=object)
         for b in batches:
-            bits = code_lengths(model, *_bytes_of(b["__walk"]))
+            bits = code_lengths(model, *_bytes_of(b["text"]))
             best = bits.argmin(1)
             share = 1 / np.exp2(np.maximum(bits[np.arange(len(bits)), best][:, None] - bits, -1000)).sum(1)
-            known = np.array(b["__known"].to_pylist(), dtype=bool)
+            known = np.array(b["known"].to_pylist(), dtype=bool)
             out = [pa.array(np.where(known, names[best], UNKNOWN).tolist(), pa.string()), pa.array(np.where(known, share, 0.0))]
-            kept = b.schema.names[:-2]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), *out], [*kept, "__lang_pred", "__score"])
+            yield pa.RecordBatch.from_arrays([b["row"], *out], ["row", "lang_pred", "score"])
 
     return of
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__lang_pred`` and ``__score`` of every whole text.
+    """(row, lang_pred, score): every row of ``docs`` whole, as one struct that no name of its can clash with, and what its whole
+    text says.
 
     The score is the language's share of the probability that all of them give the text. A null text, one without a letter,
-    and any text where no language was learned are ``und`` with score 0; ties go to the first name. No shuffle.
+    and any text where no language was learned are ``und`` with score 0; ties go to the first name; repeated rows agree; an
+    empty table gives no rows. No shuffle.
     """
+    text = F.col(text_col).cast("string")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     if model is None:
-        return docs.withColumns({"__lang_pred": F.lit(UNKNOWN), "__score": F.lit(0.0)})
+        return docs.select(row, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     ship(docs.sparkSession)
-    text = F.col(text_col).cast("string")
-    rows = docs.withColumns({"__walk": text, "__known": F.coalesce(text.rlike(r"\p{L}"), F.lit(False))})
+    rows = docs.select(row, text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__score", DoubleType())])
+    schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return rows.mapInArrow(_predict(shared), schema)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Predict every row: id, ``held_out``, ``lang_pred``, ``score``. Repeated rows agree; an empty table gives no rows."""
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("__text"))
-    out = predict(rows, model, "__text")
-    return out.select(id_col, "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    """Predict every row: id, ``held_out``, ``lang_pred``, ``score``. A null id counts as the empty string in ``held_out``;
+    repeated rows agree; an empty table gives no rows."""
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), held_out(id_col).alias("held_out")).alias("about"), F.col(text_col).alias("text"))
+    return predict(rows, model).select(F.col("row.about.id").alias(id_col), "row.about.held_out", "lang_pred", "score")
 
 
 def learned(docs: DataFrame) -> Model | None:
-    """The model of the documents that are not held out."""
+    """The model of the documents that are not held out; None where none of them has a label and a text, as in an empty table."""
     return train(docs.filter(~held_out("doc_id")))
 
 
 def language_of_documents(docs: DataFrame) -> DataFrame:
-    """Learn from the documents that are not held out, predict all."""
+    """Learn from the documents that are not held out, predict all; nulls and odd rows as ``train`` and ``identify`` say."""
     return identify(docs, learned(docs))
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__lang_pred`` and ``__score``, learned alike."""
+    """(row, lang_pred, score) of every row of ``docs``, learned alike; nulls and odd rows as ``predict`` says."""
     return predict(docs, learned(docs))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from ledgerloom.sources.scratch import shared_dir
 from ledgerloom.sources.tables import table
 
 from . import bpe, decontamination, katz, language, neardup, quality, secrets, sharding, suffixes, urls
 
 
+def secret_ledger(spark, sf_dir: str) -> str:
+    return f"{shared_dir(spark)}/secret_ledger/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+
+
 def op1_language_id(spark, sf_dir):
     return language.language_of_documents(table(spark, sf_dir, "documents"))
 
@@ -28,7 +35,8 @@ def op5_quality_rules(spark, sf_dir):
 
 
 def op6_secret_scans(spark, sf_dir):
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    """Each table has its ledger in the shared folder: a second run over it scans what is new."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), ledger=secret_ledger(spark, sf_dir))
 
 
 def op7_url_filters(spark, sf_dir):

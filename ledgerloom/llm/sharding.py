@@ -16,8 +16,9 @@ from pyspark.sql.window import Window
 
 from .common import let, text_of_id, text_or_empty
 
-#: Slots are numbered within (shard, chunk) and offset by the chunks before: no task sorts a whole shard.
-CHUNKS = 256
+#: Slots are numbered within (shard, chunk) and offset by the chunks before: no task sorts a whole shard. Rows of a chunk, about,
+#: and the least and most chunks of a shard; their counts, a row each, are broadcast.
+CHUNK_ROWS, CHUNKS, MOST_CHUNKS = 500_000, 256, 8192
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def with_shard(docs: DataFrame, tree: Tree, name: str, id_text: str) -> DataFram
     )
 
 
-def shard_documents(docs: DataFrame, tree: Tree | None = None, id_col: str = "doc_id", text_col: str = "text", chunks: int = CHUNKS) -> DataFrame:
+def shard_documents(docs: DataFrame, tree: Tree | None = None, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """Place every row of ``docs`` in a shard of ``tree`` (5 regions of 2 racks of 4 shards unless given).
 
     Returns the id, ``size`` (UTF-8 bytes of the text, null: none, plus 16), ``text_crc32``, ``law`` ('key'), ``shard``,
@@ -82,6 +83,7 @@ def shard_documents(docs: DataFrame, tree: Tree | None = None, id_col: str = "do
     the empty string; rows of one id share a shard; repeated rows get slots of their own; an empty table gives no rows.
     """
     tree = tree or Tree.even(5, 2, 4)
+    chunks = chunks or min(MOST_CHUNKS, max(CHUNKS, docs.count() // (tree.count * CHUNK_ROWS)))
     rows = docs.select(
         F.col(id_col),
         text_of_id(id_col).alias("__id"),

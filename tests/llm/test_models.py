@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -69,7 +70,47 @@ def test_language_of_documents(spark, awkward, empty, data_dir):
     assert Counter(r.lang_pred == "und" for r in odd)[True] == awkward.filter("text is null or not text rlike '\\\\p{L}'").count()
     assert language.language_of_documents(empty).count() == 0
     assert {r.lang_pred for r in language.identify(awkward, None).collect()} == {"und"}
-    assert language.with_language(awkward).columns == [*awkward.columns, "__lang_pred", "__score"]
+    assert language.with_language(awkward).select("row.*").columns == awkward.columns
+
+
+def test_language_query_is_the_plain_recursion(spark, awkward):
+    """Drawing (all of so little), kept contexts, code lengths, share and verdict, one text at a time."""
+    rows = [r for r in awkward.collect() if len(r.text or "") < 6000]
+    docs = spark.createDataFrame(rows, awkward.schema)
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
+    counts = defaultdict(lambda: defaultdict(Counter))
+    for _, lang, text in sorted({(r.doc_id or -1, r.lang, r.text) for r in rows if r.lang and r.text and not out(r.doc_id)}, key=str):
+        b = text.encode()
+        for x in (b[i : i + language.DRAWN] for i in range(0, len(b), language.DRAWN)):
+            for k in range(language.ORDER + 1):
+                for i in range(k, len(x)):
+                    counts[lang][x[i - k : i]][x[i]] += 1
+    key = lambda c: (len(c), int.from_bytes(c, "big"))
+    own = {x: {c: sum(n.values()) for c, n in v.items()} for x, v in counts.items()}
+    total = Counter()
+    for v in own.values():
+        total.update(v)
+    top = set(sorted(total, key=lambda c: (-total[c], *key(c)))[: language.MAX_CONTEXTS])
+    kept = {x: (top & set(v)) | set(sorted(v, key=lambda c: (-v[c], *key(c)))[: language.MAX_CONTEXTS // 4]) | {b""} for x, v in own.items()}
+    got = Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 4)) for r in language.language_of_documents(docs).collect())
+    want = Counter()
+    for r in rows:
+        pred, score = "und", 0.0
+        if any(c.isalpha() for c in r.text or ""):
+            bits = {x: brute_bits(r.text, counts[x], kept[x], None, language.ORDER) for x in sorted(counts)}
+            pred = min(bits, key=lambda x: bits[x])
+            score = 1 / sum(2.0 ** max(-1000, bits[pred] - b) for b in bits.values())
+        want[r.doc_id, out(r.doc_id), pred, round(score, 4)] += 1
+    assert got == want and len(own) == 2
+
+
+def test_many_languages_stay_bounded(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * (20 + i), f"l{i:03d}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 40)
+    monkeypatch.setattr(language, "MODEL_BYTES", 3_000_000)
+    model = language.train(df)
+    assert model.languages == tuple(f"l{i:03d}" for i in range(20, 60)) and model.nbytes <= 3_000_000
 
 
 def test_language_sample_fills_its_bytes(spark):
@@ -171,18 +212,16 @@ def test_bpe(spark, awkward, empty, chunk, overlap):
     got = bpe.encode(docs, path, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == Counter((r.doc_id, *want(r.text)) for r in docs.collect())
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap, with_ids=True)
+    back = bpe.decode(coded.withColumnsRenamed({"ids_sha256": "row", "decoded_sha256": "raw_"}), path).collect()
+    assert Counter((r.doc_id, bytes(r.raw)) for r in back) == Counter((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+    assert Counter((r.doc_id, bytes(r.ids)) for r in back) == Counter((r.doc_id, np.array(enc.encode_ordinary(r.text or ""), "<u4").tobytes()) for r in docs.collect())
 
 
-def test_pipeline(spark, data_dir):
-    import corpus_pipeline
-
-    docs = table(spark, data_dir, "documents")
-    sizes = [docs.count()]
-    now = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, data_dir)
-        assert now.columns == docs.columns, name
-        sizes.append(now.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[2] < sizes[1] and sizes[-1] == sizes[-2]
-    last = corpus_pipeline.run(spark, data_dir).collect()
-    assert len(last) == sizes[-1] and all(len(r.ids) == 4 * r.n_tokens for r in last)
+def test_decode_odd_rows(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = spark.createDataFrame([(1, None), (2, b"")], "k long, ids binary")
+    assert {r.k: r.raw for r in bpe.decode(rows, path).collect()} == {1: None, 2: b""}
+    assert bpe.decode(rows.limit(0), path).count() == 0
+    with pytest.raises(Exception, match="no token has"):
+        bpe.decode(spark.createDataFrame([(b"\xff\xff\xff\x00",)], "ids binary"), path).collect()

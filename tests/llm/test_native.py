@@ -78,12 +78,37 @@ def test_secrets(leaky, empty):
 def test_ledger_scans_only_what_is_new(spark, leaky):
     first = secrets.scan(leaky.filter("doc_id < 1003"))
     assert secrets.scan(leaky.filter("doc_id < 1003"), first).count() == 0
-    assert secrets.scan(leaky.filter("doc_id < 1003"), first, version="2").count() == first.count()
+    assert secrets.scan(leaky.filter("doc_id < 1003"), first, secrets.RULES).count() == first.count()
     old = first.count()
     new = secrets.scan(leaky, first)
     assert old + new.count() == leaky.select(secrets.address().alias("b")).distinct().count()
 
 
+def test_stored_ledger(spark, leaky, tmp_path):
+    path = str(tmp_path / "ledger")
+    part, want = leaky.filter("doc_id < 1003"), Counter((r.doc_id, *brute_spans(r.text)) for r in leaky.collect())
+    rows = lambda: spark.read.schema(secrets.LEDGER).parquet(path)
+    secrets.find_secrets(part, ledger=path).collect()
+    first = rows().count()
+    secrets.find_secrets(part, ledger=path).collect()
+    assert rows().count() == first == part.select(secrets.address().alias("b")).distinct().count()
+    got = secrets.find_secrets(leaky, ledger=path).collect()
+    assert by_rows(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == want
+    assert rows().count() == rows().select("blob").distinct().count() == leaky.select(secrets.address().alias("b")).distinct().count()
+    secrets.find_secrets(part, secrets.RULES, ledger=path).collect()
+    assert rows().groupBy("version").count().count() == 2
+
+
+def test_query_keeps_its_ledger(spark, data_dir):
+    from ledgerloom.llm import queries
+
+    path = queries.secret_ledger(spark, data_dir)
+    first = sorted(queries.op6_secret_scans(spark, data_dir).collect(), key=lambda r: (r.doc_id, r.spans))
+    n = spark.read.schema(secrets.LEDGER).parquet(path).count()
+    assert sorted(queries.op6_secret_scans(spark, data_dir).collect(), key=lambda r: (r.doc_id, r.spans)) == first
+    assert spark.read.schema(secrets.LEDGER).parquet(path).count() == n > 0
+
+
 def test_redact(leaky):
     got = {r.doc_id: r.text for r in secrets.redact(leaky).collect()}
     assert set(secrets.redact(leaky).columns) == set(leaky.columns)
@@ -154,6 +179,17 @@ def test_decontamination(spark, awkward, empty, few, monkeypatch):
         assert {r.n_hit for r in decontamination.decontaminate(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_a_repeated_word_is_looked_up_once(spark):
+    docs = spark.createDataFrame([(1, "z z z " * 50 + "y"), (2, "a b " * 30), (3, "z " * 12)], "doc_id long, text string")
+    items = [(1, "z " * 400), (2, "b a " * 20), (3, "z z y")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.decontaminate(docs, bench).collect()
+    assert by_rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == Counter((r.doc_id, *brute_decontaminate(r.text, items)) for r in docs.collect())
+    tests = decontamination.test_terms(bench).withColumn("term_id", decontamination.F.xxhash64("term")).withColumn("signature", decontamination._signature(decontamination.F.col("term")))
+    frequency = tests.groupBy("term_id").agg(decontamination.F.count("*").alias("df"))
+    assert decontamination.leads(tests, frequency).count() <= 4
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d e f a")], "doc_id long, text string")
     terms = spark.createDataFrame([("a", 1), ("c", 3)], "term string, term_id long")
@@ -184,6 +220,12 @@ def test_sharding(spark, awkward, empty):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert all(r.grown_shard in (r.shard, tree.count) for r in got)
     assert sharding.shard_documents(empty).count() == 0
+    heavier = sharding.Tree(((((1.0, 2.0)), (1.0,)), ((3.0,), (1.0, 4.0))))
+    rows = spark.range(3000).selectExpr("id doc_id", "'' text")
+    before, after = ({r.doc_id: r.shard for r in sharding.shard_documents(rows, t).collect()} for t in (tree, heavier))
+    # Only shard 5 grew, and with it its rack (4 and 5) and region (3, 4 and 5): rows come into each of them, none leave.
+    moved = {(before[i], after[i]) for i in before if before[i] != after[i]}
+    assert {(0, 5), (3, 5), (4, 5)} <= moved and all(b > max(a, 2) for a, b in moved)
     many = sharding.shard_documents(spark.range(20000).selectExpr("id doc_id", "'' text"))
     n = Counter(r.shard for r in many.collect())
     assert len(n) == 40 and max(n.values()) < 1.25 * 500
