@@ -272,6 +272,13 @@ def _stretches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
 
 
+def _shards(batches):
+    """The one shard of a partition, whatever batches it comes in."""
+    got = [b for b in batches if b.num_rows]
+    if got:
+        yield from _shard(pa.Table.from_batches(got)).to_batches()
+
+
 def _shard(table: pa.Table) -> pa.Table:
     """Repeated windows (u, v, start, count) of one shard's stretches."""
     table = table.combine_chunks()
@@ -358,6 +365,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(1, math.ceil(size / shard))
     # Both joins take the same columns of the texts, so that these are shuffled once for both.
     cut = texts.join(wanted, ["u", "v"]).select("__id", "u", "v", "text", "wanted").mapInArrow(_stretches, STRETCH)
-    found = cut.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).select("shard", *_NAMES).groupBy("shard").applyInArrow(_shard, "u long, v int, start long, count int")
+    # A partition is a shard, by its number: hashing the numbers again would put several in one task and none in others.
+    shard = F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")
+    found = cut.repartitionById(shards, shard).mapInArrow(_shards, "u long, v int, start long, count int")
     runs = found.groupBy("u", "v").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
     return texts.join(runs, ["u", "v"], "left").select("__id", "u", "v", "text", "runs").mapInArrow(_removed, f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("__id", id_col)
