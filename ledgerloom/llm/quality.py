@@ -50,7 +50,9 @@ def _repeated_words(w: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
         return F.aggregate(at, start, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    # Hashes of 2, 4 and 8 words from those of 1, 2 and 4: each word is hashed once.
+    doubled = lambda h, by: F.transform(F.slice(h, 1, F.size(h) - by), lambda x, i: F.xxhash64(x, F.get(h, i + by)))
+    hashes = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(doubled(h, 1), lambda h: let(doubled(h, 2), lambda h: doubled(h, 4))))
     placed = lambda h: F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     return F.when(F.size(w) >= WINDOW, let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(placed(h), among)).otherwise(0))).otherwise(0)
 
