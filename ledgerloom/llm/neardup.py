@@ -1,10 +1,10 @@
 """SimHash near-duplicates by vantage-point trees.
 
 Two 64-bit fingerprints within 3 bits agree in one of their 32-bit halves up to 1 bit. For each half a multiway
-vantage-point tree branches, level by level, on the Hamming distance to that level's vantage point; leaves are shards.
-By the triangle inequality a half within 1 bit lies, at every level, on a branch at most 1 away, and flipping one bit changes
-every distance by exactly 1: so a fingerprint meets all its partners in its own leaf and in the leaves reached by +1 or -1 at
-every level. There full fingerprints are compared, and links are followed to components.
+vantage-point tree branches at every node on the Hamming distance to that node's vantage point, a half of the data's own;
+leaves are shards. By the triangle inequality a half within 1 bit lies, at every node, on a branch at most 1 away, and flipping
+one bit changes every distance by exactly 1: so a fingerprint meets all its partners in its own leaf and in the leaves reached
+by +1 or -1 at every node. There full fingerprints are compared, and links are followed to components.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.graph import components
 
-from .common import ship, text_of_id, text_or_empty, written
+from .common import let, ship, text_of_id, text_or_empty, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -29,6 +29,8 @@ LEAF, BLOCK = 48, 4096
 #: Rows that one group of leaves holds, about.
 GROUP = 60_000
 BROADCAST_ROWS = 500_000
+#: Points that the nodes of a level choose from, and fingerprints that points are chosen among.
+POINTS, SAMPLE = 8, 1024
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -63,20 +65,44 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, f"__id {kind}, fp long")
 
 
-def vantage(level: int) -> int:
-    """The vantage point of a level: a Walsh word of 32 bits, at distance 16 from all others."""
-    return sum((bin(i & (level + 1)).count("1") & 1) << i for i in range(32))
-
-
-def leaves(fps: DataFrame, depth: int) -> DataFrame:
-    """(half, leaf, fp, own): the leaf where each half lives and, of each pair of opposite neighbours, one that it visits."""
-    parts = []
+def vantage_points(fps: DataFrame, depth: int) -> list[list[list[int]]]:
+    """Of each half, for each level, the points that its nodes choose from: halves of fingerprints at hand, from a bounded sample
+    (the ``SAMPLE`` first by hash), each far from all that were chosen before it."""
+    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] or [0], np.int64).view(np.uint64)
+    out = []
     for half in (0, 1):
+        rest = np.unique(sample >> np.uint64(32 * half) & np.uint64(0xFFFFFFFF))
+        chosen, off = [], np.full(len(rest), 64)
+        for i in range(depth * POINTS):
+            # Once all halves are taken, their rotations: any word will do as a point.
+            x = int(rest[off.argmax()]) if off.max() > 0 else (chosen[i - len(rest)] << 7 | chosen[i - len(rest)] >> 25) & 0xFFFFFFFF
+            chosen.append(x)
+            off = np.minimum(off, np.bitwise_count(rest ^ np.uint64(x)))
+        # Neighbours in the order of choice are the farthest apart: a level takes every depth-th.
+        out.append([chosen[k::depth] for k in range(depth)])
+    return out
+
+
+def leaves(fps: DataFrame, points: list[list[list[int]]]) -> DataFrame:
+    """(half, leaf, fp, own): the leaf where each half lives and those that it visits.
+
+    A node's name is the way to it, which also says which of its level's points is its own. A partner one bit off lies on the
+    branch one up or one down at the root and, wherever it is, on a branch one up or down from there: so a half follows both at
+    every node below. At the root it follows the upper only, for the partner below follows its upper to here."""
+    parts = []
+    for half, levels in enumerate(points):
         bits = F.shiftrightunsigned("fp", 32 * half).bitwiseAND(0xFFFFFFFF)
-        at = [F.bit_count(bits.bitwiseXOR(F.lit(vantage(k)))).cast("long") for k in range(depth)]
-        name = lambda steps, at=at: sum(((a + s + 1) * 35**k for k, (a, s) in enumerate(zip(at, steps, strict=True))), F.lit(0).cast("long"))
-        moves = [(0,) * depth, *((1, *s) for s in itertools.product((1, -1), repeat=depth - 1))]
-        parts.append(fps.select(F.lit(half).alias("half"), "fp", F.posexplode(F.array(*map(name, moves))).alias("move", "leaf")).select("half", "leaf", "fp", (F.col("move") == 0).alias("own")))
+
+        def child(node, level, to, bits=bits, levels=levels):
+            of = F.element_at(F.array(*(F.lit(x).cast("long") for x in levels[level])), (F.pmod(F.xxhash64(node), F.lit(len(levels[level]))) + 1).cast("int"))
+            return node * 35 + F.bit_count(bits.bitwiseXOR(of)) + 1 + to
+
+        root = F.lit(0).cast("long")
+        own, visits = child(root, 0, 0), F.array(child(root, 0, 1))
+        for k in range(1, len(levels)):
+            own = let(own, lambda p: child(p, k, 0))  # noqa: B023
+            visits = F.flatten(F.transform(visits, lambda p: F.array(child(p, k, -1), child(p, k, 1))))  # noqa: B023
+        parts.append(fps.select(F.lit(half).alias("half"), "fp", F.posexplode(F.concat(F.array(own), visits)).alias("move", "leaf")).select("half", "leaf", "fp", (F.col("move") == 0).alias("own")))
     return parts[0].unionByName(parts[1])
 
 
@@ -119,7 +145,7 @@ def links(fps: DataFrame, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     ship(fps.sparkSession)
     n = fps.count()
     depth = min(10, max(1, math.ceil(math.log(max(n / leaf, 1.001), 10))))
-    rows = leaves(fps, depth)
+    rows = leaves(fps, vantage_points(fps, depth))
     # A leaf with more members than a block is compared block against block, each pair of blocks apart.
     large = written(rows.groupBy("half", "leaf").agg(F.count("*").alias("n"), F.max("own").alias("met")).filter((F.col("n") > block) & F.col("met")).select("half", "leaf", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     large = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
@@ -152,12 +178,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the first by id (nulls first), then by a digest of id and text."""
+    """``docs`` with one row of each group: the first by id (nulls first), then by a digest of id and text.
+
+    Null and empty texts, and all without a word, have fingerprint 0 and are one group with what is near it; repeated rows are
+    one row, which of them where other columns differ is open; an empty table gives no rows. The user's columns travel in one
+    struct, so none of their names can clash."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     digest = F.unhex(F.sha2(F.concat_ws("\0", text_of_id(id_col), text_or_empty(text_col)), 256))
     rows = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("__id"), F.col(text_col).cast("string").alias("text"))
     rows = written(rows.mapInArrow(_fingerprints, f"__id struct<id:{kind},digest:binary>, fp long"))
-    keep = written(classes(rows).select(F.col("component_id.digest").alias("__digest")).distinct())
+    keep = written(classes(rows).select("component_id.digest").distinct())
     # The join and the removal of repeated rows hash on the same column: the texts move once.
-    return docs.withColumn("__digest", digest).join(keep, "__digest", "left_semi").dropDuplicates(["__digest"]).select(*docs.columns)
+    whole = docs.select(digest.alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return whole.join(keep, "digest", "left_semi").dropDuplicates(["digest"]).select("row.*")
