@@ -8,14 +8,20 @@ counts are too large to be discounted.
 
 The text is read once, into a table of blocks: of each some millions of tokens, the hashes of its words and its tokens as
 numbers of words. Blocks send each of their distinct words and pairs once to a bucket of its hash, where counts of all blocks
-are summed (and of each pair one block made owner), and get the totals back in order. Owners then add up what each context
-leaves, by context, and a last exchange brings alpha to the texts that back off. No task holds more than a block or a bucket.
+are summed (and of each pair one block made owner). The sums are stored as a table of n-gram counts, one folder an order, from
+which the discounts come, and the blocks get theirs back in order. Owners then add up what each context leaves, by context;
+the alphas are stored as a table too, and a last exchange brings their logarithms to the texts that back off. No task holds
+more than a block or a bucket.
+
+An n-gram's key is Spark's ``xxhash64`` of its words' keys in order, a word's that of its text: 64 bits, not confirmed, so that
+of 10^9 distinct n-grams about 0.03 pairs, and of 10^11 about 270, share a key and a count.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of_id, written
+from .common import ascii_lower, ship, text_of_id, text_or_empty, written
 
 #: Tokens of a block, about, and distinct entries of a bucket, at most about.
 BLOCK, BUCKET = 2_000_000, 1_500_000
 #: Counts above this are not discounted.
 LARGE = 5
 END = b""
+#: Seed of Spark's own ``xxhash64``.
+SEED = 42
 
 
 def held_out(id_col: str):
@@ -81,7 +89,7 @@ def _blocks(size: int):
             order = np.concatenate(([0], 1 + np.argsort(-np.bincount(stream.astype(np.int64), minlength=len(words))[1:], kind="stable")))
             place = np.empty(len(words), np.uint64)
             place[order] = np.arange(len(words), dtype=np.uint64)
-            keys = np.array([xxhash.xxh64_intdigest(words[i]) for i in order], np.uint64)
+            keys = np.array([xxhash.xxh64_intdigest(words[i], SEED) for i in order], np.uint64)
             row = [[(TaskContext.get().partitionId() << 24) | made], [ids[:]], [_pack(np.array(sizes, np.uint64))], [_pack(np.array(held, np.uint64))], [_pack(keys)], [_pack(place[stream.astype(np.int64)])], [len(stream)]]
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.list_(kind)), *(pa.array(x, pa.binary()) for x in row[2:6]), pa.array(row[6], pa.int64())], ["block", "ids", "sizes", "held", "keys", "stream", "n"])
 
@@ -116,11 +124,21 @@ def _open(sizes: bytes, stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return sizes, stream, before << np.uint64(32) | stream
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _then(seed: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """XXH64 of each number's 8 bytes, seeded with the hash of what stands before it: ``xxhash64`` of several longs."""
+    turned = lambda v, n: v << np.uint64(n) | v >> np.uint64(64 - n)
+    h = turned((seed + _P5 + np.uint64(8)) ^ turned(x * _P2, 31) * _P1, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
 def _pair_keys(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     h, w = keys[(pairs >> np.uint64(32)).astype(np.int64)], keys[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-    x = (h * np.uint64(0x9E3779B97F4A7C15) ^ (w >> np.uint64(32) | w << np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + h
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _then(_then(np.full(1, SEED, np.uint64), h), w)
 
 
 def _cuts(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -151,9 +169,12 @@ def _sent(buckets: int):
     return of
 
 
+TOTALS = "what string, bucket int, kind int, block long, a binary, b binary, gram long, n long, name long"
+
+
 def _totals(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Counts over all blocks, sent back to each in its order: of words with a number for each, of pairs with a mark for the
-    block that owns it. A row of block -1 has the counts of counts."""
+    """Counts over all blocks: as rows of the table of counts (``count``), and sent back to each block in its order
+    (``answer``): of words with a number for each, of pairs with a mark for the block that owns it."""
     bucket, kind = key[0].as_py(), key[1].as_py()
     blocks = table["block"].to_pylist()
     parts = [_unpack_sorted(x) for x in table["a"].to_pylist()]
@@ -169,12 +190,17 @@ def _totals(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     for block, s, e in zip(blocks, at, at[1:], strict=False):
         i = inverse[s:e]
         if kind:
-            rows.append((bucket, kind, block, _pack(total[i] << np.uint64(1) | owner[s:e]), b""))
+            rows.append((block, _pack(total[i] << np.uint64(1) | owner[s:e]), b""))
         else:
-            rows.append((bucket, kind, block, _pack(total[i]), _pack_sorted((np.uint64(bucket) << np.uint64(32)) + i.astype(np.uint64))))
-    of_counts = np.bincount(np.minimum(total, LARGE + 2).astype(np.int64), minlength=LARGE + 3)[1 : LARGE + 2]
-    rows.append((bucket, kind, -1, _pack(np.concatenate((of_counts, [int((total > 0).sum()), int(total.sum())])).astype(np.uint64)), b""))
-    return pa.table({c: pa.array(x, t) for c, x, t in zip(("bucket", "kind", "block", "a", "b"), zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+            rows.append((block, _pack(total[i]), _pack_sorted((np.uint64(bucket) << np.uint64(32)) + i.astype(np.uint64))))
+    seen = np.flatnonzero(total)
+    fields = dict(what=pa.string(), bucket=pa.int32(), kind=pa.int32(), block=pa.int64(), a=pa.binary(), b=pa.binary(), gram=pa.int64(), n=pa.int64(), name=pa.int64())
+    of = lambda size, **given: pa.table({c: pa.array(given[c], t) if c in given else pa.nulls(size, t) for c, t in fields.items()})
+    block, a, b = zip(*rows, strict=True)
+    answers = of(len(rows), what=["answer"] * len(rows), bucket=[bucket] * len(rows), kind=[kind] * len(rows), block=block, a=a, b=b)
+    names = {} if kind else {"name": (bucket << 32) + seen}
+    table = of(len(seen), what=["count"] * len(seen), bucket=np.full(len(seen), bucket, np.int32), kind=np.full(len(seen), kind, np.int32), gram=distinct[seen].view(np.int64), n=total[seen].astype(np.int64), **names)
+    return pa.concat_tables([table, answers])
 
 
 # ---- discounts -------------------------------------------------------------------------------------------------------
@@ -268,7 +294,8 @@ def _scored(d1: np.ndarray, d2: np.ndarray, total: int, words: int, left: float)
 
 
 def _alphas(table: pa.Table) -> pa.Table:
-    """Sums of log10 alpha over the tokens that back off, by text, of one bucket of contexts."""
+    """One bucket of contexts: alpha of each (by its number), and of each block the sums of log10 alpha over the tokens that
+    back off, by text."""
     h = [_unpack_sorted(x) for x in table["h"].to_pylist()]
     distinct, inverse = np.unique(np.concatenate(h), return_inverse=True)
     n, taken, covered = (np.concatenate([_unpack(x, t) for x in table[c].to_pylist()]) for c, t in (("n", np.uint64), ("pairs", np.float64), ("words", np.float64)))
@@ -284,7 +311,9 @@ def _alphas(table: pa.Table) -> pa.Table:
         texts.append(_pack_sorted(at))
         sums.append(_pack(np.bincount(i, weights=logs[start + (mixed >> np.uint64(32)).astype(np.int64)] * often, minlength=len(at)).astype(np.float64)))
         start += len(part)
-    return pa.table({"block": pa.array(blocks, pa.int64()), "texts": pa.array(texts, pa.binary()), "sums": pa.array(sums, pa.binary())})
+    sent = pa.table({"block": pa.array(blocks, pa.int64()), "texts": pa.array(texts, pa.binary()), "sums": pa.array(sums, pa.binary()), "name": pa.nulls(len(blocks), pa.int64()), "alpha": pa.nulls(len(blocks), pa.float64())})
+    none = lambda t: pa.nulls(len(distinct), t)
+    return pa.concat_tables([sent, pa.table({"block": none(pa.int64()), "texts": none(pa.binary()), "sums": none(pa.binary()), "name": pa.array(distinct.view(np.int64)), "alpha": pa.array(alpha)})])
 
 
 def _summed(texts: pa.Table, alphas: pa.Table) -> pa.Table:
@@ -296,31 +325,79 @@ def _summed(texts: pa.Table, alphas: pa.Table) -> pa.Table:
     return texts.drop_columns(["block", "at", "part"]).append_column("score", pa.array(texts["part"].to_numpy() + more[texts["at"].to_numpy()]))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
-    """Score every whole text under the model of those that are not held out: id, ``held_out``, ``n_tokens``, ``n_known``,
-    ``train_tokens``, ``base_score``, ``score`` (log10 probability).
+@dataclass(frozen=True)
+class Model:
+    """The stored model. ``ngrams``: order, gram, n, name (of order 1) of every n-gram seen; ``alphas``: name, alpha of every
+    context that was followed by something or is backed off from. ``discounts`` by order; ``left``: probability of the one
+    event that stands for all words never seen."""
 
-    A text is its words, A to Z lower-cased, and one end; the first word's context is the end. A null text is empty: its end
-    alone. Repeated rows are learned and scored each; without training texts every token has probability 1 as the one unseen
-    event; an empty table gives no rows.
-    """
+    ngrams: DataFrame
+    alphas: DataFrame
+    discounts: tuple[np.ndarray, np.ndarray]
+    words: int
+    total: int
+    left: float
+
+
+def _learned(counts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int, int, float]:
+    """Discounts by order, distinct words, tokens and what is left to unseen words, from the table of counts."""
+    few = counts.groupBy("kind", F.least("n", F.lit(LARGE + 2)).alias("r")).agg(F.count("*").alias("grams"), F.sum("n").alias("tokens")).collect()
+    of_counts = [np.array([sum(x.grams for x in few if x.kind == k and x.r == r) for r in range(1, LARGE + 2)], float) for k in (0, 1)]
+    words, total = (sum(x[c] for x in few if x.kind == 0) for c in ("grams", "tokens"))
+    d1, d2 = map(discounts, of_counts)
+    r = np.arange(1, LARGE + 1)
+    return (d1, d2), words, total, (1 + float(((1 - d1[1:]) * r * of_counts[0][:LARGE]).sum())) / (total + 1)
+
+
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET) -> tuple[DataFrame, Model]:
+    """The scores of ``score_documents`` and the model behind them."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held"))
     blocks = written(rows.mapInArrow(_blocks(block), f"block long, ids array<{kind}>, sizes binary, held binary, keys binary, stream binary, n long"))
     buckets = max(1, math.ceil((blocks.agg(F.sum("n")).first()[0] or 0) / bucket))
     sent = blocks.mapInArrow(_sent(buckets), "bucket int, kind int, block long, a binary, b binary")
-    back = written(sent.groupBy("bucket", "kind").applyInArrow(_totals, "bucket int, kind int, block long, a binary, b binary"))
-    of_counts = {0: np.zeros(LARGE + 3), 1: np.zeros(LARGE + 3)}
-    for r in back.filter("block = -1").select("kind", "a").toLocalIterator():
-        of_counts[r["kind"]] += _unpack(r["a"]).astype(np.float64)
-    words, total = int(of_counts[0][-2]), int(of_counts[0][-1])
-    d1, d2 = discounts(of_counts[0]), discounts(of_counts[1])
-    r = np.arange(1, LARGE + 1)
-    left = (1 + float(((1 - d1[1:]) * r * of_counts[0][:LARGE]).sum())) / (total + 1)
+    totals = written(sent.groupBy("bucket", "kind").applyInArrow(_totals, TOTALS), "what", "kind")
+    counts, back = totals.filter("what = 'count'"), totals.filter("what = 'answer'").select("bucket", "kind", "block", "a", "b")
+    (d1, d2), words, total, left = _learned(counts)
     schema = SCORES.format(id=kind)
-    scored = written(blocks.select("block", "ids", "sizes", "held", "keys", "stream").groupBy("block").cogroup(back.filter("block >= 0").groupBy("block")).applyInArrow(_scored(d1, d2, total, words, left), schema))
-    alphas = scored.filter("kind = 1").groupBy("bucket").applyInArrow(_alphas, "block long, texts binary, sums binary")
+    scored = written(blocks.select("block", "ids", "sizes", "held", "keys", "stream").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scored(d1, d2, total, words, left), schema))
+    alphas = written(scored.filter("kind = 1").groupBy("bucket").applyInArrow(_alphas, "block long, texts binary, sums binary, name long, alpha double"))
     texts = scored.filter("kind = 0").select("block", "at", "id", "held_out", "n_tokens", "n_known", "base_score", "part")
-    out = texts.groupBy("block").cogroup(alphas.groupBy("block")).applyInArrow(_summed, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    sums = alphas.filter("block is not null").select("block", "texts", "sums")
+    out = texts.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_summed, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    model = Model(counts.select((F.col("kind") + 1).alias("order"), "gram", "n", "name"), alphas.filter("name is not null").select("name", "alpha"), (d1, d2), words, total, left)
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"), model
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+    """Score every whole text under the model of those that are not held out: id, ``held_out``, ``n_tokens``, ``n_known``,
+    ``train_tokens``, ``base_score``, ``score`` (log10 probability).
+
+    A text is its words, A to Z lower-cased, and one end; the first word's context is the end. A null text is empty: its end
+    alone. Repeated rows are learned and scored each; without training texts every token has probability 1 as the one unseen
+    event; an empty table gives no rows.
+    """
+    return fit_and_score(docs, id_col, text_col, block, bucket)[0]
+
+
+def score_by_tables(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(row, score): every row of ``docs`` whole and the log10 probability of its text by the stored tables, token by token: the
+    pair's discounted count if it was seen, else alpha of its context times what one order less says.
+
+    Texts may be new ones. Null and empty texts are their end alone; repeated rows stay; an empty table gives no rows.
+    """
+    d1, d2 = (F.array(*(F.lit(float(x)) for x in d)) for d in model.discounts)
+    discounted_ = lambda n, d: n * F.coalesce(F.get(d, F.least(n, F.lit(len(model.discounts[0]))).cast("int")), F.lit(1.0))
+    words = F.array_remove(F.split(ascii_lower(text_or_empty(text_col)), r"[\x20\x09-\x0D]+"), "")
+    # Numbered before anything is shuffled, and written, so that a number stays with its row.
+    rows = written(docs.select(F.monotonically_increasing_id().alias("i"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.concat(words, F.array(F.lit(""))).alias("w")))
+    pairs = rows.select("i", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), F.slice("w", 1, F.size("w") - 1)).alias("h"), F.col("w").alias("w"))).alias("x"))
+    tokens = pairs.groupBy("i", F.xxhash64("x.h").alias("h"), F.xxhash64("x.w").alias("w")).agg(F.count("*").alias("times")).withColumn("hw", F.xxhash64("h", "w"))
+    one, two = (model.ngrams.filter(F.col("order") == k) for k in (1, 2))
+    contexts = one.join(model.alphas, "name", "left").select(F.col("gram").alias("h"), F.col("n").alias("n_h"), "alpha")
+    met = tokens.join(one.select(F.col("gram").alias("w"), F.col("n").alias("n_w")), "w", "left").join(contexts, "h", "left").join(two.select(F.col("gram").alias("hw"), F.col("n").alias("n_hw")), "hw", "left")
+    lower = F.coalesce(discounted_(F.col("n_w"), d1) / (model.total + 1.0), F.lit(model.left))
+    p = F.coalesce(discounted_(F.col("n_hw"), d2) / (F.col("n_h") + 1.0), F.coalesce("alpha", F.lit(1.0)) * lower)
+    scores = met.groupBy("i").agg(F.sum(F.log10(p) * F.col("times")).alias("score"))
+    return rows.select("i", "row").join(scores, "i").select("row", "score")

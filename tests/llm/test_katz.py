@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import katz
 from ledgerloom.sources.tables import table
@@ -68,3 +69,35 @@ def test_discounts():
     n = np.array([1000, 300, 140, 80, 50, 35.0])
     assert sum((1 - d[r]) * r * n[r - 1] for r in range(1, 6)) == pytest.approx(n[0])
     assert all(0 < x < 1 for x in katz.discounts([0, 0, 0, 0, 0, 0])[1:])
+
+
+def test_tables_hold_the_model(spark, awkward):
+    """Counts and alphas as stored, and scores that are read from them, against plain counters; new texts are scored, too."""
+    docs = awkward.filter("text is null or length(text) < 6000")
+    scores, model = katz.fit_and_score(docs, block=700, bucket=900)
+    uni, bi = Counter(), Counter()
+    for r in docs.collect():
+        if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 != 1:
+            x = [*(w.decode() for w in (r.text or "").encode().lower().split()), ""]
+            uni.update(x)
+            bi.update(zip(["", *x], x, strict=False))
+    key = lambda *words: F.xxhash64(*(F.xxhash64(F.lit(w)) for w in words)) if len(words) > 1 else F.xxhash64(F.lit(words[0]))
+    got = {(r.order, r.gram): r.n for r in model.ngrams.collect()}
+    some = [(w,) for w in list(uni)[:40]] + list(bi)[:40]
+    keys = spark.range(1).select(*(key(*w).alias(str(i)) for i, w in enumerate(some))).first()
+    assert len(got) == len(uni) + len(bi) and sum(n for (o, _), n in got.items() if o == 1) == model.total and model.words == len(uni)
+    assert all(got[len(w), k] == (uni[w[0]] if len(w) == 1 else bi[w]) for w, k in zip(some, keys, strict=True))
+    of = lambda rows: Counter((i, round(x, 6)) for i, x in rows)
+    by_tables = katz.score_by_tables(docs.withColumn("row", F.lit("clash")), model).select("row.doc_id", "score").collect()
+    assert of(by_tables) == of((r.doc_id, r.score) for r in scores.collect())
+    new = spark.createDataFrame([("never such words",), (None,), ("the the never",)], "text string")
+    assert all(r.score < 0 for r in katz.score_by_tables(new, model).collect())
+    # A context's probabilities, with that of the unseen event, add up to 1: the text "h w" less the end after w and h itself.
+    h = max(uni, key=lambda w: uni[w] if w else 0)
+    d1, d2 = model.discounts
+    disc = lambda n, d: n * (d[n] if n <= katz.LARGE else 1.0)
+    names = {r.gram: r.name for r in model.ngrams.filter("order = 1").collect()}
+    alphas = {r.name: r.alpha for r in model.alphas.collect()}
+    alpha = alphas[names[spark.range(1).select(key(h)).first()[0]]]
+    p1 = {w: disc(n, d1) / (model.total + 1) for w, n in uni.items()}
+    assert sum(disc(bi[h, w], d2) / (uni[h] + 1) if bi[h, w] else alpha * p1[w] for w in uni) + alpha * model.left == pytest.approx(1, abs=1e-12)
