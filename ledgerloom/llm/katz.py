@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, ship, text_of_id, text_or_empty, written
 
 #: Tokens of a block, about, and distinct entries of a bucket, at most about.
-BLOCK, BUCKET = 2_000_000, 1_500_000
+BLOCK, BUCKET = 1_000_000, 1_000_000
+#: Rows of counts that go to the JVM at once.
+CHUNK = 50_000
 #: Counts above this are not discounted.
 LARGE = 5
 END = b""
@@ -182,6 +184,7 @@ def _totals(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     at = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
     distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
     n = np.concatenate(counts)
+    del parts, counts
     total = np.bincount(inverse, weights=n, minlength=len(distinct)).astype(np.uint64)
     owner = np.zeros(len(n), np.uint64)
     known = np.flatnonzero(n > 0)
@@ -200,7 +203,8 @@ def _totals(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     answers = of(len(rows), what=["answer"] * len(rows), bucket=[bucket] * len(rows), kind=[kind] * len(rows), block=block, a=a, b=b)
     names = {} if kind else {"name": (bucket << 32) + seen}
     table = of(len(seen), what=["count"] * len(seen), bucket=np.full(len(seen), bucket, np.int32), kind=np.full(len(seen), kind, np.int32), gram=distinct[seen].view(np.int64), n=total[seen].astype(np.int64), **names)
-    return pa.concat_tables([table, answers])
+    # In chunks, each a batch of its own on the way to the JVM.
+    return pa.concat_tables([*(table.slice(i, CHUNK) for i in range(0, len(table), CHUNK)), answers])
 
 
 # ---- discounts -------------------------------------------------------------------------------------------------------
