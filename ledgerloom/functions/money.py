@@ -72,3 +72,39 @@ def vat_rate(text: Column) -> Column:
     """A VAT rate printed as a percentage or a fraction, as a fraction."""
     x = number(F.regexp_replace(text, r"\s*%\s*$", ""))
     return F.when(text.rlike("%") | (x >= 1), x / 100).otherwise(x).cast(RATE)
+
+
+def line_consumption(consumed: Column, quantity: Column) -> Column:
+    """What a sale line took off the shelf: what it says, 0 included, else what it bills."""
+    return F.coalesce(consumed, quantity)
+
+
+def sale_line_total(ht: Column, rate: Column, quantity: Column, typed_price: Column, menu_price: Column) -> Column:
+    """HT with its VAT where the line has one, else its quantity at the typed price or the menu's; 0 without any."""
+    return F.coalesce(ht * (F.lit(1) + F.coalesce(rate, F.lit(0))), quantity * F.coalesce(typed_price, menu_price), F.lit(0))
+
+
+def document_to_pay(stated: Column, payable: Column, prepaid: Column, computed: Column) -> Column:
+    """What a document asks for: its own payable amount, else its total, stated or computed, less what was prepaid."""
+    return F.coalesce(payable, F.coalesce(stated, cents(computed)) - F.coalesce(prepaid, F.lit(0)))
+
+
+#: Type codes of electronic invoices.
+CREDIT_NOTES, DEPOSIT, INVOICE = ("261", "381", "396"), "386", "380"
+
+
+def kind_label(code: Column, total: Column) -> Column:
+    """A credit note by its code or a total below 0, whatever else it says; then a deposit, an invoice, or the code itself."""
+    return F.when(code.isin(*CREDIT_NOTES) | (total < 0), "credit note").when(code == DEPOSIT, "deposit").when(code.isin("", INVOICE), "invoice").otherwise(F.concat(F.lit("type "), code))
+
+
+def base_amount(by_the_unit: Column, quantity: Column, volume: Column) -> Column:
+    """What a line counts in its article's unit: pieces, or the measured volume where there is one."""
+    return F.when(by_the_unit, quantity).otherwise(F.coalesce(F.nullif(volume, F.lit(0).cast(QUANTITY)), quantity))
+
+
+def servings(room: Column, allowance: Column, amount: Column) -> tuple[Column, Column]:
+    """Whole servings of ``amount``: up to the room, and up to the allowance too, which the last may cross; 0 where there is
+    none of either."""
+    fit = F.when((room > 0) & (amount > 0), F.floor(room / amount)).otherwise(0)
+    return fit, F.when((allowance > 0) & (fit > 0), F.least(fit, F.ceil(allowance / amount))).otherwise(0)

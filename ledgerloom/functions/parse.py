@@ -21,13 +21,17 @@ def shown_hours(value: Column) -> Column:
     return F.concat(F.floor(minutes / 60).cast("string"), F.lit("h"), F.lpad((minutes % 60).cast("string"), 2, "0"))
 
 
-def day(text: Column, order: str = "dmy") -> Column:
-    """A date in one order of its parts, with two- or four-digit years, or an Excel serial number."""
+#: The day before the first, by which a workbook counts.
+SERIALS = {1900: "1899-12-30", 1904: "1904-01-01"}
+
+
+def day(text: Column, order: str = "dmy", epoch: int = 1900) -> Column:
+    """A date in one order of its parts, with two- or four-digit years, or a workbook's serial number."""
     parts = r"^\s*(\d{1,4})[/.\-](\d{1,2})[/.\-](\d{1,4})\s*$"
     at = {p: F.regexp_extract(text, parts, i + 1).try_cast("int") for i, p in enumerate(order)}
     year = F.when(at["y"] < 100, at["y"] + F.when(at["y"] < 70, 2000).otherwise(1900)).otherwise(at["y"])
     made = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(at["m"].cast("string"), 2, "0"), F.lpad(at["d"].cast("string"), 2, "0")), "yyyy-MM-dd")
-    serial = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(text.try_cast("double")).cast("int"))
+    serial = F.date_add(F.lit(SERIALS[epoch]).cast("date"), F.floor(text.try_cast("double")).cast("int"))
     return F.when(text.rlike(parts), made).when(text.rlike(r"^\s*\d{4,5}(\.\d+)?\s*$"), serial)
 
 

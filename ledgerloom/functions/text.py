@@ -67,3 +67,31 @@ def size_of(text: Column) -> Column:
         factor = F.when(unit == name, F.lit(by).cast("decimal(6,3)")).otherwise(factor)
         base = F.when(unit == name, F.lit(to)).otherwise(base)
     return F.when(unit != "", F.struct((amount * factor).cast("decimal(12,4)").alias("quantity"), base.alias("unit"), times.alias("times")))
+
+
+def is_gtin(code: Column) -> Column:
+    """8, 12, 13 or 14 digits whose last makes the weighted sum, 3 and 1 in turn from the right, a multiple of ten."""
+    weighted = F.aggregate(F.sequence(F.lit(1), F.length(code)), F.lit(0), lambda a, i: a + F.substring(F.reverse(code), i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 3).otherwise(1))
+    return F.when(code.rlike(r"^(\d{8}|\d{12,14})$"), weighted % 10 == 0).otherwise(False)
+
+
+def without_sizes(text: Column) -> Column:
+    """A name without its sizes, pack sizes and counts, which the size column already has."""
+    size = r"(?:CL|ML|KG|L|G)(?![A-Z])"
+    number = r"\d+(?:[.,]\d+)?"
+    up = F.upper(F.trim(text))
+    for pattern in (rf"\b\d+\s*X\s*{number}\s*{size}", rf"\b{number}\s*{size}\s*X\s*\d+\b", rf"\b{number}\s*{size}", r"\bX\s*\d+\b", r"\s\d+$"):
+        up = F.regexp_replace(up, pattern, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(up, r"\s+", " ")), r"^[,.\-/]+\s*|\s*[,.\-/]+$", ""), r"\s+", " "))
+
+
+def spelled(text: Column, known: dict[str, str]) -> Column:
+    """The known spelling of a word, accents and case aside; another as it is printed."""
+    key = search_key(F.trim(text))
+    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, key), F.trim(text))
+
+
+def is_blank(json: Column) -> Column:
+    """Whether JSON text holds nothing: "", [], {} or null, or is no JSON; 0 and false are values."""
+    return F.coalesce(F.to_json(F.try_parse_json(json)), F.lit("null")).isin("null", '""', "[]", "{}")

@@ -67,3 +67,20 @@ def instants(first: Column, last: Column, weekdays: Sequence[int], times: Sequen
     days = F.filter(F.sequence(first, last), lambda d: F.weekday(d).isin(*weekdays))
     of = lambda d: F.array(*(F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", d.cast("string"), F.lit(t))), zone) for t in times))
     return F.array_sort(F.flatten(F.transform(days, of)))
+
+
+def last_complete_day(local: Column, night_ends: int | None = 6) -> Column:
+    """The last day whose sales are all in: yesterday, or the day before that while the night until ``night_ends`` goes on;
+    without a night always yesterday."""
+    yesterday = F.date_sub(F.to_date(local), 1)
+    return yesterday if night_ends is None else F.when(F.hour(local) >= night_ends, yesterday).otherwise(F.date_sub(yesterday, 1))
+
+
+def months_before(day: Column, months: int) -> Column:
+    """The same day so many months earlier, or the last that the month has."""
+    return F.add_months(day, -months)
+
+
+def month_days(day: Column) -> Column:
+    """Every day of a day's month, in order."""
+    return F.sequence(F.trunc(day, "MM"), F.last_day(day))

@@ -36,4 +36,4 @@ def query(oracle: str | None = None):
     return of
 
 
-from . import bank, documents, forecast, matching, misc, series, stock, till, upkeep  # noqa: E402, F401
+from . import bank, documents, forecast, matching, misc, series, stock, till, upkeep, values  # noqa: E402, F401
