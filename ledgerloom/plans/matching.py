@@ -59,7 +59,67 @@ def payment_subset_sums(spark, sf_dir):
 
 @query()
 def reconcile_greedy(spark, sf_dir):
-    return matching.greedy(matching.exact(_payments(spark, sf_dir), _invoices(spark, sf_dir)))
+    """Payments linked one after another, each to an exact total that it is sure of."""
+    p, i = _read(spark, sf_dir)
+    return matching.greedy(p, i)
+
+
+#: The same with cards (every third), undated invoices (every nineteenth) and totals read four cents off (every fifth).
+READ = """
+pay AS (SELECT line_id AS payment_id, payee_id AS key, day, CAST(ceil(-amount / 25000) * 25 AS DECIMAL(12,2)) AS due, line_id % 3 = 0 AS card FROM bank_lines WHERE amount < 0),
+inv AS (SELECT line_id AS invoice_id, payee_id AS key, CASE WHEN line_id % 19 <> 0 THEN day END AS invoice_day, CAST(ceil(amount / 25000) * 25 + CASE WHEN line_id % 5 = 0 THEN 0.04 ELSE 0 END AS DECIMAL(12,2)) AS total, line_id % 2 = 0 AS fresh FROM bank_lines WHERE amount > 0)
+"""
+
+
+def _read(spark, sf_dir):
+    i = F.col("invoice_id")
+    invoices = _invoices(spark, sf_dir).withColumn("invoice_day", F.when(i % 19 != 0, F.col("invoice_day"))).withColumn("total", (F.col("total") + F.when(i % 5 == 0, F.lit("0.04")).otherwise("0").cast("decimal(4,2)")).cast("decimal(12,2)")).withColumn("fresh", i % 2 == 0)
+    return _payments(spark, sf_dir).withColumn("card", F.col("payment_id") % 3 == 0), invoices
+
+
+#: Sets of two to four of twelve invoices (c: payment_id, due, r, invoice_id, total) that add up to the payment.
+SETS = """
+two AS (SELECT a.payment_id, a.due, b.r AS last, a.total + b.total AS s, [a.invoice_id, b.invoice_id] AS ids FROM c a JOIN c b ON a.payment_id = b.payment_id AND a.r < b.r),
+three AS (SELECT t.payment_id, t.due, d.r AS last, t.s + d.total AS s, list_append(t.ids, d.invoice_id) AS ids FROM two t JOIN c d ON t.payment_id = d.payment_id AND t.last < d.r),
+four AS (SELECT t.payment_id, t.due, d.r AS last, t.s + d.total AS s, list_append(t.ids, d.invoice_id) AS ids FROM three t JOIN c d ON t.payment_id = d.payment_id AND t.last < d.r),
+sets AS (SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four),
+r2 AS (SELECT payment_id, CASE WHEN count(*) = 1 THEN 'sum' ELSE 'sums' END AS rule, CASE WHEN count(*) = 1 THEN 'sure' ELSE 'to_confirm' END AS tier, least(count(*), 5) AS n_options, CASE WHEN count(*) = 1 THEN array_to_string(list_sort(any_value(ids)), '+') ELSE '' END AS first FROM sets WHERE s = due GROUP BY 1)
+"""
+
+
+@query(f"""
+WITH {READ}, near AS (SELECT p.*, invoice_id, total, invoice_day, CAST(abs(day - invoice_day) AS BIGINT) AS age FROM pay p JOIN inv i ON p.key = i.key AND invoice_day BETWEEN day - CASE WHEN card THEN 3 ELSE 180 END AND day + CASE WHEN card THEN 1 ELSE 0 END),
+x AS (SELECT *, count(*) OVER (PARTITION BY payment_id) AS n, row_number() OVER w AS r, lead(age) OVER w AS nxt FROM near WHERE total = due WINDOW w AS (PARTITION BY payment_id ORDER BY age, invoice_id)),
+r1 AS (SELECT payment_id, CASE WHEN n = 1 THEN 'exact' WHEN card AND age < nxt THEN 'nearest' ELSE 'several' END AS rule, CASE WHEN n = 1 OR (card AND age < nxt) THEN 'sure' WHEN age <= 35 AND nxt - age >= 20 THEN 'near_sure' ELSE 'to_confirm' END AS tier,
+  CASE WHEN n = 1 OR (card AND age < nxt) THEN 1 ELSE least(n, 5) END AS n_options, CAST(invoice_id AS VARCHAR) AS first FROM x WHERE r = 1),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY invoice_day DESC, invoice_id DESC) AS r FROM near WHERE payment_id NOT IN (SELECT payment_id FROM r1)) WHERE r <= 12), {SETS},
+d1 AS (SELECT payment_id FROM r1 UNION ALL SELECT payment_id FROM r2), y AS (SELECT *, abs(total - due) AS gap FROM near WHERE payment_id NOT IN (SELECT payment_id FROM d1) AND abs(total - due) <= due * 0.10),
+z AS (SELECT *, count(*) OVER (PARTITION BY payment_id) AS n, count(*) FILTER (WHERE gap <= 0.05) OVER (PARTITION BY payment_id) AS within, row_number() OVER (PARTITION BY payment_id ORDER BY gap, age, invoice_id) AS r FROM y),
+r3 AS (SELECT payment_id, 'close' AS rule, CASE WHEN within = 1 AND (card OR age <= 35) THEN 'near_sure' ELSE 'to_confirm' END AS tier, least(n, 5) AS n_options, CAST(invoice_id AS VARCHAR) AS first FROM z WHERE r = 1), d2 AS (SELECT payment_id FROM d1 UNION ALL SELECT payment_id FROM r3),
+r4 AS (SELECT payment_id, 'undated' AS rule, 'to_confirm' AS tier, least(count(*), 5) AS n_options, CAST(arg_min(invoice_id, struct_pack(g := abs(total - due), i := invoice_id)) AS VARCHAR) AS first FROM pay JOIN inv USING (key) WHERE card AND invoice_day IS NULL AND abs(total - due) <= 0.01 AND payment_id NOT IN (SELECT payment_id FROM d2) GROUP BY 1),
+r5 AS (SELECT payment_id, 'unnamed' AS rule, 'to_confirm' AS tier, least(count(*), 5) AS n_options, CAST(arg_min(invoice_id, struct_pack(g := abs(day - invoice_day), i := invoice_id)) AS VARCHAR) AS first FROM pay JOIN inv ON total = due AND invoice_day BETWEEN day - 3 AND day + 1 WHERE card AND payment_id NOT IN (SELECT payment_id FROM d2) AND payment_id NOT IN (SELECT payment_id FROM r4) GROUP BY 1)
+SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r5
+""")
+def payment_cascade(spark, sf_dir):
+    """What each payment paid, and how sure that is."""
+    return matching.cascade(*_read(spark, sf_dir))
+
+
+@query(f"""
+WITH {READ}, near AS (SELECT p.*, invoice_id, total, invoice_day, fresh, CAST(abs(day - invoice_day) AS BIGINT) AS age FROM pay p JOIN inv i ON p.key = i.key AND invoice_day BETWEEN day - 180 AND day + 90),
+x AS (SELECT *, count(*) OVER (PARTITION BY payment_id) AS n, row_number() OVER (PARTITION BY payment_id ORDER BY age, invoice_id) AS r FROM near WHERE total = due),
+r1 AS (SELECT payment_id, CASE WHEN n > 1 THEN 'several' WHEN fresh THEN 'exact' ELSE 'balance' END AS rule, CASE WHEN n > 1 THEN 'to_confirm' WHEN fresh THEN 'sure' ELSE 'near_sure' END AS tier, least(n, 5) AS n_options, CAST(invoice_id AS VARCHAR) AS first FROM x WHERE r = 1),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY invoice_day DESC, invoice_id DESC) AS r FROM near WHERE fresh AND payment_id NOT IN (SELECT payment_id FROM r1)) WHERE r <= 12), {SETS},
+d1 AS (SELECT payment_id FROM r1 UNION ALL SELECT payment_id FROM r2), y AS (SELECT *, count(*) OVER (PARTITION BY payment_id) AS n, row_number() OVER (PARTITION BY payment_id ORDER BY abs(total - due), age, invoice_id) AS r FROM near WHERE payment_id NOT IN (SELECT payment_id FROM d1) AND abs(total - due) <= 0.05),
+r3 AS (SELECT payment_id, 'close' AS rule, CASE WHEN n = 1 THEN 'near_sure' ELSE 'to_confirm' END AS tier, least(n, 5) AS n_options, CAST(invoice_id AS VARCHAR) AS first FROM y WHERE r = 1), d2 AS (SELECT payment_id FROM d1 UNION ALL SELECT payment_id FROM r3),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY invoice_day DESC, invoice_id DESC) AS k FROM near WHERE payment_id NOT IN (SELECT payment_id FROM d2)) WHERE k <= 12 AND total > due), m AS (SELECT *, count(*) OVER (PARTITION BY payment_id) AS n, row_number() OVER (PARTITION BY payment_id ORDER BY age, invoice_id) AS r FROM l),
+r4 AS (SELECT payment_id, 'deposit' AS rule, 'to_confirm' AS tier, least(n, 5) AS n_options, CAST(invoice_id AS VARCHAR) AS first FROM m WHERE r = 1), d3 AS (SELECT payment_id FROM d2 UNION ALL SELECT payment_id FROM r4),
+r5 AS (SELECT payment_id, 'unnamed' AS rule, 'to_confirm' AS tier, least(count(*), 5) AS n_options, CAST(arg_min(invoice_id, struct_pack(g := abs(day - invoice_day), i := invoice_id)) AS VARCHAR) AS first FROM pay JOIN inv ON total = due AND invoice_day BETWEEN day - 180 AND day + 90 WHERE payment_id NOT IN (SELECT payment_id FROM d3) GROUP BY 1)
+SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r5
+""")
+def credit_cascade(spark, sf_dir):
+    """The credit side: which document each amount received settles."""
+    return matching.credit_cascade(*_read(spark, sf_dir))
 
 
 @query("""
