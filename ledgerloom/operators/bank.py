@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.sources.scratch import written
 from ledgerloom.sources.ship import ship
 
 
@@ -64,6 +67,65 @@ def months(lines: DataFrame) -> DataFrame:
     return rows.withColumn("net", net).withColumn("closing", F.sum("net").over(Window.partitionBy("account").orderBy("month")))
 
 
+def _ledger(lines: DataFrame, points: DataFrame, adjustments: DataFrame) -> DataFrame:
+    """A row for each account and day that has anything: moved, adjusted, balance (null where none was typed), running sums ``s``
+    and ``t``. An adjustment counts after the first typed balance, up to the last."""
+    span = points.groupBy("account").agg(F.min("day").alias("p0"), F.max("day").alias("p1"))
+    counted = adjustments.join(span, "account").filter((F.col("day") > F.col("p0")) & (F.col("day") <= F.col("p1"))).groupBy("account", "day").agg(F.sum("amount").alias("adjusted"))
+    moved = lines.groupBy("account", "day").agg(F.sum("amount").alias("moved"))
+    days = moved.join(points, ["account", "day"], "full").join(counted, ["account", "day"], "full")
+    order = Window.partitionBy("account").orderBy("day")
+    days = days.select("account", "day", F.coalesce("moved", F.lit(0)).alias("moved"), F.coalesce("adjusted", F.lit(0)).alias("adjusted"), "balance")
+    return days.withColumn("s", F.sum("moved").over(order)).withColumn("t", F.sum("adjusted").over(order))
+
+
+def _gap_rows(ledger: DataFrame, complete: DataFrame) -> DataFrame:
+    order = Window.partitionBy("account").orderBy("day")
+    typed = ledger.filter("balance is not null").join(complete, "account", "left")
+    change = lambda c: F.col(c) - F.lag(c).over(order)
+    typed = typed.withColumn("raw", change("balance") - change("s")).withColumn("missing", F.col("raw") - change("t"))
+    typed = typed.withColumn("pending", F.coalesce(F.col("day") > F.col("complete_through"), F.lit(True))).withColumn("open", F.coalesce((F.col("missing") != 0) & ~F.col("pending"), F.lit(False)))
+    after = lambda c: F.lead(c).over(order)
+    suspect = (F.col("raw") != 0) & (F.col("raw") == -after("raw")) & ~F.col("pending") & ~after("pending") & (F.col("open") | after("open"))
+    own, before = F.col("moved"), F.lag("moved").over(order)
+    read = F.when(F.col("open") & (own != 0) & (F.col("missing") == -own), "after").when(F.col("open") & (before != 0) & (F.col("missing") == before), "before")
+    return typed.withColumn("suspect", F.coalesce(suspect, F.lit(False))).withColumn("read_before", read)
+
+
+def gap_report(lines: DataFrame, points: DataFrame, adjustments: DataFrame, complete: DataFrame) -> DataFrame:
+    """Of every typed balance but an account's first: what neither operations nor adjustments since the one before explain
+    (``missing``), whether it still waits for lines (``pending``: after ``complete_through``) or is to be resolved (``open``),
+    whether the point itself is suspect (the raw gaps around it cancel out and none is pending), and whose day's operations a
+    balance that was read too early lacks (``read_before``)."""
+    rows = _gap_rows(_ledger(lines, points, adjustments), complete).filter("missing is not null")
+    return rows.select("account", "day", "missing", "pending", "open", "suspect", "read_before")
+
+
+def month_rows(lines: DataFrame, points: DataFrame, adjustments: DataFrame, complete: DataFrame) -> DataFrame:
+    """Every month from an account's first line or point to its last, clipped to that span: credits, debits, adjustments, the
+    closing balance and whether that is provisional, and the gaps to be resolved in it, their sum and number."""
+    ledger = written(_ledger(lines, points, adjustments))
+    month = F.trunc("day", "MM")
+    parts = lines.groupBy("account", month.alias("month")).agg(F.sum(F.greatest("amount", F.lit(0))).alias("credits"), F.sum(F.least("amount", F.lit(0))).alias("debits"))
+    adjusted = ledger.groupBy("account", month.alias("month")).agg(F.sum("adjusted").alias("adjustments"))
+    gaps_ = _gap_rows(ledger, complete).groupBy("account", month.alias("month")).agg(F.sum(F.when(F.col("open"), F.col("missing")).otherwise(0)).alias("gap"), F.count_if("open").alias("n_gaps"))
+    span = ledger.groupBy("account").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.min_by("balance", F.when(F.col("balance").isNotNull(), F.col("day"))).alias("balance0"), F.min(F.when(F.col("balance").isNotNull(), F.struct("day", "s", "t"))).alias("first"))
+    spine = span.select("account", "a", "b", "balance0", "first", F.explode(F.expr("sequence(trunc(a, 'MM'), trunc(b, 'MM'), interval 1 month)")).alias("month"))
+    spine = spine.withColumn("start", F.greatest("month", "a")).withColumn("end", F.least(F.last_day("month"), "b"))
+    # What the ledger says at a month's end is what it said on the last of its days up to then.
+    at = ledger.groupBy("account", month.alias("month")).agg(F.max_by(F.struct("s", "t"), "day").alias("sums"), F.max(F.when(F.col("balance").isNotNull(), F.struct("day", "balance", "s", "t"))).alias("point"))
+    rows = spine.join(at, ["account", "month"], "left").join(parts, ["account", "month"], "left").join(adjusted, ["account", "month"], "left").join(gaps_, ["account", "month"], "left").join(complete, "account", "left")
+    upto = Window.partitionBy("account").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    for c in ("sums", "point"):
+        rows = rows.withColumn(c, F.last(c, ignorenulls=True).over(upto))
+    ref = lambda c: F.coalesce(F.col("point")[c], F.col("balance0") if c == "balance" else F.col("first")[c])
+    closing = ref("balance") + F.col("sums.s") - ref("s") + F.col("sums.t") - ref("t")
+    late = lambda day: F.coalesce(day > F.col("complete_through"), F.lit(True))
+    provisional = F.when(F.col("point.day") == F.col("end"), False).when(F.col("point").isNotNull(), late(F.col("end"))).otherwise(late(F.col("first.day"))) & ref("balance").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("account", "month", "start", "end", zero("credits"), zero("debits"), zero("adjustments"), closing.alias("closing"), provisional.alias("provisional"), zero("gap"), F.coalesce("n_gaps", F.lit(0)).cast("long").alias("n_gaps"))
+
+
 def unpaid_after_payouts(sold: DataFrame, payouts: DataFrame) -> DataFrame:
     """(key, day, gross, unpaid): card sales strictly before each payout day, since the anchor, less payouts so far.
 
@@ -86,40 +148,45 @@ def unpaid_after_payouts(sold: DataFrame, payouts: DataFrame) -> DataFrame:
     return per.filter("gross is not null").select("key", "day", "gross", (F.col("before") - F.col("paid")).alias("unpaid"))
 
 
+#: Candidate runs of one group of islands, about.
+RUN_ROWS = 50_000
+
+
 def exact_runs(sold: DataFrame, payouts: DataFrame, back: int = 8) -> DataFrame:
     """(key, day, gross, first_day, last_day): for payouts in date order, the unclaimed run of consecutive card days ending
-    one to ``back`` days before whose sum is the gross: the latest end, then the shortest. Greedy inside a key."""
-
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["key", "day", "gross", "first_day", "last_day"])
-        left = left.sort_values("day").reset_index(drop=True)
-        days, cents = list(left.day), [int(x) for x in left.cents]
-        claimed, out = [False] * len(days), []
-        for p in right.sort_values("day").itertuples():
-            found = None
-            for end in range(len(days) - 1, -1, -1):
-                age = (p.day - days[end]).days
-                if age < 1 or cents[end] == 0:
-                    continue
-                if age > back or found:
-                    break
-                total = 0
-                for start in range(end, -1, -1):
-                    if claimed[start]:
-                        break
-                    total += cents[start]
-                    if total == p.cents:
-                        found = (start, end)
-                        break
-            if found:
-                claimed[found[0] : found[1] + 1] = [True] * (found[1] - found[0] + 1)
-                out.append((p.key, p.day, p.cents / 100, days[found[0]], days[found[1]]))
+    one to ``back`` days before whose sum is the gross: the latest end, then the shortest.
+
+    A run is two points of the running sum that differ by the gross: an equi-join finds every run a payout could claim. Payouts
+    compete only where these overlap, so they fall apart in islands of days, from a run's first day to its payout; each is settled
+    in one task, whole, many small ones together."""
+    order = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    cents = lambda c: (F.col(c) * 100).cast("long")
+    days = sold.groupBy("key", "day").agg(F.sum(cents("amount")).alias("c")).filter("c != 0").withColumn("hi", F.sum("c").over(order)).withColumn("lo", F.col("hi") - F.col("c"))
+    asked = payouts.select("key", "day", cents("gross").alias("want"))
+    asked = asked.withColumn("no", F.row_number().over(Window.partitionBy("key", "day", "want").orderBy("want")))
+    asked = asked.withColumn("last_day", F.explode(F.transform(F.sequence(F.lit(1), F.lit(back)), lambda i: F.date_sub("day", i))))
+    ends = asked.join(days.select("key", F.col("day").alias("last_day"), "hi"), ["key", "last_day"])
+    starts = days.select("key", F.col("day").alias("first_day"), "lo")
+    runs = ends.withColumn("lo", F.col("hi") - F.col("want")).join(starts, ["key", "lo"]).filter("first_day <= last_day").select("key", "day", "want", "no", "first_day", "last_day")
+    w = Window.partitionBy("key").orderBy("first_day", "day", "want", "no", "last_day")
+    reach = F.max("day").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", (reach.isNull() | (F.col("first_day") >= reach)).cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "island", "day", "want", "no", "last_day", "first_day"], ascending=[True, True, True, True, True, False, False])
+        out, claimed, paid = [], {}, set()
+        for r in rows.itertuples():
+            mine, payout = claimed.setdefault((r.key, r.island), []), (r.key, r.day, r.want, r.no)
+            if payout not in paid and all(r.last_day < a or r.first_day > b for a, b in mine):
+                paid.add(payout)
+                mine.append((r.first_day, r.last_day))
+                out.append((r.key, r.day, r.want / 100, r.first_day, r.last_day))
         return pd.DataFrame(out, columns=["key", "day", "gross", "first_day", "last_day"])
 
     ship(sold.sparkSession)
-    as_cents = lambda df, c: df.select(F.col("key").alias("key"), F.col("day").alias("day"), (F.col(c) * 100).cast("long").alias("cents"))
-    return as_cents(sold, "amount").groupBy("key").cogroup(as_cents(payouts, "gross").groupBy("key")).applyInPandas(one, "key string, day date, gross double, first_day date, last_day date")
+    rows = written(runs.drop("new"))
+    groups = max(1, math.ceil(rows.count() / RUN_ROWS))
+    return rows.withColumn("part", F.pmod(F.xxhash64("key", "island"), F.lit(groups))).groupBy("part").applyInPandas(settle, "key string, day date, gross double, first_day date, last_day date")
 
 
 def waterfall(credits: DataFrame, asked: DataFrame) -> DataFrame:

@@ -65,12 +65,59 @@ def treasury_months(spark, sf_dir):
 
 @query("""
 WITH i AS (SELECT account, day, day + CAST(line_id % 4 AS INTEGER) AS imported_on FROM bank_lines), e AS (SELECT account, max(day) AS last, max(imported_on) AS newest FROM i GROUP BY 1), l AS (SELECT e.account, last, newest, max(imported_on) AS of_last FROM e JOIN i ON i.account = e.account AND i.day = e.last GROUP BY 1, 2, 3)
-SELECT account, CAST(least(CASE WHEN of_last > last THEN last ELSE last - 1 END, newest - 1) AS DATE) AS complete_through FROM l
+SELECT account, CAST(least(CASE WHEN of_last > last THEN last ELSE last - 1 END, newest - 1) AS DATE) AS complete_through, CAST(min(least(CASE WHEN of_last > last THEN last ELSE last - 1 END, newest - 1)) OVER () AS DATE) AS all_complete FROM l
 """)
 def treasury_complete(spark, sf_dir):
-    """How far each account's lines are complete."""
+    """How far each account's lines are complete, and all together: as far as the first of them. A row an account."""
     lines = views.bank_lines(spark, sf_dir)
-    return bank.complete_through(lines.withColumn("imported_on", F.date_add("day", (F.col("line_id") % 4).cast("int"))))
+    return bank.complete_through(lines.withColumn("imported_on", F.date_add("day", (F.col("line_id") % 4).cast("int")))).withColumn("all_complete", F.min("complete_through").over(Window.partitionBy()))
+
+
+#: Points as above, those of July read before the day's operations; an adjustment of 50 in every August; lines imported
+#: up to March 1998.
+REPORT = """
+daily AS (SELECT account, day, sum(amount) AS moved FROM bank_lines GROUP BY 1, 2), ran AS (SELECT *, sum(moved) OVER (PARTITION BY account ORDER BY day) AS s FROM daily),
+firsts AS (SELECT account, min(day) AS day FROM daily GROUP BY account, date_trunc('quarter', day)), points AS (SELECT account, day, s + CASE month(day) WHEN 4 THEN 100 WHEN 7 THEN -moved ELSE 0 END AS balance FROM ran JOIN firsts USING (account, day)),
+adj0 AS (SELECT account, min(day) AS day FROM daily WHERE month(day) = 8 GROUP BY account, year(day)), pspan AS (SELECT account, min(day) AS p0, max(day) AS p1 FROM points GROUP BY 1), adj AS (SELECT account, day, 50 AS amount FROM adj0 JOIN pspan USING (account) WHERE day > p0 AND day <= p1),
+i AS (SELECT account, day, day + CAST(line_id % 4 AS INTEGER) AS imported_on FROM bank_lines WHERE day < DATE '1998-03-01'), e AS (SELECT account, max(day) AS last, max(imported_on) AS newest FROM i GROUP BY 1), l AS (SELECT e.account, last, newest, max(imported_on) AS of_last FROM e JOIN i ON i.account = e.account AND i.day = e.last GROUP BY 1, 2, 3),
+complete AS (SELECT account, CAST(least(CASE WHEN of_last > last THEN last ELSE last - 1 END, newest - 1) AS DATE) AS c FROM l),
+led AS (SELECT account, day, moved, s, balance, coalesce(amount, 0) AS a, sum(coalesce(amount, 0)) OVER (PARTITION BY account ORDER BY day) AS t FROM ran LEFT JOIN points USING (account, day) LEFT JOIN adj USING (account, day)),
+g0 AS (SELECT account, day, moved, balance - lag(balance) OVER w - (s - lag(s) OVER w) AS raw, balance - lag(balance) OVER w - (s - lag(s) OVER w) - (t - lag(t) OVER w) AS missing, lag(moved) OVER w AS earlier, day > c AS pending FROM led JOIN complete USING (account) WHERE balance IS NOT NULL WINDOW w AS (PARTITION BY account ORDER BY day)),
+g1 AS (SELECT *, coalesce(missing <> 0 AND NOT pending, false) AS open FROM g0),
+g AS (SELECT *, coalesce(raw <> 0 AND raw = -lead(raw) OVER w AND NOT pending AND NOT lead(pending) OVER w AND (open OR lead(open) OVER w), false) AS suspect, CASE WHEN open AND moved <> 0 AND missing = -moved THEN 'after' WHEN open AND earlier <> 0 AND missing = earlier THEN 'before' END AS read_before FROM g1 WINDOW w AS (PARTITION BY account ORDER BY day))
+"""
+
+
+def _report(spark, sf_dir):
+    lines = views.bank_lines(spark, sf_dir)
+    daily = lines.groupBy("account", "day").agg(F.sum("amount").alias("moved")).withColumn("s", F.sum("moved").over(Window.partitionBy("account").orderBy("day")))
+    firsts = daily.groupBy("account", F.date_trunc("quarter", "day").alias("q")).agg(F.min("day").alias("day")).select("account", "day")
+    off = F.when(F.month("day") == 4, 100).when(F.month("day") == 7, -F.col("moved")).otherwise(0)
+    points = daily.join(firsts, ["account", "day"]).select("account", "day", (F.col("s") + off).cast("decimal(24,2)").alias("balance"))
+    adjustments = daily.filter(F.month("day") == 8).groupBy("account", F.year("day")).agg(F.min("day").alias("day")).select("account", "day", F.lit(50).cast("decimal(12,2)").alias("amount"))
+    complete = bank.complete_through(lines.filter("day < date'1998-03-01'").withColumn("imported_on", F.date_add("day", (F.col("line_id") % 4).cast("int"))))
+    return lines, points, adjustments, complete
+
+
+@query(f"WITH {REPORT} SELECT account, day, CAST(missing AS DOUBLE) AS missing, pending, open, suspect, read_before FROM g WHERE missing IS NOT NULL")
+def treasury_gap_report(spark, sf_dir):
+    """Gaps between typed balances, with what each may be."""
+    return bank.gap_report(*_report(spark, sf_dir)).withColumn("missing", F.col("missing").cast(D))
+
+
+@query(f"""
+WITH {REPORT}, spine AS (SELECT account, a, b, CAST(unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS DATE) AS month FROM (SELECT account, min(day) AS a, max(day) AS b FROM led GROUP BY 1)),
+m AS (SELECT account, month, CAST(greatest(month, a) AS DATE) AS start, CAST(least(last_day(month), b) AS DATE) AS fin FROM spine), f AS (SELECT account, min(day) AS d0, arg_min(balance, day) AS b0, arg_min(s, day) AS s0, arg_min(t, day) AS t0 FROM led WHERE balance IS NOT NULL GROUP BY 1),
+x AS (SELECT m.*, c, d0, b0, s0, t0, (SELECT arg_max(s, day) FROM led WHERE led.account = m.account AND day <= fin) AS s, (SELECT arg_max(t, day) FROM led WHERE led.account = m.account AND day <= fin) AS t, (SELECT arg_max(balance, day) FROM led WHERE led.account = m.account AND day <= fin AND balance IS NOT NULL) AS b,
+  (SELECT arg_max(s, day) FROM led WHERE led.account = m.account AND day <= fin AND balance IS NOT NULL) AS sb, (SELECT arg_max(t, day) FROM led WHERE led.account = m.account AND day <= fin AND balance IS NOT NULL) AS tb, (SELECT max(day) FROM led WHERE led.account = m.account AND day <= fin AND balance IS NOT NULL) AS db FROM m JOIN f USING (account) JOIN complete USING (account))
+SELECT account, month, start, fin AS "end", CAST(coalesce((SELECT sum(amount) FROM bank_lines l WHERE l.account = x.account AND l.day BETWEEN start AND fin AND amount > 0), 0) AS DOUBLE) AS credits, CAST(coalesce((SELECT sum(amount) FROM bank_lines l WHERE l.account = x.account AND l.day BETWEEN start AND fin AND amount < 0), 0) AS DOUBLE) AS debits,
+  CAST(coalesce((SELECT sum(a) FROM led WHERE led.account = x.account AND led.day BETWEEN start AND fin), 0) AS DOUBLE) AS adjustments, CAST(coalesce(b, b0) + s - coalesce(sb, s0) + t - coalesce(tb, t0) AS DOUBLE) AS closing, CASE WHEN db = fin THEN false WHEN db IS NOT NULL THEN fin > c ELSE d0 > c END AS provisional,
+  CAST(coalesce((SELECT sum(missing) FROM g WHERE g.account = x.account AND g.day BETWEEN start AND fin AND open), 0) AS DOUBLE) AS gap, (SELECT count(*) FROM g WHERE g.account = x.account AND g.day BETWEEN start AND fin AND open) AS n_gaps FROM x
+""")
+def treasury_month_rows(spark, sf_dir):
+    """Months of each account with closing balance and open gaps."""
+    out = bank.month_rows(*_report(spark, sf_dir))
+    return out.select("account", "month", "start", "end", *(F.col(c).cast(D).alias(c) for c in ("credits", "debits", "adjustments", "closing")), "provisional", F.col("gap").cast(D).alias("gap"), "n_gaps")
 
 
 #: Payouts: every fourth day of a method pays the three card days before it, less 1 on every fifth.

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.operators import forecast
+from ledgerloom.operators import forecast, series
 from ledgerloom.sources import views
 
 from .registry import query
@@ -56,18 +56,19 @@ CHANCE = f"""
 {BOUGHT}, days AS (SELECT store, article, day, sum(quantity) AS q FROM bought GROUP BY 1, 2, 3), visits AS (SELECT DISTINCT store, day, pow(0.5, (DATE '2000-06-30' - day) / 180.0) AS w FROM bought),
 first AS (SELECT article, min(day) AS first_day FROM days GROUP BY 1), here AS (SELECT store, article, sum(pow(0.5, (DATE '2000-06-30' - day) / 180.0)) AS here, count(*) AS n_days FROM days GROUP BY 1, 2),
 h AS (SELECT store, article, any_value(n_days) AS n_days, (any_value(here) + 0.1) / (coalesce(sum(w), 0) + 1) AS habit FROM here JOIN first USING (article) LEFT JOIN visits USING (store) WHERE day >= first_day GROUP BY 1, 2),
-ever AS (SELECT article, max(day) AS last_day, CAST(sum(q) AS DOUBLE) / (DATE '2000-06-30' - min(day) + 1) AS rate, CAST(sum(q) AS DOUBLE) AS total FROM days GROUP BY 1), lastq AS (SELECT article, CAST(sum(q) AS DOUBLE) AS last_q FROM days JOIN ever USING (article) WHERE day = last_day GROUP BY 1),
+ever AS (SELECT article, max(day) AS last_day, CAST(sum(CAST(q AS DOUBLE) * pow(0.5, (DATE '2000-06-30' - day) / 90.0)) AS DOUBLE) / ((1 - pow(pow(0.5, 1 / 90.0), DATE '2000-06-30' - min(day) + 1)) / (1 - pow(0.5, 1 / 90.0))) AS rate FROM days GROUP BY 1), lastq AS (SELECT article, CAST(sum(q) AS DOUBLE) AS last_q FROM days JOIN ever USING (article) WHERE day = last_day GROUP BY 1),
 c AS (SELECT store, article, n_days, habit, least(greatest((DATE '2000-06-30' - last_day + 7) / (last_q / rate), 0.1), 2.0) AS need, least(greatest(habit, 1e-4), 1 - 1e-4) AS p FROM h JOIN ever USING (article) JOIN lastq USING (article)),
 z AS (SELECT *, 1 / (1 + exp(-(ln(p / (1 - p)) + 0.39 + 0.82 * ln(need) - CASE WHEN n_days < 3 THEN 2.0 ELSE 0 END))) AS chance FROM c)
 """
 
 
 def _chances(spark, sf_dir):
-    """Chance that a store's next visit, a week on, buys each article: habit there, need by the calendar."""
+    """Chance that a store's next visit, a week on, buys each article: habit there, need by the calendar at the decayed rate."""
     bought = _bought(spark, sf_dir)
     days = bought.groupBy("store", "article", "day").agg(F.sum("quantity").alias("q"))
     per_day = days.groupBy("article", "day").agg(F.sum("q").cast("double").alias("q"))
-    ever = per_day.groupBy("article").agg(F.max("day").alias("last_day"), (F.sum("q") / (F.datediff(_today(), F.min("day")) + 1)).alias("rate"), F.max_by("q", "day").alias("last_q"))
+    rate = series.decayed_rate(per_day.withColumnRenamed("q", "quantity"), "article", _today())
+    ever = per_day.groupBy("article").agg(F.max("day").alias("last_day"), F.max_by("q", "day").alias("last_q")).join(rate, "article")
     rows = forecast.habit(days, bought, _today()).join(ever, "article")
     need = forecast.calendar_need(F.col("last_day"), F.col("last_q"), F.col("rate"), _today(), 7)
     need = F.least(F.greatest(need, F.lit(forecast.NEED_LOW)), F.lit(forecast.NEED_HIGH))

@@ -55,21 +55,44 @@ def fingerprint_occurrence(spark, sf_dir):
     return rows.select("event_id", "occurrence", F.sha2(F.concat_ws("|", "key", F.col("occurrence").cast("string")), 256).alias("fingerprint"))
 
 
+#: What a guess must score, and how far ahead of the next.
+ACCEPT, LEAD = 0.9, 1.5
+
+
 @query("""
 WITH w AS (SELECT p_partkey AS product_id, p_type AS category, unnest(regexp_extract_all(upper(p_name), '[A-Z]{3,}')) AS word FROM part), c AS (SELECT category, word, count(*) AS n FROM w GROUP BY 1, 2), t AS (SELECT word, sum(n) AS all_n FROM c GROUP BY 1),
 s AS (SELECT product_id, c.category, sum(CAST(c.n AS DOUBLE) / CAST(all_n AS DOUBLE)) AS score FROM (SELECT DISTINCT product_id, word FROM w) d JOIN c USING (word) JOIN t USING (word) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER o AS r, lead(score) OVER o AS second FROM s WINDOW o AS (PARTITION BY product_id ORDER BY round(score, 9) DESC, category))
-SELECT product_id, category, round(score, 6) AS score, score >= 0.2 AND score >= 1.05 * coalesce(second, 0) AS accepted FROM r WHERE r = 1
+SELECT product_id, category, round(score, 6) AS score, score >= 0.9 AND score >= 1.5 * coalesce(second, 0) AS accepted FROM r WHERE r = 1
 """)
 def word_classifier(spark, sf_dir):
-    """A category by its words: each counts by how much of it the category has."""
+    """A category by its words: each counts by how much of it the category has. Words say nothing of a product's category here,
+    so few are accepted; ``word_classifier_own`` has words that do."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), F.explode(tx.name_words(F.col("p_name"))).alias("word"))
+    return _guessed(rows)
+
+
+def _guessed(rows):
+    """Of ``rows`` (product_id, category, word) the best category of each product by its words, and whether it is good enough."""
     c = rows.groupBy("category", "word").agg(F.count("*").alias("n"))
     share = c.withColumn("share", F.col("n").cast(D) / F.sum("n").over(Window.partitionBy("word")).cast(D)).select("word", F.col("category").alias("guess"), "share")
     score = rows.select("product_id", "word").distinct().join(share, "word").groupBy("product_id", F.col("guess").alias("category")).agg(F.sum("share").alias("score"))
     o = Window.partitionBy("product_id").orderBy(F.round("score", 9).desc(), "category")
     best = score.withColumn("r", F.row_number().over(o)).withColumn("second", F.lead("score").over(o)).filter("r = 1")
-    return best.select("product_id", "category", F.round("score", 6).alias("score"), ((F.col("score") >= 0.2) & (F.col("score") >= 1.05 * F.coalesce("second", F.lit(0.0)))).alias("accepted"))
+    return best.select("product_id", "category", F.round("score", 6).alias("score"), ((F.col("score") >= ACCEPT) & (F.col("score") >= LEAD * F.coalesce("second", F.lit(0.0)))).alias("accepted"))
+
+
+@query("""
+WITH w AS (SELECT p_partkey AS product_id, p_brand AS category, unnest(list_filter(regexp_extract_all(upper(p_name || ' ' || p_brand || ' ' || CASE WHEN p_partkey % 3 = 0 THEN translate(substr(p_brand, 7), '0123456789', 'ABCDEFGHIJ') || 'XYZ' ELSE '' END), '[A-Z]{3,}'), lambda x: NOT list_contains(['BRAND', 'RED'], x))) AS word FROM part),
+c AS (SELECT category, word, count(*) AS n FROM w GROUP BY 1, 2), t AS (SELECT word, sum(n) AS all_n FROM c GROUP BY 1), s AS (SELECT product_id, c.category, sum(CAST(c.n AS DOUBLE) / CAST(all_n AS DOUBLE)) AS score FROM (SELECT DISTINCT product_id, word FROM w) d JOIN c USING (word) JOIN t USING (word) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER o AS r, lead(score) OVER o AS second FROM s WINDOW o AS (PARTITION BY product_id ORDER BY round(score, 9) DESC, category)) SELECT product_id, category, round(score, 6) AS score, score >= 0.9 AND score >= 1.5 * coalesce(second, 0) AS accepted FROM r WHERE r = 1
+""")
+def word_classifier_own(spark, sf_dir):
+    """The same where every third name has a word that only its brand has; stop words say nothing."""
+    own = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.translate(F.substring("p_brand", 7, 10), "0123456789", "ABCDEFGHIJ"), F.lit("XYZ"))).otherwise("")
+    words = F.filter(tx.name_words(F.concat_ws(" ", "p_name", "p_brand", own)), lambda x: ~x.isin("BRAND", "RED"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("category"), F.explode(words).alias("word"))
+    return _guessed(rows)
 
 
 @query("""
@@ -94,11 +117,21 @@ def size_extract(spark, sf_dir):
     return rows.select("product_id", F.col("s.quantity").cast(D).alias("quantity"), "s.unit", "s.times")
 
 
-@query()
+@query("""
+WITH b AS (SELECT s_suppkey AS supplier_id, lpad(CAST(s_suppkey * 7919 + 10000019 AS VARCHAR), 8, '4') AS b FROM supplier), w AS (SELECT supplier_id, b, (10 - list_sum(list_transform(range(1, 9), lambda i: CASE WHEN i % 2 = 1 THEN CAST(b[i] AS INTEGER) ELSE (2 * CAST(b[i] AS INTEGER)) // 10 + (2 * CAST(b[i] AS INTEGER)) % 10 END)) % 10) % 10 AS digit FROM b)
+SELECT supplier_id, b || digit AS siren, lpad(CAST((12 + 3 * (CAST(b || digit AS BIGINT) % 97)) % 97 AS VARCHAR), 2, '0') AS vat_key FROM w WHERE supplier_id % 3 <> 0
+""")
 def identifiers_luhn(spark, sf_dir):
-    """Nine-digit identifiers in pages that pass the Luhn check, with their VAT keys."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(tx.luhn_candidates(F.col("html"))).alias("siren"))
-    return rows.select("page_id", "siren", tx.vat_key(F.col("siren")).alias("vat_key"))
+    """Nine-digit identifiers printed in suppliers' letterheads that pass the Luhn check, with their VAT keys; every third has a
+    wrong last digit, and other runs of digits stand around them."""
+    base = F.lpad((F.col("s_suppkey") * 7919 + 10000019).cast("string"), 8, "4")
+    doubled = lambda x: F.floor(2 * x / 10) + 2 * x % 10
+    digits = F.transform(F.split(base, "(?!$)"), lambda x, i: F.when(i % 2 == 0, x.cast("int")).otherwise(doubled(x.cast("int"))))
+    digit = (10 - F.aggregate(digits, F.lit(0).cast("long"), lambda a, x: a + x) % 10) % 10
+    printed = (digit + F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0)) % 10
+    text = F.concat(F.lit("Tel 0123456789 SIREN "), base, printed.cast("string"), F.lit(" / 12345678 - RCS"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_id"), F.explode(tx.luhn_candidates(text)).alias("siren"))
+    return rows.select("supplier_id", "siren", tx.vat_key(F.col("siren")).alias("vat_key"))
 
 
 HOURS = "hours AS (SELECT user_id AS employee, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS v FROM events GROUP BY 1, 2)"

