@@ -11,7 +11,10 @@ from ledgerloom.functions.money import truncated
 
 def largest_remainder(rows: DataFrame, doc: str, position: str, amount: str, weight: str, out: str = "share") -> DataFrame:
     """Spread ``amount`` (one a document) over lines with a positive ``weight``: shares are cut toward zero, and the cents
-    left go one each to the largest remainders, the earliest line first. Other lines get 0; with no weight all do."""
+    left go one each to the largest remainders, the earliest line first. Other lines get 0; with no weight all do.
+
+    A negative amount is spread as its absolute value and turned: since all weights are positive that is the signed leftover, in
+    order of absolute remainders, of a delivery charge that was credited."""
     whole = Window.partitionBy(doc)
     w = F.greatest(F.col(weight), F.lit(0)).cast("decimal(14,2)")
     rows = rows.withColumn("__w", w).withColumn("__sum", F.sum("__w").over(whole).cast("decimal(16,2)"))
@@ -25,6 +28,13 @@ def largest_remainder(rows: DataFrame, doc: str, position: str, amount: str, wei
     return rows.withColumn(out, F.when(F.col(amount) < 0, -share).otherwise(share).cast("decimal(12,2)")).drop("__w", "__sum", "__exact", "__cut", "__left", "__rank")
 
 
+def promotion(rows: DataFrame, doc: str, position: str, discount: str, weight: str, out: str = "share") -> DataFrame:
+    """The same of a ticket's promotion, where it fits: one that is more than its lines' weights together is not spread."""
+    total = F.sum(F.greatest(F.col(weight), F.lit(0))).over(Window.partitionBy(doc))
+    fits = rows.withColumn("__discount", F.when((total > 0) & (F.col(discount) <= total), F.col(discount)).otherwise(0))
+    return largest_remainder(fits, doc, position, "__discount", weight, out).drop("__discount")
+
+
 def rounded_with_rest(rows: DataFrame, group: str, part: str, exact: str, out: str = "rounded") -> DataFrame:
     """Each part rounded to the cent, and what the rounding lost given to the part with the largest absolute amount."""
     whole = Window.partitionBy(group)

@@ -156,6 +156,23 @@ def charge_spread(spark, sf_dir):
     return out.select("invoice_id", F.col("position").cast("long").alias("position"), F.col("charge").cast(D).alias("charge"), (F.col("share").cast(D) + F.lit(0.0)).alias("share"))
 
 
+@query("""
+WITH placed AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY line, product_id, supplier_id, day, ht, quantity, discount, vat) AS pos FROM lines),
+w AS (SELECT *, CAST(CASE WHEN line % 5 = 0 THEN 0 ELSE quantity END AS DECIMAL(12,2)) AS weight, CAST((invoice_id % 997) / 10.0 AS DECIMAL(12,2)) AS promo FROM placed), s AS (SELECT *, sum(weight) OVER (PARTITION BY invoice_id) AS total FROM w),
+e AS (SELECT *, CASE WHEN total > 0 AND promo <= total THEN CAST(promo * 100 AS HUGEINT) ELSE 0 END AS cents, CAST(weight * 100 AS HUGEINT) AS wc, CAST(total * 100 AS HUGEINT) AS den FROM s),
+q AS (SELECT *, CASE WHEN den > 0 THEN cents * wc // den ELSE 0 END AS whole, CASE WHEN den > 0 THEN cents * wc % den ELSE 0 END AS rest FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY weight > 0 DESC, rest DESC, pos) AS rank, cents - sum(whole) OVER (PARTITION BY invoice_id) AS missing FROM q)
+SELECT invoice_id, pos AS position, cents = 0 AND promo > 0 AS refused, CAST(whole + CASE WHEN weight > 0 AND rank <= missing THEN 1 ELSE 0 END AS DOUBLE) / 100 AS share FROM r
+""")
+def promotion_spread(spark, sf_dir):
+    """A promotion of each ticket over its items, unless it is more than all of them."""
+    order = Window.partitionBy("invoice_id").orderBy("line", "product_id", "supplier_id", "day", "ht", "quantity", "discount", "vat")
+    rows = views.lines(spark, sf_dir).withColumn("position", F.row_number().over(order)).withColumn("promo", (F.col("invoice_id") % 997 / 10).cast("decimal(12,2)"))
+    rows = rows.withColumn("weight", F.when(F.col("line") % 5 == 0, F.lit(0)).otherwise(F.col("quantity")).cast("decimal(12,2)"))
+    out = spreads.promotion(rows, "invoice_id", "position", "promo", "weight").withColumn("total", F.sum("weight").over(Window.partitionBy("invoice_id")))
+    refused = (F.col("promo") > 0) & ((F.col("total") <= 0) | (F.col("promo") > F.col("total")))
+    return out.select("invoice_id", F.col("position").cast("long").alias("position"), refused.alias("refused"), F.col("share").cast(D).alias("share"))
+
+
 @query("""
 WITH parts AS (SELECT supplier_id, category, article, sum(ht) AS amount FROM lines JOIN products USING (product_id) GROUP BY 1, 2, 3),
 s AS (SELECT *, CAST(amount AS DOUBLE) / CAST(sum(amount) OVER (PARTITION BY supplier_id) AS DOUBLE) < 0.02 AS small FROM parts),
