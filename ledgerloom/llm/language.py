@@ -217,12 +217,14 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return out
 
 
-def _predict(shared):
+def _predict(shared, at: int | None):
+    """``at``: which of the row's columns is the text, where it is not a column beside it."""
+
     def of(batches):
         model: Model = shared.value
         names = np.array(model.languages, dtype=object)
         for b in batches:
-            bits = code_lengths(model, *_bytes_of(b["text"]))
+            bits = code_lengths(model, *_bytes_of(b["text"] if at is None else b["row"].field(at)))
             best = bits.argmin(1)
             share = 1 / np.exp2(np.maximum(bits[np.arange(len(bits)), best][:, None] - bits, -1000)).sum(1)
             known = np.array(b["known"].to_pylist(), dtype=bool)
@@ -242,20 +244,30 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     """
     text = F.col(text_col).cast("string")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    # A text that the row holds goes to the task once.
+    held = docs.schema[text_col].dataType == StringType()
+    return _walked(docs.select(row, *[text.alias("text")] * (not held), _known(text)), model, docs.columns.index(text_col) if held else None)
+
+
+def _known(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known")
+
+
+def _walked(rows: DataFrame, model: Model | None, at: int | None) -> DataFrame:
     if model is None:
-        return docs.select(row, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    ship(docs.sparkSession)
-    rows = docs.select(row, text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    ship(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(_predict(shared), schema)
+    return rows.mapInArrow(_predict(shared, at), schema)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Predict every row: id, ``held_out``, ``lang_pred``, ``score``. A null id counts as the empty string in ``held_out``;
     repeated rows agree; an empty table gives no rows."""
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), held_out(id_col).alias("held_out")).alias("about"), F.col(text_col).alias("text"))
-    return predict(rows, model).select(F.col("row.about.id").alias(id_col), "row.about.held_out", "lang_pred", "score")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), held_out(id_col).alias("held_out")).alias("row"), text.alias("text"), _known(text))
+    return _walked(rows, model, None).select(F.col("row.id").alias(id_col), "row.held_out", "lang_pred", "score")
 
 
 def learned(docs: DataFrame) -> Model | None:
