@@ -57,6 +57,16 @@ def loss_allowance(left_the_shelf: Column, loss_percent: Column) -> Column:
     return F.greatest(left_the_shelf, F.lit(0)) * F.least(F.greatest(loss_percent, F.lit(0)), F.lit(100)) / 100
 
 
+#: Fixed value: how many times its reference a price may be, or be below it, without a doubt.
+DOUBT = 10
+
+
+def doubtful(per_unit: Column, reference: Column) -> Column:
+    """dear or cheap, where a price for each unit consumed is far from its reference; null where either is none."""
+    known = (per_unit > 0) & (reference > 0)
+    return F.when(known & (per_unit > reference * DOUBT), "dear").when(known & (per_unit * DOUBT < reference), "cheap")
+
+
 def number(text: Column) -> Column:
     """A number with French grouping: spaces, no-break spaces and apostrophes only as thousands; comma or point as mark."""
     shape = text.rlike(r"^\s*[+-]?(\d{1,3}([   '’]\d{3})+|\d+)([.,]\d+)?\s*$")

@@ -34,6 +34,26 @@ def name_words(text: Column) -> Column:
     return F.regexp_extract_all(F.upper(search_key(text)), F.lit(r"[A-Z]{3,}"), F.lit(0))
 
 
+def _common(a: Column, b: Column) -> Column:
+    """Letters of the longest common subsequence of two texts that are not empty, a row of the usual table for each letter."""
+    at = lambda row, j: F.coalesce(F.get(row, j), F.lit(0))
+    letters = F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.substr(a, i, F.lit(1)))
+
+    def row_of(row: Column, letter: Column) -> Column:
+        best = lambda new, j: F.greatest(at(row, j - 1), at(new, j - 2), F.when(F.substr(b, j, F.lit(1)) == letter, at(row, j - 2) + 1).otherwise(0))
+        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array().cast("array<int>"), lambda new, j: F.concat(new, F.array(best(new, j))))
+
+    return F.aggregate(letters, F.array().cast("array<int>"), row_of, lambda row: F.element_at(row, -1))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 100: the letters that two names have in common, in order, of all; the better of as written and with words sorted."""
+    clean = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", " "))
+    sorted_ = lambda x: F.array_join(F.array_sort(F.split(clean(x), r"\s+")), " ")
+    share = lambda x, y: F.when((F.length(x) > 0) & (F.length(y) > 0), F.lit(200.0) * _common(x, y) / (F.length(x) + F.length(y))).otherwise(0.0)
+    return F.when(clean(a) == clean(b), F.when(clean(a) == "", 0.0).otherwise(100.0)).otherwise(F.greatest(share(clean(a), clean(b)), share(sorted_(a), sorted_(b))))
+
+
 def numeric_signature(text: Column) -> Column:
     """The numbers in a name, sorted, without leading zeros and with one kind of decimal mark."""
     numbers = F.regexp_extract_all(text, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))
@@ -46,6 +66,49 @@ def luhn_candidates(text: Column, digits: int = 9) -> Column:
     return F.array_distinct(F.filter(runs, lambda x: F.call_function("luhn_check", x)))
 
 
+#: How documents print company numbers, phones and web sites.
+COMPANY_LABEL = r"(?i)\b(?:siren|siret|rcs)\b"
+VAT_NUMBER = r"(?<![A-Za-z0-9])FR ?[0-9A-Z]{2} ?\d{3} ?\d{3} ?\d{3}(?!\d)"
+DIGIT_RUN = r"(?<![\d,.])\d(?:[ \u00A0]?\d){8,}(?!\d|[.,]\d)"
+PHONE = r"(?<!\d)(?<!\d[.,])(?:\+33 ?(?:\(0\) ?)?|0)[1-9]([ .-]?)\d{2}(?:\1\d{2}){3}(?!\d|[.,]\d)"
+WEB = (
+    r"(?i)(?<![\w@.-])(?:https?://)?www\.((?:[a-z0-9-]+\.)+[a-z]{2,})(?![\w@-])",
+    r"(?i)(?<![\w@.-])https?://((?:[a-z0-9-]+\.)+[a-z]{2,})(?![\w@-])",
+    r"(?i)(?<![\w@.-])((?:[a-z0-9-]+\.)*[a-z][a-z0-9-]{2,}\.(?:fr|com|net|org|eu|shop|paris|biz|info|io))(?![\w@-]|\.\w)",
+)
+
+
+def identifiers(text: Column) -> Column:
+    """What a text prints that can name its sender, each once and checked as it is built: ``siren:`` (from a VAT number, a SIRET, or
+    nine digits on a line that says what they are), ``tel:`` and ``web:``."""
+    every = lambda line, pattern, group=0: F.regexp_extract_all(line, F.lit(pattern), F.lit(group))
+    digits = lambda x: F.regexp_replace(x, r"\D", "")
+    luhn = lambda x: F.call_function("luhn_check", x)
+
+    def company(x: Column) -> Column:
+        x = F.translate(x, " ", "")
+        key, number = F.substring(x, 3, 2), F.substring(x, 5, 9)
+        return F.when(F.when(key.rlike(r"^\d\d$"), key == vat_key(number)).otherwise(luhn(number)), number)
+
+    def run(line: Column, x: Column) -> Column:
+        head = F.substring(x, 1, 9)
+        return F.when((F.length(x) == 14) & luhn(x) & luhn(head), head).when((F.length(x) == 9) & luhn(x) & line.rlike(COMPANY_LABEL), x)
+
+    def phone(x: Column) -> Column:
+        x = F.when(x.startswith("33"), F.concat(F.lit("0"), F.regexp_replace(F.substring(x, 3, 20), "^0", ""))).otherwise(x)
+        return F.when(F.length(x) == 10, x)
+
+    def of(line: Column) -> Column:
+        said = lambda kind, values: F.transform(values, lambda x: F.concat(F.lit(f"{kind}:"), x))
+        sites = F.concat(*(every(line, p, 1) for p in WEB))
+        return F.concat(
+            said("siren", F.transform(every(line, VAT_NUMBER), company)), said("siren", F.transform(every(line, DIGIT_RUN), lambda x: run(line, digits(x)))),
+            said("tel", F.transform(every(line, PHONE), lambda x: phone(digits(x)))), said("web", F.transform(sites, lambda x: F.regexp_replace(F.lower(x), r"^www\.", ""))),
+        )
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(F.split(text, r"[\r\n]+"), of))))
+
+
 def vat_key(siren: Column) -> Column:
     """The two check digits of a French VAT number."""
     return F.lpad(((12 + 3 * (siren.cast("long") % 97)) % 97).cast("string"), 2, "0")

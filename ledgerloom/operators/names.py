@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.text import ocr_fold
+from ledgerloom.functions.text import ocr_fold, search_key
 from ledgerloom.sources.ship import ship
 
 #: Letters and digits that a reader takes for one another.
@@ -120,3 +120,67 @@ def same_words(names: DataFrame) -> DataFrame:
     """(key, n, first_id): names that have the same words in any order and the same numbers."""
     words = F.array_join(F.array_sort(F.regexp_extract_all(F.upper("name"), F.lit(r"[A-Z0-9]+"), F.lit(0))), " ")
     return names.groupBy(words.alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+#: How short a word may stand for a longer one, and how long one is that may have a typo.
+SHORTEST, TYPO = 3, 7
+
+
+def _alike(a: str, b: str) -> bool:
+    short, long = sorted((a, b), key=len)
+    if a == b or (len(short) >= SHORTEST and long.startswith(short)):
+        return True
+    if len(short) < TYPO or len(long) - len(short) > 1 or not (a.isalpha() and b.isalpha()):
+        return False
+    head = next((i for i, (x, y) in enumerate(zip(short, long, strict=False)) if x != y), len(short))
+    return short[head + (len(short) == len(long)) :] == long[head + 1 :]
+
+
+def _plural(a: str, b: str) -> bool:
+    short, long = sorted((a, b), key=len)
+    return a == b or (len(short) >= SHORTEST and long == short + "S")
+
+
+def _all_paired(a: list[str], b: list[str], alike) -> bool:
+    """Whether each word of ``a`` has a partner of its own in ``b``: a word that finds its partners taken asks them to move."""
+    holder: dict[int, int] = {}
+
+    def seat(i: int, asked: set[int]) -> bool:
+        for j in range(len(b)):
+            if j not in asked and alike(a[i], b[j]):
+                asked.add(j)
+                if j not in holder or seat(holder[j], asked):
+                    holder[j] = i
+                    return True
+        return False
+
+    return all(seat(i, set()) for i in range(len(a)))
+
+
+def paired(names: DataFrame) -> DataFrame:
+    """(a_id, b_id, sure): names of one group that say the same words, each word of one paired with its own of the other: equal,
+    short for it, or one typo apart; ``sure`` where equal or plural alone is enough. ``names``: id, grp, name; equal sets of
+    words are one name, of the smallest id.
+
+    Words that are alike share their first three letters, or their last four, or are equal. Each name is looked up by these
+    keys of its rarest word, among all words of the others with as many.
+    """
+    listed = F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(search_key(F.col("name"))), F.lit(r"[A-Z0-9]+"), F.lit(0))))
+    each = names.select("id", "grp", listed.alias("words")).filter("size(words) > 0").groupBy("grp", "words").agg(F.min("id").alias("id"))
+    keys = lambda w: F.filter(F.array(F.when(F.length(w) < SHORTEST, F.concat(F.lit("="), w)).otherwise(F.concat(F.lit("<"), F.substring(w, 1, SHORTEST))), F.when(F.length(w) >= TYPO, F.concat(F.lit(">"), F.right(w, F.lit(TYPO - SHORTEST))))), lambda k: k.isNotNull())
+    said = each.select("grp", "id", "words", F.size("words").alias("n"), F.explode("words").alias("word")).withColumn("key", F.explode(keys(F.col("word"))))
+    common = said.groupBy("grp", "n", "key").agg(F.count("*").alias("often"))
+    rare = said.join(common, ["grp", "n", "key"]).groupBy("grp", "n", "id", "words", "word").agg(F.sum("often").alias("often"), F.collect_set("key").alias("keys"))
+    asks = rare.groupBy("grp", "n", "id", "words").agg(F.min_by("keys", F.struct("often", "word")).alias("keys")).select("grp", "n", F.col("id").alias("a"), F.col("words").alias("wa"), F.explode("keys").alias("key"))
+    met = asks.join(said.select("grp", "n", F.col("id").alias("b"), F.col("words").alias("wb"), "key"), ["grp", "n", "key"]).filter("a <> b")
+    first = F.col("a") < F.col("b")
+    pairs = met.select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"), F.when(first, F.col("wa")).otherwise(F.col("wb")).alias("wa"), F.when(first, F.col("wb")).otherwise(F.col("wa")).alias("wb")).distinct()
+
+    def decide(batches):
+        for x in batches:
+            same = [_all_paired(list(p), list(q), _alike) for p, q in zip(x.wa, x.wb, strict=True)]
+            x = x[same]
+            yield x.assign(sure=[_all_paired(list(p), list(q), _plural) for p, q in zip(x.wa, x.wb, strict=True)])[["a_id", "b_id", "sure"]]
+
+    ship(names.sparkSession)
+    return pairs.mapInPandas(decide, "a_id long, b_id long, sure boolean")
