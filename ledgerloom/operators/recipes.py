@@ -96,6 +96,25 @@ def variance(stock: DataFrame, use: DataFrame, pool_of: DataFrame) -> DataFrame:
     return out.withColumn("shortfall", F.when(F.col("impossible"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("unexplained_min") - F.col("allowance"))))
 
 
+def with_own_sales(use: DataFrame, alone: DataFrame, pool_of: DataFrame) -> DataFrame:
+    """``use`` of pools with articles sold as themselves: ``alone`` (product_id, quantity) takes exactly that from its pool, or from
+    itself where it is in none."""
+    own = alone.join(pool_of, "product_id", "left").select(F.coalesce("pool", "product_id").alias("pool"), F.col("quantity").cast("double").alias("q"))
+    both = use.select("pool", F.col("expected_min").cast("double").alias("lo"), F.col("expected_max").cast("double").alias("hi")).unionByName(own.select("pool", F.col("q").alias("lo"), F.col("q").alias("hi")))
+    return both.groupBy("pool").agg(F.sum("lo").alias("expected_min"), F.sum("hi").alias("expected_max"))
+
+
+def floors(pools: DataFrame, members: DataFrame) -> DataFrame:
+    """``pools`` (pool, shortfall, ...) with what the shortfall is worth and how many items it is, both at the member that costs
+    least, and whether every member was counted. ``members``: pool, product_id, unit_cost, item_size, counted."""
+    cost, size = F.col("unit_cost"), F.col("item_size")
+    cheapest = F.min_by(F.struct("unit_cost", "item_size"), F.when(cost > 0, F.struct(cost, F.col("product_id"))))
+    per = members.groupBy("pool").agg(cheapest.alias("cheapest"), F.bool_and("counted").alias("reliable"))
+    rows = pools.join(per, "pool", "left")
+    size = F.col("cheapest.item_size")
+    return rows.withColumn("value_missing", F.col("shortfall") * F.col("cheapest.unit_cost")).withColumn("items_missing", F.when(size > 0, F.col("shortfall") / size)).withColumn("reliable", F.coalesce("reliable", F.lit(False))).drop("cheapest")
+
+
 #: Rows of one group of pools, about.
 POOL_ROWS = 50_000
 

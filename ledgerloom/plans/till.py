@@ -141,8 +141,8 @@ def _stock(spark, sf_dir):
     return rows.join(views.products(spark, sf_dir).select("product_id", "loss_percent"), "product_id")
 
 
-@query(f"""
-WITH {RECIPES}, {STOCK},
+#: Pools with what their recipes should have used and what left the shelf.
+POOLED = f"""
 multi AS (SELECT recipe_id, grp, min(product_id) AS b FROM ingredients GROUP BY 1, 2 HAVING count(*) > 1),
 {BELOW}, size AS (SELECT recipe_id, grp, count(*) AS n FROM ingredients GROUP BY 1, 2), under AS (SELECT a AS top, product_id, n FROM below JOIN ingredients i ON i.recipe_id = b JOIN size z ON z.recipe_id = b AND z.grp = i.grp), tops AS (SELECT top, min(product_id) AS b FROM under GROUP BY 1 HAVING max(n) > 1),
 edges AS (SELECT i.product_id AS a, m.b AS b FROM ingredients i JOIN multi m USING (recipe_id, grp) UNION SELECT product_id, t.b FROM under JOIN tops t USING (top)), sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
@@ -151,7 +151,12 @@ pools AS (SELECT p.product_id, coalesce(min(c.other), p.product_id) AS pool FROM
 terms AS (SELECT i.recipe_id, i.grp, min(amount) AS lo, max(amount) AS hi, min(pool) AS pool FROM ingredients i JOIN pools USING (product_id) GROUP BY 1, 2),
 made AS (SELECT recipe_id, sum(sold) AS made FROM (SELECT recipe_id, CAST(sold AS DOUBLE) AS sold FROM sold UNION ALL SELECT b, sold * share FROM below JOIN sold ON a = recipe_id) GROUP BY 1),
 use AS (SELECT pool, sum(CAST(lo AS DOUBLE) * made) AS emin, sum(CAST(hi AS DOUBLE) * made) AS emax FROM terms JOIN made USING (recipe_id) GROUP BY 1),
-per AS (SELECT pool, count(*) AS n, sum(opening + purchases - closing) AS actual, sum(losses) AS losses, sum(CAST(greatest(opening + purchases - closing, 0) AS DOUBLE) * least(greatest(loss_percent, 0), 100) / 100) AS allowance FROM stock JOIN pools USING (product_id) JOIN products USING (product_id) GROUP BY 1),
+per AS (SELECT pool, count(*) AS n, sum(opening + purchases - closing) AS actual, sum(losses) AS losses, sum(CAST(greatest(opening + purchases - closing, 0) AS DOUBLE) * least(greatest(loss_percent, 0), 100) / 100) AS allowance FROM stock JOIN pools USING (product_id) JOIN products USING (product_id) GROUP BY 1)
+"""
+
+
+@query(f"""
+WITH {RECIPES}, {STOCK}, {POOLED},
 x AS (SELECT *, coalesce(emin, 0) AS e0, coalesce(emax, 0) AS e1 FROM per LEFT JOIN use USING (pool))
 SELECT pool, n AS n_members, CAST(actual AS DOUBLE) AS actual, CAST(losses AS DOUBLE) AS losses, round(e0, 6) AS expected_min, round(e1, 6) AS expected_max, round(actual - losses - e1, 6) AS unexplained_min, round(actual - losses - e0, 6) AS unexplained_max,
   actual - losses - e0 < 0 AS impossible, round(CASE WHEN actual - losses - e0 < 0 THEN 0 ELSE greatest(0, CAST(actual - losses - e1 AS DOUBLE) - allowance) END, 4) AS shortfall FROM x
@@ -165,6 +170,28 @@ def variance_by_pool(spark, sf_dir):
     return out.select("pool", "n_members", *(F.col(c).cast(D).alias(c) for c in ("actual", "losses")), *(F.round(F.col(c).cast(D), 6).alias(c) for c in ("expected_min", "expected_max", "unexplained_min", "unexplained_max")), "impossible", F.round(F.col("shortfall").cast(D), 4).alias("shortfall"))
 
 
+@query(f"""
+WITH {RECIPES}, {STOCK}, {POOLED}, alone AS (SELECT coalesce(pool, l.product_id) AS pool, sum(quantity) AS q FROM lines l LEFT JOIN pools ON pools.product_id = l.product_id WHERE flag = 'R' AND l.product_id % 7 = 3 AND day > DATE '1998-01-01' AND day <= DATE '1999-01-01' GROUP BY 1),
+members AS (SELECT pool, product_id, unit_cost, CAST(p_size AS DOUBLE) / 10 AS item_size, product_id % 9 <> 4 AS counted FROM pools LEFT JOIN unit_costs USING (product_id) JOIN part ON p_partkey = product_id),
+cheap AS (SELECT pool, unit_cost, item_size FROM members WHERE unit_cost > 0 QUALIFY row_number() OVER (PARTITION BY pool ORDER BY unit_cost, product_id) = 1), sure AS (SELECT pool, bool_and(counted) AS reliable FROM members GROUP BY 1),
+x AS (SELECT per.*, coalesce(emin, 0) + coalesce(q, 0) AS e0, coalesce(emax, 0) + coalesce(q, 0) AS e1 FROM per LEFT JOIN use USING (pool) LEFT JOIN alone USING (pool)),
+y AS (SELECT *, CASE WHEN actual - losses - e0 < 0 THEN 0 ELSE greatest(0, CAST(actual - losses - e1 AS DOUBLE) - allowance) END AS shortfall FROM x)
+SELECT pool, round(e0, 6) AS expected_min, round(e1, 6) AS expected_max, round(shortfall, 4) AS shortfall, round(shortfall * unit_cost, 2) AS value_missing, round(CASE WHEN item_size > 0 THEN shortfall / item_size END, 4) AS items_missing, reliable FROM y LEFT JOIN cheap USING (pool) LEFT JOIN sure USING (pool)
+""")
+def shrinkage_floors(spark, sf_dir):
+    """What is missing from each pool at least, in items and money of its cheapest member, articles sold as themselves counted in."""
+    ingredients, below = src.ingredients(spark, sf_dir), written(_below(spark, sf_dir))
+    pool_of = written(ops.pools(ingredients, below))
+    use = ops.expected_use(ingredients.withColumn("amount", F.col("amount").cast(D)), ops.made(_sold(spark, sf_dir), below), pool_of)
+    day = F.col("day")
+    alone = views.lines(spark, sf_dir).filter((F.col("flag") == "R") & (F.col("product_id") % 7 == 3) & (day > F.lit("1998-01-01").cast("date")) & (day <= F.lit("1999-01-01").cast("date"))).groupBy("product_id").agg(F.sum("quantity").alias("quantity"))
+    found = ops.variance(_stock(spark, sf_dir), ops.with_own_sales(use, alone, pool_of), pool_of)
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), (F.col("p_size").cast(D) / 10).alias("item_size"))
+    members = pool_of.join(sizes, "product_id").join(_unit_costs(spark, sf_dir), "product_id", "left").withColumn("counted", F.col("product_id") % 9 != 4)
+    out = ops.floors(found, members)
+    return out.select("pool", *(F.round(F.col(c).cast(D), n).alias(c) for c, n in (("expected_min", 6), ("expected_max", 6), ("shortfall", 4), ("value_missing", 2), ("items_missing", 4))), "reliable")
+
+
 def _demands(spark, sf_dir):
     ingredients, sold = src.ingredients(spark, sf_dir), _sold(spark, sf_dir)
     below = shares_below(src.recipes(spark, sf_dir).filter("sub_recipe is not null").select(F.col("recipe_id").alias("a"), F.col("sub_recipe").alias("b")), 0.5)

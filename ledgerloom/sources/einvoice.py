@@ -1,4 +1,4 @@
-"""Electronic invoices: lines of UBL and CII files by their XML tags."""
+"""Electronic invoices: lines and headers of UBL and CII files by their XML tags."""
 
 from __future__ import annotations
 
@@ -35,3 +35,53 @@ def read_cii(spark: SparkSession, path: str) -> DataFrame:
         "file", _first("LineID").try_cast("int").alias("number"), _first("Name").alias("name"), _first("BilledQuantity").try_cast("decimal(12,3)").alias("quantity"),
         _first("LineTotalAmount").try_cast("decimal(12,2)").alias("ht"), (_first("RateApplicablePercent").try_cast("decimal(6,2)") / 100).cast("decimal(5,4)").alias("vat"),
     )
+
+
+def _inside(tag: str, column: str = "x"):
+    """The text between the first ``tag`` and its end."""
+    return F.regexp_extract(column, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
+
+
+def _tag(text, tag: str):
+    return F.trim(F.regexp_extract(text, rf"<{tag}(?:\s[^>]*)?>([^<]*)</{tag}>", 1))
+
+
+def _each(tag: str, **fields):
+    """array<struct> of every ``tag`` left in the text."""
+    return F.transform(F.regexp_extract_all("x", F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>"), F.lit(0)), lambda x: F.struct(*(read(x).alias(name) for name, read in fields.items())))
+
+
+def _money(tag: str):
+    return lambda x: _tag(x, tag).try_cast("decimal(12,2)")
+
+
+def _rate(tag: str):
+    return lambda x: (_tag(x, tag).try_cast("decimal(6,2)") / 100).cast("decimal(5,4)")
+
+
+def ubl_headers(spark: SparkSession, path: str) -> DataFrame:
+    """One row a UBL file: file, number, day, seller, ht, tax, ttc, due, rates (rate, base, tax), allowances (amount, reason; a charge is
+    negative). Lines are taken out first, so that what is left is the document's own."""
+    rows = _texts(spark, path).select("file", F.regexp_replace("x", r"(?s)<InvoiceLine>.*</InvoiceLine>", "").alias("x"))
+    sums, seller = _inside("LegalMonetaryTotal"), _inside("AccountingSupplierParty")
+    sign = lambda x: F.when(F.lower(_tag(x, "ChargeIndicator")) == "true", -1).otherwise(1)
+    return rows.select(
+        "file", _tag(F.regexp_replace("x", r"(?s)<AccountingSupplierParty.*", ""), "ID").alias("number"), F.try_to_date(_first("IssueDate"), "yyyy-MM-dd").alias("day"),
+        F.coalesce(F.nullif(_tag(seller, "RegistrationName"), F.lit("")), _tag(seller, "Name")).alias("seller"), _money("TaxExclusiveAmount")(sums).alias("ht"), _money("TaxAmount")(_inside("TaxTotal")).alias("tax"),
+        _money("TaxInclusiveAmount")(sums).alias("ttc"), _money("PayableAmount")(sums).alias("due"), _each("TaxSubtotal", rate=_rate("Percent"), base=_money("TaxableAmount"), tax=_money("TaxAmount")).alias("rates"),
+        _each("AllowanceCharge", amount=lambda x: (_money("Amount")(x) * sign(x)).cast("decimal(12,2)"), reason=lambda x: _tag(x, "AllowanceChargeReason")).alias("allowances"),
+    )
+
+
+def cii_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The same of CII files."""
+    tag = "IncludedSupplyChainTradeLineItem"
+    rows = _texts(spark, path).select("file", F.regexp_replace("x", rf"(?s)<{tag}>.*</{tag}>", "").alias("x"))
+    document, sums = _inside("ExchangedDocument"), _inside("SpecifiedTradeSettlementHeaderMonetarySummation")
+    sign = lambda x: F.when(F.lower(_tag(x, "Indicator")) == "true", -1).otherwise(1)
+    return rows.select(
+        "file", _tag(document, "ID").alias("number"), F.try_to_date(F.trim(_tag(document, "DateTimeString")), "yyyyMMdd").alias("day"), _tag(_inside("SellerTradeParty"), "Name").alias("seller"),
+        _money("TaxBasisTotalAmount")(sums).alias("ht"), _money("TaxTotalAmount")(sums).alias("tax"), _money("GrandTotalAmount")(sums).alias("ttc"), _money("DuePayableAmount")(sums).alias("due"),
+        _each("ApplicableTradeTax", rate=_rate("RateApplicablePercent"), base=_money("BasisAmount"), tax=_money("CalculatedAmount")).alias("rates"),
+        _each("SpecifiedTradeAllowanceCharge", amount=lambda x: (_money("ActualAmount")(x) * sign(x)).cast("decimal(12,2)"), reason=lambda x: _tag(x, "Reason")).alias("allowances"),
+    )
