@@ -35,6 +35,8 @@ MAX_LANGUAGES = 256
 MODEL_BYTES = 256_000_000
 #: A text is walked in pieces of this many bytes, all pieces of a batch abreast; a piece warms up on the bytes before it.
 PIECE = 256
+#: Rows that go back to Spark at once.
+ROWS_BACK = 1024
 UNKNOWN = "und"
 
 
@@ -202,15 +204,16 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     ends = np.searchsorted(-length, -np.arange(1, PIECE + 1), side="right")
     out = np.zeros((len(sizes), len(model.trees)))
     for j, tree in enumerate(model.trees):
-        after, bits, symbols = tree.after.ravel(), tree.bits.ravel(), tree.symbol[data]
+        # Symbols are looked up as they are needed: those of a whole batch take four times its bytes, twice while they change.
+        after, bits, symbol = tree.after.ravel(), tree.bits.ravel(), tree.symbol
         state = np.zeros(len(owner), dtype=np.int32)
         for t in range(model.order):
-            state[warm] = after[state[warm] + symbols[start[warm] - model.order + t]]
+            state[warm] = after[state[warm] + symbol[data[start[warm] - model.order + t]]]
         total = np.zeros(len(owner))
         for t, k in enumerate(ends):
             if not k:
                 break
-            at = state[:k] + symbols[start[:k] + t]
+            at = state[:k] + symbol[data[start[:k] + t]]
             total[:k] += bits[at]
             state[:k] = after[at]
         out[:, j] = np.bincount(owner, weights=total, minlength=len(sizes))
@@ -229,7 +232,9 @@ def _predict(shared, at: int | None):
             share = 1 / np.exp2(np.maximum(bits[np.arange(len(bits)), best][:, None] - bits, -1000)).sum(1)
             known = np.array(b["known"].to_pylist(), dtype=bool)
             out = [pa.array(np.where(known, names[best], UNKNOWN).tolist(), pa.string()), pa.array(np.where(known, share, 0.0))]
-            yield pa.RecordBatch.from_arrays([b["row"], *out], ["row", "lang_pred", "score"])
+            found = pa.RecordBatch.from_arrays([b["row"], *out], ["row", "lang_pred", "score"])
+            for i in range(0, len(found), ROWS_BACK):
+                yield found.slice(i, ROWS_BACK)
 
     return of
 
