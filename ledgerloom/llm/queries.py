@@ -7,7 +7,7 @@ import hashlib
 from ledgerloom.sources.scratch import shared_dir
 from ledgerloom.sources.tables import table
 
-from . import bpe, decontamination, katz, language, neardup, quality, secrets, sharding, suffixes, urls
+from . import bpe, decontamination, katz, language, neardup, phrases, quality, secrets, sharding, suffixes, urls
 
 
 def secret_ledger(spark, sf_dir: str) -> str:
@@ -57,7 +57,12 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_suffix_dedup, op4_simhash, op5_quality_rules, op6_secret_scans, op7_url_filters, op8_decontamination, op9_sharding, op10_byte_bpe)}
+def op11_phrases(spark, sf_dir):
+    """The best phrases of each language of all documents; nulls, ties and empty tables as in ``collocations``."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_suffix_dedup, op4_simhash, op5_quality_rules, op6_secret_scans, op7_url_filters, op8_decontamination, op9_sharding, op10_byte_bpe, op11_phrases)}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -105,6 +110,16 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents), w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1), g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, range(1, 5) AS r(k) WHERE len(w) >= k),
+f AS (SELECT lang, g, k, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30), c AS (SELECT lang, g, k, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.g, c.a, x.f AS l, y.f AS r, CAST((2000000 * CAST(c.a AS HUGEINT)) // (x.f + y.f) AS BIGINT) AS score, j FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c JOIN f AS x ON x.lang = c.lang AND x.g = array_to_string(c.w[1:j], ' ') JOIN f AS y ON y.lang = c.lang AND y.g = array_to_string(c.w[j + 1:c.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+i AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS g, max(a) AS longest FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) AS q(m) WHERE m < k) AS q GROUP BY 1, 2)
+SELECT * FROM (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank, b.g AS phrase, a, l, r, n, score FROM b JOIN n ON n.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE longest IS NULL OR 100 * longest < 80 * a) AS t WHERE rank <= 2000
+"""
+
 #: DuckDB twins of the queries that SQL can express. It has neither CRC-32 nor XXH64, so 1, 2, 4 and 9 have none; 3 and 10
 #: are checked against brute force as well.
-ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY, "op6_secret_scans": _secrets_sql(), "op7_url_filters": URLS, "op8_decontamination": DECONTAMINATION}
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY, "op6_secret_scans": _secrets_sql(), "op7_url_filters": URLS, "op8_decontamination": DECONTAMINATION, "op11_phrases": PHRASES}
