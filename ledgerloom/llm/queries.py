@@ -7,7 +7,7 @@ import hashlib
 from ledgerloom.sources.scratch import shared_dir
 from ledgerloom.sources.tables import table
 
-from . import bpe, decontamination, katz, language, neardup, phrases, quality, secrets, sharding, suffixes, urls
+from . import bpe, decontamination, katz, language, neardup, phrases, prefixes, quality, secrets, sharding, suffixes, urls
 
 
 def secret_ledger(spark, sf_dir: str) -> str:
@@ -62,7 +62,12 @@ def op11_phrases(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_suffix_dedup, op4_simhash, op5_quality_rules, op6_secret_scans, op7_url_filters, op8_decontamination, op9_sharding, op10_byte_bpe, op11_phrases)}
+def op12_prefix_trie(spark, sf_dir):
+    """The trie of all rebuilt conversations; nulls, ties, repeated rows and empty tables as in ``conversation_trie``."""
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_suffix_dedup, op4_simhash, op5_quality_rules, op6_secret_scans, op7_url_filters, op8_decontamination, op9_sharding, op10_byte_bpe, op11_phrases, op12_prefix_trie)}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -120,6 +125,20 @@ i AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS g, max(a) AS longest
 SELECT * FROM (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank, b.g AS phrase, a, l, r, n, score FROM b JOIN n ON n.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE longest IS NULL OR 100 * longest < 80 * a) AS t WHERE rank <= 2000
 """
 
+#: CRC-32 bit by bit.
+CRC32 = "xor(list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+PREFIXES = f"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, '') AS role, strlen(coalesce(text, '')) AS bytes, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS key FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) AS p FROM k), c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM k),
+r AS (SELECT c.conv_id, p, bytes, key FROM c JOIN t ON t.conv_id = c.base AND p <= h UNION ALL SELECT c.conv_id, p, bytes, key FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+s AS (SELECT conv_id, row_number() OVER w AS d, bytes, string_agg(key, '') OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING) UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM s),
+m AS (SELECT path, d, max(bytes) AS bytes, count(*) AS n, min(conv_id) AS conv_id, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends FROM e GROUP BY 1, 2),
+kids AS (SELECT left(path, 64 * (d - 1)) AS path, count(*) AS n FROM m WHERE d > 0 GROUP BY 1), u AS (SELECT left(m.path, 64 * j) AS path, sum((m.n - 1) * bytes) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM m) AS m LEFT JOIN kids ON kids.path = m.path GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, m.ends AS ends_sha256
+FROM m LEFT JOIN m AS q ON m.d > 0 AND q.d = m.d - 1 AND q.path = left(m.path, 64 * (m.d - 1)) LEFT JOIN kids ON kids.path = m.path JOIN u ON u.path = m.path
+"""
+
 #: DuckDB twins of the queries that SQL can express. It has neither CRC-32 nor XXH64, so 1, 2, 4 and 9 have none; 3 and 10
 #: are checked against brute force as well.
-ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY, "op6_secret_scans": _secrets_sql(), "op7_url_filters": URLS, "op8_decontamination": DECONTAMINATION, "op11_phrases": PHRASES}
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY, "op6_secret_scans": _secrets_sql(), "op7_url_filters": URLS, "op8_decontamination": DECONTAMINATION, "op11_phrases": PHRASES, "op12_prefix_trie": PREFIXES}
