@@ -7,7 +7,7 @@ import hashlib
 from ledgerloom.sources.scratch import shared_dir
 from ledgerloom.sources.tables import table
 
-from . import bpe, decontamination, katz, language, neardup, phrases, prefixes, quality, secrets, sharding, suffixes, urls
+from . import archives, bpe, decontamination, katz, language, neardup, phrases, prefixes, quality, secrets, sharding, suffixes, urls
 
 
 def secret_ledger(spark, sf_dir: str) -> str:
@@ -67,7 +67,12 @@ def op12_prefix_trie(spark, sf_dir):
     return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_suffix_dedup, op4_simhash, op5_quality_rules, op6_secret_scans, op7_url_filters, op8_decontamination, op9_sharding, op10_byte_bpe, op11_phrases, op12_prefix_trie)}
+def op13_warc(spark, sf_dir):
+    """All pages through legacy archives and WARC ones; nulls, ties, repeated rows and empty tables as in ``archive_pages``."""
+    return archives.archive_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_suffix_dedup, op4_simhash, op5_quality_rules, op6_secret_scans, op7_url_filters, op8_decontamination, op9_sharding, op10_byte_bpe, op11_phrases, op12_prefix_trie, op13_warc)}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -139,6 +144,12 @@ SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n AS n_convs, coa
 FROM m LEFT JOIN m AS q ON m.d > 0 AND q.d = m.d - 1 AND q.path = left(m.path, 64 * (m.d - 1)) LEFT JOIN kids ON kids.path = m.path JOIN u ON u.path = m.path
 """
 
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS digest, sha256(coalesce(html, '')) AS content FROM pages),
+l AS (SELECT content, max(page_id) AS last FROM p WHERE bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM p LEFT JOIN l USING (content)
+"""
+
 #: DuckDB twins of the queries that SQL can express. It has neither CRC-32 nor XXH64, so 1, 2, 4 and 9 have none; 3 and 10
 #: are checked against brute force as well.
-ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY, "op6_secret_scans": _secrets_sql(), "op7_url_filters": URLS, "op8_decontamination": DECONTAMINATION, "op11_phrases": PHRASES, "op12_prefix_trie": PREFIXES}
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY, "op6_secret_scans": _secrets_sql(), "op7_url_filters": URLS, "op8_decontamination": DECONTAMINATION, "op11_phrases": PHRASES, "op12_prefix_trie": PREFIXES, "op13_warc": WARC}
