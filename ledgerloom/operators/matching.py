@@ -70,8 +70,8 @@ def latest_before(payments: DataFrame, invoices: DataFrame, latest: int = SEARCH
     numbered = invoices.filter("invoice_day is not null").withColumn("__n", F.row_number().over(order))
     marks = p.select("key", "payment_id", F.date_add("day", F.col("ahead").cast("int")).alias("__d"), F.lit(None).cast("int").alias("__n")).unionByName(numbered.select("key", F.lit(None).cast("long").alias("payment_id"), F.col("invoice_day").alias("__d"), "__n"))
     upto = Window.partitionBy("key").orderBy("__d", F.col("payment_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    last = marks.withColumn("__last", F.max("__n").over(upto)).filter("payment_id is not null and __last is not null").select("payment_id", "__last")
-    asked = p.join(last, "payment_id").withColumn("__n", F.explode(F.sequence(F.greatest(F.col("__last") - latest + 1, F.lit(1)), F.col("__last"))))
+    last = marks.withColumn("__last", F.max("__n").over(upto)).filter("payment_id is not null and __last is not null").select("payment_id", "key", "__last")
+    asked = p.join(last, ["payment_id", "key"]).withColumn("__n", F.explode(F.sequence(F.greatest(F.col("__last") - latest + 1, F.lit(1)), F.col("__last"))))
     met = asked.join(numbered, ["key", "__n"]).filter(F.col("invoice_day") >= F.date_sub("day", F.col("back").cast("int")))
     return met.drop("__n", "__last")
 
@@ -175,36 +175,44 @@ def cascade(payments: DataFrame, invoices: DataFrame) -> DataFrame:
 def credit_cascade(credits: DataFrame, documents: DataFrame) -> DataFrame:
     """(payment_id, rule, tier, n_options, first): the sales documents that each credit paid, by the first rule that answers.
 
-    ``credits``: payment_id, key, day, due (the amount); ``documents``: invoice_id, key, invoice_day, total (what is still due),
-    fresh (nothing paid yet). Documents from half a year before the credit to three months after it are in reach. In this order:
-    one exact balance, sure where fresh and near-sure where paid in part; several; one sum of fresh ones (sure) or several; within
-    ``NEAR`` (near-sure if alone); any larger balance, of which the credit may be a deposit; the same balance of anybody.
+    ``credits``: payment_id, key, day, due (the amount), by_label (its payer is known by the label alone), recognised (something
+    else explains it); ``documents``: invoice_id, key, invoice_day, total (what is still due), fresh (nothing paid yet).
+    Documents from half a year before the credit to three months after it are in reach. In this order: one exact balance, sure
+    where fresh and near-sure where paid in part; several; one sum of fresh ones (sure) or several; within ``NEAR`` (near-sure if
+    alone); any larger balance, of which the credit may be a deposit, the nearest first; the same balance of anybody, for what
+    is not recognised. A payer known by the label is never surer than near-sure.
+
+    Equal credits of a key and equal documents of a key and day are looked at once; what a credit's documents come to is one
+    aggregate over them, and every document in reach counts.
     """
     reach = credits.filter("due > 0").withColumns({"back": F.lit(CREDIT[0]), "ahead": F.lit(CREDIT[1])})
     documents = documents.filter("total > 0 and invoice_day is not null")
-    near = lambda p, i, *keys: _dated(_within(p, i, *keys))
-    left = lambda p, f: written(p.join(f.select("payment_id"), "payment_id", "left_anti"))
-    x = _ranked(near(reach.withColumn("total", F.col("due")), documents, "key", "total"), "age", "invoice_id")
-    one = F.col("n") == 1
-    tier = F.when(one & F.col("fresh"), "sure").when(one, "near_sure").otherwise("to_confirm")
-    exact_ = written(_found(x, F.when(one & F.col("fresh"), "exact").when(one, "balance").otherwise("several"), tier, F.col("n"), F.col("invoice_id")))
-    open_ = left(reach, exact_)
+    same_day = documents.groupBy("key", "invoice_day", "total", "fresh").agg(F.count("*").alias("m"), F.min("invoice_id").alias("invoice_id"))
+    met = _dated(_within(reach.select("key", "day", "due", "back", "ahead").distinct(), same_day, "key")).withColumn("gap", F.abs(F.col("total") - F.col("due")))
+    kinds = {"exact": (F.col("gap") == 0, ("age", "invoice_id", "fresh")), "close": (F.col("gap") <= F.lit(NEAR).cast("decimal(3,2)"), ("gap", "age", "invoice_id")), "larger": (F.col("total") > F.col("due"), ("age", "invoice_id"))}
+    counts = [F.sum(F.when(on, F.col("m"))).alias(f"n_{k}") for k, (on, _) in kinds.items()]
+    firsts = [F.min(F.when(on, F.struct(*order))).alias(k) for k, (on, order) in kinds.items()]
+    rows = written(reach.join(met.groupBy("key", "day", "due").agg(*counts, *firsts), ["key", "day", "due"], "left"))
+    sums = _sums(rows.filter("n_exact is null").select(*reach.columns), documents.filter("fresh"))
+    rows = written(rows.join(sums, "payment_id", "left"))
+
     lone = F.size("sums") == 1
     ids = F.array_join(F.transform(F.array_sort(F.get("sums", F.lit(0))), lambda i: i.cast("string")), "+")
-    sums = written(_found(_sums(open_, documents.filter("fresh")), F.when(lone, "sum").otherwise("sums"), F.when(lone, "sure").otherwise("to_confirm"), F.size("sums"), F.when(lone, ids).otherwise("")))
-    open_ = left(open_, sums)
-    cents = lambda c: (F.col(c) * 100).cast("long")
-    few = round(float(NEAR) * 100)
-    close = near(open_.withColumn("cent", F.explode(F.array(*(cents("due") + i for i in range(-few, few + 1))))), documents.withColumn("cent", cents("total")), "key", "cent").withColumn("gap", F.abs(F.col("total") - F.col("due")))
-    closest = written(_found(_ranked(close, "gap", "age", "invoice_id"), "close", F.when(one, "near_sure").otherwise("to_confirm"), F.col("n"), F.col("invoice_id")))
-    open_ = left(open_, closest)
-    # A deposit needs the nearest larger balance alone and whether there are more: each key's newest in reach are looked at.
-    larger = _dated(latest_before(open_, documents)).filter(F.col("total") > F.col("due"))
-    deposit = written(_found(_ranked(larger, "age", "invoice_id"), "deposit", "to_confirm", F.col("n"), F.col("invoice_id")))
+    answer = lambda rule, tier, n, first: F.struct(F.lit(rule).alias("rule") if isinstance(rule, str) else rule.alias("rule"), F.lit(tier).alias("tier") if isinstance(tier, str) else tier.alias("tier"), n.cast("long").alias("n"), first.cast("string").alias("first"))
+    sure = F.when(F.col("by_label"), "near_sure").otherwise("sure")
+    one, fresh = F.col("n_exact") == 1, F.col("exact.fresh")
+    exact_ = answer(F.when(one & fresh, "exact").when(one, "balance").otherwise("several"), F.when(one & fresh, sure).when(one, "near_sure").otherwise("to_confirm"), F.col("n_exact"), F.col("exact.invoice_id"))
+    summed = answer(F.when(lone, "sum").otherwise("sums"), F.when(lone, sure).otherwise("to_confirm"), F.size("sums"), F.when(lone, ids).otherwise(""))
+    closest = answer("close", F.when(F.col("n_close") == 1, "near_sure").otherwise("to_confirm"), F.col("n_close"), F.col("close.invoice_id"))
+    deposit = answer("deposit", "to_confirm", F.col("n_larger"), F.col("larger.invoice_id"))
+    found = F.when(F.col("n_exact").isNotNull(), exact_).when(F.col("sums").isNotNull(), summed).when(F.col("n_close").isNotNull(), closest).when(F.col("n_larger").isNotNull(), deposit)
+    rows = rows.withColumn("found", found)
+    named = _found(rows.filter("found is not null"), F.col("found.rule"), F.col("found.tier"), F.col("found.n"), F.col("found.first"))
+
     days = documents.groupBy("total", "invoice_day").agg(F.count("*").alias("m"), F.min("invoice_id").alias("invoice_id"))
-    same = near(left(open_, deposit).withColumn("total", F.col("due")), days, "total").withColumn("all", F.sum("m").over(Window.partitionBy("payment_id")))
-    unnamed = _found(_ranked(same, "age", "invoice_id"), "unnamed", "to_confirm", F.col("all"), F.col("invoice_id"))
-    return exact_.unionByName(sums).unionByName(closest).unionByName(deposit).unionByName(unnamed)
+    open_ = rows.filter("found is null and not recognised").select(*reach.columns, F.col("due").alias("total"))
+    same = _dated(_within(open_, days, "total")).withColumn("all", F.sum("m").over(Window.partitionBy("payment_id")))
+    return named.unionByName(_found(_ranked(same, "age", "invoice_id"), "unnamed", "to_confirm", F.col("all"), F.col("invoice_id")))
 
 
 # ---- one after another -----------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import identifiers
-from ledgerloom.operators import identifiers as ids, names, payees
+from ledgerloom.operators import identifiers as ids, matching, names, payees, settling
 from ledgerloom.sources import views
 from ledgerloom.sources.tables import table
 
@@ -158,3 +158,42 @@ def paired_names(spark, sf_dir):
     noun = F.when(k == 0, F.concat(b, F.lit("maker"))).when(k == 1, F.concat(b, F.lit("makers"))).when(k == 2, F.concat(F.substring(b, 1, 1), F.substring(b, 3, 20), F.lit("maker"))).otherwise(F.substring(b, 1, 3))
     name = F.when(F.col("product_id") % 8 >= 4, F.concat(a, F.lit(" "), noun)).otherwise(F.concat(noun, F.lit(", "), a))
     return names.paired(views.products(spark, sf_dir).select(F.col("product_id").alias("id"), F.col("article").alias("grp"), name.alias("name")))
+
+
+def _named_payments(spark, sf_dir):
+    """Debits by every supplier that their payee names, and the invoices of these suppliers."""
+    due = (F.ceil(F.col("due") / 60000) * 25).cast("decimal(12,2)").alias("due")
+    rows = _said(spark, sf_dir).join(_named(spark, sf_dir), ["payee", "from_label"]).join(views.bank_lines(spark, sf_dir).select("line_id", "day"), "line_id")
+    payments = rows.select(F.col("line_id").alias("payment_id"), F.col("supplier_id").alias("key"), "day", due, (F.col("line_id") % 3 == 0).alias("card"), F.lit(False).alias("by_label"))
+    bills = views.bank_lines(spark, sf_dir).filter("amount > 0")
+    total = (F.ceil(F.col("amount") / 60000) * 25).cast("decimal(12,2)").alias("total")
+    return payments, bills.select(F.col("line_id").alias("invoice_id"), (F.col("payee_id") % 97).alias("key"), F.when(F.col("line_id") % 19 != 0, F.col("day")).alias("invoice_day"), total, F.lit(True).alias("fresh"))
+
+
+def _named_credits(spark, sf_dir):
+    """Credits of customers, those of every seventh line recognised by the till and left out, and the customers' documents."""
+    rows = views.bank_lines(spark, sf_dir).withColumn("cents", (F.ceil(F.abs("amount") / 25000) * 25).cast("decimal(12,2)"))
+    i = F.col("line_id")
+    credits = rows.filter((F.col("amount") > 0) & (i % 7 != 0)).select(i.alias("payment_id"), F.col("payee_id").alias("key"), "day", F.col("cents").alias("due"), F.lit(False).alias("card"), (i % 11 == 0).alias("by_label"))
+    return credits, rows.filter("amount < 0").select(i.alias("invoice_id"), F.col("payee_id").alias("key"), F.col("day").alias("invoice_day"), F.col("cents").alias("total"), (i % 5 != 0).alias("fresh"))
+
+
+def settle_debits(payments, documents):
+    card = F.col("card")
+    return settling.settle(payments, documents, F.when(card, matching.CARD[0]).otherwise(matching.OTHER[0]), F.when(card, matching.CARD[1]).otherwise(matching.OTHER[1]))
+
+
+def settle_credits(credits, documents):
+    return settling.settle(credits, documents.filter("total > 0"), F.lit(matching.CREDIT[0]), F.lit(matching.CREDIT[1]))
+
+
+@query()
+def reconcile_debits(spark, sf_dir):
+    """The pass over the debits: exact totals and sums, each taking its invoices from those that come later."""
+    return settle_debits(*_named_payments(spark, sf_dir))
+
+
+@query()
+def reconcile_credits(spark, sf_dir):
+    """The pass over the credits that nothing recognises, against the documents still due."""
+    return settle_credits(*_named_credits(spark, sf_dir))
