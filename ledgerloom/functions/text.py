@@ -55,9 +55,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def numeric_signature(text: Column) -> Column:
-    """The numbers in a name, sorted, without leading zeros and with one kind of decimal mark."""
+    """The numbers in a name, sorted, without zeros that say nothing and with one kind of decimal mark."""
     numbers = F.regexp_extract_all(text, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))
-    return F.array_sort(F.transform(numbers, lambda x: F.regexp_replace(F.translate(x, ",", "."), r"^0+(?=\d)", "")))
+    plain = F.transform(numbers, lambda x: F.regexp_replace(F.translate(x, ",", "."), r"^0+(?=\d)", ""))
+    return F.array_sort(F.transform(plain, lambda x: F.when(x.contains("."), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x)))
 
 
 def luhn_candidates(text: Column, digits: int = 9) -> Column:

@@ -110,7 +110,8 @@ def misread_match(read: DataFrame, known: DataFrame) -> DataFrame:
             yield x.assign(cost=[misread_cost(p, q, budget(p)) for p, q in zip(x.a, x.b, strict=True)])[["read_id", "known_id", "cost"]]
 
     ship(read.sparkSession)
-    priced = pairs.mapInPandas(price, "read_id long, known_id long, cost double").filter("cost < double('infinity')")
+    # A known one may have several names: the nearest counts.
+    priced = pairs.mapInPandas(price, "read_id long, known_id long, cost double").filter("cost < double('infinity')").groupBy("read_id", "known_id").agg(F.min("cost").alias("cost"))
     w = Window.partitionBy("read_id").orderBy("cost", "known_id")
     best = priced.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("cost").over(w)).filter("r = 1")
     return best.filter(F.col("next").isNull() | (F.col("next") - F.col("cost") >= 0.5)).select("read_id", "known_id", "cost")

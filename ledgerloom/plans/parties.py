@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import identifiers
-from ledgerloom.operators import identifiers as ids, matching, names, payees, settling
+from ledgerloom.operators import identifiers as ids, matching, names, payees, products, settling
 from ledgerloom.sources import views
 from ledgerloom.sources.tables import table
 
@@ -197,3 +197,63 @@ def reconcile_debits(spark, sf_dir):
 def reconcile_credits(spark, sf_dir):
     """The pass over the credits that nothing recognises, against the documents still due."""
     return settle_credits(*_named_credits(spark, sf_dir))
+
+
+#: Products with a word of their own, and lines that print them: in another case, by number under another name, words turned round
+#: and a letter short, a letter off, another size, letters as look-alike digits, and a spelling that only another one reaches.
+PRINTED = """
+p AS (SELECT p_partkey AS product_id, p_partkey % 20 AS supplier_id, upper(p_name) AS n, p_type AS t, p_size AS z, translate(upper(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8)), '0123456789ABCDEF', 'GHIJKLMNOPQRSTUV') AS w, CASE WHEN p_partkey % 4 = 0 THEN CAST(3000000000000 + p_partkey AS VARCHAR) ELSE '' END AS ean FROM part),
+known AS (SELECT product_id, supplier_id, n || ' ' || t || ' ' || w || ' ' || z AS name, ean FROM p),
+printed AS (SELECT product_id AS line_id, supplier_id, CASE product_id % 8 WHEN 0 THEN lower(n || ' ' || t || ' ' || w || ' ' || z) WHEN 4 THEN 'ARTICLE ' || reverse(w) WHEN 2 THEN z || ' ' || substr(w, 1, 4) || substr(w, 6) || ' ' || t || ' ' || n WHEN 3 THEN n || ' ' || t || ' ' || substr(w, 1, 3) || 'Y' || substr(w, 5) || ' ' || z
+  WHEN 5 THEN n || ' ' || t || ' ' || w || ' ' || (z + 100) WHEN 6 THEN translate(n || ' ' || t || ' ' || w, 'OIS', '015') || ' ' || z WHEN 7 THEN n || ' ' || t || ' YYY' || substr(w, 4) || ' ' || z ELSE '  ' || n || ' ' || t || ' ' || w || ' ' || z || ' ' END AS name, CASE WHEN product_id % 8 = 4 THEN ean ELSE '' END AS ean FROM p)
+"""
+
+
+def _printed(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    p, n, t, z = F.col("p_partkey"), F.upper("p_name"), F.col("p_type"), F.col("p_size").cast("string")
+    w = _word(p)
+    name = lambda *x: F.concat_ws(" ", *x)
+    ean = F.when(p % 4 == 0, (p + 3_000_000_000_000).cast("string")).otherwise("")
+    known = part.select(p.alias("product_id"), (p % 20).alias("supplier_id"), name(n, t, w, z).alias("name"), ean.alias("ean"))
+    k = p % 8
+    said = (
+        F.when(k == 0, F.lower(name(n, t, w, z))).when(k == 4, name(F.lit("ARTICLE"), F.reverse(w))).when(k == 2, name(z, F.concat(F.substring(w, 1, 4), F.substring(w, 6, 9)), t, n))
+        .when(k == 3, name(n, t, F.concat(F.substring(w, 1, 3), F.lit("Y"), F.substring(w, 5, 9)), z)).when(k == 5, name(n, t, w, (F.col("p_size") + 100).cast("string"))).when(k == 6, name(F.translate(name(n, t, w), "OIS", "015"), z))
+        .when(k == 7, name(n, t, F.concat(F.lit("YYY"), F.substring(w, 4, 9)), z)).otherwise(F.concat(F.lit("  "), name(n, t, w, z), F.lit(" ")))
+    )
+    return part.select(p.alias("line_id"), (p % 20).alias("supplier_id"), said.alias("name"), F.when(k == 4, ean).otherwise("").alias("ean")), known
+
+
+#: Letters in common of two texts of words, row by row of the usual table, for pairs that edit distance lets through.
+ALIKE = r"""
+s AS (SELECT line_id, supplier_id, array_to_string(list_sort(string_split(trim(name), ' ')), ' ') AS a, list_sort(regexp_extract_all(name, '\d+')) AS numbers FROM printed WHERE line_id NOT IN (SELECT line_id FROM first)),
+k AS (SELECT product_id, supplier_id, array_to_string(list_sort(string_split(name, ' ')), ' ') AS b, list_sort(regexp_extract_all(name, '\d+')) AS numbers FROM known),
+near AS (SELECT line_id, product_id, a, b FROM s JOIN k USING (supplier_id, numbers) WHERE 100 * levenshtein(a, b) <= 6 * (length(a) + length(b))),
+scored AS (SELECT line_id, product_id, 200.0 * list_reduce(list_concat([list_transform(range(0, length(b) + 1), lambda i: 0)], list_transform(string_split(a, ''), lambda c: [ascii(c)])),
+  lambda old, c: list_reduce(list_concat([[0]], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda new, j: list_append(new, CASE WHEN ascii(substr(b, j[1], 1)) = c[1] THEN old[j[1]] + 1 ELSE greatest(old[j[1] + 1], new[j[1]]) END)))[length(b) + 1] / (length(a) + length(b)) AS score FROM near)
+"""
+
+
+@query(f"""
+WITH {PRINTED}, first AS (SELECT line_id, coalesce(min(k.product_id) FILTER (WHERE lower(trim(l.name)) = lower(trim(k.name))), min(k.product_id) FILTER (WHERE l.ean = k.ean AND l.ean <> '')) AS product_id, max(lower(trim(l.name)) = lower(trim(k.name))) AS same
+  FROM printed l JOIN known k ON l.supplier_id = k.supplier_id AND (lower(trim(l.name)) = lower(trim(k.name)) OR (l.ean = k.ean AND l.ean <> '')) GROUP BY 1), {ALIKE},
+third AS (SELECT line_id, arg_min(product_id, struct_pack(s := -score, p := product_id)) AS product_id FROM scored WHERE score >= 94 GROUP BY 1)
+SELECT l.line_id, coalesce(f.product_id, t.product_id) AS product_id, CASE WHEN same THEN 'exact' WHEN f.line_id IS NOT NULL THEN 'ean' WHEN t.line_id IS NOT NULL THEN 'alike' END AS how FROM printed l LEFT JOIN first f ON f.line_id = l.line_id LEFT JOIN third t ON t.line_id = l.line_id
+""")
+def products_known_by(spark, sf_dir):
+    """The product of each printed name by name, number or likeness."""
+    return products.known_by(*_printed(spark, sf_dir)).select("line_id", "product_id", "how")
+
+
+def _half_way(known):
+    """Of every eighth product a line half way between its own name and the far spelling."""
+    name = F.regexp_replace("name", r" \w\w(\w{6}) (\d+)$", " YY$1 $2")
+    return known.filter("product_id % 8 = 7").select((-F.col("product_id")).alias("line_id"), "supplier_id", name.alias("name"), F.lit("").alias("ean"))
+
+
+@query()
+def products_resolved(spark, sf_dir):
+    """The same, and misreadings over and over until no more are found."""
+    lines, known = _printed(spark, sf_dir)
+    return products.resolve(lines.unionByName(_half_way(known)), known).select("line_id", "product_id", "how", "round")
