@@ -2,10 +2,9 @@
 
 The corpus is cut into shards, each of one language: what one task reads, at most ``SHARD`` words of it. For every phrase length
 a shard is mined completely at its share of the support, ``ceil(support * words here / words of the language)``: a phrase that
-stays below that in every shard stays below the support in all. The phrases that some shard reports are united; those that
-cannot reach the support, whatever the shards that did not report them hold, are given up; all others are counted in every
-shard, which is exact. A phrase of k + 1 words is looked for only where both its parts of k words are frequent in the whole
-language, so that shards holding under one part in ``support`` of a language, whose own share is 1, stay cheap too.
+stays below that in every shard stays below the support in all. The phrases that some shard reports are united and counted in
+every shard, which is exact. A phrase of k + 1 words is looked for only where both its parts of k words are frequent in the whole
+language; that keeps it cheap where shards hold under one part in ``support`` of a language, so that their share is 1.
 
 A shard is a row: its words as numbers of its own dictionary. At each length it sends every distinct phrase once, as the global
 numbers of its two parts, and gets back those that are frequent. A global number is the least (shard, place) that holds the
@@ -162,19 +161,17 @@ def _number(shard: Column, place: Column) -> Column:
 
 
 def _frequent(keys: DataFrame, on: list[str], support: int) -> DataFrame:
-    """(shard, place, id, f, *on) of the rows (shard, place, count, least, slack, *on) whose key is frequent in all shards."""
-    reported = keys.filter(F.col("count") >= F.col("least")).groupBy(*on).agg(F.sum("count").alias("got"), F.sum(F.col("least") - 1).alias("told"), F.max("slack").alias("slack"))
-    # A shard that does not report a phrase holds it at most least - 1 times.
-    candidates = written(reported.filter(F.col("got") + F.col("slack") - F.col("told") >= support).select(*on))
+    """(number, id, f, *on) of the rows (number, count, least, *on) whose key some shard reports and whose count over all shards
+    is ``support`` or more. Reports and counts travel together: one exchange, and no shard is asked again."""
     all_of = Window.partitionBy(*on)
-    counted = keys.join(candidates, on).select("shard", "place", *on, F.sum("count").over(all_of).alias("f"), F.min(F.struct("shard", "place")).over(all_of).alias("__first"))
-    found = counted.filter(F.col("f") >= support).select("shard", "place", _number(F.col("__first.shard"), F.col("__first.place")).alias("id"), "f", *on)
-    return written(found)
+    rows = keys.select("number", "count", (F.col("count") >= F.col("least")).alias("reported"), *on)
+    united = rows.select("number", *on, F.max("reported").over(all_of).alias("candidate"), F.sum("count").over(all_of).alias("f"), F.min("number").over(all_of).alias("id"))
+    return written(united.filter(F.col("candidate") & (F.col("f") >= support)).select("number", "id", "f", *on))
 
 
 def _firsts(found: DataFrame) -> DataFrame:
     """Each frequent phrase once: as its first shard has it."""
-    return found.filter(F.col("id") == _number(F.col("shard"), F.col("place")))
+    return found.filter("id = number")
 
 
 def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD, slice_bytes: int = SLICE) -> tuple[list[DataFrame], DataFrame]:
@@ -193,13 +190,13 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     cut = written(read.mapInArrow(_shards(shard_words, slice_bytes), SHARDS))
     sizes = cut.filter("part = 0").select("shard", "lang", "n")
     totals = written(sizes.groupBy("lang").agg(F.sum("n").alias("n")))
-    least = sizes.join(totals.withColumnRenamed("n", "__all"), "lang").select("shard", "lang", F.expr(f"greatest(1, ({support} * n + __all - 1) div greatest(1, __all))").alias("least"))
-    slack = least.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack"))
-    shares = written(least.join(slack, "lang").select("shard", "least", "slack", F.col("lang").alias("__lang")))
+    least = F.expr(f"greatest(1, ({support} * n + __all - 1) div greatest(1, __all))").alias("least")
+    shares = written(sizes.join(totals.withColumnRenamed("n", "__all"), "lang").select("shard", least))
 
     def rows(table: DataFrame, *columns: str) -> DataFrame:
-        at = F.posexplode(F.arrays_zip(*(F.col(c) for c in (*columns, "counts"))))
-        return table.select("shard", "part", at.alias("at", "x")).join(shares, "shard").select("shard", (F.col("part") * CHUNK + F.col("at")).cast("long").alias("place"), *(F.col(f"x.{c}").alias(c) for c in columns), F.col("x.counts").alias("count"), "least", "slack", F.col("__lang").alias("lang"))
+        kept = [c for c in ("lang",) if c in table.columns]
+        out = table.join(shares, "shard").select("shard", "part", "least", *kept, F.posexplode(F.arrays_zip(*columns, "counts")).alias("at", "x"))
+        return out.select(_number(F.col("shard"), F.col("part") * CHUNK + F.col("at")).alias("number"), *kept, *(F.col(f"x.{c}").alias(c) for c in columns), F.col("x.counts").alias("count"), "least")
 
     words = _frequent(rows(cut, "words").withColumnRenamed("words", "phrase"), ["lang", "phrase"], support)
     f = F.array("f")
@@ -207,10 +204,11 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     levels = [_firsts(words).select("lang", "id", "phrase", F.col("phrase").alias("last"), "f", f.alias("heads"), f.alias("tails"), none.alias("head"), none.alias("tail"))]
     found, streams = words, cut
     for _ in range(1, longest):
-        streams = written(streams.filter("part = 0").select("shard", "stream").groupBy("shard").cogroup(found.select("shard", "place", "id").groupBy("shard")).applyInArrow(_longer, PHRASES))
-        found = _frequent(rows(streams, "heads", "tails").withColumnsRenamed({"heads": "head", "tails": "tail"}), ["lang", "head", "tail"], support)
+        places = found.select(F.shiftright("number", 24).alias("shard"), (F.col("number") % (1 << 24)).alias("place"), "id")
+        streams = written(streams.filter("part = 0").select("shard", "stream").groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(_longer, PHRASES))
+        found = _frequent(rows(streams, "heads", "tails").withColumnsRenamed({"heads": "head", "tails": "tail"}), ["head", "tail"], support)
         below = levels[-1]
-        head = below.select(F.col("id").alias("head"), F.col("phrase").alias("__phrase"), F.col("heads").alias("__heads"))
+        head = below.select("lang", F.col("id").alias("head"), F.col("phrase").alias("__phrase"), F.col("heads").alias("__heads"))
         tail = below.select(F.col("id").alias("tail"), F.col("last").alias("__last"), F.col("tails").alias("__tails"))
         level = _firsts(found).join(head, "head").join(tail, "tail")
         levels.append(written(level.select("lang", "id", F.concat_ws(" ", "__phrase", "__last").alias("phrase"), F.col("__last").alias("last"), "f", F.concat("__heads", F.array("f")).alias("heads"), F.concat("__tails", F.array("f")).alias("tails"), "head", "tail")))
