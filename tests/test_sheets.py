@@ -128,3 +128,28 @@ def test_einvoice_headers(spark, tmp_path):
     (tmp_path / "c.xml").write_text(cii)
     r = einvoice.cii_headers(spark, str(tmp_path / "c.xml")).first()
     assert tuple(r)[1:8] == want and [tuple(x) for x in r.rates] == [(Decimal("0.2000"), d(28), d("4.8"))] and r.allowances == []
+
+
+def test_einvoice_credit_notes_entities_and_pdf(spark, tmp_path):
+    import zlib
+
+    line = "<cac:{0}Line unit='1'><!-- <cac:InvoiceLine> --><cbc:ID>{1}</cbc:ID><cbc:{2}Quantity unitCode='C62'>{3}</cbc:{2}Quantity><cbc:LineExtensionAmount>10.50</cbc:LineExtensionAmount><cac:Price><cbc:Name>no</cbc:Name></cac:Price><cac:Item><cbc:Name>{4}</cbc:Name><cac:ClassifiedTaxCategory><cbc:Percent>5.5</cbc:Percent></cac:ClassifiedTaxCategory></cac:Item></cac:{0}Line>"
+    head = "<?xml version='1.0' encoding='UTF-8'?><{0} xmlns='urn:oasis:names:specification:ubl:schema:xsd:{0}-2'><cbc:ID>A&amp;1</cbc:ID><cbc:IssueDate>2024-03-05</cbc:IssueDate>{1}<cac:LegalMonetaryTotal><cbc:PayableAmount>{2}</cbc:PayableAmount></cac:LegalMonetaryTotal>"
+    for name, due in (("credit", "21.00"), ("signed", "-21.00")):
+        lines = line.format("CreditNote", 1, "Credited", 2, "Salt &amp; pepper") + line.format("CreditNote", 2, "Credited", 1, "<![CDATA[a < b]]>")
+        (tmp_path / f"{name}.xml").write_text(head.format("CreditNote", "<cac:AccountingSupplierParty><cbc:Name>É &lt; Co</cbc:Name></cac:AccountingSupplierParty>", due) + lines + "</CreditNote>")
+    (tmp_path / "many.xml").write_text(head.format("Invoice", "", "1") + "".join(line.format("Invoice", i, "Invoiced", i, "x") for i in range(10_000)) + "</Invoice>")
+    (tmp_path / "broken.xml").write_text("<Invoice><cbc:ID>1</Invoice>")
+    rows = {(r.file.rpartition("/")[2], r.number): (r["name"], r.quantity, r.ht, r.vat) for r in einvoice.read_ubl(spark, str(tmp_path)).collect()}
+    assert rows["credit.xml", 1] == ("Salt & pepper", Decimal(-2), Decimal("-10.50"), Decimal("0.0550")) and rows["credit.xml", 2][0] == "a < b"
+    assert rows["signed.xml", 1][1:3] == (Decimal(2), Decimal("10.50")) and sum(f == "many.xml" for f, _ in rows) == 10_000 and not any(f == "broken.xml" for f, _ in rows)
+    heads = {r.file.rpartition("/")[2]: r for r in einvoice.ubl_headers(spark, str(tmp_path)).collect()}
+    assert (heads["credit.xml"].number, heads["credit.xml"].seller, heads["credit.xml"].due, heads["credit.xml"].credit) == ("A&1", "É < Co", Decimal("-21.00"), True)
+    assert heads["signed.xml"].due == Decimal("-21.00") and heads["many.xml"].credit is False and heads["broken.xml"].refused and heads["many.xml"].refused is None
+    cii = b"<rsm:CrossIndustryInvoice><rsm:ExchangedDocument><ram:ID>7</ram:ID><ram:TypeCode>381</ram:TypeCode></rsm:ExchangedDocument><ram:IncludedSupplyChainTradeLineItem><ram:LineID>1</ram:LineID><ram:Name>N</ram:Name><ram:BilledQuantity>3</ram:BilledQuantity><ram:LineTotalAmount>9</ram:LineTotalAmount></ram:IncludedSupplyChainTradeLineItem></rsm:CrossIndustryInvoice>"
+    folder = tmp_path / "pdf"
+    folder.mkdir()
+    (folder / "a.pdf").write_bytes(b"%PDF-1.7\n1 0 obj <<>> stream\nnothing\nendstream\n2 0 obj <</Filter/FlateDecode>> stream\r\n" + zlib.compress(cii) + b"\r\nendstream\n%%EOF")
+    (folder / "b.pdf").write_bytes(b"%PDF-1.7\n%%EOF")
+    assert [tuple(r)[1:5] for r in einvoice.read_cii(spark, str(folder)).collect()] == [(1, "N", Decimal(-3), Decimal(-9))]
+    assert {(r.number, r.refused is None) for r in einvoice.cii_headers(spark, str(folder)).collect()} == {("7", True), (None, False)}
