@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import unicodedata
@@ -20,12 +21,11 @@ from ledgerloom.functions.text import search_key
 from ledgerloom.sources.ship import ship
 from ledgerloom.sources.statements import C1, WESTERN, encoding_of
 
-#: Rows a task holds at once, columns read, and what a workbook may unpack to.
-CHUNK, MOST_COLUMNS, MOST_BYTES = 4096, 256, 2 << 30
+#: Rows a task holds at once, columns that a sheet can have, and what a workbook may unpack to.
+CHUNK, MOST_COLUMNS, MOST_BYTES = 4096, 16384, 2 << 30
 
-#: Built-in number formats that are dates, and the columns a described text file can have.
+#: Fixed value: built-in number formats that are dates.
 DATE_FORMATS = {*range(14, 18), 22}
-TEXT_COLUMNS = 64
 
 
 def _local(tag: str) -> str:
@@ -81,7 +81,7 @@ def _sheet_rows(content: bytes, sheet: str | None) -> Iterator[tuple[int, list[s
                     at = at * 26 + ord(letter) - 64
                 at -= 1
             if at >= MOST_COLUMNS:
-                break
+                raise ValueError(f"a cell {cell.get('r')} beyond the columns of a sheet")
             value = next((x.text for x in cell if _local(x.tag) == "v"), None)
             kind, style = cell.get("t"), int(cell.get("s", 0))
             if kind == "s" and value is not None:
@@ -114,13 +114,27 @@ def workbook_rows(spark: SparkSession, path: str, sheet: str | None = None) -> D
 
 
 def text_rows(spark: SparkSession, path: str, separator: str = ";") -> DataFrame:
-    """file, row, cells of every text file at ``path``, each in the encoding that its own bytes tell."""
+    """file, row, cells of every text file at ``path``, each in the encoding that its own bytes tell. A row is a record: a quoted
+    cell may hold line breaks, and doubled quotes; it has as many cells as are written, empty ones null. A task streams one
+    file's rows; files go apart."""
     content, kind = F.col("content"), F.col("encoding")
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", encoding_of(F.col("content")).alias("encoding"))
     text = F.when(kind == "UTF-16", F.decode(content, "UTF-16")).when(kind == "UTF-8", F.decode(content, "UTF-8")).otherwise(F.translate(F.decode(content, "ISO-8859-1"), C1, WESTERN))
-    lines = files.select("file", F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), r"\r\n|\n|\r")).alias("at", "line"))
-    parsed = F.from_csv("line", ", ".join(f"c{i} string" for i in range(TEXT_COLUMNS)), {"sep": separator})
-    return lines.select("file", (F.col("at") + 1).alias("row"), parsed.alias("x")).select("file", "row", F.array(*(F.col("x")[f"c{i}"] for i in range(TEXT_COLUMNS))).alias("cells"))
+
+    def read(batches):
+        csv.field_size_limit(MOST_BYTES)
+        for batch in batches:
+            for file, whole in zip(batch.file, batch.text, strict=True):
+                held: list[tuple[str, int, list[str | None]]] = []
+                for n, cells in enumerate(csv.reader(io.StringIO(whole.removeprefix("\ufeff"), newline=""), delimiter=separator), 1):
+                    held.append((file, n, [c or None for c in cells]))
+                    if len(held) == CHUNK:
+                        yield pd.DataFrame(held, columns=["file", "row", "cells"])
+                        held = []
+                yield pd.DataFrame(held, columns=["file", "row", "cells"])
+
+    ship(spark)
+    return files.select("file", text.alias("text")).mapInPandas(read, "file string, row int, cells array<string>")
 
 
 def titled(rows: DataFrame, titles: dict[str, Sequence[str]], within: int = 20) -> DataFrame:

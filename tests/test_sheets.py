@@ -153,3 +153,18 @@ def test_einvoice_credit_notes_entities_and_pdf(spark, tmp_path):
     (folder / "b.pdf").write_bytes(b"%PDF-1.7\n%%EOF")
     assert [tuple(r)[1:5] for r in einvoice.read_cii(spark, str(folder)).collect()] == [(1, "N", Decimal(-3), Decimal(-9))]
     assert {(r.number, r.refused is None) for r in einvoice.cii_headers(spark, str(folder)).collect()} == {("7", True), (None, False)}
+
+
+def test_text_rows_keep_every_column_and_quoted_breaks(spark, tmp_path):
+    wide = ";".join(f"c{i}" for i in range(70))
+    (tmp_path / "w.csv").write_bytes(("﻿" + wide + '\r\n"a\nb";"say ""x""";;;' + "\r\n\r\nlast").encode())
+    (tmp_path / "l.csv").write_bytes("café;€".encode("cp1252"))
+    got = {(r.file.rpartition("/")[2], r.row): r.cells for r in sheets.text_rows(spark, str(tmp_path)).collect()}
+    assert got["w.csv", 1] == wide.split(";") and got["w.csv", 2] == ["a\nb", 'say "x"', None, None, None] and got["w.csv", 4] == ["last"]
+    assert got["l.csv", 1] == ["café", "€"] and len(got) == 5
+
+
+def test_a_cell_far_to_the_right_is_kept(spark, tmp_path):
+    book(tmp_path / "far.xlsx", [("S", '<row r="1"><c r="ZZ1" t="str"><v>far</v></c></row>')])
+    (r,) = sheets.workbook_rows(spark, str(tmp_path / "far.xlsx")).collect()
+    assert len(r.cells) == 702 and r.cells[-1] == "far"
