@@ -1,4 +1,4 @@
-"""Queries over a store's list: today's, and as it was on the morning of past visits."""
+"""Queries over a store's list, today's and as it was on the morning of past visits, and over how far sources were searched."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import replay
+from ledgerloom.operators import progress, replay
 from ledgerloom.sources import views
 
 from .registry import query
@@ -87,3 +87,32 @@ def store_list(spark, sf_dir):
     """Every store's list today, by both clocks, and what it has stopped insisting on."""
     out = replay.plan(*_tables(spark, sf_dir), SEASON)
     return out.select("store", "article", F.col("n_all").cast("long").alias("n_all"), "n_here", "status", "clock", "silent", "insisted", *(F.round(c, 6).alias(c) for c in ("habit", "need", "chance")), "section")
+
+
+def _runs(spark, sf_dir):
+    """A log of searches: an order is a run; every fourth is by hand over a past stretch; a third of the time all of them fail."""
+    i, day = F.col("line_id"), F.col("day")
+    since = F.date_sub(day, (i % 200).cast("int"))
+    rows = views.bank_lines(spark, sf_dir)
+    own = F.date_add(F.lit(date(1995, 1, 1)), (i % 12 * 30).cast("int"))
+    return rows.select(
+        (i % 12).alias("source"), (F.unix_date("day").cast("long") * 10_000_000 + i).alias("run"), day.alias("today"), (i % 4 != 0).alias("automatic"), since.alias("since"), F.when(i % 4 != 0, day).otherwise(F.date_add(since, (i % 150).cast("int"))).alias("until"),
+        ((i % 7 != 0) & (F.floor(F.unix_date("day") / 120) % 3 != 0)).alias("ok"), own.alias("own"), F.when(i % 12 % 3 == 0, F.date_add(own, 400)).alias("floor"),
+    )
+
+
+@query("""
+WITH r AS (SELECT line_id % 12 AS source, (day - DATE '1970-01-01') * 10000000 + line_id AS run, day AS today, line_id % 4 <> 0 AS automatic, day - CAST(line_id % 200 AS INTEGER) AS since, CASE WHEN line_id % 4 <> 0 THEN day ELSE day - CAST(line_id % 200 AS INTEGER) + CAST(line_id % 150 AS INTEGER) END AS until,
+  line_id % 7 <> 0 AND ((day - DATE '1970-01-01') // 120) % 3 <> 0 AS ok, DATE '1995-01-01' + CAST(line_id % 12 * 30 AS INTEGER) AS own, CASE WHEN line_id % 12 % 3 = 0 THEN DATE '1995-01-01' + CAST(line_id % 12 * 30 + 400 AS INTEGER) END AS floor FROM bank_lines),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY run) AS n, least(until, today) AS stop FROM r),
+w AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS run, CAST(NULL AS DATE) AS since, CAST(NULL AS DATE) AS known, CAST(NULL AS DATE) AS hole, CAST(NULL AS DATE) AS hole_end FROM o
+UNION ALL SELECT source, n, run, since, CASE WHEN NOT ok THEN known WHEN cut THEN stop WHEN known IS NOT NULL AND since <= known + 1 THEN greatest(known, stop) WHEN known IS NULL AND since <= own AND own <= stop THEN stop WHEN known IS NULL THEN least(own + 3, today) ELSE known END,
+  CASE WHEN ok AND covered AND stop >= coalesce(hole_end, today - 91) THEN NULL WHEN ok AND covered THEN stop + 1 ELSE hole END, CASE WHEN ok AND covered AND stop >= coalesce(hole_end, today - 91) THEN NULL ELSE hole_end END
+  FROM (SELECT *, hole IS NOT NULL AND since <= greatest(hole, floor) AND greatest(hole, floor) <= stop AS covered FROM (SELECT o.source, o.n, o.run, o.ok, o.today, o.own, o.floor, o.stop, w.known, o.automatic AND coalesce(w.known - 3, o.own) < o.today - 90 AS cut,
+    CASE WHEN NOT o.automatic THEN o.since ELSE greatest(coalesce(w.known - 3, o.own), o.today - 90) END AS since, CASE WHEN o.automatic AND coalesce(w.known - 3, o.own) < o.today - 90 THEN least(w.hole, coalesce(w.known - 3, o.own)) ELSE w.hole END AS hole,
+    CASE WHEN o.automatic AND coalesce(w.known - 3, o.own) < o.today - 90 THEN CASE WHEN w.hole IS NOT NULL AND w.hole_end IS NOT NULL THEN greatest(w.hole_end, o.today - 91) ELSE o.today - 91 END ELSE w.hole_end END AS hole_end FROM w JOIN o ON o.source = w.source AND o.n = w.n + 1) AS q) AS q)
+SELECT source, run, since, known AS searched_until, hole AS hole_from, hole_end AS hole_until FROM w WHERE n > 0
+""")
+def search_progress(spark, sf_dir):
+    """Every search of a log: where it began, how far its source was known to be searched after it, and what is left to catch up."""
+    return progress.steps(_runs(spark, sf_dir))
