@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.scratch import shared_dir, written  # noqa: F401
@@ -29,3 +29,17 @@ def let(value: Column, f) -> Column:
     """``f`` of a value that is worked out once, even where the optimizer moves expressions into filters: inside ``f`` it is a
     lambda's variable and not a copy of its expression."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``written`` made, once nothing will read it again; what was made from it and written stays."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if not files:
+        return
+    jvm, folder = spark._jvm, files[0].rpartition("/")[0]
+    path, shared = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.makeQualified(path.getParent()).toUri().getPath() != fs.makeQualified(shared).toUri().getPath():
+        raise ValueError(f"{folder} is not a table of the shared folder")
+    fs.delete(path, True)

@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship, written
+from .common import discard, ship, written
 
 #: Words of a shard, at most about; bytes of a text that are split at once; distinct phrases of a shard in one row.
-SHARD, SLICE, CHUNK = 3_000_000, 4_000_000, 50_000
+SHARD, SLICE, CHUNK = 6_000_000, 4_000_000, 50_000
+#: Occurrences of a phrase whose longer ones are counted in one task, at most about.
+SPLIT = 2_000_000
 #: Ranks are first taken within so many parts of a language.
 PARTS = 64
 SUPPORT, LONGEST, KEEP = 30, 4, 2000
@@ -61,6 +63,19 @@ def _slices(text: bytes, size: int):
     yield words, len(words)
 
 
+def _pack(stream: np.ndarray) -> bytes:
+    """Numbers of 4 bytes, byte by byte of the number: the upper ones are nearly always alike."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(stream.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 SHARDS = "shard long, lang string, n long, part int, words array<string>, counts array<long>, stream binary"
 
 
@@ -70,8 +85,6 @@ def _shards(size: int, slice_bytes: int):
     ``size`` words, the largest is closed."""
 
     def of(batches):
-        import zstandard
-
         open_: dict[str, list] = {}
         made = total = 0
 
@@ -83,7 +96,7 @@ def _shards(size: int, slice_bytes: int):
             stream = np.concatenate(streams)
             counts = np.bincount(stream[stream > 0], minlength=len(number))[1:]
             words = [w.decode() for w in list(number)[1:]]
-            raw = zstandard.ZstdCompressor(level=1).compress(stream.tobytes())
+            raw = _pack(stream)
             for part, lo in enumerate(range(0, len(words), CHUNK)):
                 piece = words[lo : lo + CHUNK], counts[lo : lo + CHUNK].tolist()
                 yield pa.RecordBatch.from_arrays(
@@ -117,42 +130,61 @@ def _shards(size: int, slice_bytes: int):
     return of
 
 
-PHRASES = "shard long, part int, heads array<long>, tails array<long>, counts array<long>, stream binary"
+#: A phrase's longer ones are a run of keys: the head once, its tails and how often each occurs here.
+PHRASES = "shard long, part int, heads array<long>, buckets array<int>, starts array<long>, tails array<array<long>>, counts array<array<int>>, stream binary"
+
+
+def _longer(split: int):
+    """One shard, one word more: ``left`` has its stream, ``right`` (place, id, f) which of the phrases in it are frequent. The new
+    stream holds, at each word, the place + 1 of the longer phrase that starts there, 0 if none can be frequent.
+
+    Places follow the runs, so a run needs its first only. The tails of a head with more than ``split`` occurrences are dealt
+    into buckets, the same in all shards."""
+    schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("heads", pa.list_(pa.int64())), ("buckets", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("tails", pa.list_(pa.list_(pa.int64()))), ("counts", pa.list_(pa.list_(pa.int32()))), ("stream", pa.binary())])
+
+    def of(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        raw = [x for x in left["stream"].to_pylist() if x is not None]
+        if not raw or not right.num_rows:
+            return schema.empty_table()
+        stream = _unpack(raw[0])
+        place, ids, f = (right[c].to_numpy() for c in ("place", "id", "f"))
+        sorted_ = np.argsort(place)
+        place, ids, f = place[sorted_], ids[sorted_], f[sorted_]
+        rank = np.zeros(max(int(np.abs(stream).max()), int(place[-1]) + 1) + 1, np.int32)
+        rank[place + 1] = np.arange(1, len(place) + 1)
+        known = rank[np.abs(stream)]
+        at = np.flatnonzero((known[:-1] > 0) & (known[1:] > 0))
+        if not len(at):
+            return schema.empty_table()
+        packed = known[at].astype(np.int64) * (len(place) + 1) + known[at + 1]
+        keys, number = np.unique(packed, return_inverse=True)
+        own = stream[at] > 0
+        counts = np.bincount(number[own], minlength=len(keys)).astype(np.int32)
+        head, tail = keys // (len(place) + 1) - 1, keys % (len(place) + 1) - 1
+        parts = 1 + f[head] // split
+        bucket = (((ids[tail] * 0x9E3779B1) >> 16) & 0xFFFF) % parts
+        if parts.max() > 1:
+            order = np.lexsort((tail, bucket, head))
+            moved = np.empty(len(keys), np.int64)
+            moved[order] = np.arange(len(keys))
+            head, tail, bucket, counts, number = head[order], tail[order], bucket[order], counts[order], moved[number]
+        new = np.zeros(len(stream), np.int32)
+        new[at] = np.where(own, number + 1, -(number + 1))
+        raw = _pack(new)
+        begins = np.append(True, (head[1:] != head[:-1]) | (bucket[1:] != bucket[:-1]))
+        # A row of runs ends every so many keys; a run that goes on there is two.
+        begins[::CHUNK] = True
+        runs, out = np.flatnonzero(begins), []
+        for part, lo in enumerate(range(0, len(keys), CHUNK)):
+            hi = min(lo + CHUNK, len(keys))
+            here = runs[np.searchsorted(runs, lo) : np.searchsorted(runs, hi)]
+            ends = pa.array(np.append(here, hi) - lo, pa.int32())
+            lists = [ids[head[here]], bucket[here].astype(np.int32), here.astype(np.int64)]
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(here)], pa.int32()), x) for x in (*map(pa.array, lists), pa.ListArray.from_arrays(ends, pa.array(ids[tail[lo:hi]])), pa.ListArray.from_arrays(ends, pa.array(counts[lo:hi])))]
+            out.append(pa.RecordBatch.from_arrays([pa.array([left["shard"][0].as_py()], pa.int64()), pa.array([part], pa.int32()), *columns, pa.array([raw if part == 0 else None], pa.binary())], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
-
-def _longer(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """One shard, one word more: ``left`` has its stream, ``right`` (place, id) which of the phrases in it are frequent. The
-    new stream holds, at each word, the place + 1 of the longer phrase that starts there, 0 if none can be frequent."""
-    import zstandard
-
-    raw = [x for x in left["stream"].to_pylist() if x is not None]
-    schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("heads", pa.list_(pa.int64())), ("tails", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("stream", pa.binary())])
-    if not raw or not right.num_rows:
-        return schema.empty_table()
-    stream = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[0]), np.int32)
-    place, ids = right["place"].to_numpy(), right["id"].to_numpy()
-    sorted_ = np.argsort(place)
-    place, ids = place[sorted_], ids[sorted_]
-    rank = np.zeros(max(int(np.abs(stream).max()), int(place[-1]) + 1) + 1, np.int64)
-    rank[place + 1] = np.arange(1, len(place) + 1)
-    known = rank[np.abs(stream)]
-    at = np.flatnonzero((known[:-1] > 0) & (known[1:] > 0))
-    if not len(at):
-        return schema.empty_table()
-    packed = known[at] * (len(place) + 1) + known[at + 1]
-    keys, number = np.unique(packed, return_inverse=True)
-    own = stream[at] > 0
-    counts = np.bincount(number[own], minlength=len(keys))
-    new = np.zeros(len(stream), np.int32)
-    new[at] = np.where(own, number + 1, -(number + 1))
-    heads, tails = ids[keys // (len(place) + 1) - 1], ids[keys % (len(place) + 1) - 1]
-    raw = zstandard.ZstdCompressor(level=1).compress(new.tobytes())
-    shard, out = left["shard"][0].as_py(), []
-    for part, lo in enumerate(range(0, len(keys), CHUNK)):
-        cut = slice(lo, lo + CHUNK)
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(x[cut])], pa.int32()), pa.array(x[cut].astype(np.int64))) for x in (heads, tails, counts)]
-        out.append(pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([part], pa.int32()), *lists, pa.array([raw if part == 0 else None], pa.binary())], schema=schema))
-    return pa.Table.from_batches(out, schema)
+    return of
 
 
 def _number(shard: Column, place: Column) -> Column:
@@ -174,7 +206,7 @@ def _firsts(found: DataFrame) -> DataFrame:
     return found.filter("id = number")
 
 
-def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD, slice_bytes: int = SLICE) -> tuple[list[DataFrame], DataFrame]:
+def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD, slice_bytes: int = SLICE, split: int = SPLIT) -> tuple[list[DataFrame], DataFrame]:
     """Every phrase of 1 to ``longest`` (at most 4) words that occurs ``support`` times or more in its language, and the words
     of each language.
 
@@ -193,25 +225,32 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     least = F.expr(f"greatest(1, ({support} * n + __all - 1) div greatest(1, __all))").alias("least")
     shares = written(sizes.join(totals.withColumnRenamed("n", "__all"), "lang").select("shard", least))
 
-    def rows(table: DataFrame, *columns: str) -> DataFrame:
-        kept = [c for c in ("lang",) if c in table.columns]
-        out = table.join(shares, "shard").select("shard", "part", "least", *kept, F.posexplode(F.arrays_zip(*columns, "counts")).alias("at", "x"))
-        return out.select(_number(F.col("shard"), F.col("part") * CHUNK + F.col("at")).alias("number"), *kept, *(F.col(f"x.{c}").alias(c) for c in columns), F.col("x.counts").alias("count"), "least")
+    distinct = cut.join(shares, "shard").select("shard", "part", "least", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
+    numbers = _number(F.col("shard"), F.col("part") * CHUNK + F.col("at")).alias("number")
+    words = _frequent(distinct.select(numbers, "lang", F.col("x.words").alias("phrase"), F.col("x.counts").alias("count"), "least"), ["lang", "phrase"], support)
+
+    def opened(table: DataFrame) -> DataFrame:
+        """Runs go to the task of their head and bucket whole and are opened there."""
+        runs = table.join(shares, "shard").select("shard", "least", F.explode(F.arrays_zip("heads", "buckets", "starts", "tails", "counts")).alias("x"))
+        dealt = runs.select("least", F.col("x.heads").alias("head"), F.col("x.buckets").alias("bucket"), _number(F.col("shard"), F.col("x.starts")).alias("start"), "x.tails", "x.counts").repartition("head", "bucket")
+        keys = dealt.select("least", "head", "bucket", "start", F.posexplode(F.arrays_zip("tails", "counts")).alias("at", "y"))
+        return keys.select((F.col("start") + F.col("at")).alias("number"), "head", "bucket", F.col("y.tails").alias("tail"), F.col("y.counts").alias("count"), "least")
 
-    words = _frequent(rows(cut, "words").withColumnRenamed("words", "phrase"), ["lang", "phrase"], support)
     f = F.array("f")
     none = F.lit(None).cast("long")
     levels = [_firsts(words).select("lang", "id", "phrase", F.col("phrase").alias("last"), "f", f.alias("heads"), f.alias("tails"), none.alias("head"), none.alias("tail"))]
     found, streams = words, cut
     for _ in range(1, longest):
-        places = found.select(F.shiftright("number", 24).alias("shard"), (F.col("number") % (1 << 24)).alias("place"), "id")
-        streams = written(streams.filter("part = 0").select("shard", "stream").groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(_longer, PHRASES))
-        found = _frequent(rows(streams, "heads", "tails").withColumnsRenamed({"heads": "head", "tails": "tail"}), ["head", "tail"], support)
+        places = found.select(F.shiftright("number", 24).alias("shard"), (F.col("number") % (1 << 24)).alias("place"), "id", "f")
+        before, streams = streams, written(streams.filter("part = 0").select("shard", "stream").groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(_longer(split), PHRASES))
+        discard(before)
+        found = _frequent(opened(streams), ["head", "bucket", "tail"], support)
         below = levels[-1]
         head = below.select("lang", F.col("id").alias("head"), F.col("phrase").alias("__phrase"), F.col("heads").alias("__heads"))
         tail = below.select(F.col("id").alias("tail"), F.col("last").alias("__last"), F.col("tails").alias("__tails"))
         level = _firsts(found).join(head, "head").join(tail, "tail")
         levels.append(written(level.select("lang", "id", F.concat_ws(" ", "__phrase", "__last").alias("phrase"), F.col("__last").alias("last"), "f", F.concat("__heads", F.array("f")).alias("heads"), F.concat("__tails", F.array("f")).alias("tails"), "head", "tail")))
+    discard(streams)
     return levels, totals
 
 

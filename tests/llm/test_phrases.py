@@ -28,7 +28,7 @@ def brute(rows, support, keep):
     return {(lang, rank, p.decode(), -a, l, r, n[lang], -score) for lang, x in by.items() for rank, (score, a, p, l, r) in enumerate(sorted(x)[:keep], 1)}
 
 
-@pytest.mark.parametrize("support,keep,cut", [(3, 2000, {}), (2, 5, {"shard_words": 150, "slice_bytes": 64}), (30, 2000, {"shard_words": 1000, "slice_bytes": 300})])
+@pytest.mark.parametrize("support,keep,cut", [(3, 2000, {}), (2, 5, {"shard_words": 150, "slice_bytes": 64, "split": 7}), (30, 2000, {"shard_words": 1000, "slice_bytes": 300})])
 def test_phrases(awkward, support, keep, cut):
     got = phrases.collocations(awkward, support, keep=keep, **cut).collect()
     want = brute([(r.lang, r.text) for r in awkward.collect()], support, keep)
