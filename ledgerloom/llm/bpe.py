@@ -153,9 +153,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``tokens`` with ``raw``: the bytes of the ids in ``ids_col`` (little-endian unsigned 32-bit integers), concatenated.
+    """(row, raw): every row of ``tokens`` whole, as one struct that no name of its can clash with, and the bytes of the ids in
+    ``ids_col`` (little-endian unsigned 32-bit integers), concatenated.
 
-    Null ids stay null, no ids are no bytes; an id without a rank raises. Each task looks tokens up in one table of bytes and
+    Null ids stay null, no ids are no bytes; an id without a rank raises; repeated rows are decoded each. Each task looks tokens up in one table of bytes and
     offsets, all ids of a batch at once; nothing is shuffled.
     """
     ship(tokens.sparkSession)
@@ -176,8 +177,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                 raw.append(None if packed is None else data[np.repeat(starts[ids], n) + inner].tobytes())
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(raw, pa.binary())], ["row", "raw"])
 
-    out = rows.mapInArrow(of, StructType([rows.schema["row"], StructField("raw", BinaryType())]))
-    return out.select("row.*", "raw")
+    return rows.mapInArrow(of, StructType([rows.schema["row"], StructField("raw", BinaryType())]))
 
 
 @lru_cache(maxsize=4)

@@ -213,15 +213,15 @@ def test_bpe(spark, awkward, empty, chunk, overlap):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == Counter((r.doc_id, *want(r.text)) for r in docs.collect())
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
     coded = bpe.encode(docs, path, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap, with_ids=True)
-    back = bpe.decode(coded.withColumnsRenamed({"ids_sha256": "row", "decoded_sha256": "raw_"}), path).collect()
-    assert Counter((r.doc_id, bytes(r.raw)) for r in back) == Counter((r.doc_id, (r.text or "").encode()) for r in docs.collect())
-    assert Counter((r.doc_id, bytes(r.ids)) for r in back) == Counter((r.doc_id, np.array(enc.encode_ordinary(r.text or ""), "<u4").tobytes()) for r in docs.collect())
+    back = bpe.decode(coded.withColumnsRenamed({"ids_sha256": "row", "decoded_sha256": "raw"}), path).collect()
+    assert Counter((r.row.doc_id, bytes(r.raw)) for r in back) == Counter((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+    assert Counter((r.row.doc_id, bytes(r.row.ids)) for r in back) == Counter((r.doc_id, np.array(enc.encode_ordinary(r.text or ""), "<u4").tobytes()) for r in docs.collect())
 
 
 def test_decode_odd_rows(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = spark.createDataFrame([(1, None), (2, b"")], "k long, ids binary")
-    assert {r.k: r.raw for r in bpe.decode(rows, path).collect()} == {1: None, 2: b""}
+    assert {r.row.k: r.raw for r in bpe.decode(rows, path).collect()} == {1: None, 2: b""}
     assert bpe.decode(rows.limit(0), path).count() == 0
     with pytest.raises(Exception, match="no token has"):
         bpe.decode(spark.createDataFrame([(b"\xff\xff\xff\x00",)], "ids binary"), path).collect()
