@@ -36,4 +36,4 @@ def query(oracle: str | None = None):
     return of
 
 
-from . import bank, documents, forecast, lists, matching, misc, packs, parties, series, stock, tickets, till, upkeep, values  # noqa: E402, F401
+from . import bank, documents, forecast, lists, matching, misc, packs, parties, series, slips, stock, tickets, till, upkeep, values  # noqa: E402, F401
