@@ -75,6 +75,22 @@ def test_secrets(leaky, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_the_twin_finds_whole_keys(spark, tmp_path):
+    import duckdb
+
+    from ledgerloom.llm import queries
+
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"a {head}\nMII-a--b---c----d=\n{end} z", head, f"{head}\nabc", f"{head}-{end}", f"{head}abc---{end}", f"{head}{end}", f"{head} x {head} y {end} {end}", f"é {head}\n{'k' * 5000}\n{end}{end}", f"{head} one ----- two {end}", None, "-----BEGIN  PRIVATE KEY-----q-----END PRIVATE KEY-----password=abcdefgh"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{next((tmp_path / 'd').glob('*.parquet'))}'")
+    want = {r[0]: r[1:] for r in con.sql(f"select doc_id, n_assign, base_sha256, spans from ({queries.ORACLES['op6_secret_scans']})").fetchall()}
+    got = {r.doc_id: (r.n_assign, r.base_sha256, r.spans) for r in secrets.find_secrets(docs).collect()}
+    assert got == want and sum("private_key" in x[2] and len(x[2]) > 15 for x in got.values()) > 5
+
+
 def test_ledger_scans_only_what_is_new(spark, leaky):
     first = secrets.scan(leaky.filter("doc_id < 1003"))
     assert secrets.scan(leaky.filter("doc_id < 1003"), first).count() == 0
