@@ -168,25 +168,36 @@ def income_by_month(spark, sf_dir):
 
 @query("""
 WITH debits AS (SELECT line_id, payee_id, -amount AS due FROM bank_lines WHERE amount < 0),
-parts AS (SELECT invoice_id, category, sum(ht) AS part FROM lines JOIN products USING (product_id) GROUP BY 1, 2), met AS (SELECT line_id, due, category, part, sum(part) OVER (PARTITION BY line_id) AS total FROM debits JOIN parts ON line_id = invoice_id),
-scaled AS (SELECT line_id, category, CASE WHEN total > due THEN CAST(round(CAST(part AS DOUBLE) * CAST(due AS DOUBLE) / CAST(total AS DOUBLE), 2) AS DECIMAL(14,2)) ELSE part END AS amount FROM met),
-sums AS (SELECT line_id, sum(amount) AS given FROM scaled GROUP BY 1), rest AS (SELECT line_id, CASE WHEN given IS NULL THEN 'segment ' || c_mktsegment ELSE 'uncategorised' END AS category, due - coalesce(given, 0) AS amount FROM debits LEFT JOIN sums USING (line_id) JOIN customer ON c_custkey = payee_id),
-u AS (SELECT category, amount FROM scaled UNION ALL SELECT category, amount FROM rest WHERE amount <> 0)
-SELECT category, round(CAST(sum(amount) AS DOUBLE), 2) AS amount, count(*) AS n_parts FROM u GROUP BY 1
+parts AS (SELECT invoice_id, category, sum(ht) AS part FROM lines JOIN products USING (product_id) GROUP BY 1, 2), met AS (SELECT line_id, due, category, CAST(part * 100 AS HUGEINT) AS p, CAST(due * 100 AS HUGEINT) AS d, CAST(sum(part) OVER (PARTITION BY line_id) * 100 AS HUGEINT) AS t FROM debits JOIN parts ON line_id = invoice_id),
+cut AS (SELECT line_id, category, d, t, CASE WHEN t > d THEN (2 * p * d + t) // (2 * t) ELSE p END AS c, row_number() OVER (PARTITION BY line_id ORDER BY p DESC, category) AS r FROM met),
+scaled AS (SELECT line_id, category, CAST(c + CASE WHEN r = 1 AND t > d THEN d - sum(c) OVER (PARTITION BY line_id) ELSE 0 END AS DECIMAL(24,2)) / 100 AS amount FROM cut),
+sums AS (SELECT line_id, CAST(sum(amount) AS DECIMAL(24,2)) AS given FROM scaled GROUP BY 1), rest AS (SELECT line_id, CASE WHEN given IS NULL THEN 'segment ' || c_mktsegment ELSE 'uncategorised' END AS category, due - coalesce(given, 0) AS amount FROM debits LEFT JOIN sums USING (line_id) JOIN customer ON c_custkey = payee_id),
+u AS (SELECT category, CAST(amount AS DECIMAL(24,2)) AS amount FROM scaled UNION ALL SELECT category, amount FROM rest WHERE amount <> 0), s AS (SELECT category, sum(amount) AS amount, count(*) AS n_parts FROM u GROUP BY 1),
+z AS (SELECT *, CASE WHEN amount > 0 THEN (2 * CAST(amount * 100 AS HUGEINT) * 1000 + w) // (2 * w) END AS tenths, row_number() OVER (ORDER BY amount DESC, category) AS r FROM (SELECT *, CAST(sum(amount) FILTER (WHERE amount > 0) OVER () * 100 AS HUGEINT) AS w FROM s) AS q)
+SELECT category, CAST(amount AS DOUBLE) AS amount, n_parts, amount > 0 AS drawn, CAST(tenths + CASE WHEN r = 1 THEN 1000 - sum(tenths) OVER () ELSE 0 END AS DOUBLE) / 10 AS share FROM z
 """)
 def spending_by_category(spark, sf_dir):
-    """Debits by the categories of their invoices, scaled down where these ask for more; the rest has the payee's segment, or
-    no category where there are invoices."""
+    """Debits by the categories of their invoices, scaled down where these ask for more, what rounding leaves on the largest; the
+    rest has the payee's segment, or no category where there are invoices. What nets to nothing is not drawn; shares add up."""
     debits = views.bank_lines(spark, sf_dir).filter("amount < 0").select("line_id", "payee_id", (-F.col("amount")).alias("due"))
     parts = views.lines(spark, sf_dir).join(views.products(spark, sf_dir), "product_id").groupBy(F.col("invoice_id").alias("line_id"), "category").agg(F.sum("ht").alias("part"))
-    met = debits.join(parts, "line_id").withColumn("total", F.sum("part").over(Window.partitionBy("line_id")))
-    scaled = F.round(F.col("part").cast(D) * F.col("due").cast(D) / F.col("total").cast(D), 2).cast("decimal(14,2)")
-    given = met.select("line_id", "category", F.when(F.col("total") > F.col("due"), scaled).otherwise(F.col("part")).cast("decimal(24,2)").alias("amount"))
+    cents = lambda c: (c * 100).cast("decimal(17,0)")
+    line = Window.partitionBy("line_id")
+    met = debits.join(parts, "line_id").select("line_id", "category", cents(F.col("part")).alias("p"), cents(F.col("due")).alias("d"), cents(F.sum("part").over(line)).alias("t"))
+    # Cents to the nearest, halves up, without a division that rounds first.
+    cut = met.withColumn("c", F.when(F.col("t") > F.col("d"), F.expr("(2 * p * d + t) div (2 * t)").cast("decimal(17,0)")).otherwise(F.col("p"))).withColumn("r", F.row_number().over(line.orderBy(F.desc("p"), "category")))
+    left = F.when((F.col("r") == 1) & (F.col("t") > F.col("d")), F.col("d") - F.sum("c").over(line)).otherwise(0)
+    given = cut.select("line_id", "category", ((F.col("c") + left) / 100).cast("decimal(24,2)").alias("amount"))
     sums = given.groupBy("line_id").agg(F.sum("amount").alias("given"))
     segment = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("payee_id"), "c_mktsegment")
     rest = debits.join(sums, "line_id", "left").join(segment, "payee_id").select(F.when(F.col("given").isNull(), F.concat(F.lit("segment "), "c_mktsegment")).otherwise(F.lit("uncategorised")).alias("category"), (F.col("due") - F.coalesce("given", F.lit(0))).cast("decimal(24,2)").alias("amount"))
     u = given.select("category", "amount").unionByName(rest.filter("amount != 0"))
-    return u.groupBy("category").agg(F.round(F.sum("amount").cast(D), 2).alias("amount"), F.count("*").alias("n_parts"))
+    # A row a category from here on.
+    all_, drawn = Window.partitionBy(), F.col("amount") > 0
+    rows = u.groupBy("category").agg(F.sum("amount").alias("amount"), F.count("*").alias("n_parts")).withColumn("a", cents(F.col("amount"))).withColumn("w", F.sum(F.when(drawn, F.col("a"))).over(all_).cast("decimal(17,0)"))
+    rows = rows.withColumn("tenths", F.when(drawn, F.expr("(2 * a * 1000 + w) div (2 * w)"))).withColumn("r", F.row_number().over(all_.orderBy(F.desc("amount"), "category")))
+    share = (F.col("tenths") + F.when(F.col("r") == 1, 1000 - F.sum("tenths").over(all_)).otherwise(0)).cast(D) / 10
+    return rows.select("category", F.col("amount").cast(D).alias("amount"), "n_parts", drawn.alias("drawn"), share.alias("share"))
 
 
 @query("""
