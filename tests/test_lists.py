@@ -122,7 +122,7 @@ def made(seed):
     return buys, sold, returned
 
 
-@pytest.mark.parametrize("seed,till,covered", [(1, 150, 609), (2, 150, 560), (3, None, None), (4, 400, 611), (5, 0, 300)])
+@pytest.mark.parametrize("seed,till,covered", [(1, 150, 609), (2, 150, 560), (3, None, None)])
 def test_plan(spark, seed, till, covered):
     buys, sold, returned = made(seed)
     at = lambda n: None if n is None else D0 + timedelta(n)

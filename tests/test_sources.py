@@ -59,6 +59,36 @@ def test_archive(spark, tmp_path, data_dir):
         archive.load(spark, str(tmp_path / "a"))
 
 
+def test_archive_names_the_part_that_was_touched(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "PART_ROWS", 10)
+    rows = spark.createDataFrame([(i, f"n{i % 7}", None) for i in range(95)] + [(3, "n3", None)], "k long, name string, note string")
+    archive.dump({"rows": rows, "none": rows.limit(0)}, str(tmp_path / "b"), {"rows": ["k"]})
+    got = archive.load(spark, str(tmp_path / "b"))
+    assert sorted(map(tuple, got["rows"].collect())) == sorted(map(tuple, rows.collect())) and got["none"].count() == 0
+    part = got["rows"].select(F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(10)).alias("p")).filter("k = 42").first().p
+    rows.withColumn("name", F.when(F.col("k") == 42, "changed").otherwise(F.col("name"))).write.mode("overwrite").json(str(tmp_path / "b" / "rows"))
+    with pytest.raises(ValueError, match=rf"rows: parts \[{part}\] of 10"):
+        archive.load(spark, str(tmp_path / "b"))
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(str(tmp_path / "b" / "rows"))
+    spark.read.schema(archive.PARTS).json(str(tmp_path / "b" / "digests" / "rows")).filter("part > 0").coalesce(1).write.json(str(tmp_path / "less"))
+    (tmp_path / "b" / "digests" / "rows").rename(tmp_path / "old")
+    (tmp_path / "less").rename(tmp_path / "b" / "digests" / "rows")
+    with pytest.raises(ValueError, match="manifest"):
+        archive.load(spark, str(tmp_path / "b"))
+
+
+def test_natural_keys_and_sections(spark):
+    there = archive.with_key(spark.createDataFrame([(10, "a", 1), (11, "a", 2), (12, "b", 1), (13, "c", 1), (14, "c", 1), (15, "d", 1), (16, "e", 1)], "id long, name string, at int"), ["name"], ["at"])
+    here = archive.with_key(spark.createDataFrame([(20, "a", 1), (21, "a", 9), (22, "b", 5), (23, "c", 1), (24, "e", 1), (25, "e", 1)], "id long, name string, at int"), ["name"], ["at"])
+    got = {r.old: (r.id, r.refused) for r in archive.resolve(there.select(F.col("id").alias("old"), "key", "rank"), here, "id").collect()}
+    assert got == {10: (20, None), 11: (21, None), 12: (22, None), 13: (None, "ambiguous"), 14: (None, "ambiguous"), 15: (None, "missing"), 16: (None, "ambiguous")}
+    needs = {"lines": ["invoices", "products"], "invoices": ["suppliers"], "products": ["suppliers", "articles"], "suppliers": [], "articles": [], "x": ["y"], "y": ["x"]}
+    assert archive.closure(["lines"], needs) == ["suppliers", "invoices", "articles", "products", "lines"]
+    for wrong in (["x"], ["z"]):
+        with pytest.raises(ValueError):
+            archive.closure(wrong, needs)
+
+
 def test_cells(spark):
     df = spark.createDataFrame([("7h30",), ("7:5",), ("7,5",), ("8h",), ("7h75",), ("x",)], "t string")
     assert [r.h and float(r.h) for r in df.select(parse.hours(F.col("t")).alias("h")).collect()] == [7.5, pytest.approx(7.08), 7.5, 8.0, None, None]
