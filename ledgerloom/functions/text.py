@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.ship import ship
 
 
 def _accented() -> tuple[str, str]:
@@ -34,16 +36,27 @@ def name_words(text: Column) -> Column:
     return F.regexp_extract_all(F.upper(search_key(text)), F.lit(r"[A-Z]{3,}"), F.lit(0))
 
 
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a bit for each letter of ``a``, cleared once it is used."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = free = (1 << len(a)) - 1
+    for c in b:
+        used = free & places.get(c, 0)
+        free = ((free + used) | (free - used)) & full
+    return len(a) - free.bit_count()
+
+
 def _common(a: Column, b: Column) -> Column:
-    """Letters of the longest common subsequence of two texts that are not empty, a row of the usual table for each letter."""
-    at = lambda row, j: F.coalesce(F.get(row, j), F.lit(0))
-    letters = F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.substr(a, i, F.lit(1)))
+    """``common_letters`` of two texts, an Arrow batch at a time; a null has none in common."""
+    ship(SparkSession.active())
 
-    def row_of(row: Column, letter: Column) -> Column:
-        best = lambda new, j: F.greatest(at(row, j - 1), at(new, j - 2), F.when(F.substr(b, j, F.lit(1)) == letter, at(row, j - 2) + 1).otherwise(0))
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array().cast("array<int>"), lambda new, j: F.concat(new, F.array(best(new, j))))
+    @F.pandas_udf("int")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([common_letters(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="int32")
 
-    return F.aggregate(letters, F.array().cast("array<int>"), row_of, lambda row: F.element_at(row, -1))
+    return of(a, b)
 
 
 def likeness(a: Column, b: Column) -> Column:

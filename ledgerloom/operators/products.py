@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.text import numeric_signature
+from ledgerloom.functions.text import common_letters, numeric_signature
 from ledgerloom.operators.names import misread_match
 from ledgerloom.sources.scratch import written
 from ledgerloom.sources.ship import ship
@@ -22,18 +22,6 @@ def sorted_words(name: Column) -> Column:
     return F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")), " ")
 
 
-def common_letters(a: str, b: str) -> int:
-    """Length of the longest common subsequence: a bit for each letter of ``a``, cleared once it is used."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = free = (1 << len(a)) - 1
-    for c in b:
-        used = free & places.get(c, 0)
-        free = ((free + used) | (free - used)) & full
-    return len(a) - free.bit_count()
-
-
 def alike(read: DataFrame, known: DataFrame, least: int = ALIKE) -> DataFrame:
     """(read_id, known_id, score): every pair of one supplier with the same numbers whose words, sorted, are ``least`` or more alike:
     of 200, the letters in common in order over all letters.

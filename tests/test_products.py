@@ -7,6 +7,7 @@ from decimal import Decimal
 
 import pytest
 
+from ledgerloom.functions import text
 from ledgerloom.operators import names, products
 from ledgerloom.plans import parties
 
@@ -62,7 +63,7 @@ def test_letters_in_common():
     r = random.Random(1)
     for _ in range(300):
         a, b = ("".join(r.choice("abé ") for _ in range(r.randrange(0, 90))) for _ in range(2))
-        assert products.common_letters(a, b) == lcs(a, b)
+        assert text.common_letters(a, b) == lcs(a, b)
 
 
 def plain(lines, known, folds):
