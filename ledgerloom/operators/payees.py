@@ -11,10 +11,10 @@ from ledgerloom.functions.text import search_key
 from ledgerloom.operators.graph import components
 
 #: Words that name nobody.
-GENERIC_WORDS = """
-SAS SASU SARL EURL SCEA EARL GAEC SNC SCI SOC STE SOCIETE CIE ETS ETABLISSEMENTS THE AND LES DES AUX SUR PERE FILS FRERES FILLE
-MAISON DOMAINE CHATEAU CAVE CAVES VIGNERONS CHAMPAGNE FRANCE PARIS AUTRE ANALYSE
-""".split()
+GENERIC_WORDS = (
+    "SAS", "SASU", "SARL", "EURL", "SCEA", "EARL", "GAEC", "SNC", "SCI", "SOC", "STE", "SOCIETE", "CIE", "ETS", "ETABLISSEMENTS", "THE", "AND", "LES", "DES", "AUX", "SUR", "PERE", "FILS", "FRERES", "FILLE",
+    "MAISON", "DOMAINE", "CHATEAU", "CAVE", "CAVES", "VIGNERONS", "CHAMPAGNE", "FRANCE", "PARIS", "AUTRE", "ANALYSE",
+)
 #: Fixed value: words this long may be one letter off.
 NEAR_LENGTH = 5
 
@@ -46,7 +46,7 @@ def named(payees: DataFrame, suppliers: DataFrame, aliases: DataFrame) -> DataFr
     by_alias = said.withColumn("key", key_of(F.col("payee"))).join(taught, "key").select("payee", "from_label", "supplier_id", F.lit(0).alias("rank"))
     said = said.filter(~F.col("from_label")).select("payee", "from_label", F.explode(F.array_distinct(words(F.col("payee")))).alias("word"))
     own = suppliers.select("supplier_id", F.explode(F.array_distinct(words(F.col("name")))).alias("known"))
-    own = own.filter((F.length("known") >= 3) & ~F.col("known").rlike(r"^\d+$") & ~F.col("known").isin(GENERIC_WORDS))
+    own = own.filter((F.length("known") >= 3) & ~F.col("known").rlike(r"^\d+$") & ~F.col("known").isin(*GENERIC_WORDS))
     without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.length(w))))
     keys = lambda c: F.explode(F.array_distinct(F.when(F.length(c) >= NEAR_LENGTH, F.concat(F.array(c), without(F.col(c)))).otherwise(F.array(c)))).alias("key")
     met = said.select("word").distinct().select("word", keys("word")).join(own.select("known").distinct().select("known", keys("known")), "key")
