@@ -2,45 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, LongType, StructField, StructType
+
+from ledgerloom.sources.ship import ship
 
 #: Days searched again before the mark, and the furthest an automatic run goes back.
 OVERLAP, LOOKBACK = 3, 90
 
-STATE = "struct<known:int,hole_from:int,hole_until:int>"
-RUN = "struct<run:bigint,today:int,automatic:boolean,since:int,until:int,ok:boolean,own:int,floor:int>"
-STEP = "struct<run:bigint,since:int,known:int,hole_from:int,hole_until:int>"
+#: A run's days and what it says of itself.
+RUN = ("today", "automatic", "since", "until", "ok", "own", "floor")
+
+
+def _least(*x):
+    return min((v for v in x if v is not None), default=None)
+
+
+def _greatest(*x):
+    return max((v for v in x if v is not None), default=None)
+
 
+def _to(a, b) -> bool:
+    return a is not None and b is not None and a <= b
 
-def _asked(s: Column, r: Column) -> Column:
-    """(since, bounded, hole_from, hole_until): where a run starts. An automatic one starts a little before the mark, at the
+
+def _asked(state: tuple, today, automatic, since, own) -> tuple:
+    """(since, cut, hole_from, hole_until): where a run starts. An automatic one starts a little before the mark, at the
     source's own start if there is none; beyond ``LOOKBACK`` it is cut, and what it leaves out is a hole."""
-    start = F.coalesce(s["known"] - OVERLAP, r["own"])
-    bound = r["today"] - LOOKBACK
-    cut = r["automatic"] & (start < bound)
-    end = F.when(s["hole_from"].isNotNull() & s["hole_until"].isNotNull(), F.greatest(s["hole_until"], bound - 1)).otherwise(bound - 1)
-    return F.struct(
-        F.when(~r["automatic"], r["since"]).when(cut, bound).otherwise(start).alias("since"), cut.alias("cut"),
-        F.when(cut, F.least(s["hole_from"], start)).otherwise(s["hole_from"]).alias("hole_from"), F.when(cut, end).otherwise(s["hole_until"]).alias("hole_until"),
-    )
-
-
-def _step(s: Column, r: Column, a: Column) -> Column:
-    """The state after a run: a search that joins what is known moves the mark, one that was cut moves it too, a first one that
-    does not reach back to the source's own start pins it there; a search over a hole's first day shortens or ends it."""
-    known, since, until = s["known"], a["since"], F.least(r["until"], r["today"])
-    joins = F.when(known.isNotNull(), since <= known + 1).otherwise((since <= r["own"]) & (r["own"] <= until))
-    moved = F.when(a["cut"] | known.isNull(), until).otherwise(F.greatest(known, until))
-    mark = F.when(a["cut"] | joins, moved).when(known.isNull(), F.least(r["own"] + OVERLAP, r["today"])).otherwise(known)
-    first = F.greatest(a["hole_from"], r["floor"])
-    over = a["hole_from"].isNotNull() & (since <= first) & (first <= until)
-    closed = over & (until >= F.coalesce(a["hole_until"], r["today"] - LOOKBACK - 1))
-    ok, none = r["ok"], F.lit(None).cast("int")
-    return F.struct(
-        F.when(ok, mark).otherwise(known).alias("known"), F.when(ok & closed, none).when(ok & over, until + 1).otherwise(a["hole_from"]).alias("hole_from"),
-        F.when(ok & closed, none).otherwise(a["hole_until"]).alias("hole_until"),
-    )
+    known, hole_from, hole_until = state
+    start = own if known is None else known - OVERLAP
+    bound = None if today is None else today - LOOKBACK
+    if not automatic or start is None or bound is None or start >= bound:
+        return since if automatic is False else start, False, hole_from, hole_until
+    end = bound - 1 if hole_from is None or hole_until is None else max(hole_until, bound - 1)
+    return bound, True, _least(hole_from, start), end
+
+
+def _step(state: tuple, today, automatic, since, until, ok, own, floor) -> tuple:
+    """(since, state): a run's start and the state after it. A search that joins what is known moves the mark, one that was cut
+    moves it too, a first one that does not reach back to the source's own start pins it there; a search over a hole's first
+    day shortens or ends it."""
+    known = state[0]
+    since, cut, hole_from, hole_until = _asked(state, today, automatic, since, own)
+    if not ok:
+        return since, (known, hole_from, hole_until)
+    until = _least(until, today)
+    joins = _to(since, known + 1) if known is not None else _to(since, own) and _to(own, until)
+    if cut or joins:
+        mark = until if cut or known is None else _greatest(known, until)
+    else:
+        mark = known if known is not None else _least(None if own is None else own + OVERLAP, today)
+    first = None if hole_from is None else _greatest(hole_from, floor)
+    if first is not None and _to(since, first) and _to(first, until):
+        rest = hole_until if hole_until is not None else None if today is None else today - LOOKBACK - 1
+        hole_from, hole_until = (None, None) if _to(rest, until) else (until + 1, hole_until)
+    return since, (mark, hole_from, hole_until)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs sorted by source and order, one after another; only the state of the source at hand is kept."""
+    source, run, state, begun = None, None, None, False
+    for batch in batches:
+        sources, runs = batch.column("source").to_pylist(), batch.column("run").to_pylist()
+        starts = zip(*(batch.column(f"__{c}").to_pylist() for c in ("known", "from", "until")), strict=True)
+        rows = zip(*(batch.column(c).to_pylist() for c in RUN), strict=True)
+        kept, out = [], []
+        for s, r, start, row in zip(sources, runs, starts, rows, strict=True):
+            if not begun or s != source:
+                source, state, begun = s, start, True
+            elif r == run:
+                kept.append(False)
+                continue
+            run = r
+            since, state = _step(state, *row)
+            kept.append(True)
+            out.append((since, *state))
+        mask = pa.array(kept, pa.bool_())
+        days = zip(*out, strict=True) if out else ([],) * 4
+        dates = [pa.array(d, pa.int32()).cast(pa.date32()) for d in days]
+        names = ["source", "run", "since", "searched_until", "hole_from", "hole_until"]
+        yield pa.RecordBatch.from_arrays([batch.column("source").filter(mask), batch.column("run").filter(mask), *dates], names=names)
 
 
 def steps(runs: DataFrame, states: DataFrame | None = None) -> DataFrame:
@@ -50,28 +95,19 @@ def steps(runs: DataFrame, states: DataFrame | None = None) -> DataFrame:
     ``runs``: source, run (their order), today, automatic, since and until (asked for by a manual run; an automatic one has its
     until), ok (it ended without an error), own (the source's own start), floor (before it nothing can be searched; null: none).
     ``states``: source, searched_until, hole_from, hole_until to go on from. A run that fails moves nothing, but a hole that its
-    start left is kept. A source's runs are folded in order in one row; of repeated runs one counts; empty logs give no rows.
+    start left is kept. A source's runs are folded in order, so they go through one task, as a sorted stream of which no more
+    than a batch is held; of repeated runs one counts; empty logs give no rows.
     """
-    day = lambda c: F.unix_date(F.col(c)).cast("int")
-    row = F.struct(F.col("run").cast("long").alias("run"), day("today").alias("today"), "automatic", day("since").alias("since"), day("until").alias("until"), "ok", day("own").alias("own"), day("floor").alias("floor"))
-    log = runs.dropDuplicates(["source", "run"]).groupBy("source").agg(F.array_sort(F.collect_list(row)).cast(f"array<{RUN}>").alias("log"))
-    none = F.lit(None).cast("int")
+    day = lambda c: F.unix_date(F.col(c)).cast("int").alias(c)
+    log = runs.select("source", F.col("run").cast("long").alias("run"), *(F.col(c) if c in ("automatic", "ok") else day(c) for c in RUN))
+    begun = {"__known": "searched_until", "__from": "hole_from", "__until": "hole_until"}
     if states is None:
-        begun = log.withColumn("state", F.struct(none.alias("known"), none.alias("hole_from"), none.alias("hole_until")))
+        log = log.withColumns({c: F.lit(None).cast("int") for c in begun})
     else:
-        old = states.select("source", day("searched_until").alias("known"), day("hole_from").alias("__a"), day("hole_until").alias("__b"))
-        begun = log.join(old, "source", "left").withColumn("state", F.struct("known", F.col("__a").alias("hole_from"), F.col("__b").alias("hole_until")))
-
-    def fold(acc: Column, r: Column) -> Column:
-        s = acc["state"]
-        # The start is worked out once: inside a lambda it is a variable.
-        one = F.transform(F.array(_asked(s, r)), lambda a: F.struct(a["since"].alias("since"), _step(s, r, a).alias("state")))[0]
-        return F.transform(F.array(one), lambda x: F.struct(x["state"].cast(STATE).alias("state"), F.concat(acc["out"], F.array(F.struct(r["run"].alias("run"), x["since"].alias("since"), x["state"]["known"].alias("known"), x["state"]["hole_from"].alias("hole_from"), x["state"]["hole_until"].alias("hole_until")).cast(STEP))).alias("out")))[0]
-
-    start = F.struct(F.col("state").cast(STATE).alias("state"), F.array().cast(f"array<{STEP}>").alias("out"))
-    out = begun.select("source", F.explode(F.aggregate("log", start, fold, lambda a: a["out"])).alias("x"))
-    date = lambda c, name: F.date_from_unix_date(F.col(f"x.{c}")).alias(name)
-    return out.select("source", "x.run", date("since", "since"), date("known", "searched_until"), date("hole_from", "hole_from"), date("hole_until", "hole_until"))
+        log = log.join(states.select("source", *(F.unix_date(c).cast("int").alias(n) for n, c in begun.items())), "source", "left")
+    ship(runs.sparkSession)
+    schema = StructType([runs.schema["source"], StructField("run", LongType()), *(StructField(c, DateType()) for c in ("since", "searched_until", "hole_from", "hole_until"))])
+    return log.repartition("source").sortWithinPartitions("source", "run").mapInArrow(_folded, schema)
 
 
 def last(done: DataFrame) -> DataFrame:

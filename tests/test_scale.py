@@ -1,6 +1,10 @@
 """What grows with the input is not sent through the driver, one row or one task."""
 
-from ledgerloom.operators import matching
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import matching, progress
 
 
 def _plan(df):
@@ -12,3 +16,11 @@ def test_no_side_of_the_cascades_is_broadcast(spark):
     i = spark.sql("SELECT id AS invoice_id, id % 7 AS key, date_add(DATE '2020-01-01', CAST(id AS INT)) AS invoice_day, CAST(25 AS DECIMAL(12,2)) AS total, true AS fresh FROM range(50)")
     for df in (matching.in_window(p, i), matching.latest_before(p, i), matching.subset_sums(p, i), matching.cascade(p, i)):
         assert "Broadcast" not in _plan(df)
+
+
+def test_a_long_log_is_not_folded_in_one_row(spark):
+    runs = spark.sql("SELECT 1 AS source, id AS run, date_add(DATE '2020-01-01', CAST(id / 500 AS INT)) AS today, true AS automatic, CAST(NULL AS DATE) AS since, date_add(DATE '2020-01-01', CAST(id / 500 AS INT)) AS until, true AS ok, DATE '2020-01-01' AS own, CAST(NULL AS DATE) AS floor FROM range(60000)")
+    plan = _plan(progress.steps(runs))
+    assert "collect_list" not in plan and "aggregate(" not in plan
+    out = progress.steps(runs.unionByName(runs.limit(100))).groupBy().agg(F.count("*"), F.max("searched_until"), F.max("hole_from")).first()
+    assert tuple(out) == (60000, date(2020, 4, 29), None)
