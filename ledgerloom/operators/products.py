@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import common_letters, numeric_signature
-from ledgerloom.operators.names import misread_match
+from ledgerloom.operators import grams
+from ledgerloom.operators.names import misread_costs, sure_of
 from ledgerloom.sources.scratch import written
 from ledgerloom.sources.ship import ship
 
 #: Fixed value: how alike two names must be, of 100, to be one product's.
 ALIKE = 94
-#: Letters of a gram, and the least likeness for which a name always has enough of them.
-GRAM, LOWEST = 2, 90
+#: The least likeness for which a name always has enough grams, and what is asked for first where only the best counts.
+LOWEST, STEPS = 90, (98, 96)
 
 
 def sorted_words(name: Column) -> Column:
@@ -27,9 +27,10 @@ def alike(read: DataFrame, known: DataFrame, least: int = ALIKE) -> DataFrame:
     of 200, the letters in common in order over all letters.
 
     A set-similarity join. A name of n letters in such a pair is at most d = 2 (100 - least) n / least insertions and deletions
-    from the other; each spoils at most ``GRAM`` of its grams. So of the GRAM * d + 1 rarest grams of either name the two share one:
-    only these are joined, by supplier, numbers and gram, and lengths and plain edit distance thin the pairs out before they are
-    scored. ``read`` and ``known``: id, supplier_id, name; a null name is alike to none; equal names are looked at once.
+    from the other; each spoils at most q of its grams of q letters. So of the q d + 1 rarest grams of either name the two share
+    one: only these are joined, by supplier, numbers and gram, and lengths and plain edit distance thin the pairs out before they
+    are scored. The more alike, the longer the grams. ``read`` and ``known``: id, supplier_id, name; a null name is alike to none;
+    equal names are looked at once.
     """
     if least < LOWEST:
         raise ValueError(f"names less than {LOWEST} alike may share no rare gram")
@@ -38,20 +39,14 @@ def alike(read: DataFrame, known: DataFrame, least: int = ALIKE) -> DataFrame:
     for side, df in (("read", read), ("known", known)):
         rows = df.filter("name is not null").select("id", "supplier_id", sorted_words(F.col("name")).alias("s"), F.array_join(numeric_signature(F.col("name")), "/").alias("numbers"))
         both[side] = written(rows.filter(n > 0))
-    texts = both["read"].select("s").unionByName(both["known"].select("s")).distinct()
-    # A gram that comes again in a name is another one.
-    cut = F.when(n < GRAM, F.array("s")).otherwise(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substr("s", i, F.lit(GRAM))))
-    again = F.transform(cut, lambda g, i: F.concat(g, F.size(F.filter(F.slice(cut, 1, i), lambda x: x == g)).cast("string")))
-    grams = written(texts.select("s", F.explode(again).alias("gram")))
-    rarity = grams.groupBy("gram").agg(F.count("*").alias("__n"))
-    first = Window.partitionBy("s").orderBy("__n", "gram")
-    kept = GRAM * F.floor(2 * (100 - least) * n / least) + 1
-    rare = written(grams.join(rarity, "gram").withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= kept).select("s", "gram"))
-    # Equal texts meet as one.
-    side = lambda name, s: both[name].select("supplier_id", "numbers", F.col("s").alias(s)).distinct().join(rare.withColumnRenamed("s", s), s)
-    met = side("read", "a").join(side("known", "b"), ["supplier_id", "numbers", "gram"]).select("supplier_id", "numbers", "a", "b").distinct()
+    # q d + 1 grams are never more than a name of d > 0 has: q 2 (100 - least) / least stays below 0.41.
+    q = max(2, min(6, 19 // (100 - least) if least < 100 else 6))
+    texts = {name: written(rows.select("supplier_id", "numbers", "s").distinct()) for name, rows in both.items()}
+    counts = grams.counted(texts["read"].select("s").unionByName(texts["known"].select("s")), q)
+    side = lambda name, to: grams.rarest(texts[name], counts, q, q * F.floor(2 * (100 - least) * n / least) + 1).withColumnRenamed("s", to)
+    met = side("read", "a").hint("merge").join(side("known", "b"), ["supplier_id", "numbers", "gram"]).select("supplier_id", "numbers", "a", "b")
     most = (100 - least) * (F.length("a") + F.length("b"))
-    near = met.filter((100 * F.abs(F.length("a") - F.length("b")) <= most) & (100 * F.levenshtein("a", "b") <= most))
+    near = met.filter((100 * F.abs(F.length("a") - F.length("b")) <= most) & (F.call_function("levenshtein", F.col("a"), F.col("b"), F.floor(most / 100).cast("int")) >= 0)).distinct()
 
     def score(batches):
         for x in batches:
@@ -60,7 +55,7 @@ def alike(read: DataFrame, known: DataFrame, least: int = ALIKE) -> DataFrame:
     ship(read.sparkSession)
     scored = near.mapInPandas(score, f"supplier_id {near.schema['supplier_id'].dataType.simpleString()}, numbers string, a string, b string, score double").filter(F.col("score") >= least)
     back = lambda name, id_, s: both[name].select(F.col("id").alias(id_), "supplier_id", "numbers", F.col("s").alias(s))
-    out = scored.join(back("read", "read_id", "a"), ["supplier_id", "numbers", "a"]).join(back("known", "known_id", "b"), ["supplier_id", "numbers", "b"])
+    out = scored.join(back("read", "read_id", "a").hint("merge"), ["supplier_id", "numbers", "a"]).join(back("known", "known_id", "b").hint("merge"), ["supplier_id", "numbers", "b"])
     return out.select("read_id", "known_id", "score")
 
 
@@ -73,11 +68,16 @@ def known_by(lines: DataFrame, products: DataFrame, least: int = ALIKE) -> DataF
     by_number = products.filter("ean <> ''").groupBy("supplier_id", "ean").agg(F.min("product_id").alias("__ean"))
     rows = written(lines.withColumn("fold", fold).join(by_name, ["supplier_id", "fold"], "left").join(by_number, ["supplier_id", "ean"], "left").drop("fold"))
     open_ = rows.filter("__exact is null and __ean is null").select(F.col("line_id").alias("id"), "supplier_id", "name")
-    pairs = alike(open_, products.select(F.col("product_id").alias("id"), "supplier_id", "name"), least)
-    best = pairs.groupBy(F.col("read_id").alias("line_id")).agg(F.min_by("known_id", F.struct(-F.col("score"), "known_id")).alias("__alike"))
+    own, best = products.select(F.col("product_id").alias("id"), "supplier_id", "name"), None
+    # Nearly equal names are found by long grams; only what has none is asked for with shorter ones, which meet more.
+    for step in [*(x for x in STEPS if x > least), least]:
+        pairs = alike(open_, own, step)
+        found = written(pairs.groupBy(F.col("read_id").alias("line_id")).agg(F.min_by("known_id", F.struct(-F.col("score"), "known_id")).alias("__alike")))
+        best = found if best is None else best.unionByName(found)
+        open_ = open_.join(found.select(F.col("line_id").alias("id")).hint("merge"), "id", "left_anti")
     kinds = [f"__{k}" for k in ("exact", "ean", "alike")]
     how = F.coalesce(*(F.when(F.col(k).isNotNull(), k[2:]) for k in kinds))
-    return rows.join(best, "line_id", "left").select(*lines.columns, F.coalesce(*kinds).alias("product_id"), how.alias("how"))
+    return rows.join(best.hint("merge"), "line_id", "left").select(*lines.columns, F.coalesce(*kinds).alias("product_id"), how.alias("how"))
 
 
 def resolve(lines: DataFrame, products: DataFrame, least: int = ALIKE) -> DataFrame:
@@ -93,17 +93,20 @@ def resolve(lines: DataFrame, products: DataFrame, least: int = ALIKE) -> DataFr
     known = written(names(products).unionByName(names(found.filter("how is not null"))).distinct())
     done, open_, n = found.filter("how is not null"), found.filter("how is null and trim(name) <> ''"), 0
     unnamed = found.filter("how is null and coalesce(trim(name), '') = ''")
+    fresh, priced = known, None
     while True:
         n += 1
-        # Equal names are one question.
-        asked = open_.groupBy("supplier_id", "name").agg(F.min("line_id").alias("id"))
-        answers = written(misread_match(asked, known).join(asked, F.col("read_id") == F.col("id")).select("supplier_id", "name", F.col("known_id").alias("__p")))
+        # Equal names are one question, under one id in all rounds; what they met before they need not meet again.
+        asked = written(open_.groupBy("supplier_id", "name").agg(F.min("line_id").alias("id")))
+        new = misread_costs(asked, fresh)
+        priced = written(new if priced is None else new.unionByName(priced.join(asked.select(F.col("id").alias("read_id")).hint("merge"), "read_id", "left_semi")))
+        answers = written(sure_of(priced).join(asked.hint("merge"), F.col("read_id") == F.col("id")).select("supplier_id", "name", F.col("known_id").alias("__p")))
         if answers.isEmpty():
             break
-        met = written(open_.join(answers, ["supplier_id", "name"], "left"))
+        met = written(open_.join(answers.hint("merge"), ["supplier_id", "name"], "left"))
         columns = [c for c in found.columns if c not in ("product_id", "how", "round")]
         done = done.unionByName(met.filter("__p is not null").select(*columns, F.col("__p").alias("product_id"), F.lit("misread").alias("how"), F.lit(n).alias("round")))
         open_ = met.filter("__p is null").drop("__p")
-        known = known.unionByName(answers.select(F.col("__p").alias("id"), "supplier_id", "name"))
+        fresh = answers.select(F.col("__p").alias("id"), "supplier_id", "name")
     rest = open_.unionByName(unnamed).withColumn("how", F.lit("new"))
     return done.unionByName(rest).withColumn("round", F.coalesce("round", F.lit(0)))

@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import matching, progress
+from ledgerloom.operators import grams, matching, names, progress
 
 
 def _plan(df):
@@ -24,3 +24,11 @@ def test_a_long_log_is_not_folded_in_one_row(spark):
     assert "collect_list" not in plan and "aggregate(" not in plan
     out = progress.steps(runs.unionByName(runs.limit(100))).groupBy().agg(F.count("*"), F.max("searched_until"), F.max("hole_from")).first()
     assert tuple(out) == (60000, date(2020, 4, 29), None)
+
+
+def test_names_with_common_words_do_not_all_meet(spark):
+    rows = spark.sql("SELECT id, 1 AS supplier_id, concat('HOT BOLT ECONOMY ', translate(upper(substr(md5(CAST(id AS STRING)), 1, 8)), '0123456789ABCDEF', 'GHIJKLMNOPQRSTUV'), ' 33') AS name FROM range(2000)")
+    counts = grams.counted(rows.select(F.col("name").alias("s")), 4)
+    keys = grams.rarest(rows.select("id", F.col("name").alias("s")), counts, 4, F.lit(9)).groupBy("gram").agg(F.count("*").alias("n"))
+    assert keys.agg(F.sum(F.col("n") * F.col("n"))).first()[0] < 2000 * 2000 / 10
+    assert names.misread_match(rows.withColumn("name", F.regexp_replace("name", "O", "0")), rows).filter("read_id = known_id").count() == 2000
