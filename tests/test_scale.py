@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import grams, matching, names, progress
+from ledgerloom.operators import graph, grams, matching, names, progress
 
 
 def _plan(df):
@@ -32,3 +32,19 @@ def test_names_with_common_words_do_not_all_meet(spark):
     keys = grams.rarest(rows.select("id", F.col("name").alias("s")), counts, 4, F.lit(9)).groupBy("gram").agg(F.count("*").alias("n"))
     assert keys.agg(F.sum(F.col("n") * F.col("n"))).first()[0] < 2000 * 2000 / 10
     assert names.misread_match(rows.withColumn("name", F.regexp_replace("name", "O", "0")), rows).filter("read_id = known_id").count() == 2000
+
+
+def test_edges_of_a_hub_are_not_shuffled_to_one_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 50)
+    edges = spark.range(1, 400).selectExpr("id AS a", "CASE WHEN id % 3 = 0 THEN id - 3 ELSE id % 3 END AS b").unionByName(spark.range(1).selectExpr("5000L AS a", "5001L AS b"))
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    want = {n: 0 if n % 3 == 0 else n % 3 for n in range(3, 400)} | {5001: 5000}
+    assert got == want
+    least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")).withColumnRenamed("b", "a")
+    assert "BroadcastHashJoin" in _plan(graph._at_least(edges.selectExpr("b AS a", "a AS b"), least))
+
+
+def test_reach_is_not_broadcast(spark):
+    edges = spark.range(1, 50).selectExpr("id AS a", "id + 1 AS b")
+    assert "Broadcast" not in _plan(graph.reach(edges).groupBy("a").count())
+    assert graph.reach(edges).count() == 49 * 50 // 2
