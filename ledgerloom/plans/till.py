@@ -120,7 +120,7 @@ def recipe_reach(spark, sf_dir):
     own = src.recipes(spark, sf_dir)
     below = graph.reach(own.filter("sub_recipe is not null").select(F.col("recipe_id").alias("a"), F.col("sub_recipe").alias("b")))
     pairs = below.unionByName(own.select(F.col("recipe_id").alias("a"), F.col("recipe_id").alias("b")))
-    met = pairs.join(src.ingredients(spark, sf_dir).select(F.col("recipe_id").alias("b"), "product_id"), "b")
+    met = pairs.join(src.ingredients(spark, sf_dir).select(F.col("recipe_id").alias("b"), "product_id").hint("merge"), "b")
     return met.groupBy(F.col("a").alias("recipe_id")).agg(F.count_distinct("product_id").alias("n_products"), F.min("product_id").alias("first_product"), F.count_distinct("b").alias("n_recipes"))
 
 
@@ -138,7 +138,7 @@ def _stock(spark, sf_dir):
         F.sum(F.when(d <= F.lit("1998-01-01").cast("date"), q).otherwise(0)).cast("decimal(18,3)").alias("opening"), F.sum(F.when(inside & (F.col("kind") == "PURCHASE"), q).otherwise(0)).alias("purchases"),
         F.sum(F.when(inside & (F.col("kind") == "LOSS"), -q).otherwise(0)).alias("losses"), (F.sum(F.when(d <= F.lit("1999-01-01").cast("date"), q).otherwise(0)) * F.lit("0.4").cast("decimal(2,1)")).cast("decimal(18,3)").alias("closing"),
     )
-    return rows.join(views.products(spark, sf_dir).select("product_id", "loss_percent"), "product_id")
+    return rows.join(views.products(spark, sf_dir).select("product_id", "loss_percent").hint("merge"), "product_id")
 
 
 #: Pools with what their recipes should have used and what left the shelf.
@@ -187,7 +187,7 @@ def shrinkage_floors(spark, sf_dir):
     alone = views.lines(spark, sf_dir).filter((F.col("flag") == "R") & (F.col("product_id") % 7 == 3) & (day > F.lit("1998-01-01").cast("date")) & (day <= F.lit("1999-01-01").cast("date"))).groupBy("product_id").agg(F.sum("quantity").alias("quantity"))
     found = ops.variance(_stock(spark, sf_dir), ops.with_own_sales(use, alone, pool_of), pool_of)
     sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), (F.col("p_size").cast(D) / 10).alias("item_size"))
-    members = pool_of.join(sizes, "product_id").join(_unit_costs(spark, sf_dir), "product_id", "left").withColumn("counted", F.col("product_id") % 9 != 4)
+    members = pool_of.join(sizes.hint("merge"), "product_id").join(_unit_costs(spark, sf_dir).hint("merge"), "product_id", "left").withColumn("counted", F.col("product_id") % 9 != 4)
     out = ops.floors(found, members)
     return out.select("pool", *(F.round(F.col(c).cast(D), n).alias(c) for c, n in (("expected_min", 6), ("expected_max", 6), ("shortfall", 4), ("value_missing", 2), ("items_missing", 4))), "reliable")
 
