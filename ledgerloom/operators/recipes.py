@@ -52,18 +52,18 @@ def pools(ingredients: DataFrame, below: DataFrame | None = None) -> DataFrame:
     """(product_id, pool): products that can stand for one another, directly or through others, share the smallest id. With
     ``below`` all products under a recipe whose sub-recipes leave a choice do, too."""
     groups = ingredients.groupBy("recipe_id", "grp").agg(F.min("product_id").alias("b"), F.count("*").alias("n"))
-    edges = ingredients.join(groups.filter("n > 1"), ["recipe_id", "grp"]).select(F.col("product_id").alias("a"), "b")
+    edges = ingredients.join(groups.filter("n > 1").hint("merge"), ["recipe_id", "grp"]).select(F.col("product_id").alias("a"), "b")
     if below is not None:
-        under = below.select(F.col("a").alias("top"), F.col("b").alias("recipe_id")).join(ingredients.join(groups.select("recipe_id", "grp", "n"), ["recipe_id", "grp"]), "recipe_id")
+        under = below.select(F.col("a").alias("top"), F.col("b").alias("recipe_id")).join(ingredients.join(groups.select("recipe_id", "grp", "n").hint("merge"), ["recipe_id", "grp"]).hint("merge"), "recipe_id")
         first = under.groupBy("top").agg(F.min("product_id").alias("b"), F.max("n").alias("most")).filter("most > 1")
-        edges = edges.unionByName(under.join(first, "top").select(F.col("product_id").alias("a"), "b"))
+        edges = edges.unionByName(under.join(first.hint("merge"), "top").select(F.col("product_id").alias("a"), "b"))
     found = components(edges)
-    return ingredients.select("product_id").distinct().join(found, F.col("product_id") == F.col("node"), "left").select("product_id", F.coalesce("root", "product_id").alias("pool"))
+    return ingredients.select("product_id").distinct().join(found.hint("merge"), F.col("product_id") == F.col("node"), "left").select("product_id", F.coalesce("root", "product_id").alias("pool"))
 
 
 def made(sold: DataFrame, below: DataFrame) -> DataFrame:
     """(recipe_id, sold): how much of each recipe went out, sold or inside those sold above it."""
-    inside = below.join(sold.select(F.col("recipe_id").alias("a"), "sold"), "a").select(F.col("b").alias("recipe_id"), (F.col("sold") * F.col("share")).alias("sold"))
+    inside = below.join(sold.select(F.col("recipe_id").alias("a"), "sold").hint("merge"), "a").select(F.col("b").alias("recipe_id"), (F.col("sold") * F.col("share")).alias("sold"))
     return sold.select("recipe_id", F.col("sold").cast("double").alias("sold")).unionByName(inside).groupBy("recipe_id").agg(F.sum("sold").alias("sold"))
 
 
@@ -76,9 +76,9 @@ def fixed_use(ingredients: DataFrame, sold: DataFrame) -> DataFrame:
 def expected_use(ingredients: DataFrame, sold: DataFrame, pool_of: DataFrame) -> DataFrame:
     """(pool, expected_min, expected_max): each group of a recipe sold takes between its least and its greatest option.
     Sub-recipes count where ``sold`` is what ``made`` gives."""
-    options = ingredients.join(pool_of, "product_id")
+    options = ingredients.join(pool_of.hint("merge"), "product_id")
     terms = options.groupBy("recipe_id", "grp").agg(F.min("amount").alias("lo"), F.max("amount").alias("hi"), F.min("pool").alias("pool"))
-    return terms.join(sold, "recipe_id").groupBy("pool").agg(F.sum(F.col("lo") * F.col("sold")).alias("expected_min"), F.sum(F.col("hi") * F.col("sold")).alias("expected_max"))
+    return terms.join(sold.hint("merge"), "recipe_id").groupBy("pool").agg(F.sum(F.col("lo") * F.col("sold")).alias("expected_min"), F.sum(F.col("hi") * F.col("sold")).alias("expected_max"))
 
 
 def variance(stock: DataFrame, use: DataFrame, pool_of: DataFrame) -> DataFrame:
@@ -88,9 +88,9 @@ def variance(stock: DataFrame, use: DataFrame, pool_of: DataFrame) -> DataFrame:
     smaller bound each member's own allowance does not cover; a negative larger bound is impossible.
     """
     left = F.col("opening") + F.col("purchases") - F.col("closing")
-    rows = stock.join(pool_of, "product_id").withColumn("left", left).withColumn("allowance", loss_allowance(F.col("left"), F.col("loss_percent")))
+    rows = stock.join(pool_of.hint("merge"), "product_id").withColumn("left", left).withColumn("allowance", loss_allowance(F.col("left"), F.col("loss_percent")))
     per = rows.groupBy("pool").agg(F.count("*").alias("n_members"), F.sum("left").alias("actual"), F.sum("losses").alias("losses"), F.sum("allowance").alias("allowance"))
-    out = per.join(use, "pool", "left").withColumn("expected_min", F.coalesce("expected_min", F.lit(0))).withColumn("expected_max", F.coalesce("expected_max", F.lit(0)))
+    out = per.join(use.hint("merge"), "pool", "left").withColumn("expected_min", F.coalesce("expected_min", F.lit(0))).withColumn("expected_max", F.coalesce("expected_max", F.lit(0)))
     out = out.withColumn("unexplained_min", F.col("actual") - F.col("losses") - F.col("expected_max")).withColumn("unexplained_max", F.col("actual") - F.col("losses") - F.col("expected_min"))
     out = out.withColumn("impossible", F.col("unexplained_max") < 0)
     return out.withColumn("shortfall", F.when(F.col("impossible"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("unexplained_min") - F.col("allowance"))))
@@ -99,7 +99,7 @@ def variance(stock: DataFrame, use: DataFrame, pool_of: DataFrame) -> DataFrame:
 def with_own_sales(use: DataFrame, alone: DataFrame, pool_of: DataFrame) -> DataFrame:
     """``use`` of pools with articles sold as themselves: ``alone`` (product_id, quantity) takes exactly that from its pool, or from
     itself where it is in none."""
-    own = alone.join(pool_of, "product_id", "left").select(F.coalesce("pool", "product_id").alias("pool"), F.col("quantity").cast("double").alias("q"))
+    own = alone.join(pool_of.hint("merge"), "product_id", "left").select(F.coalesce("pool", "product_id").alias("pool"), F.col("quantity").cast("double").alias("q"))
     both = use.select("pool", F.col("expected_min").cast("double").alias("lo"), F.col("expected_max").cast("double").alias("hi")).unionByName(own.select("pool", F.col("q").alias("lo"), F.col("q").alias("hi")))
     return both.groupBy("pool").agg(F.sum("lo").alias("expected_min"), F.sum("hi").alias("expected_max"))
 
@@ -110,7 +110,7 @@ def floors(pools: DataFrame, members: DataFrame) -> DataFrame:
     cost, size = F.col("unit_cost"), F.col("item_size")
     cheapest = F.min_by(F.struct("unit_cost", "item_size"), F.when(cost > 0, F.struct(cost, F.col("product_id"))))
     per = members.groupBy("pool").agg(cheapest.alias("cheapest"), F.bool_and("counted").alias("reliable"))
-    rows = pools.join(per, "pool", "left")
+    rows = pools.join(per.hint("merge"), "pool", "left")
     size = F.col("cheapest.item_size")
     return rows.withColumn("value_missing", F.col("shortfall") * F.col("cheapest.unit_cost")).withColumn("items_missing", F.when(size > 0, F.col("shortfall") / size)).withColumn("reliable", F.coalesce("reliable", F.lit(False))).drop("cheapest")
 

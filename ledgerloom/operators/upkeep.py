@@ -68,7 +68,7 @@ def shares_below(edges: DataFrame, share: float, most: int = 64) -> DataFrame:
     frontier = written(edges.filter("a != b").select("a", "b", F.lit(share).alias("share"), F.array("a", "b").alias("path")))
     found = frontier.select("a", "b", "share")
     for _ in range(most):
-        on = frontier.join(step, "b").filter(~F.array_contains("path", F.col("c")))
+        on = frontier.join(step.hint("merge"), "b").filter(~F.array_contains("path", F.col("c")))
         frontier = written(on.select("a", F.col("c").alias("b"), (F.col("share") * share).alias("share"), F.concat("path", F.array("c")).alias("path")))
         if frontier.isEmpty():
             return found.groupBy("a", "b").agg(F.sum("share").alias("share"))
