@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import graph, grams, matching, names, progress
+from ledgerloom.operators import graph, grams, matching, names, progress, recipes
 
 
 def _plan(df):
@@ -31,7 +31,9 @@ def test_names_with_common_words_do_not_all_meet(spark):
     counts = grams.counted(rows.select(F.col("name").alias("s")), 4)
     keys = grams.rarest(rows.select("id", F.col("name").alias("s")), counts, 4, F.lit(9)).groupBy("gram").agg(F.count("*").alias("n"))
     assert keys.agg(F.sum(F.col("n") * F.col("n"))).first()[0] < 2000 * 2000 / 10
-    assert names.misread_match(rows.withColumn("name", F.regexp_replace("name", "O", "0")), rows).filter("read_id = known_id").count() == 2000
+    # Every O read as a digit costs 0.3 of a budget of 2.
+    few = rows.filter("length(name) - length(replace(name, 'O', '')) <= 6")
+    assert names.misread_match(few.withColumn("name", F.regexp_replace("name", "O", "0")), rows).filter("read_id = known_id").count() == few.count()
 
 
 def test_edges_of_a_hub_are_not_shuffled_to_one_task(spark, monkeypatch):
@@ -48,3 +50,10 @@ def test_reach_is_not_broadcast(spark):
     edges = spark.range(1, 50).selectExpr("id AS a", "id + 1 AS b")
     assert "Broadcast" not in _plan(graph.reach(edges).groupBy("a").count())
     assert graph.reach(edges).count() == 49 * 50 // 2
+
+
+def test_pools_are_not_broadcast(spark):
+    rows = spark.sql("SELECT id AS product_id, id AS recipe_id, 1 AS grp, 1.0D AS amount, id AS pool, 1.0D AS sold, id AS a, id AS b, 0.5D AS share FROM range(20)")
+    pool_of, sold = rows.select("product_id", "pool"), rows.select("recipe_id", "sold")
+    use = recipes.expected_use(rows.select("recipe_id", "grp", "product_id", "amount"), recipes.made(sold, rows.select("a", "b", "share")), pool_of)
+    assert "Broadcast" not in _plan(recipes.with_own_sales(use, rows.select("product_id", F.col("amount").alias("quantity")), pool_of))
