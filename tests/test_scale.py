@@ -57,3 +57,32 @@ def test_pools_are_not_broadcast(spark):
     pool_of, sold = rows.select("product_id", "pool"), rows.select("recipe_id", "sold")
     use = recipes.expected_use(rows.select("recipe_id", "grp", "product_id", "amount"), recipes.made(sold, rows.select("a", "b", "share")), pool_of)
     assert "Broadcast" not in _plan(recipes.with_own_sales(use, rows.select("product_id", F.col("amount").alias("quantity")), pool_of))
+
+
+def test_equal_credits_of_a_day_look_up_anybodys_documents_once(spark):
+    credits = spark.sql("SELECT id AS payment_id, date_add(DATE '2020-01-01', CAST(id % 2 AS INT)) AS day, CAST(25 AS DECIMAL(12,2)) AS due, 180 AS back, 90 AS ahead FROM range(3000)")
+    days = spark.sql("SELECT CAST(25 AS DECIMAL(12,2)) AS total, date_add(DATE '2019-06-01', CAST(id AS INT)) AS invoice_day, 2 AS m, id AS invoice_id FROM range(400)")
+    found = matching._anybodys(credits, days)
+    assert {tuple(r) for r in found.select("day", "all", "one.*").distinct().collect()} == {(date(2020, 1, 1), 2 * 271, 0, 214), (date(2020, 1, 2), 2 * 271, 0, 215)}
+    assert found.count() == 3000
+    made = _rows_made(credits, days)
+    assert made < 2 * 3000
+
+
+def _rows_made(credits, days):
+    """Rows of the widest join of the lookup."""
+    found = matching._anybodys(credits, days)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan()
+    nodes, most = [plan], 0
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
