@@ -113,3 +113,37 @@ def test_a_deposit_is_found_behind_many_small_documents(spark):
     got = {tuple(r) for r in matching.credit_cascade(credits, spark.createDataFrame(d, DOCUMENTS)).collect()}
     assert got == {(1, "deposit", "to_confirm", 1, "1"), (2, "exact", "near_sure", 1, "50"), (3, "unnamed", "to_confirm", 1, "50"), (5, "several", "to_confirm", 2, "51"), (6, "exact", "near_sure", 1, "50")}
     assert matching.credit_cascade(credits, spark.createDataFrame([], DOCUMENTS)).count() == 0
+
+
+def test_a_payment_does_not_look_at_all_of_its_window(monkeypatch):
+    import bisect
+    import time
+
+    import pandas as pd
+
+    from ledgerloom.operators import settling
+
+    r = random.Random(5)
+    n, columns = 12_000, ["paying", "id", "key", "lo", "hi", "day", "cents", "card", "by_label", "fresh"]
+    documents = [(False, i, 1, 0, 0, r.randrange(300), r.choice([700, 900, 1100]), False, False, True) for i in range(n)]
+    payments = [(True, i, 1, day - 180, day, day, 700, False, False, True) for i in range(n) for day in [r.randrange(300)]]
+    begun = time.process_time()
+    # Several of the amount are always free, so no payment is sure.
+    assert settling._in_order(pd.DataFrame(documents + payments, columns=columns)) == []
+    assert time.process_time() - begun < 10
+    pool = [(0, i, r.choice([-5, 3, 3, 7, 8]), True) for i in range(12)]
+    every = sorted(c for size in (2, 3, 4) for c in itertools.combinations(pool, size) if sum(d[2] for d in c) == 10)
+    assert sorted(settling._sets(pool, 10)) == every != []
+    free = settling._Free()
+    days = sorted(r.randrange(40) for _ in range(60))
+    rows = [(d, i) for i, d in enumerate(days)]
+    for row in rows:
+        free.add(row)
+    left = list(rows)
+    for gone in r.sample(rows, 60):
+        lo, hi = sorted(r.sample(range(-2, 45), 2))
+        within = left[bisect.bisect_left(left, (lo,)) : bisect.bisect_left(left, (hi + 1,))]
+        assert free.latest(lo, hi, 5) == within[::-1][:5] and free.earliest(lo, hi, 5) == within[:5]
+        free.take(gone[1] + 1)
+        left.remove(gone)
+    assert free.latest(-9, 99, 5) == free.earliest(-9, 99, 5) == []
