@@ -26,8 +26,9 @@ def recognised(printed: DataFrame, known: DataFrame) -> DataFrame:
     that nobody has, where none is known, means that the document is another's.
     """
     owners = known.distinct().groupBy("identifier").agg(F.count("*").alias("owners"), F.first("supplier_id").alias("supplier_id"))
-    rows = printed.distinct().join(owners, "identifier", "left")
     one, company = F.col("owners") == 1, F.col("identifier").startswith("siren:")
+    # What nobody or several have says nothing, unless it is a company number.
+    rows = printed.distinct().join(owners, "identifier", "left").filter(one | (company & F.col("owners").isNull()))
     per = rows.groupBy("doc_id").agg(
         F.min(F.when(one, F.col("supplier_id"))).alias("supplier_id"), F.max(F.when(one, F.col("supplier_id"))).alias("__most"), F.count_if(one & ~F.col("identifier").startswith("web:")).alias("__firm"),
         F.count_if(one & company).alias("__companies"), F.count_if(company & F.col("owners").isNull()).alias("__strangers"), F.array_join(F.array_sort(F.collect_list(F.when(one, F.col("identifier")))), " ").alias("by"),

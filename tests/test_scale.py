@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import graph, grams, matching, names, progress, recipes
+from ledgerloom.operators import graph, grams, identifiers, matching, names, progress, recipes
 
 
 def _plan(df):
@@ -69,6 +69,24 @@ def test_equal_credits_of_a_day_look_up_anybodys_documents_once(spark):
     assert made < 2 * 3000
 
 
+def test_texts_are_read_for_identifiers_once(spark, data_dir):
+    from ledgerloom.plans import parties
+
+    plan = _plan(parties.supplier_identifiers(spark, data_dir))
+    assert "regexp_extract_all" not in plan and "lineitem" not in plan
+    known = spark.createDataFrame([(1, "tel:1"), (2, "tel:2"), (1, "tel:shared"), (2, "tel:shared")], "supplier_id long, identifier string")
+    printed = spark.createDataFrame([(1, "tel:1"), (1, "tel:shared"), (1, "web:x.fr"), (2, "tel:2"), (2, "siren:9"), (3, "tel:shared")], "doc_id long, identifier string")
+    assert [tuple(r) for r in identifiers.recognised(printed, known).collect()] == [(1, 1, "tel:1")]
+
+
+def test_guards_lose_no_identifier(spark):
+    from ledgerloom.functions import text
+
+    texts = ["HTTPS://WWW.A-B.COM", "see WWW.Shop.Fr", "(http://Xy.Org/)", "abc.EU", "+33 1 23 45 67 89", "0123456789", "fr44732829320", "FR44732829320"]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(text.identifiers(F.col("t")).alias("x")).collect()]
+    assert got == [["web:a-b.com"], ["web:shop.fr"], ["web:xy.org"], ["web:abc.eu"], ["tel:0123456789"], ["tel:0123456789"], [], ["siren:732829320"]]
+
+
 def _rows_made(credits, days):
     """Rows of the widest join of the lookup."""
     found = matching._anybodys(credits, days)
