@@ -9,7 +9,8 @@ language; that keeps it cheap where shards hold under one part in ``support`` of
 A shard is a row: its words as numbers of its own dictionary. At each length it sends every distinct phrase once, as the global
 numbers of its two parts, and gets back those that are frequent. A global number is the least (shard, place) that holds the
 phrase, so equal numbers are equal phrases without hashing. Language, document or phrase may hold any share of the words: a
-phrase's rows are one a shard.
+phrase is counted once a shard. Phrases travel by the group of their head, many to a row: a shard sends ``GROUPS`` rows at most
+and one more every ``CHUNK`` phrases, however many heads are frequent.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ from .common import discard, ship, written
 
 #: Words of a shard, at most about; bytes of a text that are split at once; distinct phrases of a shard in one row.
 SHARD, SLICE, CHUNK = 6_000_000, 4_000_000, 50_000
+#: Rows of a shard's phrases that go to the JVM at once.
+BATCH = 32
 #: Occurrences of a phrase whose longer ones are counted in one task, at most about.
 SPLIT = 2_000_000
+#: Groups that the longer phrases are dealt into, under 65,536: as many tasks at most count them.
+GROUPS = 1024
 #: Ranks are first taken within so many parts of a language.
 PARTS = 64
 SUPPORT, LONGEST, KEEP = 30, 4, 2000
@@ -130,17 +135,20 @@ def _shards(size: int, slice_bytes: int):
     return of
 
 
-#: A phrase's longer ones are a run of keys: the head once, its tails and how often each occurs here.
-PHRASES = "shard long, part int, heads array<long>, buckets array<int>, starts array<long>, tails array<array<long>>, counts array<array<int>>, stream binary"
+#: The longer phrases of a group, by head and tail, and how often each occurs here. Places follow them from ``start``.
+PHRASES = "shard long, part int, least long, group int, start long, heads array<long>, tails array<long>, counts array<int>, stream binary"
 
 
-def _longer(split: int):
+def _longer(split: int, groups: int = GROUPS):
     """One shard, one word more: ``left`` has its stream, ``right`` (place, id, f) which of the phrases in it are frequent. The new
     stream holds, at each word, the place + 1 of the longer phrase that starts there, 0 if none can be frequent.
 
-    Places follow the runs, so a run needs its first only. The tails of a head with more than ``split`` occurrences are dealt
-    into buckets, the same in all shards."""
-    schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("heads", pa.list_(pa.int64())), ("buckets", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("tails", pa.list_(pa.list_(pa.int64()))), ("counts", pa.list_(pa.list_(pa.int32()))), ("stream", pa.binary())])
+    A head's longer phrases are in one group, the same in all shards. The tails of one with more than ``split`` occurrences are
+    dealt into buckets, each with a group of its own."""
+    schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("least", pa.int64()), ("group", pa.int32()), ("start", pa.int64()), ("heads", pa.list_(pa.int64())), ("tails", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("stream", pa.binary())])
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        return ((x * 0x9E3779B1) >> 16) & 0xFFFF
 
     def of(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         raw = [x for x in left["stream"].to_pylist() if x is not None]
@@ -161,28 +169,23 @@ def _longer(split: int):
         own = stream[at] > 0
         counts = np.bincount(number[own], minlength=len(keys)).astype(np.int32)
         head, tail = keys // (len(place) + 1) - 1, keys % (len(place) + 1) - 1
-        parts = 1 + f[head] // split
-        bucket = (((ids[tail] * 0x9E3779B1) >> 16) & 0xFFFF) % parts
-        if parts.max() > 1:
-            order = np.lexsort((tail, bucket, head))
-            moved = np.empty(len(keys), np.int64)
-            moved[order] = np.arange(len(keys))
-            head, tail, bucket, counts, number = head[order], tail[order], bucket[order], counts[order], moved[number]
+        bucket = mixed(ids[tail]) % (1 + f[head] // split)
+        group = (mixed(ids[head] + bucket) % groups).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        moved = np.empty(len(keys), np.int64)
+        moved[order] = np.arange(len(keys))
+        head, tail, group, counts, number = head[order], tail[order], group[order], counts[order], moved[number]
         new = np.zeros(len(stream), np.int32)
         new[at] = np.where(own, number + 1, -(number + 1))
-        raw = _pack(new)
-        begins = np.append(True, (head[1:] != head[:-1]) | (bucket[1:] != bucket[:-1]))
-        # A row of runs ends every so many keys; a run that goes on there is two.
+        begins = np.append(True, group[1:] != group[:-1])
+        # So many keys end a row; a group that goes on there has two.
         begins[::CHUNK] = True
-        runs, out = np.flatnonzero(begins), []
-        for part, lo in enumerate(range(0, len(keys), CHUNK)):
-            hi = min(lo + CHUNK, len(keys))
-            here = runs[np.searchsorted(runs, lo) : np.searchsorted(runs, hi)]
-            ends = pa.array(np.append(here, hi) - lo, pa.int32())
-            lists = [ids[head[here]], bucket[here].astype(np.int32), here.astype(np.int64)]
-            columns = [pa.ListArray.from_arrays(pa.array([0, len(here)], pa.int32()), x) for x in (*map(pa.array, lists), pa.ListArray.from_arrays(ends, pa.array(ids[tail[lo:hi]])), pa.ListArray.from_arrays(ends, pa.array(counts[lo:hi])))]
-            out.append(pa.RecordBatch.from_arrays([pa.array([left["shard"][0].as_py()], pa.int64()), pa.array([part], pa.int32()), *columns, pa.array([raw if part == 0 else None], pa.binary())], schema=schema))
-        return pa.Table.from_batches(out, schema)
+        rows = np.flatnonzero(begins)
+        ends = pa.array(np.append(rows, len(keys)), pa.int32())
+        one = [np.full(len(rows), left["shard"][0].as_py()), np.arange(len(rows), dtype=np.int32), np.full(len(rows), left["least"][0].as_py()), group[rows].astype(np.int32), rows.astype(np.int64)]
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[head], ids[tail], counts)]
+        out = pa.Table.from_arrays([*map(pa.array, one), *lists, pa.array([_pack(new)] + [None] * (len(rows) - 1), pa.binary())], schema=schema)
+        return pa.Table.from_batches(out.to_batches(max_chunksize=BATCH), schema)
 
     return of
 
@@ -206,7 +209,7 @@ def _firsts(found: DataFrame) -> DataFrame:
     return found.filter("id = number")
 
 
-def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD, slice_bytes: int = SLICE, split: int = SPLIT) -> tuple[list[DataFrame], DataFrame]:
+def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD, slice_bytes: int = SLICE, split: int = SPLIT, groups: int = GROUPS) -> tuple[list[DataFrame], DataFrame]:
     """Every phrase of 1 to ``longest`` (at most 4) words that occurs ``support`` times or more in its language, and the words
     of each language.
 
@@ -230,11 +233,10 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     words = _frequent(distinct.select(numbers, "lang", F.col("x.words").alias("phrase"), F.col("x.counts").alias("count"), "least"), ["lang", "phrase"], support)
 
     def opened(table: DataFrame) -> DataFrame:
-        """Runs go to the task of their head and bucket whole and are opened there."""
-        runs = table.join(shares, "shard").select("shard", "least", F.explode(F.arrays_zip("heads", "buckets", "starts", "tails", "counts")).alias("x"))
-        dealt = runs.select("least", F.col("x.heads").alias("head"), F.col("x.buckets").alias("bucket"), _number(F.col("shard"), F.col("x.starts")).alias("start"), "x.tails", "x.counts").repartition("head", "bucket")
-        keys = dealt.select("least", "head", "bucket", "start", F.posexplode(F.arrays_zip("tails", "counts")).alias("at", "y"))
-        return keys.select((F.col("start") + F.col("at")).alias("number"), "head", "bucket", F.col("y.tails").alias("tail"), F.col("y.counts").alias("count"), "least")
+        """Rows go to the task of their group whole and are opened there."""
+        dealt = table.select("least", "group", _number(F.col("shard"), F.col("start")).alias("start"), "heads", "tails", "counts").repartition("group")
+        keys = dealt.select("least", "group", "start", F.posexplode(F.arrays_zip("heads", "tails", "counts")).alias("at", "x"))
+        return keys.select((F.col("start") + F.col("at")).alias("number"), "group", F.col("x.heads").alias("head"), F.col("x.tails").alias("tail"), F.col("x.counts").alias("count"), "least")
 
     f = F.array("f")
     none = F.lit(None).cast("long")
@@ -242,9 +244,10 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     found, streams = words, cut
     for _ in range(1, longest):
         places = found.select(F.shiftright("number", 24).alias("shard"), (F.col("number") % (1 << 24)).alias("place"), "id", "f")
-        before, streams = streams, written(streams.filter("part = 0").select("shard", "stream").groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(_longer(split), PHRASES))
+        left = streams.filter("part = 0").select("shard", "stream").join(shares, "shard")
+        before, streams = streams, written(left.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(_longer(split, groups), PHRASES))
         discard(before)
-        found = _frequent(opened(streams), ["head", "bucket", "tail"], support)
+        found = _frequent(opened(streams), ["head", "tail", "group"], support)
         below = levels[-1]
         head = below.select("lang", F.col("id").alias("head"), F.col("phrase").alias("__phrase"), F.col("heads").alias("__heads"))
         tail = below.select(F.col("id").alias("tail"), F.col("last").alias("__last"), F.col("tails").alias("__tails"))

@@ -53,3 +53,29 @@ def test_slices_keep_every_start():
         whole = text.replace(b"\xff", b" \xff ").split()
         cut = lambda x: tuple(x[: x.index(b"\xff")]) if b"\xff" in x else tuple(x)
         assert [cut(list(x)) for x in starts] == [cut(whole[i : i + 4]) for i in range(len(whole)) if whole[i] != b"\xff"]
+
+
+def test_groups_and_split_rows(awkward, monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK", 5)
+    got = phrases.collocations(awkward, 2, keep=50, shard_words=150, slice_bytes=64, split=7, groups=3).collect()
+    assert {tuple(r) for r in got} == brute([(r.lang, r.text) for r in awkward.collect()], 2, 50)
+
+
+def test_rows_of_an_exchange(spark, monkeypatch):
+    """However many heads are frequent, a shard sends a row a group, and what arrives is opened once."""
+    frequent, written, keys, made = phrases._frequent, phrases.written, [], []
+
+    def seen(table, *by):
+        table = written(table, *by)
+        if {"stream", "tails"} <= set(table.columns):
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(phrases, "written", seen)
+    monkeypatch.setattr(phrases, "_frequent", lambda table, *more: keys.append(table) or frequent(table, *more))
+    heads = 6000
+    docs = spark.range(30 * heads).selectExpr(f"concat('h', id % {heads}, ' t') AS text", "'x' AS lang").repartition(3)
+    levels, _ = phrases.phrase_counts(docs, longest=2)
+    assert levels[1].count() == heads
+    assert keys[-1]._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    assert len(made) == 1 and made[0] <= 3 * phrases.GROUPS < heads
