@@ -1,5 +1,6 @@
 """What grows with the input is not sent through the driver, one row or one task."""
 
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -36,6 +37,56 @@ def test_names_with_common_words_do_not_all_meet(spark):
     assert names.misread_match(few.withColumn("name", F.regexp_replace("name", "O", "0")), rows).filter("read_id = known_id").count() == few.count()
 
 
+def test_names_a_few_edits_apart_meet_by_letters_of_a_kind(spark):
+    rows = spark.sql("SELECT id, concat('33 BOLT ECONOMY HOT ', translate(upper(substr(md5(CAST(id AS STRING)), 1, 8)), '0123456789ABCDEF', 'GHIJKLMNOPQRSTUV')) AS s FROM range(2000)")
+    met = lambda df: df.alias("x").join(df.alias("y"), "gram").filter("x.id <> y.id")
+    three = grams.letters_by_kind(rows, F.lit(3), F.lit(3))
+    assert three.count() == 4 * 2000 and met(three).count() < 2000 * 2000 / 2
+    # The grams that three edits may leave are words that all have.
+    counts = grams.counted(rows, 3)
+    assert met(grams.rarest(rows, counts, 3, F.lit(10))).count() > 2000 * 2000 / 2
+    # Few of those that meet are compared letter by letter.
+    assert met(three).filter(grams.differ(F.col("x.odd"), F.col("y.odd")) <= 3).count() < 2000 * 2000 / 50
+
+
+def test_edits_leave_a_kind_of_letters_and_change_few_kinds_of_grams(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        a = "".join(r.choices("ABCDEÉ é1", k=r.choice([1, 2, 9, 30, 80])))
+        b, d = list(a), r.randrange(4)
+        for _ in range(d):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = "" if at < len(b) and r.randrange(2) else r.choice("ABXÉ")
+        # A letter put for another is one put in and one left out.
+        rows.append((i, a, "".join(b), 2 * d))
+    rows = [x for x in rows if x[2]]
+    frame = spark.createDataFrame(rows, "id long, a string, b string, d int").repartition(3)
+    a, b = (grams.letters_by_kind(frame.select("id", "d", F.col(c).alias("s")), F.col("d"), F.col("d")).withColumnRenamed("odd", c) for c in "ab")
+    got = a.join(b, ["id", "d", "gram"]).filter(grams.differ(F.col("a"), F.col("b")) <= F.col("d"))
+    assert got.select("id").distinct().count() == len(rows) > 250
+    two = [grams.rarest(frame.select("id", "d", F.col(c).alias("s")), grams.counted(frame.select(F.col(c).alias("s")), 2), 2, F.lit(1), 2).withColumnRenamed("odd", c).drop("gram", "s") for c in "ab"]
+    assert two[0].join(two[1], ["id", "d"]).filter(grams.differ(F.col("a"), F.col("b")) > 2 * F.col("d")).count() == 0
+
+
+def test_misread_costs_are_worked_out_abreast(monkeypatch):
+    r = random.Random(5)
+    letters, a, b = "O0QDI1LS5B8Z2G6ABC37", [], []
+    for _ in range(3000):
+        x = r.choices(letters, k=r.choice([0, 1, 5, 6, 14, 15, 29, 30, 47]))
+        y = list(x)
+        for _ in range(r.randrange(6)):
+            i = r.randrange(len(y) + 1)
+            like = [g for g in names.LOOK_ALIKE if i < len(y) and y[i] in g]
+            y[i : i + r.randrange(2)] = r.choice(like[0]) if like and r.randrange(2) else r.choice([*letters, ""])
+        a.append("".join(x))
+        b.append("".join(y))
+    want = [names.misread_cost(x, y, names.budget(x)) for x, y in zip(a, b, strict=True)]
+    assert names.priced(a, b).tolist() == want and 900 < sum(c < 4 for c in want) < 2900
+    monkeypatch.setattr(grams, "CELLS", 100)
+    assert names.priced(a, b).tolist() == want and names.priced([], []).tolist() == []
+
+
 def test_edges_of_a_hub_are_not_shuffled_to_one_task(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB", 50)
     edges = spark.range(1, 400).selectExpr("id AS a", "CASE WHEN id % 3 = 0 THEN id - 3 ELSE id % 3 END AS b").unionByName(spark.range(1).selectExpr("5000L AS a", "5001L AS b"))
