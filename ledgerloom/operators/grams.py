@@ -85,28 +85,28 @@ def counted(texts: DataFrame, q: int) -> np.ndarray:
     return ranks
 
 
-def _with_keys(texts: DataFrame, keys, q: int, odd: int, *more: Column) -> DataFrame:
-    """``texts`` (s, ...) with a row for each of the numbers (``gram``) that ``keys`` (letters, lengths, ``more``) makes of them, and
-    ``odd``, its kinds of grams of that many letters."""
-    columns, extra = texts.columns, [f"__{i}" for i in range(len(more))]
+def _with_keys(texts: DataFrame, keys, q: int, odd: tuple[int, ...], *more: Column) -> DataFrame:
+    """``texts`` (s, ...) with a row for each of the numbers (``gram``) that ``keys`` (letters, lengths, ``more``) makes of them, and for
+    each of ``odd`` its kinds of grams of that many letters (``odd1``, ...)."""
+    columns, extra, kinds = texts.columns, [f"__{i}" for i in range(len(more))], [f"odd{n}" for n in odd]
 
     def made(batches):
         for x in batches:
             given = [x.column(c).to_numpy() for c in extra]
-            for at, codes, lengths in _read(x.column("s").to_pylist(), max(q, odd)):
+            for at, codes, lengths in _read(x.column("s").to_pylist(), max(q, *odd)):
                 key, own = keys(codes, lengths, *(g[at] for g in given))
                 ends = np.concatenate([[0], own.sum(axis=1).cumsum()])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[own].astype(np.int64)))
                 rows = x.select(columns).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_odd(codes, lengths, odd)), lists], names=[*columns, "odd", "grams"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(_odd(codes, lengths, n)) for n in odd), lists], names=[*columns, *kinds, "grams"])
 
     ship(texts.sparkSession)
-    schema = StructType([*texts.schema.fields, StructField("odd", LongType()), StructField("grams", ArrayType(LongType()))])
+    schema = StructType([*texts.schema.fields, *(StructField(k, LongType()) for k in kinds), StructField("grams", ArrayType(LongType()))])
     out = texts.select(*columns, *(c.cast("int").alias(name) for c, name in zip(more, extra, strict=True))).mapInArrow(made, schema)
-    return out.select(*columns, "odd", F.explode("grams").alias("gram"))
+    return out.select(*columns, *kinds, F.explode("grams").alias("gram"))
 
 
-def rarest(texts: DataFrame, ranks: np.ndarray, q: int, kept: Column, odd: int = 1) -> DataFrame:
+def rarest(texts: DataFrame, ranks: np.ndarray, q: int, kept: Column, odd: tuple[int, ...] = (1,)) -> DataFrame:
     """``texts`` (s, ...) with a row for each of its ``kept`` rarest grams (``gram``, a number that goes by rank and hash). Grams that
     come again are counted again, and equal numbers are one row: of two texts that must share a gram, the first they share is
     among both's. Two grams of one number only let more texts meet."""
@@ -134,7 +134,7 @@ def letters_by_kind(texts: DataFrame, least: Column, most: Column) -> DataFrame:
         asked = np.array([d for d in range(top + 1) for _ in range(d + 1)])
         return np.stack(key, axis=1), (asked >= least[:, None]) & (asked <= most[:, None])
 
-    return _with_keys(texts, keys, 1, 1, least, most)
+    return _with_keys(texts, keys, 1, (1,), least, most)
 
 
 def differ(a: Column, b: Column) -> Column:

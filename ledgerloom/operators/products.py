@@ -47,13 +47,15 @@ def _scored(read: DataFrame, known: DataFrame, least: int) -> DataFrame:
     ranks = grams.counted(longer(read.select("s")).unionByName(longer(known.select("s"))), q)
 
     def side(df, to):
+        df = df.withColumn("n", n)
         met = grams.rarest(longer(df), ranks, q, q * many + 1).unionByName(grams.letters_by_kind(df.filter(few <= FEW), few, F.least(many, F.lit(FEW))))
-        return met.withColumnsRenamed({"s": to, "odd": f"__{to}"})
+        return met.withColumnsRenamed({"s": to, "odd1": f"__{to}", "n": f"__n{to}"})
 
     met = side(read, "a").hint("merge").join(side(known, "b"), ["gram", "supplier_id", "numbers"])
-    most = F.floor((100 - least) * (F.length("a") + F.length("b")) / 100).cast("int")
-    apart = (F.abs(F.length("a") - F.length("b")) <= most) & (grams.differ(F.col("__a"), F.col("__b")) <= most)
-    near = met.filter(apart & (F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0)).drop("gram", "__a", "__b").distinct()
+    # What is cheap comes first: most that meet differ in too many letters.
+    most = (100 - least) * (F.col("__na") + F.col("__nb"))
+    close = F.call_function("levenshtein", F.col("a"), F.col("b"), F.floor(most / 100).cast("int")) >= 0
+    near = met.filter((100 * grams.differ(F.col("__a"), F.col("__b")) <= most) & close).drop("gram", "__a", "__b", "__na", "__nb").distinct()
 
     def score(batches):
         for x in batches:
